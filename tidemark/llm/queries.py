@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, url_filters
+from . import fingerprints, mixing, pii, simhash, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_document_fingerprints": fingerprints.op3,
     "op6_source_mixing": mixing.op6,
     "op7_url_filters": url_filters.op7,
+    "op8_simhash": simhash.op8,
+    "op9_personal_data": pii.op9,
 }
 
 SQL: dict[str, str] = {
