@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, pii, simhash, url_filters
+from . import decontaminate, fingerprints, mixing, pii, quality, simhash, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_classifier": quality.op2,
     "op3_document_fingerprints": fingerprints.op3,
     "op6_source_mixing": mixing.op6,
     "op7_url_filters": url_filters.op7,
     "op8_simhash": simhash.op8,
     "op9_personal_data": pii.op9,
+    "op10_benchmark_decontamination": decontaminate.op10,
 }
 
 SQL: dict[str, str] = {
     "op6_source_mixing": mixing.SQL6,
     "op7_url_filters": url_filters.SQL7,
+    "op10_benchmark_decontamination": decontaminate.SQL10,
 }
