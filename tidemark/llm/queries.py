@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, mixing, pii, quality, simhash, url_filters
+from . import decontaminate, fingerprints, lattice_lm, mixing, pii, quality, simhash, substrings, token_counts, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": token_counts.op1,
     "op2_quality_classifier": quality.op2,
     "op3_document_fingerprints": fingerprints.op3,
+    "op4_lattice_scores": lattice_lm.op4,
+    "op5_substring_dedup": substrings.op5,
     "op6_source_mixing": mixing.op6,
     "op7_url_filters": url_filters.op7,
     "op8_simhash": simhash.op8,
@@ -19,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op5_substring_dedup": substrings.SQL5,
     "op6_source_mixing": mixing.SQL6,
     "op7_url_filters": url_filters.SQL7,
     "op10_benchmark_decontamination": decontaminate.SQL10,
