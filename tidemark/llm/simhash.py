@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import frames
+from . import frames, kernel
 from .components import components
 
 RADIUS, SEED, WORDS = 3, 42, 3
@@ -176,3 +176,163 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = frames.cut(fingerprints(frames.table(spark, sf_dir, "documents")))
     found = label(prints, link(prints.select("fp").distinct()))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# --- near copies of a similarity of 0.8 or more
+
+#: 1024 bits; the expected share of differing bits is arccos(2 J / (1 + J)) / pi for sets of similarity J.
+COLUMNS, LEAST = 16, 0.8
+#: Allowed for the estimate: about two standard errors below LEAST.
+MARGIN = 0.05
+PRE_COLUMNS, PRE_SIGMAS = 2, 3.5
+NEAR_WORDS, TILE_ROWS, MOST_TILES = 5, 8192, 256
+_SALTS = np.random.default_rng(17).integers(1, 1 << 63, COLUMNS, dtype=np.uint64)
+
+
+def radius_of(similarity: float, bits: int, sigmas: float = 0.0) -> int:
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * p + sigmas * (bits * p * (1 - p)) ** 0.5)
+
+
+def wide_prints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """_k (a hash of key and text), key, n (distinct shingles) and fp (1024 bits of the shingle set) of each row."""
+    cols = docs.select(F.xxhash64(key, text).alias("_k"), F.col(key), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in kernel.slices(whole):
+                data, offs = kernel.buffers(batch.column(2))
+                lower = data + np.where((data >= 65) & (data <= 90), np.uint8(32), np.uint8(0))
+                starts, ends, first = kernel.words(lower, offs)
+                h, doc = kernel.shingles(kernel.word_hashes(lower, starts, ends), first, NEAR_WORDS)
+                order = np.lexsort((h, doc))
+                h, doc = h[order], doc[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                h, doc = h[new], doc[new]
+                cuts = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+                prints = []
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    total = np.zeros(64 * COLUMNS, np.int64)
+                    for at in range(a, b, 4096):
+                        piece = kernel.mix(h[at : min(b, at + 4096), None] ^ _SALTS[None, :])
+                        total += np.add.reduce(np.unpackbits(piece.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint16)
+                    prints.append(np.packbits(2 * total > b - a, bitorder="little").tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(cuts), pa.int64()), pa.array(prints, pa.binary())], names=["_k", key, "n", "fp"])
+
+    return cols.mapInArrow(run, cols.select("_k", key, F.lit(0).cast("long").alias("n"), F.lit(b"").alias("fp")).schema)
+
+
+class Union:
+    """Disjoint sets over 0 .. n - 1, joined by arrays of pairs; the root is the smallest."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        r = self.parent[x]
+        while True:
+            up = self.parent[r]
+            if (up == r).all():
+                return r
+            r = up
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            a, b = self.find(a), self.find(b)
+            apart = a != b
+            a, b = a[apart], b[apart]
+            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
+
+
+def compare_tiles(fp: np.ndarray, n: np.ndarray, tile: np.ndarray, least: float = LEAST - MARGIN) -> Union:
+    """Joins what is near enough, between two tiles (or within one, if there is only one).  fp: rows x COLUMNS, sorted by
+    tile and n.  Blocks whose shingle counts, or population counts, cannot reach the similarity are skipped."""
+    full, pre = radius_of(least, 64 * COLUMNS), radius_of(least, 64 * PRE_COLUMNS, PRE_SIGMAS)
+    ones = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
+    joined = Union(len(fp))
+    cut = int(np.searchsorted(tile, tile[0], side="right"))
+    left, right = (0, cut), (cut, len(fp)) if cut < len(fp) else (0, cut)
+    other_n = n[right[0] : right[1]]
+    for a in range(*left, 256):
+        a_to = min(a + 256, left[1])
+        lo = right[0] + int(np.searchsorted(other_n, n[a] * least))
+        hi = right[0] + int(np.searchsorted(other_n, n[a_to - 1] / least, side="right"))
+        mine = ones[a:a_to]
+        for b in range(lo, hi, 2048):
+            b_to = min(b + 2048, hi)
+            theirs = ones[b:b_to]
+            if theirs.min() - mine.max() > full or mine.min() - theirs.max() > full:
+                continue
+            apart = np.bitwise_count(fp[a:a_to, None, 0] ^ fp[None, b:b_to, 0])
+            for c in range(1, PRE_COLUMNS):
+                apart += np.bitwise_count(fp[a:a_to, None, c] ^ fp[None, b:b_to, c])
+            x, y = np.nonzero(apart <= pre)
+            x, y = x + a, y + b
+            keep = x != y
+            x, y = x[keep], y[keep]
+            for at in range(0, len(x), 1 << 16):
+                p, q = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
+                near = np.bitwise_count(fp[p] ^ fp[q]).sum(axis=1, dtype=np.int64) <= full
+                joined.join(p[near], q[near])
+    return joined
+
+
+def _compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows i, j, tile, n, id, fp; those of one (i, j) stand together, sorted by tile and n."""
+
+    def close(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts)
+        ids = rows.column("id").to_numpy()
+        fp = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(-1, COLUMNS)
+        joined = compare_tiles(fp, rows.column("n").to_numpy(), rows.column("tile").to_numpy())
+        root = joined.find(np.arange(len(ids)))
+        linked = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[root[linked]])], names=["u", "v"])
+
+    last, parts = None, []
+    for batch in batches:
+        i, j = batch.column("i").to_numpy(), batch.column("j").to_numpy()
+        cuts = np.flatnonzero((np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(i)]):
+            if b == a:
+                continue
+            if (i[a], j[a]) != last and parts:
+                yield close(parts)
+                parts = []
+            last = (i[a], j[a])
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield close(parts)
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs less all but one row (the smallest key, nulls last, then by a hash) of every group of near copies.
+
+    Equal rows count as copies.  Rows are compared by tiles of fingerprints in the order of their shingle counts, each
+    tile with those whose counts can reach the similarity; there are MOST_TILES tiles at most, so that a fingerprint goes
+    to a bounded number of tasks.
+    """
+    prints = frames.cut(wide_prints(docs, key, text))
+    mine = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("_k").alias("k"))
+    nodes = frames.cut(prints.groupBy("fp").agg(F.min("n").alias("n"), F.min(mine).alias("first")).select(F.xxhash64("fp").alias("id"), "fp", "n", "first"))
+    count = nodes.count()
+    tiles = min(MOST_TILES, max(1, -(-count // TILE_ROWS)))
+    place = F.col("n") + F.pmod("id", F.lit(1 << 20)) / float(1 << 20)
+    splits = list(dict.fromkeys(nodes.agg(F.percentile_approx(place, [t / tiles for t in range(1, tiles)], 100 * tiles).alias("q")).first()["q"] or [])) if tiles > 1 else []
+    low, high = [0.0, *splits], [*splits, float("inf")]
+    partners = [[u for u in range(len(low)) if int(max(low[t], low[u])) * (LEAST - MARGIN) <= min(high[t], high[u])] for t in range(len(low))]
+    tile = F.size(F.filter(F.array(*[F.lit(s) for s in splits]).cast("array<double>"), lambda s: s <= place))
+    dealt = nodes.select("id", "n", "fp", tile.alias("tile"))
+    dealt = dealt.select("*", F.explode(F.element_at(F.array(*[F.array(*[F.lit(u) for u in p]) for p in partners]), F.col("tile") + 1)).alias("o"))
+    dealt = dealt.select(F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "tile", "n", "id", "fp")
+    edges = dealt.repartition(frames.parts(docs.sparkSession), "i", "j").sortWithinPartitions("i", "j", "tile", "n").mapInArrow(_compare_runs, "u long, v long")
+    roots = components(edges)
+    first = nodes.join(roots, nodes["id"] == roots["node"], "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
+    winners = first.select(F.col("first.k").alias("_k")).join(prints.groupBy("_k").agg(F.count("*").alias("_copies")), "_k")
+    winners = frames.cut(winners)
+    kept = docs.withColumn("_k", F.xxhash64(key, text)).join(winners, "_k")
+    out = [F.col(c) for c in docs.columns]
+    if winners.filter("_copies > 1").isEmpty():
+        return kept.select(*out)
+    return kept.filter("_copies = 1").select(*out).unionByName(kept.filter("_copies > 1").dropDuplicates(["_k"]).select(*out))
