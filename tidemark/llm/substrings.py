@@ -174,7 +174,7 @@ def _table(chunk: int, ids: np.ndarray, payloads: list[bytes]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), chunk), pa.int32()), pa.array(ids, pa.int32()), pa.array(payloads, pa.binary())], names=["chunk", "bucket", "payload"])
 
 
-def _send(buckets: int, window: int):
+def _send(buckets: int, window: int, text: str):
     """Rows of a chunk stand together: its sorted distinct hashes, by bucket, then one bit each, whether the chunk itself
     has the hash twice."""
 
@@ -198,7 +198,7 @@ def _send(buckets: int, window: int):
                     yield close(chunk, parts)
                     parts = []
                 chunk = ids[a]
-                parts += [h for _, _, h, _, _ in _windows(batch.column("text").slice(a, b - a), window) if len(h)]
+                parts += [h for _, _, h, _, _ in _windows(batch.column(text).slice(a, b - a), window) if len(h)]
         if parts:
             yield close(chunk, parts)
 
@@ -280,7 +280,8 @@ def within(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()["b"]
     chunks, buckets = max(1, -(-size // CHUNK_BYTES)), max(1, -(-size // (6 * BUCKET_HASHES)))
     dealt = docs.select(F.col(key), F.col(text), F.pmod(F.xxhash64(key, text), F.lit(chunks)).cast("int").alias("chunk")).repartition(chunks, "chunk")
-    sent = dealt.select("chunk", F.col(text).alias("text")).sortWithinPartitions("chunk").mapInArrow(_send(buckets, window), "chunk int, bucket int, payload binary")
+    #: Both uses of ``dealt`` keep the same columns, so that Spark shuffles the text once for both.
+    sent = dealt.sortWithinPartitions("chunk").mapInArrow(_send(buckets, window, text), "chunk int, bucket int, payload binary")
     counted = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_count, "chunk int, bucket int, payload binary")
     schema = dealt.select(F.col(key), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_sha256")).schema
     return dealt.groupBy("chunk").cogroup(counted.repartition(chunks, "chunk").groupBy("chunk")).applyInArrow(_finish(buckets, window, key, text), schema)
