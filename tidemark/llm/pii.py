@@ -332,7 +332,9 @@ def fit(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Trains on SAMPLE snippets of the corpus, chosen by a hash of the text, and on generated ones."""
     ahead = F.length(F.regexp_extract(F.col(text), r"\A[^0-9@]*+", 0))
     snippet = F.substring(F.col(text), F.greatest(ahead - SNIPPET // 2, F.lit(0)) + 1, F.lit(SNIPPET))
-    taken = docs.filter(F.col(text).rlike("[0-9@]")).select(F.xxhash64(text).alias("h"), snippet.alias("t")).orderBy("h").limit(SAMPLE).collect()
+    some = docs.filter(F.col(text).rlike("[0-9@]")).select(F.xxhash64(text).alias("h"), snippet.alias("t"))
+    most = some.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    taken = some.filter(F.col("h") <= most).orderBy("h").limit(SAMPLE).collect() if most is not None else []
     return train(sorted({r["t"] for r in taken}))
 
 
