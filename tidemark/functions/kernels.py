@@ -145,3 +145,14 @@ def phasor(close, period):
         phase[15:] = np.unwrap(np.arctan2(quad[15:], inside[15:]))
         size[15:] = np.hypot(quad[15:], inside[15:])
     return [phase, size]
+
+
+def cool_down(flags, n):
+    """Keeps a true value and drops those of the n bars after it."""
+    out, rest = np.zeros(len(flags)), 0
+    for i, f in enumerate(flags):
+        if rest > 0:
+            rest -= 1
+        elif f > 0.5:
+            out[i], rest = 1.0, n
+    return [out]

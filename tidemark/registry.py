@@ -5,10 +5,326 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import backtest, distribution, factors, indicators, patterns, relational, risk, scanner, search, strategies
+from .plans.staged import Plan, rounded
+from .script.compile import compile_script
+from .sources import bars as B
+from .streaming import bars as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql:
+            SQL[name] = sql
+        return fn
+
+    return add
+
+
+def _of_plan(name: str, plan: Plan) -> None:
+    QUERIES[name] = lambda spark, d: plan.spark(B.bars_orders(spark, d), compare=True)
+    if not plan.has_kernel:
+        SQL[name] = plan.duck(B.SQL_ORDERS)
+
+
+def _r(*columns: str) -> list:
+    return [F.expr(rounded(c)).alias(c) for c in columns]
+
+
+def _rs(*columns: str) -> str:
+    return ", ".join(f"{rounded(c)} AS {c}" for c in columns)
+
+
+# --- indicators and factors: one query a category, and the kernels' apart
+
+for _category in dict.fromkeys(i.category for i in indicators.REGISTRY.values()):
+    _names = [n for n, i in indicators.REGISTRY.items() if i.category == _category]
+    _plain = [n for n in _names if not indicators.plan([n]).has_kernel]
+    if _plain:
+        _of_plan(f"indicators_{_category}", indicators.plan(_plain))
+_of_plan("indicators_state_machines", indicators.plan([n for n in indicators.REGISTRY if indicators.plan([n]).has_kernel]))
+for _category in dict.fromkeys(c for c, _, _ in factors.REGISTRY.values()):
+    _of_plan(f"factors_{_category}", factors.plan(factors.by_category(_category)))
+
+
+@query("indicator_range_stats")
+def _range(spark, d):
+    return indicators.range_stats(B.bars_orders(spark, d), 100, 400).select("symbol", *_r("pct_change", "max_drawdown", "mean_true_range"))
+
+
+# --- patterns, strategies, scanner, script
+
+@query("patterns_candles", f"SELECT symbol, pattern, start_date, end_date, direction, {rounded('confidence')} AS confidence FROM ({patterns.candles_sql(B.SQL_ORDERS)})")
+def _candles(spark, d):
+    return patterns.candles(B.bars_orders(spark, d)).select("symbol", "pattern", "start_date", "end_date", "direction", *_r("confidence"))
+
+
+@query("patterns_charts")
+def _charts(spark, d):
+    return patterns.charts(B.bars_orders(spark, d))
+
+
+def _signals() -> tuple[Plan, Plan]:
+    plain, kernel = Plan(), Plan()
+    for name in strategies.REGISTRY:
+        own = strategies.plan(name)
+        p = kernel if own.has_kernel else plain
+        p.out(**{name: strategies.formula(p, name)})
+    return plain, kernel
+
+
+for _name, _plan in zip(("strategies_signals", "strategies_with_position"), _signals(), strict=True):
+    _of_plan(_name, _plan)
+
+TREE = {"op": "AND", "children": [
+    {"op": "OR", "children": [{"op": "COMPARE", "indicator": "rsi", "params": {"period": 14}, "compare": ">", "value": 30}, {"op": "CROSS", "indicator": "macd"}]},
+    {"op": "COMPARE", "indicator": "close", "compare": ">", "value": 1},
+]}
+
+
+@query("scanner", f"SELECT symbol, trade_date, close, {rounded('score')} AS score FROM ({scanner.scan_sql(B.SQL_ORDERS, TREE)})")
+def _scan(spark, d):
+    return scanner.scan(B.bars_orders(spark, d), TREE).select("symbol", "trade_date", "close", *_r("score"))
+
+
+SCRIPT = """
+let fast = sma(close, 5); let slow = sma(C, 20);
+plot golden = cross(fast, slow); plot dif = macd(close, 12, 26, 9).dif;
+TP: (high + low + close) / 3; PREV := close[1];
+up: if (close > prev) then 1 else 0; best: hhv(high, 10); since: barslast(golden); spread: bb_upper(close, 20, 2) - bb_lower(close, 20, 2);
+r: rsi(close, 14); z: zscore(close, 20) * -1; ok: every(close > 0, 5) and not (volume == 0); j: kdj_j(9, 3, 3);
+"""
+_of_plan("script", compile_script(SCRIPT))
+_of_plan("heikin_ashi", relational.heikin_ashi_plan())
+
+
+# --- bars and relational operators
+
+@query("bars_daily", f"SELECT symbol, trade_date, {_rs(*B.VALUES)} FROM ({B.SQL_ORDERS})")
+def _daily(spark, d):
+    return B.bars_orders(spark, d).select("symbol", "trade_date", *_r(*B.VALUES))
+
+
+@query("bars_hourly", f"SELECT symbol, trade_date, {_rs(*B.VALUES)} FROM ({B.SQL_EVENTS})")
+def _hourly(spark, d):
+    return B.bars_events(spark, d).select("symbol", "trade_date", *_r(*B.VALUES))
+
+
+def _resample_sql(to: str) -> str:
+    return f"""SELECT symbol, trade_date, {_rs(*B.VALUES)} FROM (SELECT symbol, max(trade_date) AS trade_date, arg_min(open, trade_date) AS open, max(high) AS high, min(low) AS low, arg_max(close, trade_date) AS close,
+sum(volume) AS volume, sum(amount) AS amount, arg_max(turnover, trade_date) AS turnover FROM ({B.SQL_ORDERS}) GROUP BY symbol, date_trunc('{to}', trade_date))"""
+
+
+@query("resample_week", _resample_sql("week"))
+def _week(spark, d):
+    return B.resample(B.bars_orders(spark, d), "week").select("symbol", "trade_date", *_r(*B.VALUES))
+
+
+@query("resample_month", _resample_sql("month"))
+def _month(spark, d):
+    return B.resample(B.bars_orders(spark, d), "month").select("symbol", "trade_date", *_r(*B.VALUES))
+
+
+@query("stock_summary", "SELECT c_custkey::VARCHAR AS symbol, c_name AS name, count(o_orderkey) AS bars, min(o_orderdate)::DATE AS first_date, max(o_orderdate)::DATE AS last_date FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2")
+def _summary(spark, d):
+    stocks = B.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("symbol"), F.col("c_name").alias("name"))
+    rows = B.table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("symbol"), F.to_date("o_orderdate").alias("trade_date"))
+    return relational.summary(stocks, rows)
+
+
+@query("latest_bars", f"SELECT symbol, trade_date, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS k FROM ({B.SQL_ORDERS})) WHERE k <= 100")
+def _latest(spark, d):
+    return relational.latest(B.bars_orders(spark, d), 100).select("symbol", "trade_date", "close")
+
+
+@query("insert_or_ignore", f"SELECT symbol, trade_date, close FROM ({B.SQL_ORDERS}) WHERE trade_date >= DATE '1996-01-01'")
+def _ingest(spark, d):
+    b = B.bars_orders(spark, d)
+    return relational.insert_or_ignore(b.filter("trade_date < DATE '1996-01-01'"), b, ["symbol", "trade_date"], ["close"]).select("symbol", "trade_date", "close")
+
+
+@query("upsert", f"SELECT symbol, trade_date, CASE WHEN trade_date >= DATE '1996-01-01' THEN close + 1 ELSE close END AS close FROM ({B.SQL_ORDERS})")
+def _upsert(spark, d):
+    b = B.bars_orders(spark, d).select("symbol", "trade_date", "close")
+    return relational.upsert(b, b.filter("trade_date >= DATE '1996-01-01'").withColumn("close", F.col("close") + 1), ["symbol", "trade_date"])
+
+
+@query("quality_rules", f"""SELECT symbol, trade_date, 'gap' AS rule FROM (SELECT symbol, trade_date, lag(trade_date) OVER (PARTITION BY symbol ORDER BY trade_date) AS before FROM ({B.SQL_ORDERS})) WHERE trade_date - before > 10
+UNION ALL SELECT symbol, trade_date, 'negative' FROM ({B.SQL_ORDERS}) WHERE least(open, high, low, close) <= 0""")
+def _quality(spark, d):
+    return relational.quality(B.bars_orders(spark, d))
+
+
+TRADES = "SELECT l_suppkey::VARCHAR AS symbol, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS seq, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS direction, l_extendedprice / l_quantity AS price, l_quantity AS quantity FROM lineitem"
+
+
+@query("fifo_matching", f"""WITH t AS ({TRADES}), c AS (SELECT *, sum(quantity) OVER (PARTITION BY symbol, direction ORDER BY seq) AS hi FROM t), e AS (SELECT *, hi - quantity AS lo FROM c),
+m AS (SELECT b.symbol, (s.price - b.price) * (least(b.hi, s.hi) - greatest(b.lo, s.lo)) AS pnl, s.seq FROM e b JOIN e s ON b.symbol = s.symbol AND b.direction = 'buy' AND s.direction = 'sell' AND b.lo < s.hi AND s.lo < b.hi),
+g AS (SELECT symbol, seq, sum(pnl) AS pnl FROM m GROUP BY symbol, seq) SELECT symbol, count(*) AS sells, {rounded('sum(pnl)')} AS pnl FROM g GROUP BY symbol""")
+def _fifo(spark, d):
+    from pyspark.sql import Window as W
+
+    line = B.table(spark, d, "lineitem")
+    at = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    t = line.select(F.col("l_suppkey").cast("string").alias("symbol"), (F.col("l_orderkey") * 1000 + at).alias("seq"), F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("direction"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("quantity"))
+    return relational.fifo_summary(relational.fifo(t)).select("symbol", "sells", *_r("pnl"))
+
+
+def _alert_rules(spark):
+    rows = [(i, s, k, p, True, None) for i, (s, k, p) in enumerate([("1-URGENT", "price_breakout", '{"direction":"above","price":1}'), ("2-HIGH", "ma_cross", '{"short_period":5,"long_period":20,"direction":"golden"}'), ("3-MEDIUM", "volume_spike", '{"multiplier":1.1,"lookback":20}'), ("5-LOW", "price_breakout", '{"direction":"below","price":1}')])]
+    return spark.createDataFrame(rows, "rule_id int, symbol string, condition_type string, params string, enabled boolean, last_triggered date")
+
+
+@query("alerts")
+def _alerts(spark, d):
+    return relational.check_alerts(_alert_rules(spark), B.bars_orders(spark, d), "1998-07-01")
+
+
+@query("statistics", f"""WITH b AS ({B.SQL_ORDERS}), m AS (SELECT symbol, avg(close) AS mu FROM b GROUP BY symbol), g AS (SELECT b.symbol, count(*) AS n, avg(close) AS mean, stddev_samp(close) AS std, var_samp(close) AS variance, avg(power(close - mu, 3)) / power(stddev_pop(close), 3) AS s, avg(power(close - mu, 4)) / power(var_pop(close), 2) - 3 AS k FROM b JOIN m USING (symbol) GROUP BY b.symbol)
+SELECT symbol, n, {rounded('mean')} AS mean, {rounded('std')} AS std, {rounded('variance')} AS variance, {rounded('s * sqrt(n * (n - 1.0::DOUBLE)) / (n - 2)')} AS skew, {rounded('(n - 1) / ((n - 2) * (n - 3.0::DOUBLE)) * ((n + 1) * k + 6)')} AS kurtosis FROM g""")
+def _statistics(spark, d):
+    return relational.statistics(B.bars_orders(spark, d), "close").select("symbol", "n", *_r("mean", "std", "variance", "skew", "kurtosis"))
+
+
+@query("spearman", f"""SELECT symbol, {rounded('corr(a, b)')} AS spearman FROM (SELECT symbol, rank() OVER (PARTITION BY symbol ORDER BY close) + (count(*) OVER (PARTITION BY symbol, close) - 1) / 2 AS a,
+rank() OVER (PARTITION BY symbol ORDER BY volume) + (count(*) OVER (PARTITION BY symbol, volume) - 1) / 2 AS b FROM ({B.SQL_ORDERS})) GROUP BY symbol""")
+def _spearman(spark, d):
+    return relational.spearman(B.bars_orders(spark, d), "close", "volume").select("symbol", *_r("spearman"))
+
+
+# --- back-tests
+
+@query("backtest_metrics")
+def _backtest(spark, d):
+    return backtest.run(B.bars_orders(spark, d), "ma_cross")
+
+
+@query("backtest_trades")
+def _trades(spark, d):
+    return backtest.trades(B.bars_orders(spark, d), "turtle")
+
+
+@query("backtest_monthly")
+def _monthly(spark, d):
+    return backtest.monthly_returns(B.bars_orders(spark, d), "donchian")
+
+
+@query("grid_search")
+def _grid(spark, d):
+    return backtest.grid_search(B.bars_orders(spark, d), "ma_cross", {"fast": [5, 10], "slow": [20, 30]})
+
+
+@query("walk_forward")
+def _walk(spark, d):
+    return backtest.walk_forward(B.bars_orders(spark, d), "ma_cross", {"fast": [5, 10], "slow": [20]})
+
+
+@query("monte_carlo")
+def _monte_carlo(spark, d):
+    curve = backtest.equity_curve(B.bars_orders(spark, d).filter("symbol = '1-URGENT'"), "ma_cross", sampled=True).orderBy("bar").limit(1000)
+    return backtest.monte_carlo_summary(backtest.monte_carlo(spark, [r["equity"] for r in curve.collect()], [], sims=200))
+
+
+# --- distribution
+
+@query("volume_profile")
+def _profile(spark, d):
+    return distribution.volume_profile(B.bars_orders(spark, d)).select("symbol", "level", "is_poc", "in_value_area", *_r("price", "volume"))
+
+
+@query("cost_distribution", distribution.SQL_COST.format(base=B.SQL_ORDERS, price=rounded("price"), chips=rounded("chips")))
+def _cost(spark, d):
+    return distribution.cost_distribution(B.bars_orders(spark, d)).select("symbol", "level", *_r("price", "chips"))
+
+
+@query("cost_frames")
+def _frames(spark, d):
+    return distribution.moving_distribution(B.bars_orders(spark, d), 250)
+
+
+@query("volume_levels")
+def _levels(spark, d):
+    return distribution.sr_levels(distribution.volume_profile(B.bars_orders(spark, d)))
+
+
+@query("chip_concentration")
+def _concentration(spark, d):
+    b = B.bars_orders(spark, d)
+    c = distribution.cost_distribution(b)
+    return distribution.concentration(c).join(distribution.profit_ratio(c, b), "symbol")
+
+
+# --- risk
+
+_RETURNS = f"SELECT symbol, trade_date, r FROM (SELECT symbol, trade_date, ln(close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY trade_date), 0)) AS r FROM ({B.SQL_ORDERS})) WHERE r IS NOT NULL"
+_MARKET = f"SELECT trade_date, avg(r) AS m FROM ({_RETURNS}) GROUP BY trade_date"
+
+
+@query("risk_metrics", f"""WITH x AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY r, trade_date) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n, sum(r) OVER (PARTITION BY symbol ORDER BY trade_date) AS s FROM ({_RETURNS})),
+y AS (SELECT *, s - greatest(max(s) OVER (PARTITION BY symbol ORDER BY trade_date), 0) AS fall, floor(n * 0.05) AS cut FROM x),
+g AS (SELECT symbol, count(*) AS n, avg(r) * 252 AS annual_return, stddev_pop(r) * sqrt(252) AS volatility, min(fall) AS max_drawdown, sqrt(avg(power(least(r, 0), 2))) * sqrt(252) AS down, max(CASE WHEN i = cut THEN r END) AS var, avg(CASE WHEN i < cut THEN r END) AS cvar FROM y GROUP BY symbol)
+SELECT symbol, n, {_rs('annual_return', 'volatility', 'max_drawdown', 'var', 'cvar')}, {rounded('(annual_return - 0.02) / volatility')} AS sharpe, {rounded('(annual_return - 0.02) / down')} AS sortino FROM g""")
+def _risk(spark, d):
+    return risk.metrics(risk.returns(B.bars_orders(spark, d))).select("symbol", "n", *_r("annual_return", "volatility", "max_drawdown", "var", "cvar", "sharpe", "sortino"))
+
+
+@query("beta_alpha", f"SELECT symbol, {rounded('covar_pop(r, m) / var_pop(m)')} AS beta, {rounded('avg(r) - 0.02 / 252 - covar_pop(r, m) / var_pop(m) * (avg(m) - 0.02 / 252)')} AS alpha FROM ({_RETURNS}) JOIN ({_MARKET}) USING (trade_date) GROUP BY symbol")
+def _beta(spark, d):
+    r = risk.returns(B.bars_orders(spark, d))
+    return risk.beta_alpha(r, risk.market(r)).select("symbol", *_r("beta", "alpha"))
+
+
+@query("correlation_matrix", f"SELECT x.symbol AS a, y.symbol AS b, {rounded('corr(x.r, y.r)')} AS corr, {rounded('covar_samp(x.r, y.r)')} AS cov, count(*) AS n FROM ({_RETURNS}) x JOIN ({_RETURNS}) y ON x.trade_date = y.trade_date AND x.symbol <= y.symbol GROUP BY 1, 2")
+def _pairs(spark, d):
+    return risk.pairs(risk.returns(B.bars_orders(spark, d))).select("a", "b", *_r("corr", "cov"), "n")
+
+
+@query("max_drawdown", f"SELECT symbol, {rounded('min(close / peak - 1)')} AS max_drawdown FROM (SELECT symbol, close, max(close) OVER (PARTITION BY symbol ORDER BY trade_date) AS peak FROM ({B.SQL_ORDERS})) GROUP BY symbol")
+def _drawdown(spark, d):
+    return risk.max_drawdown(B.bars_orders(spark, d)).select("symbol", *_r("max_drawdown"))
+
+
+@query("rolling_beta")
+def _rolling_beta(spark, d):
+    r = risk.returns(B.bars_orders(spark, d))
+    return risk.rolling_beta(r, risk.market(r))
+
+
+@query("portfolio_var")
+def _var(spark, d):
+    weights = spark.createDataFrame([(s, 0.2) for s in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")], "symbol string, weight double")
+    return risk.portfolio_var(risk.returns(B.bars_orders(spark, d)), weights)
+
+
+@query("regime_features")
+def _regimes(spark, d):
+    return search.regime_features(risk.returns(B.bars_orders(spark, d)))
+
+
+@query("portfolio_search")
+def _search(spark, d):
+    symbols, r = search.matrix(risk.returns(B.bars_orders(spark, d)))
+    rows = [(name, float(score)) for name, score in search.caps(r)] + [("pool:" + ",".join(symbols[i] for i in search.pool(r, 3)), search.mean_correlation(r))]
+    return spark.createDataFrame(rows, "name string, score double")
+
+
+# --- streaming, run over what is there
+
+@query("stream_bars", f"SELECT symbol, trade_date AS ts, {_rs('open', 'high', 'low', 'close', 'volume', 'amount')} FROM ({B.SQL_EVENTS})")
+def _stream(spark, d):
+    """The streaming definition, on the table as a batch; tests run it as a stream."""
+    return S.bars(B.table(spark, d, "events")).select("symbol", "ts", *_r("open", "high", "low", "close", "volume", "amount"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Days on which a symbol's 5-day average crosses its 20-day average upwards."""
+    p = Plan()
+    a, b = p.avg("close", 5), p.avg("close", 20)
+    p.out(fast=a, slow=b, hit=p.c(f"CASE WHEN {p.lag(a)} <= {p.lag(b)} AND {a} > {b} THEN 1 ELSE 0 END"))
+    return p.spark(B.bars_orders(spark, sf_dir)).filter("hit = 1")

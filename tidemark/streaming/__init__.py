@@ -1,0 +1 @@
+"""Structured Streaming: bars from ticks and alerts on them."""
