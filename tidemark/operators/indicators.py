@@ -112,7 +112,7 @@ def stoch_(p: Plan, n: int, flat: str = "50.0", x: str = "close") -> str:
 
 def rsi_(p: Plan, n: int, x: str = "close", k: int = 1) -> str:
     d = change(p, x, k)
-    up, down = p.rma(f"greatest({d}, 0)", n), p.rma(f"greatest(-{d}, 0)", n)
+    up, down = (p.rma(f"CASE WHEN {sign}{d} > 0 THEN {sign}{d} WHEN {d} IS NOT NULL THEN 0.0 END", n) for sign in ("", "-"))
     return p.c(f"100 - 100 / (1 + CASE WHEN {down} = 0 THEN 100.0 ELSE {up} / nullif({down}, 0) END)")
 
 
@@ -121,7 +121,8 @@ def money_flow(p: Plan) -> str:
 
 
 def annual(p: Plan, variance: str, annualize: float) -> str:
-    return p.c(f"sqrt(greatest({variance}, 0)) * {math.sqrt(annualize)!r} * 100")
+    v = p.c(variance)
+    return p.c(f"CASE WHEN {v} IS NOT NULL THEN sqrt(greatest({v}, 0)) * {math.sqrt(annualize)!r} * 100 END")
 
 
 # --- trend
@@ -661,8 +662,9 @@ def decision_point(p, rsi_period, macd_fast, macd_slow, bb_period):
     m, s = p.avg("close", bb_period), p.sd("close", bb_period)
     dif = p.c(f"{p.ema('close', macd_fast)} - {p.ema('close', macd_slow)}")
     hist = p.c(f"{dif} - {p.ema(dif, 9)}")
-    parts = [f"({rsi_(p, rsi_period)} - 50) / 50", f"CASE WHEN {hist} > 0 THEN 1.0 WHEN {hist} < 0 THEN -1.0 ELSE 0.0 END", f"coalesce((close - {m}) / nullif(2 * {s}, 0), CASE WHEN {s} = 0 THEN 0.0 END)"]
-    return {"": p.c(f"100 * ({' + '.join(f'least(greatest({x}, -1), 1)' for x in parts)}) / 3")}
+    parts = [f"({rsi_(p, rsi_period)} - 50) / 50", f"CASE WHEN {hist} > 0 THEN 1.0 WHEN {hist} < 0 THEN -1.0 WHEN {hist} = 0 THEN 0.0 END", f"coalesce((close - {m}) / nullif(2 * {s}, 0), CASE WHEN {s} = 0 THEN 0.0 END)"]
+    parts = [p.c(x) for x in parts]
+    return {"": p.c(f"100 * ({' + '.join(f'CASE WHEN {x} IS NOT NULL THEN least(greatest({x}, -1), 1) END' for x in parts)}) / 3")}
 
 
 # --- pro: momentum
