@@ -67,10 +67,17 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "
     found = places.join(_small(first), "token").withColumn("start", F.col("_at") - F.col("place"))
     found = found.filter((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("_n")))
     found = found.groupBy("_k").agg(F.collect_set(F.struct("start", "n", "win", "items")).alias("_found"))
-    whole = base.withColumn("_k", key).join(found, "_k", "left").withColumn("_w", words(F.col(text), True))
-    same = lambda c: F.translate(F.concat_ws(" ", F.slice("_w", c["start"] + 1, c["n"])), UPPER, LOWER) == c["win"]
-    hits = F.transform(F.filter(F.coalesce("_found", F.array().cast("array<struct<start:int,n:int,win:string,items:array<string>>>")), same), lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["items"].alias("items")))
-    return whole.select(*[F.col(c) for c in base.columns], F.size("_w").cast("long").alias("n_words"), hits.alias("hits"))
+    whole = base.withColumn("_k", key).join(found, "_k", "left")
+    candidates = F.coalesce("_found", F.array().cast("array<struct<start:int,n:int,win:string,items:array<string>>>"))
+
+    def verified(w: Column) -> Column:
+        """w is bound once a row; as a column it would be split again for every candidate after a filter on the hits."""
+        same = F.filter(candidates, lambda c: F.translate(F.concat_ws(" ", F.slice(w, c["start"] + 1, c["n"])), UPPER, LOWER) == c["win"])
+        return F.transform(same, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["items"].alias("items")))
+
+    exact = words(F.col(text), True)
+    hits = F.get(F.transform(F.array(exact), verified), F.lit(0))
+    return whole.select(*[F.col(c) for c in base.columns], F.size(exact).cast("long").alias("n_words"), hits.alias("hits"))
 
 
 def report(found: DataFrame, id: str = "doc_id") -> DataFrame:
