@@ -173,9 +173,12 @@ def test_walk_forward_and_monte_carlo(spark, sine):
     df, _ = sine
     found = backtest.walk_forward(df, "ma_cross", {"fast": [3], "slow": [10]}, 60, 30, 30)
     assert found.count() == len(backtest.windows(160, 60, 30, 30))
-    sims = backtest.monte_carlo(spark, [100.0, 101, 99, 103], [5.0, -3], "bootstrap", 50)
-    assert sims.collect() == backtest.monte_carlo(spark, [100.0, 101, 99, 103], [5.0, -3], "bootstrap", 50).collect()
-    assert backtest.monte_carlo_summary(sims).first()["p50"] is not None
+    curves = spark.createDataFrame([("A", i, v) for i, v in enumerate([100.0, 101.0, 99.0, 103.0])], "symbol string, bar long, equity double")
+    pnl = spark.createDataFrame([("A", 1, 5.0), ("A", 2, -3.0)], "symbol string, seq long, pnl double")
+    for method in backtest.METHODS:
+        a, b = (sorted(backtest.monte_carlo(curves, pnl, method, 50, chunk=c).collect()) for c in (7, 100))
+        assert a == b and len(a) == 50
+    assert backtest.monte_carlo_summary(backtest.monte_carlo(curves, sims=50)).first()["p50"] is not None
 
 
 def test_scanner(spark, ten):

@@ -9,11 +9,12 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import zlib
 from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import strategies
@@ -241,41 +242,52 @@ def walk_forward_summary(found: DataFrame) -> DataFrame:
 METHODS = ("shuffle", "bootstrap", "parametric", "trades")
 
 
-def monte_carlo(spark: SparkSession, equity: list[float], pnl: list[float], method: str = "bootstrap", sims: int = 1000, seed: int = 1, cash: float = 100_000.0) -> DataFrame:
-    """One row a simulation: final return and largest drawdown.  equity: a sampled curve (at most about 1000 points); pnl:
-    the trades' profits; both are bounded and travel with the task.  Every simulation has its own seed."""
+def _path(method: str, r: np.ndarray, profits: np.ndarray, cash: float, rng: np.random.Generator) -> np.ndarray:
+    if method == "shuffle":
+        return cash + np.cumsum(rng.permutation(profits) * (1 + rng.uniform(-0.2, 0.2, len(profits))))
+    if method == "trades":
+        return cash + np.cumsum(rng.choice(profits, len(profits))) if len(profits) else np.array([cash])
+    if method == "bootstrap":
+        return cash * np.cumprod(1 + rng.choice(r, len(r))) if len(r) else np.array([cash])
+    return cash * np.cumprod(1 + rng.normal(r.mean(), r.std(), len(r))) if len(r) else np.array([cash])
+
+
+def monte_carlo(curves: DataFrame, pnl: DataFrame | None = None, method: str = "bootstrap", sims: int = 1000, seed: int = 1, cash: float = 100_000.0, chunk: int = 100) -> DataFrame:
+    """symbol, sim, final return and largest drawdown of every simulation of every symbol.
+
+    curves: symbol, bar, equity (a sampled curve: at most about 1000 points a symbol); pnl: symbol, seq, pnl of the trades,
+    for the methods that resample trades.  Simulations are dealt in chunks over the cluster; each has its own seed.
+    """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
-    curve, profits = np.array(equity, float), np.array(pnl, float)
-    r = np.diff(curve) / np.where(curve[:-1] != 0, curve[:-1], 1)
-
-    def path(rng: np.random.Generator) -> np.ndarray:
-        if method == "shuffle":
-            return cash + np.cumsum(rng.permutation(profits) * (1 + rng.uniform(-0.2, 0.2, len(profits))))
-        if method == "trades":
-            return cash + np.cumsum(rng.choice(profits, len(profits))) if len(profits) else np.array([cash])
-        if method == "bootstrap":
-            return cash * np.cumprod(1 + rng.choice(r, len(r))) if len(r) else np.array([cash])
-        return cash * np.cumprod(1 + rng.normal(r.mean(), r.std(), len(r))) if len(r) else np.array([cash])
-
-    def work(batches):
+    series = lambda df, order, value, name: df.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias(name))
+    work = series(curves, "bar", "equity", "equity")
+    work = work.join(series(pnl, "seq", "pnl", "pnl"), "symbol", "left") if pnl is not None else work.withColumn("pnl", F.lit(None).cast("array<double>"))
+    work = work.select("symbol", "equity", "pnl", F.explode(F.sequence(F.lit(0), F.lit(sims - 1), F.lit(chunk))).alias("first")).repartition("symbol", "first")
+
+    def run(batches):
         for pdf in batches:
             rows = []
-            for i in pdf["id"]:
-                e = np.concatenate([[cash], path(np.random.default_rng([seed, int(i)]))])
-                rows.append((int(i), e[-1] / cash - 1, float((e / np.maximum.accumulate(e) - 1).min())))
-            yield pd.DataFrame(rows, columns=["sim", "total_return", "max_drawdown"])
+            for t in pdf.itertuples(index=False):
+                curve, profits = np.array(t.equity, float), np.array(t.pnl if t.pnl is not None else [], float)
+                r = np.diff(curve) / np.where(curve[:-1] != 0, curve[:-1], 1)
+                for i in range(t.first, min(t.first + chunk, sims)):
+                    e = np.concatenate([[cash], _path(method, r, profits, cash, np.random.default_rng([seed, i, zlib.crc32(t.symbol.encode())]))])
+                    rows.append((t.symbol, i, e[-1] / cash - 1, float((e / np.maximum.accumulate(e) - 1).min())))
+            yield pd.DataFrame(rows, columns=["symbol", "sim", "total_return", "max_drawdown"])
 
-    return spark.range(sims).mapInPandas(work, "sim long, total_return double, max_drawdown double")
+    return work.mapInPandas(run, "symbol string, sim long, total_return double, max_drawdown double")
 
 
 def monte_carlo_summary(sims: DataFrame) -> DataFrame:
-    """Mean, floor-rank percentiles, value at risk and its tail mean at 5 %, and the share ruined (drawdown below -50 %)."""
+    """Mean, floor-rank percentiles, value at risk and its tail mean at 5 %, and the share ruined (drawdown below -50 %), by
+    symbol."""
     from pyspark.sql import Window as W
 
-    n = sims.withColumns({"k": F.row_number().over(W.orderBy("total_return", "sim")) - 1, "n": F.count("*").over(W.partitionBy())})
+    w = W.partitionBy("symbol")
+    n = sims.withColumns({"k": F.row_number().over(w.orderBy("total_return", "sim")) - 1, "n": F.count("*").over(w)})
     at = lambda q: F.max(F.when(F.col("k") == F.floor(F.col("n") * q), F.col("total_return")))
-    return n.agg(
+    return n.groupBy("symbol").agg(
         F.avg("total_return").alias("mean"), *[at(q).alias(f"p{round(100 * q):02d}") for q in (0.05, 0.25, 0.5, 0.75, 0.95)], at(0.05).alias("var_95"),
         F.avg(F.when(F.col("k") < F.floor(F.col("n") * 0.05), F.col("total_return"))).alias("cvar_95"), F.avg((F.col("max_drawdown") < -0.5).cast("double")).alias("ruin"),
     )

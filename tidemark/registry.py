@@ -227,8 +227,8 @@ def _walk(spark, d):
 
 @query("monte_carlo")
 def _monte_carlo(spark, d):
-    curve = backtest.equity_curve(B.bars_orders(spark, d).filter("symbol = '1-URGENT'"), "ma_cross", sampled=True).orderBy("bar").limit(1000)
-    return backtest.monte_carlo_summary(backtest.monte_carlo(spark, [r["equity"] for r in curve.collect()], [], sims=200))
+    curves = backtest.equity_curve(B.bars_orders(spark, d), "ma_cross", sampled=True)
+    return backtest.monte_carlo_summary(backtest.monte_carlo(curves, sims=200))
 
 
 # --- distribution
