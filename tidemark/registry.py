@@ -198,6 +198,28 @@ def _spearman(spark, d):
     return relational.spearman(B.bars_orders(spark, d), "close", "volume").select("symbol", *_r("spearman"))
 
 
+@query("zscore_series", f"SELECT symbol, trade_date, {rounded('coalesce((close - avg(close) OVER (PARTITION BY symbol)) / nullif(stddev_samp(close) OVER (PARTITION BY symbol), 0), 0)')} AS zscore FROM ({B.SQL_ORDERS})")
+def _zscore(spark, d):
+    return relational.standardized(B.bars_orders(spark, d), "close").select("symbol", "trade_date", *_r("zscore"))
+
+
+@query("winsorized", f"""WITH r AS (SELECT symbol, trade_date, close, row_number() OVER (PARTITION BY symbol ORDER BY close) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM ({B.SQL_ORDERS})),
+q AS (SELECT symbol, max(CASE WHEN i = floor(0.05 * (n - 1) + 0.5) THEN close END) AS lo, max(CASE WHEN i = floor(0.95 * (n - 1) + 0.5) THEN close END) AS hi FROM r GROUP BY symbol)
+SELECT symbol, trade_date, {rounded('greatest(least(close, hi), lo)')} AS winsorized FROM r JOIN q USING (symbol)""")
+def _winsorized(spark, d):
+    return relational.winsorized(B.bars_orders(spark, d), "close").select("symbol", "trade_date", *_r("winsorized"))
+
+
+@query("indicator_catalogue")
+def _catalogue(spark, d):
+    return indicators.catalogue(spark)
+
+
+@query("pattern_signal")
+def _pattern_signal(spark, d):
+    return patterns.signal(B.bars_orders(spark, d), "engulfing")
+
+
 # --- back-tests
 
 @query("backtest_metrics")
@@ -220,6 +242,12 @@ def _grid(spark, d):
     return backtest.grid_search(B.bars_orders(spark, d), "ma_cross", {"fast": [5, 10], "slow": [20, 30]})
 
 
+@query("genetic_search")
+def _genetic(spark, d):
+    best, fit = backtest.genetic_search(B.bars_orders(spark, d), "ma_cross", {"fast": (3, 10), "slow": (15, 40)}, population=8, generations=2, elite=2)
+    return spark.createDataFrame([(k, v, float(fit)) for k, v in sorted(best.items())], "parameter string, value double, fitness double")
+
+
 @query("walk_forward")
 def _walk(spark, d):
     return backtest.walk_forward(B.bars_orders(spark, d), "ma_cross", {"fast": [5, 10], "slow": [20]})
@@ -290,10 +318,27 @@ def _drawdown(spark, d):
     return risk.max_drawdown(B.bars_orders(spark, d)).select("symbol", *_r("max_drawdown"))
 
 
-@query("rolling_beta")
+@query("rolling_beta", f"SELECT symbol, trade_date, {rounded('CASE WHEN count(r) OVER w = 60 THEN covar_pop(r, m) OVER w / nullif(var_pop(m) OVER w, 0) END')} AS beta FROM ({_RETURNS}) JOIN ({_MARKET}) USING (trade_date) WINDOW w AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)")
 def _rolling_beta(spark, d):
     r = risk.returns(B.bars_orders(spark, d))
-    return risk.rolling_beta(r, risk.market(r))
+    return risk.rolling_beta(r, risk.market(r)).select("symbol", "trade_date", *_r("beta"))
+
+
+@query("rolling_metrics", f"""SELECT symbol, trade_date, {_rs('ret', 'vol')}, {rounded('(ret - 0.02) / nullif(vol, 0)')} AS sharpe FROM (SELECT symbol, trade_date, CASE WHEN count(r) OVER w = 60 THEN avg(r) OVER w * 252 END AS ret,
+CASE WHEN count(r) OVER w = 60 THEN stddev_pop(r) OVER w * sqrt(252) END AS vol FROM ({_RETURNS}) WINDOW w AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))""")
+def _rolling(spark, d):
+    return risk.rolling(risk.returns(B.bars_orders(spark, d))).select("symbol", "trade_date", *_r("ret", "vol", "sharpe"))
+
+
+@query("price_correlation", f"SELECT x.symbol AS a, y.symbol AS b, {rounded('corr(x.close, y.close)')} AS corr, count(*) AS n FROM ({B.SQL_ORDERS}) x JOIN ({B.SQL_ORDERS}) y ON x.trade_date = y.trade_date AND x.symbol <= y.symbol GROUP BY 1, 2 HAVING count(*) >= 20")
+def _prices(spark, d):
+    return risk.price_correlation(B.bars_orders(spark, d)).select("a", "b", *_r("corr"), "n")
+
+
+@query("portfolio_concentration", f"SELECT industry, {rounded('value')} AS value, round(100 * value / sum(value) OVER (), 2) AS weight FROM (SELECT c_mktsegment AS industry, sum(o_totalprice) AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)")
+def _held(spark, d):
+    h = B.table(spark, d, "orders").join(B.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("industry"), F.col("o_totalprice").alias("value"))
+    return risk.concentration(h).select("industry", *_r("value"), "weight")
 
 
 @query("portfolio_var")
@@ -314,6 +359,11 @@ def _search(spark, d):
     return spark.createDataFrame(rows, "name string, score double")
 
 
+@query("regimes")
+def _clusters(spark, d):
+    return search.regimes(search.regime_features(risk.returns(B.bars_orders(spark, d))))
+
+
 # --- streaming, run over what is there
 
 @query("stream_bars", f"SELECT symbol, trade_date AS ts, {_rs('open', 'high', 'low', 'close', 'volume', 'amount')} FROM ({B.SQL_EVENTS})")
