@@ -318,6 +318,54 @@ def test_near_copies(spark):
     assert simhash.near_copies(d.filter("doc_id = 9")).count() == 1 and simhash.near_copies(d.limit(0)).count() == 0
 
 
+def near_pairs():
+    """Texts about the similarity of 0.8: short and long, one word more, one word changed, runs changed."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    out = []
+    for n in (1, 3, 5, 6, 8, 9, 12, 13, 20, 40, 44):
+        base = [word() for _ in range(n)]
+        out += [base, [*base, word()], [*base[:-1], word()], [*base, word(), word()]]
+    for cut in range(8, 26):
+        base = [word() for _ in range(104)]
+        out += [base, base[: 104 - cut] + [word() for _ in range(cut)]]
+    for cut in (10, 11, 12, 14):
+        base = [word() for _ in range(104)]
+        out += [base, [*base, *[word() for _ in range(2 * cut)]]]
+    return [" ".join(t) for t in out]
+
+
+def brute_kept(texts):
+    sets = [{tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} for ws in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root = [root[a] if r == root[b] else r for r in root]
+    first = {}
+    for i, r in enumerate(root):
+        first.setdefault(r, i)
+    return sorted(first.values())
+
+
+@pytest.mark.parametrize("rows, piece", [(8192, 2_000_000), (40, 150)])
+def test_near_copies_are_exact(spark, monkeypatch, rows, piece):
+    texts = near_pairs()
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(simhash, "TILE_ROWS", rows)
+    most, fps = simhash.limits(), simhash.wide_prints(d).orderBy("n").collect()
+    assert sorted(r["doc_id"] for r in simhash.near_copies(d).collect()) == brute_kept(texts)
+    #: Pieces hold every candidate pair that the whole has.
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    fp, n, tile = np.frombuffer(b"".join(r["fp"] for r in fps), np.uint64).reshape(len(fps), -1), np.array([r["n"] for r in fps]), np.zeros(len(fps), int)
+    at, p, q = simhash.flagged(fp, n, tile, most)
+    whole = {(x, y) for a, b in simhash.candidates(fp, n, tile, most) for x, y in zip(a, b, strict=True)}
+    groups = {}
+    for x, g in zip(at, zip(p, q, strict=True), strict=True):
+        groups.setdefault(g, set()).add(x)
+    assert whole and all(any(x in g and y in g for g in groups.values()) for x, y in whole) and (len(groups) > 1) == (piece == 150)
+
+
 def plain_spans(text):
     out = [(m.start(), m.end(), 0) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), m.end(), 1) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m.group().split("."))]

@@ -6,8 +6,8 @@ more than the radius, which no linked pair's can.
 
 For a small radius (``link``) the comparison is confined, without losing a pair, to fingerprints that agree in two of five
 bit blocks: of ``RADIUS`` = 3 differing bits at least two blocks are free.  Groups larger than ``HOT_GROUP`` are dealt over
-several tasks by pairs of tiles.  For the wide radius that a similarity of 0.8 needs (``near_copies``), every pair of tiles
-whose shingle counts can reach that similarity is compared.  A task passes on a spanning forest of the links it found, not
+several tasks by pairs of tiles.  For a similarity of 0.8 (``near_copies``), every pair of tiles whose shingle counts can
+reach that similarity is compared with a wide radius, and the shingle sets of what is found decide.  A task passes on a spanning forest of the links it found, not
 the pairs; components are then found by distributed star contraction.  Equal fingerprints are one node throughout.
 
 Edge cases: null texts count as empty; a text of fewer words than a shingle is one shingle; without words the fingerprint
@@ -16,6 +16,8 @@ is zero, linked like any other; a component's id is its smallest non-null doc_id
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -180,37 +182,74 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- near copies of a similarity of 0.8 or more
 
-#: 1024 bits; the expected share of differing bits is arccos(2 J / (1 + J)) / pi for sets of similarity J.
-COLUMNS, LEAST = 16, 0.8
-#: Allowed for the estimate: about two standard errors below LEAST.
-MARGIN = 0.05
-PRE_COLUMNS, PRE_SIGMAS = 2, 3.5
+#: 1024 bits; PRE_COLUMNS of the COLUMNS are compared first.
+COLUMNS, PRE_COLUMNS = 16, 2
+#: Two shingle sets are near if |A and B| / |A or B| >= NUM / DEN, compared in integers.
+NUM, DEN = 4, 5
+#: Standard errors by which a candidate's fingerprints may exceed what is expected of a pair of the least similarity.
+SIGMAS, SMALL = 7.0, 64
 NEAR_WORDS, TILE_ROWS, MOST_TILES = 5, 8192, 256
+#: Shingles that a verifying task holds of each of its two pieces, and pairs of shingles that it looks up at once.
+PIECE, LOOKED_UP = 2_000_000, 4_000_000
+MOST_BROADCAST = 500_000
 _SALTS = np.random.default_rng(17).integers(1, 1 << 63, COLUMNS, dtype=np.uint64)
 
 
-def radius_of(similarity: float, bits: int, sigmas: float = 0.0) -> int:
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * p + sigmas * (bits * p * (1 - p)) ** 0.5)
+def differing(both: int, a: int, b: int) -> float:
+    """The probability that a bit differs between two sets that share ``both`` shingles and have ``a`` and ``b`` more."""
+
+    def sums(n: int) -> np.ndarray:
+        return np.array([math.comb(n, i) for i in range(n + 1)], float) / 2.0**n
+
+    def above(n: int) -> np.ndarray:
+        """That n signs add up to more than -s, for each sum s of the shared ones."""
+        tail = np.append(np.cumsum(sums(n)[::-1])[::-1], 0.0)
+        return tail[np.clip((n - s) // 2 + 1, 0, n + 1)]
+
+    s = 2 * np.arange(both + 1) - both
+    x, y = above(a), above(b)
+    return float(sums(both) @ (x * (1 - y) + y * (1 - x)))
+
+
+@functools.cache
+def limits() -> np.ndarray:
+    """Rows: the most differing bits of a candidate in all COLUMNS and in PRE_COLUMNS; columns: the lesser shingle count,
+    those from SMALL on together.  Bits are independent, so their number is binomial, with the exact probability of sets of
+    these counts (few shingles and ties included), the greatest of all counts and overlaps that make a near pair."""
+    p = np.zeros(SMALL + 1)
+    for n in range(1, SMALL + 1):
+        for m in range(n, n * DEN // NUM + 1):
+            for both in range(-(-NUM * (n + m) // (NUM + DEN)), n + 1):
+                p[n] = max(p[n], differing(both, n - both, m - both))
+    p[SMALL] = p[SMALL // 2 :].max()
+    bits = 64 * np.array([[COLUMNS], [PRE_COLUMNS]])
+    return np.ceil(bits * p + SIGMAS * np.sqrt(bits * p * (1 - p))).astype(np.int64)
+
+
+def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the distinct five-word shingles of all texts, and where each text's begin (one entry more)."""
+    data, offs = kernel.buffers(texts)
+    lower = data + np.where((data >= 65) & (data <= 90), np.uint8(32), np.uint8(0))
+    starts, ends, first = kernel.words(lower, offs)
+    h, doc = kernel.shingles(kernel.word_hashes(lower, starts, ends), first, NEAR_WORDS)
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], np.searchsorted(doc[new], np.arange(len(texts) + 1))
 
 
 def wide_prints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """_k (a hash of key and text), key, n (distinct shingles) and fp (1024 bits of the shingle set) of each row."""
-    cols = docs.select(F.xxhash64(key, text).alias("_k"), F.col(key), F.col(text).alias("text"))
+    """_k (a hash of key and text), key, id (of the shingle set), n (distinct shingles) and fp (1024 bits) of each row."""
+    cols = docs.select(F.xxhash64(key, text).alias("_k"), F.col(key).alias("_key"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in kernel.slices(whole):
-                data, offs = kernel.buffers(batch.column(2))
-                lower = data + np.where((data >= 65) & (data <= 90), np.uint8(32), np.uint8(0))
-                starts, ends, first = kernel.words(lower, offs)
-                h, doc = kernel.shingles(kernel.word_hashes(lower, starts, ends), first, NEAR_WORDS)
-                order = np.lexsort((h, doc))
-                h, doc = h[order], doc[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                h, doc = h[new], doc[new]
-                cuts = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+                h, cuts = shingle_sets(batch.column(2))
+                total = np.zeros(len(h) + 1, np.uint64)
+                np.cumsum(kernel.mix(h ^ ~_SALTS[0]), out=total[1:])
+                own = kernel.mix(total[cuts[1:]] - total[cuts[:-1]] + np.diff(cuts).astype(np.uint64))
                 prints = []
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     total = np.zeros(64 * COLUMNS, np.int64)
@@ -218,9 +257,17 @@ def wide_prints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                         piece = kernel.mix(h[at : min(b, at + 4096), None] ^ _SALTS[None, :])
                         total += np.add.reduce(np.unpackbits(piece.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint16)
                     prints.append(np.packbits(2 * total > b - a, bitorder="little").tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(cuts), pa.int64()), pa.array(prints, pa.binary())], names=["_k", key, "n", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.view(np.int64)), pa.array(np.diff(cuts), pa.int64()), pa.array(prints, pa.binary())], names=["_k", "_key", "id", "n", "fp"])
 
-    return cols.mapInArrow(run, cols.select("_k", key, F.lit(0).cast("long").alias("n"), F.lit(b"").alias("fp")).schema)
+    return cols.mapInArrow(run, cols.select("_k", "_key", F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("n"), F.lit(b"").alias("fp")).schema)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id and text to id and the sorted shingle hashes."""
+    for whole in batches:
+        for batch in kernel.slices(whole):
+            h, cuts = shingle_sets(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["id", "shingles"])
 
 
 class Union:
@@ -245,88 +292,161 @@ class Union:
             np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def compare_tiles(fp: np.ndarray, n: np.ndarray, tile: np.ndarray, least: float = LEAST - MARGIN) -> Union:
-    """Joins what is near enough, between two tiles (or within one, if there is only one).  fp: rows x COLUMNS, sorted by
-    tile and n.  Blocks whose shingle counts, or population counts, cannot reach the similarity are skipped."""
-    full, pre = radius_of(least, 64 * COLUMNS), radius_of(least, 64 * PRE_COLUMNS, PRE_SIGMAS)
+def candidates(fp: np.ndarray, n: np.ndarray, tile: np.ndarray, most: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (x, y), in runs of x, of fingerprints within the limits ``most``, between two tiles (or within one, if there
+    is only one).  fp: rows x COLUMNS, sorted by tile and n.  Blocks whose shingle counts, or population counts, cannot
+    reach the similarity are skipped."""
+    full, pre = most[:, np.minimum(n, SMALL)]
     ones = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
-    joined = Union(len(fp))
     cut = int(np.searchsorted(tile, tile[0], side="right"))
     left, right = (0, cut), (cut, len(fp)) if cut < len(fp) else (0, cut)
     other_n = n[right[0] : right[1]]
     for a in range(*left, 256):
         a_to = min(a + 256, left[1])
-        lo = right[0] + int(np.searchsorted(other_n, n[a] * least))
-        hi = right[0] + int(np.searchsorted(other_n, n[a_to - 1] / least, side="right"))
+        lo = right[0] + int(np.searchsorted(other_n * DEN, n[a] * NUM))
+        hi = right[0] + int(np.searchsorted(other_n * NUM, n[a_to - 1] * DEN, side="right"))
         mine = ones[a:a_to]
-        for b in range(lo, hi, 2048):
+        for b in range(lo if right[0] else max(lo, a), hi, 2048):
             b_to = min(b + 2048, hi)
-            theirs = ones[b:b_to]
-            if theirs.min() - mine.max() > full or mine.min() - theirs.max() > full:
+            theirs, widest = ones[b:b_to], max(full[a:a_to].max(), full[b:b_to].max())
+            if theirs.min() - mine.max() > widest or mine.min() - theirs.max() > widest:
                 continue
             apart = np.bitwise_count(fp[a:a_to, None, 0] ^ fp[None, b:b_to, 0])
             for c in range(1, PRE_COLUMNS):
                 apart += np.bitwise_count(fp[a:a_to, None, c] ^ fp[None, b:b_to, c])
-            x, y = np.nonzero(apart <= pre)
+            x, y = np.nonzero(apart <= max(pre[a:a_to].max(), pre[b:b_to].max()))
             x, y = x + a, y + b
-            keep = x != y
+            keep = (x < y) & (n[x] * DEN >= n[y] * NUM) & (n[y] * DEN >= n[x] * NUM)
             x, y = x[keep], y[keep]
             for at in range(0, len(x), 1 << 16):
                 p, q = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
-                near = np.bitwise_count(fp[p] ^ fp[q]).sum(axis=1, dtype=np.int64) <= full
-                joined.join(p[near], q[near])
+                near = np.bitwise_count(fp[p] ^ fp[q]).sum(axis=1, dtype=np.int64) <= np.where(n[p] < n[q], full[p], full[q])
+                yield p[near], q[near]
+
+
+def flagged(fp: np.ndarray, n: np.ndarray, tile: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that are in a candidate pair, and the two pieces, of about PIECE shingles each, that the pair lies in."""
+    hit = np.zeros(len(fp), bool)
+    for x, y in candidates(fp, n, tile, most):
+        hit[x] = hit[y] = True
+    rows = np.flatnonzero(hit)
+    _, piece = np.unique(np.cumsum(n[rows]) // PIECE, return_inverse=True)
+    if not len(rows) or piece[-1] == 0:
+        return rows, piece, piece
+    beside = np.zeros((len(rows), piece[-1] + 1), bool)
+    for x, y in candidates(fp[rows], n[rows], tile[rows], most):
+        beside[x, piece[y]] = beside[y, piece[x]] = True
+    at, other = np.nonzero(beside)
+    return rows[at], np.minimum(piece[at], other), np.maximum(piece[at], other)
+
+
+def verified(fp: np.ndarray, n: np.ndarray, tile: np.ndarray, shingles: list[np.ndarray], most: np.ndarray) -> Union:
+    """Joins the candidates whose shingle sets are near; pairs that are connected already are not looked up."""
+    joined = Union(len(fp))
+    distinct, dense = np.unique(np.concatenate(shingles), return_inverse=True)
+    ends = np.cumsum(n)
+    starts, mark = ends - n, np.zeros(len(distinct), bool)
+    for x, y in candidates(fp, n, tile, most):
+        for run in np.split(np.arange(len(x)), np.flatnonzero(np.diff(x)) + 1):
+            if not len(run):
+                continue
+            one, others = x[run[0]], y[run]
+            others = others[joined.find(others) != joined.find(np.array([one]))]
+            mark[dense[starts[one] : ends[one]]] = True
+            for some in np.split(others, np.flatnonzero(np.diff(np.cumsum(n[others]) // LOOKED_UP)) + 1):
+                if len(some):
+                    size = n[some]
+                    begin = np.cumsum(size) - size
+                    at = np.arange(size.sum()) - np.repeat(begin - starts[some], size)
+                    both = np.add.reduceat(mark[dense[at]], begin, dtype=np.int64)
+                    near = some[both * DEN >= (n[one] + size - both) * NUM]
+                    joined.join(np.full(len(near), one), near)
+            mark[dense[starts[one] : ends[one]]] = False
     return joined
 
 
-def _compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows i, j, tile, n, id, fp; those of one (i, j) stand together, sorted by tile and n."""
-
-    def close(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(parts)
-        ids = rows.column("id").to_numpy()
-        fp = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(-1, COLUMNS)
-        joined = compare_tiles(fp, rows.column("n").to_numpy(), rows.column("tile").to_numpy())
-        root = joined.find(np.arange(len(ids)))
-        linked = np.flatnonzero(root != np.arange(len(ids)))
-        return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[root[linked]])], names=["u", "v"])
-
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Rows that agree in ``keys``, which stand together."""
     last, parts = None, []
     for batch in batches:
-        i, j = batch.column("i").to_numpy(), batch.column("j").to_numpy()
-        cuts = np.flatnonzero((np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(i)]):
+        cols = [batch.column(k).to_numpy() for k in keys]
+        new = np.zeros(max(0, batch.num_rows - 1), bool)
+        for c in cols:
+            new |= np.diff(c) != 0
+        cuts = np.flatnonzero(new) + 1
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
             if b == a:
                 continue
-            if (i[a], j[a]) != last and parts:
-                yield close(parts)
+            now = tuple(int(c[a]) for c in cols)
+            if now != last and parts:
+                yield last, pa.Table.from_batches(parts)
                 parts = []
-            last = (i[a], j[a])
+            last = now
             parts.append(batch.slice(a, b - a))
     if parts:
-        yield close(parts)
+        yield last, pa.Table.from_batches(parts)
+
+
+def _columns(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    fp = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(-1, COLUMNS)
+    return rows.column("id").to_numpy(), fp, rows.column("n").to_numpy(), rows.column("tile").to_numpy()
+
+
+def _flag(most: np.ndarray):
+    """Rows i, j, tile, n, id, fp; those of one (i, j) stand together, sorted by tile and n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (i, j), rows in _runs(batches, ["i", "j"]):
+            ids, *cols = _columns(rows)
+            at, p, q = flagged(*cols, most)
+            yield pa.RecordBatch.from_arrays([pa.array([i] * len(at), pa.int32()), pa.array([j] * len(at), pa.int32()), pa.array(p, pa.int32()), pa.array(q, pa.int32()), pa.array(ids[at], pa.int64())], names=["i", "j", "p", "q", "id"])
+
+    return run
+
+
+def _verify(most: np.ndarray):
+    """Rows i, j, p, q, tile, n, id, fp, shingles; those of one (i, j, p, q) stand together, sorted by tile and n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _runs(batches, ["i", "j", "p", "q"]):
+            ids, *cols = _columns(rows)
+            joined = verified(*cols, [np.frombuffer(s.as_py(), np.uint64) for s in rows.column("shingles")], most)
+            root = joined.find(np.arange(len(ids)))
+            linked = np.flatnonzero(root != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[root[linked]])], names=["u", "v"])
+
+    return run
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs less all but one row (the smallest key, nulls last, then by a hash) of every group of near copies.
 
-    Equal rows count as copies.  Rows are compared by tiles of fingerprints in the order of their shingle counts, each
-    tile with those whose counts can reach the similarity; there are MOST_TILES tiles at most, so that a fingerprint goes
-    to a bounded number of tasks.
+    Rows of equal shingle sets count as copies.  Fingerprints are compared by tiles in the order of their shingle counts,
+    each tile with those whose counts can reach the similarity; there are MOST_TILES tiles at most, so that a fingerprint
+    goes to a bounded number of tasks.  What is within the wide limits is a candidate only: the shingle sets of the rows
+    that have one are dealt to the same pairs of tiles, where a pair is linked if the sets themselves are near.
     """
     prints = frames.cut(wide_prints(docs, key, text))
-    mine = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("_k").alias("k"))
-    nodes = frames.cut(prints.groupBy("fp").agg(F.min("n").alias("n"), F.min(mine).alias("first")).select(F.xxhash64("fp").alias("id"), "fp", "n", "first"))
+    mine = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_k").alias("k"))
+    nodes = frames.cut(prints.groupBy("id", "n", "fp").agg(F.min(mine).alias("first")))
     count = nodes.count()
     tiles = min(MOST_TILES, max(1, -(-count // TILE_ROWS)))
     place = F.col("n") + F.pmod("id", F.lit(1 << 20)) / float(1 << 20)
     splits = list(dict.fromkeys(nodes.agg(F.percentile_approx(place, [t / tiles for t in range(1, tiles)], 100 * tiles).alias("q")).first()["q"] or [])) if tiles > 1 else []
     low, high = [0.0, *splits], [*splits, float("inf")]
-    partners = [[u for u in range(len(low)) if int(max(low[t], low[u])) * (LEAST - MARGIN) <= min(high[t], high[u])] for t in range(len(low))]
+    partners = [[u for u in range(len(low)) if int(max(low[t], low[u])) * NUM <= min(high[t], high[u]) * DEN] for t in range(len(low))]
     tile = F.size(F.filter(F.array(*[F.lit(s) for s in splits]).cast("array<double>"), lambda s: s <= place))
-    dealt = nodes.select("id", "n", "fp", tile.alias("tile"))
-    dealt = dealt.select("*", F.explode(F.element_at(F.array(*[F.array(*[F.lit(u) for u in p]) for p in partners]), F.col("tile") + 1)).alias("o"))
+    tiled = nodes.select("id", "n", "fp", tile.alias("tile"))
+    dealt = tiled.select("*", F.explode(F.element_at(F.array(*[F.array(*[F.lit(u) for u in p]) for p in partners]), F.col("tile") + 1)).alias("o"))
     dealt = dealt.select(F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "tile", "n", "id", "fp")
-    edges = dealt.repartition(frames.parts(docs.sparkSession), "i", "j").sortWithinPartitions("i", "j", "tile", "n").mapInArrow(_compare_runs, "u long, v long")
+    parts = frames.parts(docs.sparkSession)
+    flags = frames.cut(dealt.repartition(parts, "i", "j").sortWithinPartitions("i", "j", "tile", "n").mapInArrow(_flag(limits()), "i int, j int, p int, q int, id long"))
+    some = frames.cut(nodes.join(flags.select("id").distinct(), "id").select("id", F.col("first.k").alias("_k")))
+    some = F.broadcast(some) if some.count() <= MOST_BROADCAST else some
+    texts = docs.select(F.xxhash64(key, text).alias("_k"), F.col(text).alias("text")).join(some, "_k").select("id", "text")
+    sets = texts.mapInArrow(_sets, "id long, shingles binary").dropDuplicates(["id"])
+    pairs = flags.join(tiled, "id").join(sets, "id").select("i", "j", "p", "q", "tile", "n", "id", "fp", "shingles")
+    edges = pairs.repartition(parts, "i", "j", "p", "q").sortWithinPartitions("i", "j", "p", "q", "tile", "n").mapInArrow(_verify(limits()), "u long, v long")
     roots = components(edges)
     first = nodes.join(roots, nodes["id"] == roots["node"], "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
     winners = first.select(F.col("first.k").alias("_k")).join(prints.groupBy("_k").agg(F.count("*").alias("_copies")), "_k")
