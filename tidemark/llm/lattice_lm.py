@@ -2,13 +2,14 @@
 
 Every word is a lattice of the pieces of an existing subword vocabulary and of single bytes; its probability is the sum
 over all segmentations, found by forward recursion in log space.  The weights start from the vocabulary's own scores (a
-piece of rank r weighs 1 / (r + 10)) and are re-estimated by expectation-maximisation on a bounded sample.  On top of the
-lattice stand two levels of absolute discounting over the whole training corpus:
+piece of rank r weighs 1 / (r + 10)) and are re-estimated by expectation-maximisation on a bounded sample.  ``score`` is
+the log10 of the lattice's probability of the text: the sum over its tokens of log10 L_k.  ``mixed_score`` is of a count
+model that backs off to the lattice, in two levels of absolute discounting over the whole training corpus:
 
     P(w)   = (max(c - D, 0) + D V L_k(w)) / N                            counts of all N training tokens, V distinct
     P_k(w) = (max(c_k - D, 0) + D V_k (s L_k(w) + (1 - s) P(w))) / N_k   counts within the document's group k; s = SPELT
 
-A text's probability is pi_k times the product over its tokens of P_k, for the group k that a naive-Bayes mixture over byte
+Both scores add pi_k, for the group k that a naive-Bayes mixture over byte
 trigrams (fitted without labels on the same sample) gives it.  All counts cover all training documents.
 
 Passes: documents are encoded once into chunks of about ``CHUNK`` bytes with a vocabulary of their own; the chunks' words
@@ -296,7 +297,7 @@ class Totals:
         return np.where(c == 0, (lw + math.log(unseen)) / math.log(10), np.log10(np.maximum(p, 1e-300)))
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, mixed_score double"
 
 
 def _score(totals: Totals) -> object:
@@ -322,8 +323,8 @@ def _score(totals: Totals) -> object:
                     continue
                 for g, parts in gathered.items():
                     place, c, ck, lw = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    table = np.zeros((3, place.max() + 1))
-                    table[:, place] = np.log10(c + 0.5) - base_all, totals.logs(g, c, ck, lw), c > 0
+                    table = np.zeros((4, place.max() + 1))
+                    table[:, place] = np.log10(c + 0.5) - base_all, lw / math.log(10), totals.logs(g, c, ck, lw), c > 0
                     tables[g] = table
                 gathered = defaultdict(list)
                 out = []
@@ -331,9 +332,9 @@ def _score(totals: Totals) -> object:
                     v = np.frombuffer(raw.as_py(), np.uint32).astype(np.int64)
                     place, often = np.cumsum(v[: len(v) // 2]), v[len(v) // 2 :]
                     out.append(tables[int(g)][:, place] @ often)
-                base, own, known = np.array(out).T
+                base, own, mixed, known = np.array(out).T
                 prior = totals.prior[k] / math.log(10)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), rows.column("n_tokens"), pa.array(np.rint(known).astype(np.int64)), pa.array(np.full(b - a, totals.n)), pa.array(base), pa.array(own + prior)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), rows.column("n_tokens"), pa.array(np.rint(known).astype(np.int64)), pa.array(np.full(b - a, totals.n)), pa.array(base), pa.array(own + prior), pa.array(mixed + prior)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "mixed_score"])
 
     return run
 
