@@ -1,19 +1,15 @@
 """Language-model scoring by the marginal probability of a subword lattice.
 
-Every word is a lattice of the pieces of an existing subword vocabulary and of single bytes; its probability is the sum
-over all segmentations, found by forward recursion in log space.  The weights start from the vocabulary's own scores (a
-piece of rank r weighs 1 / (r + 10)) and are re-estimated by expectation-maximisation on a bounded sample.  ``score`` is
-the log10 of the lattice's probability of the text: the sum over its tokens of log10 L_k.  ``mixed_score`` is of a count
-model that backs off to the lattice, in two levels of absolute discounting over the whole training corpus:
+Every word is a lattice of the pieces of an existing subword vocabulary and of single bytes; its probability L is the sum
+over all segmentations, found by forward recursion in log space.  The weights are those that the vocabulary's own ranks
+give (a piece of rank r weighs 1 / (r + 10)); nothing is learned from a part of the documents.  ``score`` is the log10 of
+the lattice's probability of the text, the sum over its tokens of log10 L.  ``mixed_score`` is of a count model that backs
+off to the lattice, with absolute discounting over the N tokens, V of them distinct, of all training documents:
 
-    P(w)   = (max(c - D, 0) + D V L_k(w)) / N                            counts of all N training tokens, V distinct
-    P_k(w) = (max(c_k - D, 0) + D V_k (s L_k(w) + (1 - s) P(w))) / N_k   counts within the document's group k; s = SPELT
-
-Both scores add pi_k, for the group k that a naive-Bayes mixture over byte
-trigrams (fitted without labels on the same sample) gives it.  All counts cover all training documents.
+    P(w) = (max(c - D, 0) + D V L(w)) / N
 
 Passes: documents are encoded once into chunks of about ``CHUNK`` bytes with a vocabulary of their own; the chunks' words
-meet by word (a word has at most one row a chunk and group, however often it occurs), and their counts return to the
+meet by word (a word has at most one row a chunk, however often it occurs), and their counts return to the
 chunk.  Texts are never shuffled, only encoded documents are.
 
 Edge cases: null text counts as empty, and an empty text is the end token alone; a null doc_id is a training document;
@@ -38,12 +34,8 @@ from . import frames
 
 TOKENIZERS = "/opt/tokenizers"
 CHUNK = 8 << 20
-GROUPS, BUCKETS = 6, 4096
-SAMPLE, SAMPLE_CHARS, TYPES = 1500, 20_000, 3000
 LONGEST = 12
 END = b""
-#: Of the vocabulary's own weights in the re-estimated ones, and of the lattice in what a group backs off to.
-KEPT, SPELT = 0.05, 0.8
 _BYTE_WEIGHT = -14.0
 _END_WEIGHT = -14.0
 Lattice = dict[str, float]
@@ -84,150 +76,54 @@ def log_weight(word: bytes, lattice: Lattice) -> float:
     return _END_WEIGHT if word == END else forward(word.decode("utf8", "replace"), lattice)[-1]
 
 
-def re_estimate(given: Lattice, words: list[str], rounds: int = 3) -> Lattice:
-    """Expectation-maximisation of the pieces' weights on distinct words; KEPT of the weight stays with the given ones."""
-    lattice = given
-    for _ in range(rounds):
-        seen: dict[str, float] = defaultdict(float)
-        for word in words:
-            text, ahead = "▁" + word, forward(word, lattice)
-            n = len(text)
-            behind = [0.0] * (n + 1)
-            for i in range(n - 1, -1, -1):
-                ways = []
-                for j in range(i + 1, min(n, i + LONGEST) + 1):
-                    if (v := lattice.get(text[i:j])) is not None:
-                        ways.append(behind[j] + v)
-                        seen_at = ahead[i] + v + behind[j] - ahead[n]
-                        if seen_at > -20:
-                            seen[text[i:j]] += math.exp(seen_at)
-                if text[i] not in lattice:
-                    ways.append(behind[i + 1] + _BYTE_WEIGHT * len(text[i].encode("utf8", "replace")))
-                behind[i] = _sum(ways)
-        total = sum(seen.values()) + 1e-3 * len(lattice)
-        lattice = {p: math.log((1 - KEPT) * (seen.get(p, 0.0) + 1e-3) / total + KEPT * math.exp(given[p])) for p in lattice}
-    return lattice
-
-
-@dataclass
-class Groups:
-    """A mixture over byte trigrams."""
-
-    prior: np.ndarray
-    weights: np.ndarray
-
-    @staticmethod
-    def counts(text: bytes) -> np.ndarray:
-        b = np.frombuffer(text, np.uint8).astype(np.int64)
-        return np.bincount((b[:-2] * 961 + b[1:-1] * 31 + b[2:]) % BUCKETS, minlength=BUCKETS) if len(b) > 2 else np.zeros(BUCKETS, np.int64)
-
-    def of(self, text: bytes) -> int:
-        return int(np.argmax(self.weights @ np.minimum(self.counts(text), 1000) + self.prior)) if len(self.prior) > 1 else 0
-
-
-def group(texts: list[bytes], seed: int = 3, rounds: int = 15, starts: int = 6) -> tuple[Groups, np.ndarray]:
-    """The mixture and the group of each text."""
-    if len(texts) < 2 * GROUPS:
-        return Groups(np.zeros(1), np.zeros((1, BUCKETS))), np.zeros(len(texts), np.int64)
-    x = np.array([Groups.counts(t) for t in texts], np.float64)
-    root = np.sqrt(x / np.maximum(x.sum(1, keepdims=True), 1))
-    rng = np.random.default_rng(seed)
-    best = None
-    for _ in range(starts):
-        chosen = [int(rng.integers(len(x)))]
-        while len(chosen) < GROUPS:  # at random, the likelier the farther from those already chosen
-            far = np.min([((root - root[c]) ** 2).sum(1) for c in chosen], axis=0)
-            chosen.append(int(rng.choice(len(x), p=far / far.sum())) if far.sum() > 0 else int(rng.integers(len(x))))
-        weights, prior = np.log(x[chosen] + 0.5), np.zeros(GROUPS)
-        for _ in range(rounds):
-            weights -= np.logaddexp.reduce(weights, axis=1, keepdims=True)
-            scores = x @ weights.T + prior
-            own = scores.argmax(axis=1)
-            hot = np.eye(GROUPS)[own]
-            weights = np.log(hot.T @ x + 0.05)
-            prior = np.log((hot.sum(0) + 1) / (len(texts) + GROUPS))
-        weights -= np.logaddexp.reduce(weights, axis=1, keepdims=True)
-        scores = x @ weights.T + prior
-        if best is None or scores.max(axis=1).sum() > best[0]:
-            best = scores.max(axis=1).sum(), Groups(prior, weights), scores.argmax(axis=1)
-    return best[1], best[2]
-
-
 def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
-def learn(docs: DataFrame, path: str = TOKENIZERS) -> tuple[Groups, list[Lattice]]:
-    """Groups and a lattice for each from SAMPLE training documents of at most SAMPLE_CHARS characters, by a hash."""
-    short = docs.filter(~held_out() & (F.length("text") <= SAMPLE_CHARS)).select(F.xxhash64("doc_id", "text").alias("h"), "text")
-    #: First the hashes alone, so that a task sends the driver texts of the sample only.
-    most = short.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
-    some = short.filter(F.col("h") <= most).orderBy("h").limit(SAMPLE).collect() if most is not None else []
-    texts = [r["text"].encode().lower() for r in some]
-    groups, own = group(texts)
-    base = pieces(path)
-    words: list[set[bytes]] = [set() for _ in groups.prior]
-    for t, k in zip(texts, own, strict=True):
-        words[k].update(t.split())
-    return groups, [re_estimate(base, [w.decode("utf8", "replace") for w in sorted(ws, key=lambda w: (hash_of(w), w))[:TYPES]]) for ws in words]
-
-
-def hash_of(word: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(word, 9)
-
-
-ENCODED = "chunk long, doc_id long, held_out boolean, k int, n_tokens long, places binary, word binary, place int, n long"
+ENCODED = "chunk long, doc_id long, held_out boolean, n_tokens long, places binary, word binary, place int, n long"
 
 
-def _encode(groups) -> object:
-    """Documents as chunks: rows with ``word`` are the chunk's vocabulary, with training counts by group; rows with
+def _encode() -> object:
+    """Documents as chunks: rows with ``word`` are the chunk's vocabulary, with training counts; rows with
     ``places`` are its documents (distinct places as differences, then how often each occurs)."""
 
-    def close(chunk: int, docs: list, vocabulary: dict, seen: dict) -> Iterator[pa.RecordBatch]:
+    def close(chunk: int, docs: list, vocabulary: dict, counts: list) -> Iterator[pa.RecordBatch]:
         names = list(vocabulary)
-        for k, (n, any_) in seen.items():
-            n, any_ = np.concatenate(n) if n else np.empty(0, np.int64), np.concatenate(any_)
-            count = np.bincount(n, minlength=len(names))
-            for at in range(0, len(p := np.unique(any_)), 50_000):
-                q = p[at : at + 50_000]
-                yield _batch(chunk, len(q), k=pa.array([k] * len(q), pa.int32()), word=pa.array([names[i] for i in q], pa.binary()), place=pa.array(q, pa.int32()), n=pa.array(count[q], pa.int64()))
-        ids, held, ks, sizes, rows = zip(*docs, strict=True)
-        yield _batch(chunk, len(docs), doc_id=pa.array(ids, pa.int64()), held_out=pa.array(held, pa.bool_()), k=pa.array(ks, pa.int32()), n_tokens=pa.array(sizes, pa.int64()), places=pa.array(rows, pa.binary()))
+        count = np.bincount(np.concatenate(counts) if counts else np.empty(0, np.int64), minlength=len(names))
+        for at in range(0, len(names), 50_000):
+            q = np.arange(at, min(at + 50_000, len(names)))
+            yield _batch(chunk, len(q), word=pa.array(names[at : at + 50_000], pa.binary()), place=pa.array(q, pa.int32()), n=pa.array(count[q], pa.int64()))
+        ids, held, sizes, rows = zip(*docs, strict=True)
+        yield _batch(chunk, len(docs), doc_id=pa.array(ids, pa.int64()), held_out=pa.array(held, pa.bool_()), n_tokens=pa.array(sizes, pa.int64()), places=pa.array(rows, pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = groups.value
         part, chunk, size = TaskContext.get().partitionId(), 0, 0
         docs: list = []
         vocabulary: dict[bytes, int] = defaultdict()
         vocabulary.default_factory = vocabulary.__len__
-        seen: dict[int, tuple[list, list]] = {}
+        counts: list[np.ndarray] = []
         for batch in batches:
             for doc_id, text, held in zip(*(c.to_pylist() if i != 1 else c for i, c in enumerate(batch.columns)), strict=True):
                 raw = (text.as_py() or b"").lower()
-                k = fitted.of(raw)
                 ws = raw.split()
                 at = np.fromiter(map(vocabulary.__getitem__, ws), np.int64, len(ws))
                 at = np.append(at, vocabulary[END])
                 distinct, often = np.unique(at, return_counts=True)
-                counts, present = seen.setdefault(k, ([], []))
-                present.append(distinct)
                 if not held:
                     counts.append(at)
-                docs.append((doc_id, held, k, len(at), np.concatenate([np.diff(distinct, prepend=0), often]).astype(np.uint32).tobytes()))
+                docs.append((doc_id, held, len(at), np.concatenate([np.diff(distinct, prepend=0), often]).astype(np.uint32).tobytes()))
                 size += len(raw) + 64
                 if size >= CHUNK:
-                    yield from close(part << 24 | chunk, docs, vocabulary, seen)
-                    docs, seen, size, chunk = [], {}, 0, chunk + 1
+                    yield from close(part << 24 | chunk, docs, vocabulary, counts)
+                    docs, counts, size, chunk = [], [], 0, chunk + 1
                     vocabulary.clear()
         if docs:
-            yield from close(part << 24 | chunk, docs, vocabulary, seen)
+            yield from close(part << 24 | chunk, docs, vocabulary, counts)
 
     return run
 
 
-_ENCODED = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("k", pa.int32()), ("n_tokens", pa.int64()), ("places", pa.binary()), ("word", pa.binary()), ("place", pa.int32()), ("n", pa.int64())])
+_ENCODED = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("places", pa.binary()), ("word", pa.binary()), ("place", pa.int32()), ("n", pa.int64())])
 
 
 def _batch(chunk: int, rows: int, **cols: pa.Array) -> pa.RecordBatch:
@@ -235,14 +131,14 @@ def _batch(chunk: int, rows: int, **cols: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([cols.get(f.name, pa.nulls(rows, f.type)) for f in _ENCODED], schema=_ENCODED)
 
 
-COUNTED = "chunk long, k int, place int, c long, ck long, lw double, first boolean, first_k boolean"
+COUNTED = "chunk long, place int, c long, lw double, first boolean"
 
 
-def _count(lattices) -> object:
-    """Rows of one word stand together, sorted by group: adds its counts and the weight of its lattice."""
+def _count(lattice) -> object:
+    """Rows of one word stand together: adds its counts and its lattice's weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: list[Lattice] = lattices.value
+        own: Lattice = lattice.value
         held: pa.RecordBatch | None = None
         for batch in batches:
             if batch.num_rows == 0:
@@ -258,17 +154,12 @@ def _count(lattices) -> object:
         if held is not None:
             yield done(held, held.column("word").to_pylist(), own)
 
-    def done(rows: pa.RecordBatch, ws: list[bytes], own: list[Lattice]) -> pa.RecordBatch:
-        n, k = rows.column("n").to_numpy(), rows.column("k").to_numpy()
-        same = np.fromiter((a == b for a, b in zip(ws[1:], ws)), bool, len(ws) - 1)
-        first = np.concatenate([[True], ~same])
-        first_k = first.copy()
-        first_k[1:] |= k[1:] != k[:-1]
-        at, at_k = np.flatnonzero(first), np.flatnonzero(first_k)
-        c, ck = np.add.reduceat(n, at), np.add.reduceat(n, at_k)
-        weight = np.array([log_weight(ws[i], own[k[i]]) for i in at_k])
-        to, to_k = np.cumsum(first) - 1, np.cumsum(first_k) - 1
-        return pa.RecordBatch.from_arrays([rows.column("chunk"), rows.column("k"), rows.column("place"), pa.array(c[to]), pa.array(ck[to_k]), pa.array(weight[to_k]), pa.array(first), pa.array(first_k)], names=["chunk", "k", "place", "c", "ck", "lw", "first", "first_k"])
+    def done(rows: pa.RecordBatch, ws: list[bytes], own: Lattice) -> pa.RecordBatch:
+        n = rows.column("n").to_numpy()
+        first = np.concatenate([[True], np.fromiter((a != b for a, b in zip(ws[1:], ws)), bool, len(ws) - 1)])
+        at, to = np.flatnonzero(first), np.cumsum(first) - 1
+        c, weight = np.add.reduceat(n, at), np.array([log_weight(ws[i], own) for i in at])
+        return pa.RecordBatch.from_arrays([rows.column("chunk"), rows.column("place"), pa.array(c[to]), pa.array(weight[to]), pa.array(first)], names=["chunk", "place", "c", "lw", "first"])
 
     return run
 
@@ -278,21 +169,14 @@ class Totals:
     n: int
     v: int
     discount: float
-    n_k: dict[int, int]
-    v_k: dict[int, int]
-    prior: np.ndarray
 
-    def logs(self, k: int, c: np.ndarray, ck: np.ndarray, lw: np.ndarray) -> np.ndarray:
-        """log10 of P_k for words of these counts."""
+    def logs(self, c: np.ndarray, lw: np.ndarray) -> np.ndarray:
+        """log10 of P for words of these counts."""
         low = np.exp(np.maximum(lw, -700))
         p, unseen = low, 1.0
         if self.n:
             unseen = self.discount * self.v / self.n
             p = np.maximum(c - self.discount, 0) / self.n + unseen * low
-        if n_k := self.n_k.get(k, 0):
-            back = self.discount * self.v_k[k] / n_k
-            p = np.maximum(ck - self.discount, 0) / n_k + back * (SPELT * low + (1 - SPELT) * p)
-            unseen = back * (SPELT + (1 - SPELT) * unseen)
         #: A new word whose weight is below what a double holds keeps its logarithm.
         return np.where(c == 0, (lw + math.log(unseen)) / math.log(10), np.log10(np.maximum(p, 1e-300)))
 
@@ -304,7 +188,7 @@ def _score(totals: Totals) -> object:
     """Rows of one chunk stand together, its words before its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, gathered, tables = None, defaultdict(list), {}
+        chunk, gathered, table = None, [], np.zeros((4, 0))
         base_all = math.log10(totals.n + 0.5 * (totals.v + 1))
         for batch in batches:
             ids, is_doc = batch.column("chunk").to_numpy(), batch.column("is_doc").to_numpy(zero_copy_only=False)
@@ -313,28 +197,23 @@ def _score(totals: Totals) -> object:
                 if b == a:
                     continue
                 if ids[a] != chunk:
-                    chunk, gathered, tables = ids[a], defaultdict(list), {}
+                    chunk, gathered = ids[a], []
                 rows = batch.slice(a, b - a)
-                k = rows.column("k").to_numpy()
                 if not is_doc[a]:
-                    cols = [rows.column(x).to_numpy() for x in ("place", "c", "ck", "lw")]
-                    for g in np.unique(k):
-                        gathered[int(g)].append([x[k == g] for x in cols])
+                    gathered.append([rows.column(x).to_numpy() for x in ("place", "c", "lw")])
                     continue
-                for g, parts in gathered.items():
-                    place, c, ck, lw = (np.concatenate(x) for x in zip(*parts, strict=True))
+                if gathered:
+                    place, c, lw = (np.concatenate(x) for x in zip(*gathered, strict=True))
                     table = np.zeros((4, place.max() + 1))
-                    table[:, place] = np.log10(c + 0.5) - base_all, lw / math.log(10), totals.logs(g, c, ck, lw), c > 0
-                    tables[g] = table
-                gathered = defaultdict(list)
+                    table[:, place] = np.log10(c + 0.5) - base_all, lw / math.log(10), totals.logs(c, lw), c > 0
+                    gathered = []
                 out = []
-                for raw, g in zip(rows.column("places"), k, strict=True):
+                for raw in rows.column("places"):
                     v = np.frombuffer(raw.as_py(), np.uint32).astype(np.int64)
                     place, often = np.cumsum(v[: len(v) // 2]), v[len(v) // 2 :]
-                    out.append(tables[int(g)][:, place] @ often)
+                    out.append(table[:, place] @ often)
                 base, own, mixed, known = np.array(out).T
-                prior = totals.prior[k] / math.log(10)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), rows.column("n_tokens"), pa.array(np.rint(known).astype(np.int64)), pa.array(np.full(b - a, totals.n)), pa.array(base), pa.array(own + prior), pa.array(mixed + prior)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "mixed_score"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), rows.column("n_tokens"), pa.array(np.rint(known).astype(np.int64)), pa.array(np.full(b - a, totals.n)), pa.array(base), pa.array(own), pa.array(mixed)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "mixed_score"])
 
     return run
 
@@ -350,19 +229,16 @@ def score(docs: DataFrame, path: str = TOKENIZERS) -> DataFrame:
     frames.checkpoint_dir(spark)
     shared = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/lattice-{uuid.uuid4().hex}"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    groups, lattices = learn(docs, path)
-    sent, sent_lattices = spark.sparkContext.broadcast(groups), spark.sparkContext.broadcast(lattices)
-    encoded = _written(docs.select("doc_id", F.col("text").cast("binary"), held_out().alias("held_out")).mapInArrow(_encode(sent), ENCODED), f"{shared}/encoded")
-    words = encoded.filter("word is not null").select("chunk", "k", "word", "place", "n")
-    counted = _written(words.repartition(frames.parts(spark), "word").sortWithinPartitions("word", "k").mapInArrow(_count(sent_lattices), COUNTED), f"{shared}/counted")
-    by_k = counted.filter("first_k and ck > 0").groupBy("k").agg(F.sum("ck").alias("n"), F.count("*").alias("v")).collect()
+    sent = spark.sparkContext.broadcast(pieces(path))
+    encoded = _written(docs.select("doc_id", F.col("text").cast("binary"), held_out().alias("held_out")).mapInArrow(_encode(), ENCODED), f"{shared}/encoded")
+    words = encoded.filter("word is not null").select("chunk", "word", "place", "n")
+    counted = _written(words.repartition(frames.parts(spark), "word").sortWithinPartitions("word").mapInArrow(_count(sent), COUNTED), f"{shared}/counted")
     all_ = counted.filter("first and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
     discount = min(0.95, max(0.05, all_["n1"] / max(1, all_["n1"] + 2 * all_["n2"])))
-    prior = groups.prior - np.logaddexp.reduce(groups.prior)
-    totals = Totals(all_["n"], all_["v"], discount, {r["k"]: r["n"] for r in by_k}, {r["k"]: r["v"] for r in by_k}, prior)
+    totals = Totals(all_["n"], all_["v"], discount)
     none = lambda t, name: F.lit(None).cast(t).alias(name)
-    left = counted.select("chunk", F.lit(False).alias("is_doc"), "k", "place", "c", "ck", "lw", none("long", "doc_id"), none("boolean", "held_out"), none("long", "n_tokens"), none("binary", "places"))
-    right = encoded.filter("places is not null").select("chunk", F.lit(True).alias("is_doc"), "k", none("int", "place"), none("long", "c"), none("long", "ck"), none("double", "lw"), "doc_id", "held_out", "n_tokens", "places")
+    left = counted.select("chunk", F.lit(False).alias("is_doc"), "place", "c", "lw", none("long", "doc_id"), none("boolean", "held_out"), none("long", "n_tokens"), none("binary", "places"))
+    right = encoded.filter("places is not null").select("chunk", F.lit(True).alias("is_doc"), none("int", "place"), none("long", "c"), none("double", "lw"), "doc_id", "held_out", "n_tokens", "places")
     return left.unionByName(right).repartition(frames.parts(spark), "chunk").sortWithinPartitions("chunk", "is_doc").mapInArrow(_score(totals), SCORED)
 
 
