@@ -176,6 +176,13 @@ def test_op4_scores_are_of_the_lattice(docs):
         assert np.isclose(r["score"], sum(lattice_lm.log_weight(w, lattice) for w in ws) / np.log(10)) and np.isfinite(r["mixed_score"])
 
 
+def test_op4_keeps_long_pieces():
+    lattice = lattice_lm.pieces()
+    assert max(map(len, lattice)) == lattice_lm.LONGEST and "▁International" in lattice
+    whole = lattice_lm.log_weight(b"International", lattice)
+    assert whole >= lattice["▁International"] and whole > lattice_lm.log_weight(b"International", {p: v for p, v in lattice.items() if len(p) <= 12})
+
+
 def brute_repeats(rows, n):
     seqs = [words(t) for _, t in rows]
     seen = {}

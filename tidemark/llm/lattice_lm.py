@@ -34,7 +34,8 @@ from . import frames
 
 TOKENIZERS = "/opt/tokenizers"
 CHUNK = 8 << 20
-LONGEST = 12
+#: Characters of the longest piece of the vocabulary; a longer one in another vocabulary is an error.
+LONGEST = 16
 END = b""
 _BYTE_WEIGHT = -14.0
 _END_WEIGHT = -14.0
@@ -47,7 +48,8 @@ def pieces(path: str = TOKENIZERS) -> Lattice:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=f"{path}/piece_bpe_32k.model")
     ranks = {sp.id_to_piece(i): -sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)) and sp.get_score(i) > -1e8}
-    ranks = {p: r for p, r in ranks.items() if len(p) <= LONGEST}
+    if max(map(len, ranks)) > LONGEST:
+        raise ValueError(f"the vocabulary has pieces of more than {LONGEST} characters")
     total = sum(1 / (r + 10) for r in ranks.values())
     return {p: math.log(1 / (r + 10) / total) for p, r in ranks.items()}
 
