@@ -444,6 +444,12 @@ def test_op10(spark, docs, nothing, clashing):
     assert not re.search("Python|Arrow|Pandas", plan.split("== Physical Plan ==")[-1])
 
 
+def test_op10_final_sigma(spark):
+    d = spark.createDataFrame([(1, "ΟΔΟΣ.ΑΒΓ"), (2, "ΑΒΓ")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "ΟΔΟΣ.ΑΒΓ")], "item_id long, text string")
+    assert {r["doc_id"]: len(r["hits"]) for r in decontaminate.matches(d, b).collect()} == {1: 1, 2: 0}
+
+
 def test_components_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "u long, v long")
     got = {r["node"]: r["root"] for r in components.components(edges).collect()}

@@ -6,8 +6,8 @@ a prefix of |window| - |window| + 1 = 1 token is necessary: the rarest.  Words o
 rarest tokens; the positional bound puts the window's start at the word's place less the token's offset, the length bound
 asks that the window fits into the document from there, and the words of that item-sized window are then compared exactly.
 
-Words are runs of ``[0-9A-Za-z]`` and code points from 0x80, with A-Z lower-cased.  Joins use full lower case, which can
-only add candidates; the comparison uses A-Z alone.  Documents are matched by a hash of id and text; what a collision adds
+Words are runs of ``[0-9A-Za-z]`` and code points from 0x80, with A-Z lower-cased.  Joins use full lower case, word by word
+(that of a capital sigma depends on what follows), which can only add candidates; the comparison uses A-Z alone.  Documents are matched by a hash of id and text; what a collision adds
 is removed by the comparison.  The benchmark's own tokens are broadcast up to ``MOST_BROADCAST`` of them, else joined by
 shuffle.
 
@@ -29,14 +29,13 @@ APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def words(text: Column, exact: bool = False) -> Column:
-    text = F.coalesce(text, F.lit(""))
-    return F.array_remove(F.split(text if exact else F.lower(text), APART), "")
+def words(text: Column) -> Column:
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), APART), "")
 
 
 def windows(items: DataFrame, size: int = WINDOW, key: str = "item_id", text: str = "text") -> DataFrame:
     """Distinct windows of all items: win (exact words, space-joined), joined (in full lower case), n, items."""
-    named = items.select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("item"), words(F.col(text), True).alias("w"))
+    named = items.select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("item"), words(F.col(text)).alias("w"))
     named = named.filter(F.size("w") > 0).withColumn("n", F.least(F.size("w"), F.lit(size)))
     cut = named.select("item", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda s: F.concat_ws(" ", F.slice("w", s, F.col("n"))))).alias("win"))
     return cut.select("item", "n", F.translate("win", UPPER, LOWER).alias("win")).groupBy("win", "n").agg(F.collect_set("item").alias("items"))
@@ -50,9 +49,9 @@ def _small(df: DataFrame) -> DataFrame:
 def rarest(items: DataFrame, docs: DataFrame, text: str = "text", size: int = WINDOW, key: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each window: token (its rarest word in the documents), place in the window, win, n, items."""
     w = frames.cut(windows(items, size, key, item_text))
-    tokens = w.select("win", F.posexplode(F.split(F.lower("win"), " ")).alias("place", "token"))
+    tokens = w.select("win", F.posexplode(F.split("win", " ")).alias("place", "token")).withColumn("token", F.lower("token"))
     vocabulary = frames.cut(tokens.select("token").distinct())
-    seen = docs.select(F.explode(words(F.col(text))).alias("token")).join(_small(vocabulary), "token").groupBy("token").count()
+    seen = docs.select(F.explode(words(F.col(text))).alias("token")).select(F.lower("token").alias("token")).join(_small(vocabulary), "token").groupBy("token").count()
     ranked = tokens.join(seen, "token", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "token", "place")).alias("x"))
     return frames.cut(w.join(ranked, "win").filter("x.count > 0").select("x.token", "x.place", "win", "n", "items"))
 
@@ -63,7 +62,7 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "
     base = docs.drop("n_words", "hits")
     first = rarest(items, docs, text, size)
     key = F.xxhash64(F.col(id), F.col(text))
-    places = docs.select(key.alias("_k"), words(F.col(text)).alias("_w")).select("_k", F.size("_w").alias("_n"), F.posexplode("_w").alias("_at", "token"))
+    places = docs.select(key.alias("_k"), words(F.col(text)).alias("_w")).select("_k", F.size("_w").alias("_n"), F.posexplode("_w").alias("_at", "token")).withColumn("token", F.lower("token"))
     found = places.join(_small(first), "token").withColumn("start", F.col("_at") - F.col("place"))
     found = found.filter((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("_n")))
     found = found.groupBy("_k").agg(F.collect_set(F.struct("start", "n", "win", "items")).alias("_found"))
@@ -75,7 +74,7 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "
         same = F.filter(candidates, lambda c: F.translate(F.concat_ws(" ", F.slice(w, c["start"] + 1, c["n"])), UPPER, LOWER) == c["win"])
         return F.transform(same, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["items"].alias("items")))
 
-    exact = words(F.col(text), True)
+    exact = words(F.col(text))
     hits = F.get(F.transform(F.array(exact), verified), F.lit(0))
     return whole.select(*[F.col(c) for c in base.columns], F.size(exact).cast("long").alias("n_words"), hits.alias("hits"))
 
