@@ -4,7 +4,7 @@ A ``Plan`` collects column formulas over the bars of each symbol.  Equal formula
 columns of the plan goes to the stage after theirs, because window functions cannot be nested; all formulas of a stage are
 one ``select``, and all share one partitioning and order, so Spark plans one exchange and one sort for the whole plan.
 Linear recurrences y[t] = a[t] x[t] + b[t] y[t-1] (moving averages of the exponential family) are columns too; those of
-one stage run in a single Arrow-fed kernel per symbol.  ``duck`` writes the same plan as DuckDB SQL, recurrences as
+one stage, with those that use them directly, run in a single Arrow-fed kernel per symbol.  ``duck`` writes the same plan as DuckDB SQL, recurrences as
 recursive queries.
 
 Missing values are NULL everywhere.  A window of n gives NULL until it holds n values, unless it is ``growing``.
@@ -17,7 +17,8 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,32 +32,46 @@ def rounded(x: str) -> str:
 
 BASE = ("symbol", "trade_date", "open", "high", "low", "close", "volume", "amount", "turnover", "rn")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
+_NUMBER = re.compile(r"-?[0-9.]+(e-?[0-9]+)?")
 Formula = str | tuple[str, str]
 
 
 @dataclass(frozen=True)
 class Recurrence:
     """seed: ``first`` (the first value), ``sma`` (mean of the first n values, nothing before), or a number that stands
-    before the first value.  A missing x keeps the last y."""
+    before the first value.  A missing x keeps the last y.  a and b are numbers or columns."""
 
     x: str
-    a: str
-    b: str
+    a: float | str
+    b: float | str
     seed: str | float = "first"
     n: int = 1
 
+    def inputs(self) -> list[str]:
+        return [v for v in (self.x, self.a, self.b) if isinstance(v, str)]
+
+
+@dataclass
+class Kernel:
+    names: tuple[str, ...]
+    inputs: tuple[str, ...]
+    fn: Callable
+
 
 @dataclass
 class Stage:
+    """Columns, all made at once, and then recurrences and kernels, which may use these columns and each other in the
+    order in which they were added."""
+
     columns: dict[str, Formula] = field(default_factory=dict)
-    recurrences: dict[str, Recurrence] = field(default_factory=dict)
-    kernels: dict[str, tuple[tuple[str, ...], tuple[str, ...], Callable]] = field(default_factory=dict)
+    steps: dict[str, Recurrence | Kernel] = field(default_factory=dict)
 
 
 class Plan:
     def __init__(self, key: str = "symbol", order: str = "trade_date", base: Iterable[str] = BASE):
         self.key, self.order = key, order
         self.level = dict.fromkeys(base, 0)
+        self.depth: dict[str, int] = {}
         self.stages: list[Stage] = []
         self.made: dict = {}
         self.outputs: dict[str, str] = {}
@@ -84,13 +99,18 @@ class Plan:
             self.made[formula] = name
         return self.made[formula]
 
-    def recur(self, x: str, a: str, b: str, seed: str | float = "first", n: int = 1) -> str:
-        r = Recurrence(self.c(x), self.c(f"CAST({a} AS DOUBLE)"), self.c(f"CAST({b} AS DOUBLE)"), seed, n)
+    def _step(self, inputs: Iterable[str]) -> tuple[Stage, int, int]:
+        """The stage of a recurrence or kernel, its number, and how many steps of that stage it waits for."""
+        level = max([1, *(self.level[i] for i in inputs)])
+        return self._stage(level), level, max([0, *(self.depth.get(i, 0) for i in inputs if self.level[i] == level)]) + 1
+
+    def recur(self, x: str, a: str | float, b: str | float, seed: str | float = "first", n: int = 1) -> str:
+        factor = lambda v: float(v) if isinstance(v, float) or _NUMBER.fullmatch(v) else self.c(f"CAST({v} AS DOUBLE)")
+        r = Recurrence(self.c(x), factor(a), factor(b), seed, n)
         if r not in self.made:
             name = f"x{len(self.made)}_"
-            level = self._level(r.x, r.a, r.b)
-            self._stage(level).recurrences[name] = r
-            self.level[name] = level
+            stage, self.level[name], self.depth[name] = self._step(r.inputs())
+            stage.steps[name] = r
             self.made[r] = name
         return self.made[r]
 
@@ -100,9 +120,10 @@ class Plan:
         mark = (fn.__name__, inputs, args)
         if mark not in self.made:
             names = tuple(f"x{len(self.made)}_{i}_" for i in range(outputs))
-            level = self._level(*inputs)
-            self._stage(level).kernels[names[0]] = (names, inputs, lambda *v: fn(*v, *args))
+            stage, level, depth = self._step(inputs)
+            stage.steps[names[0]] = Kernel(names, inputs, lambda *v: fn(*v, *args))
             self.level |= dict.fromkeys(names, level)
+            self.depth |= dict.fromkeys(names, depth)
             self.made[mark] = list(names)
             self.has_kernel = True
         return self.made[mark]
@@ -167,27 +188,39 @@ class Plan:
         for stage in self.stages:
             if stage.columns:
                 df = df.withColumns({n: F.expr(f if isinstance(f, str) else f[0]) for n, f in stage.columns.items()})
-            if stage.recurrences or stage.kernels:
+            if stage.steps:
                 df = self._run(df, stage)
         value = (lambda c: F.expr(rounded(c))) if compare else F.col
         head = [c for c in bars.columns] if keep else [self.key, self.order]
         return df.select(*head, *[value(c).alias(n) for n, c in self.outputs.items()])
 
     def _run(self, df: DataFrame, stage: Stage) -> DataFrame:
-        order, recurrences, kernels = self.order, dict(stage.recurrences), list(stage.kernels.values())
-        new = [*recurrences, *[n for names, _, _ in kernels for n in names]]
-        schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in df.schema), *(T.StructField(n, T.DoubleType()) for n in new)])
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(order, kind="stable")
-            for name, r in recurrences.items():
-                pdf[name] = recurrence(*(pdf[c].to_numpy(float) for c in (r.x, r.a, r.b)), r.seed, r.n)
-            for names, inputs, fn in kernels:
-                for name, values in zip(names, fn(*(pdf[c].to_numpy(float) for c in inputs)), strict=True):
-                    pdf[name] = values
-            return pdf
-
-        return df.groupBy(self.key).applyInPandas(run, schema)
+        """One Arrow pass a symbol; the columns that no step uses go through as they are."""
+        order, steps = self.order, dict(stage.steps)
+        new = [n for name, s in steps.items() for n in (s.names if isinstance(s, Kernel) else (name,))]
+        schema = T.StructType([*df.schema, *(T.StructField(n, T.DoubleType()) for n in new)])
+
+        def run(rows: pa.Table) -> pa.Table:
+            rows = rows.take(pc.sort_indices(rows, [(order, "ascending")]))
+            have: dict[str, np.ndarray] = {}
+
+            def get(v: float | str) -> float | np.ndarray:
+                if not isinstance(v, str):
+                    return v
+                if v not in have:
+                    have[v] = rows.column(v).cast(pa.float64()).to_numpy()
+                return have[v]
+
+            for name, s in steps.items():
+                if isinstance(s, Kernel):
+                    have |= dict(zip(s.names, s.fn(*map(get, s.inputs)), strict=True))
+                else:
+                    have[name] = recurrence(get(s.x), get(s.a), get(s.b), s.seed, s.n)
+            for n in new:
+                rows = rows.append_column(n, pa.array(have[n], pa.float64(), from_pandas=True))
+            return rows
+
+        return df.groupBy(self.key).applyInArrow(run, schema)
 
     # --- DuckDB
 
@@ -201,8 +234,8 @@ class Plan:
             if stage.columns:
                 ctes.append(f"s{last + 1} AS (SELECT *, {', '.join(f'{f if isinstance(f, str) else f[1]} AS {n}' for n, f in stage.columns.items())} FROM s{last})")
                 last += 1
-            if stage.recurrences:
-                ctes += self._recursive(stage.recurrences, last)
+            for depth in sorted({self.depth[n] for n in stage.steps}):
+                ctes += self._recursive({n: r for n, r in stage.steps.items() if self.depth[n] == depth}, last)
                 last += 1
         value = rounded if compare else str
         return f"WITH RECURSIVE {', '.join(ctes)} SELECT {self.key}, {self.order}, {', '.join(f'{value(c)} AS {n}' for n, c in self.outputs.items())} FROM s{last}"
@@ -213,9 +246,10 @@ class Plan:
             x = f"t.{r.x}"
             names += [name, f"{name}k", f"{name}s"]
             start = lambda y: f"CASE WHEN {x} IS NOT NULL THEN {y} END"
-            y0 = start(x) if r.seed == "first" else start(f"CASE WHEN {r.n} = 1 THEN {x} END") if r.seed == "sma" else f"CASE WHEN {x} IS NULL THEN {float(r.seed)!r} ELSE t.{r.a} * {x} + t.{r.b} * {float(r.seed)!r} END"
+            a, b = (f"t.{v}" if isinstance(v, str) else f"{v!r}::DOUBLE" for v in (r.a, r.b))
+            y0 = start(x) if r.seed == "first" else start(f"CASE WHEN {r.n} = 1 THEN {x} END") if r.seed == "sma" else f"CASE WHEN {x} IS NULL THEN {float(r.seed)!r} ELSE {a} * {x} + {b} * {float(r.seed)!r} END"
             first += [f"CAST({y0} AS DOUBLE) AS {name}", f"CASE WHEN {x} IS NULL THEN 0 ELSE 1 END AS {name}k", f"CAST(coalesce({x}, 0) AS DOUBLE) AS {name}s"]
-            go = f"t.{r.a} * {x} + t.{r.b} * r.{name}"
+            go = f"{a} * {x} + {b} * r.{name}"
             if r.seed == "sma":
                 y = f"CASE WHEN {x} IS NULL THEN r.{name} WHEN r.{name}k + 1 < {r.n} THEN NULL WHEN r.{name}k + 1 = {r.n} THEN (r.{name}s + {x}) / {r.n} ELSE {go} END"
             elif r.seed == "first":
@@ -228,19 +262,43 @@ class Plan:
         return [recursive, f"s{last + 1} AS (SELECT t.*, {', '.join(f'r.{n}' for n in recurrences)} FROM s{last} t JOIN {r} r ON t.{self.key} = r.k_ AND t.rn = r.rn_)"]
 
 
-def recurrence(x: np.ndarray, a: np.ndarray, b: np.ndarray, seed: str | float, n: int) -> np.ndarray:
-    out = np.full(len(x), np.nan)
-    y, seen, total = (np.nan, 0, 0.0) if isinstance(seed, str) else (float(seed), 0, 0.0)
-    for t, (v, p, q) in enumerate(zip(x.tolist(), a.tolist(), b.tolist(), strict=True)):
-        if v == v:
-            seen += 1
-            if seed == "sma" and seen <= n:
-                total += v
-                if seen == n:
-                    y = total / n
-            elif seed == "first" and seen == 1:
-                y = v
-            else:
-                y = p * v + q * y
-        out[t] = y
-    return out
+BLOCK = 128
+_scans: dict[float, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def scan(x: np.ndarray, b: float, y: float) -> np.ndarray:
+    """y[t] = x[t] + b y[t-1] for a constant b, from y before the first x: a triangular product a block and one carry each."""
+    if b not in _scans:
+        k = np.arange(BLOCK)
+        apart = k[:, None] - k[None, :]
+        _scans[b] = np.where(apart >= 0, float(b) ** np.maximum(apart, 0), 0.0).T, float(b) ** (k + 1)
+    within, reach = _scans[b]
+    n = len(x)
+    inside = np.append(x, np.zeros(-n % BLOCK)).reshape(-1, BLOCK) @ within
+    before = np.empty(len(inside))
+    for i, end in enumerate(inside[:, -1].tolist()):
+        before[i] = y
+        y = end + reach[-1] * y
+    return (inside + before[:, None] * reach).ravel()[:n]
+
+
+def recurrence(x: np.ndarray, a: float | np.ndarray, b: float | np.ndarray, seed: str | float, n: int) -> np.ndarray:
+    there = x == x
+    v = x[there]
+    at = lambda c: c[there] if isinstance(c, np.ndarray) else c
+    a, b = at(a), at(b)
+    head = n if seed == "sma" else 1 if seed == "first" else 0
+    y = np.full(len(v), np.nan)
+    if len(v) >= head:
+        start = v[:head].sum() / head if head else float(seed)
+        if head:
+            y[head - 1] = start
+        tail = (a[head:] if isinstance(a, np.ndarray) else a) * v[head:]
+        if isinstance(b, float):
+            y[head:] = scan(tail, b, start)
+        else:
+            for t, (p, q) in enumerate(zip(tail.tolist(), b[head:].tolist(), strict=True), head):
+                start = y[t] = p + q * start
+    #: A missing x shows the last y, or what stands before the first.
+    last = np.cumsum(there)
+    return np.append(np.nan if isinstance(seed, str) else float(seed), y)[last]
