@@ -78,12 +78,16 @@ def tr(p):
     return p.c(f"greatest(high - low, abs(high - {c1}), abs(low - {c1}))")
 
 
-def full(p, x, n, default="0.0"): return p.c(f"CASE WHEN rn >= {n} THEN coalesce({x}, {default}) ELSE {default} END")  # noqa: E704
+def full(p, x, n, default="0.0"):
+    """0 before bar n; then x, or the default where it is missing."""
+    return p.c(f"CASE WHEN rn >= {n} THEN coalesce({x}, {default}) ELSE 0.0 END")
+
+
 
 
 def wilder(p, x, n):
-    """Accumulated from 0: the value before the first bar is 0."""
-    return p.recur(x, repr(1 / n), repr(1 - 1 / n), 0.0)
+    """Accumulated from 0, without decay over the first n bars."""
+    return p.recur(x, repr(1 / n), f"CASE WHEN rn <= {n} THEN 1.0 ELSE {1 - 1 / n!r} END", 0.0)
 
 
 # --- trend
@@ -121,14 +125,19 @@ def pdi(p, n): return div(p, f"100 * {avg(p, _dm(p)[0], n)}", avg(p, tr(p), n))
 @factor("trend", mdi=14)
 def mdi(p, n): return div(p, f"100 * {avg(p, _dm(p)[1], n)}", avg(p, tr(p), n))  # noqa: E704
 @factor("trend", adx14=14)
-def adx(p, n): return wilder(p, div(p, f"100 * abs({pdi(p, n)} - {mdi(p, n)})", f"{pdi(p, n)} + {mdi(p, n)}"), n)  # noqa: E704
+def adx(p, n):
+    """Starts again from 0 after a bar without any direction."""
+    some = p.c(f"{pdi(p, n)} + {mdi(p, n)}")
+    return p.recur(div(p, f"100 * abs({pdi(p, n)} - {mdi(p, n)})", some), repr(1 / n), f"CASE WHEN {some} > 0 THEN {1 - 1 / n!r} ELSE 0.0 END", 0.0)
+
+
 
 
 @factor("trend", plrc5=5, plrc20=20)
 def plrc(p, n):
     center = float((n + 1) // 2)  # rounded half up, as the biased centre of 0 .. n - 1
     x = [n - 1 - k - center for k in range(n)]
-    return full(p, f"({p.dot('close', x)}) / {sum(v * v for v in x)!r} / nullif(close, 0)", n)
+    return full(p, f"({p.dot('close', x)} - {sum(x)!r} * {p.avg('close', n)}) / {sum(v * v for v in x)!r} / greatest(close, 0.0001)", n + 1)
 
 
 @factor("trend", hh5=5, hh20=20)
@@ -146,7 +155,7 @@ def high_low(p, n): return div(p, f"{top(p, 'high', n)} - {low(p, 'low', n)}", "
 @factor("reversal", **over("rsi", 6, 12, 24))
 def rsi(p, n):
     up, down = wilder(p, f"greatest({step(p)}, 0)", n), wilder(p, f"greatest(-{step(p)}, 0)", n)
-    return p.c(f"CASE WHEN {down} = 0 THEN 100.0 ELSE 100 - 100 / (1 + {up} / nullif({down}, 0)) END")
+    return p.c(f"CASE WHEN rn = 1 THEN 0.0 WHEN {down} = 0 THEN 100.0 ELSE 100 - 100 / (1 + {up} / nullif({down}, 0)) END")
 
 
 @factor("reversal", wr10=10, wr30=30)
@@ -170,7 +179,7 @@ def cci(p, n):
 
 def _kdj(p):
     hi, lo = top(p, "high", 9), low(p, "low", 9)
-    rsv = p.c(f"CASE WHEN {hi} = {lo} THEN 50.0 ELSE 100 * (close - {lo}) / nullif({hi} - {lo}, 0) END")
+    rsv = p.c(f"CASE WHEN rn = 1 OR {hi} = {lo} THEN 50.0 ELSE 100 * (close - {lo}) / nullif({hi} - {lo}, 0) END")
     k = p.recur(rsv, repr(1 / 3), repr(2 / 3), 50.0)
     return k, p.recur(k, repr(1 / 3), repr(2 / 3), 50.0)
 
@@ -196,7 +205,7 @@ def vol(p, n): return p.c(f"{sd(p, ret(p), n)} * {n**0.5!r}")  # noqa: E704
 @factor("volatility", vol_ratio=0, dvrat=0)
 def vol_ratio(p, n): return div(p, sd(p, ret(p), 5), sd(p, ret(p), 20), "1.0")  # noqa: E704
 @factor("volatility", amplitude=0)
-def amplitude(p, n): return div(p, "high - low", p.lag("close"))  # noqa: E704
+def amplitude(p, n): return div(p, "high - low", p.c(f"coalesce({p.lag('close')}, close)"))  # noqa: E704
 @factor("volatility", davol5=5, davol20=20)
 def vma(p, n): return avg(p, "volume", n)  # noqa: E704
 @factor("volatility", upvol=20)
@@ -212,13 +221,13 @@ def _moment(p, n, k):
 
 
 @factor("volatility", vol_skew=20)
-def vol_skew(p, n): return full(p, _moment(p, n, 3), n)  # noqa: E704
+def vol_skew(p, n): return full(p, _moment(p, n, 3), n + 1)  # noqa: E704
 @factor("volatility", vol_kurt=20)
-def vol_kurt(p, n): return full(p, f"{_moment(p, n, 4)} - 3", n)  # noqa: E704
+def vol_kurt(p, n): return full(p, f"{_moment(p, n, 4)} - 3", n + 1)  # noqa: E704
 @factor("volatility", max_ret5=5, max_ret20=20)
-def max_ret(p, n): return full(p, top(p, ret(p), n), n)  # noqa: E704
+def max_ret(p, n): return full(p, top(p, ret(p), n), n + 1)  # noqa: E704
 @factor("volatility", min_ret5=5, min_ret20=20)
-def min_ret(p, n): return full(p, low(p, ret(p), n), n)  # noqa: E704
+def min_ret(p, n): return full(p, low(p, ret(p), n), n + 1)  # noqa: E704
 @factor("volatility", high_low_ratio=0)
 def high_low_ratio(p, n): return div(p, "high - low", "close")  # noqa: E704
 
@@ -227,7 +236,7 @@ also("volatility", high_low, range5=5, range20=20)
 
 
 @factor("volatility", ulcer5=5, ulcer20=20)
-def ulcer(p, n): return p.c(f"sqrt({avg(p, f'power(100 * (close - {hh(p, n)}) / nullif({hh(p, n)}, 0), 2)', n)})")  # noqa: E704
+def ulcer(p, n): return full(p, f"sqrt({avg(p, f'power(100 * (close - {hh(p, n)}) / nullif({hh(p, n)}, 0), 2)', n)})", n + 1)  # noqa: E704
 @factor("volatility", amplitude5=5, amplitude20=20)
 def avg_amplitude(p, n): return avg(p, amplitude(p, 0), n)  # noqa: E704
 
@@ -244,29 +253,33 @@ def vosc(p, n): return div(p, f"{vma(p, 5)} - {vma(p, 20)}", vma(p, 5))  # noqa:
 @factor("volume", obv=0)
 def obv(p, n): return p.cum(f"CASE WHEN {step(p)} > 0 THEN volume WHEN {step(p)} < 0 THEN -volume ELSE 0.0 END")  # noqa: E704
 @factor("volume", vwap_dev=20)
-def vwap_dev(p, n): return div(p, f"close - {div(p, total(p, 'close * volume', n), total(p, 'volume', n))}", div(p, total(p, "close * volume", n), total(p, "volume", n)))  # noqa: E704
+def vwap_dev(p, n):
+    mean = div(p, total(p, f"{p.c(TP)} * volume", n), total(p, "volume", n), "close")
+    return div(p, f"close - {mean}", mean)
+
+
 @factor("volume", pv_corr5=5, pv_corr20=20)
 def pv_corr(p, n):
     r = ret(p)
     cov = p.c(f"{p.avg(f'{r} * volume', n)} - {p.avg(r, n)} * {p.avg('volume', n)}")
-    return full(p, f"{cov} / nullif({p.sd(r, n)} * {p.sd('volume', n)}, 0)", n)
+    return full(p, f"{cov} / nullif({p.sd(r, n)} * {p.sd('volume', n)}, 0)", n + 1)
 
 
 @factor("volume", volume_ratio=5, vol_ratio5=5, vol_ratio20=5)
-def volume_ratio(p, n): return div(p, "volume", vma(p, n))  # noqa: E704
+def volume_ratio(p, n): return div(p, "volume", vma(p, n), "1.0")  # noqa: E704
 @factor("volume", volume_trend=0)
-def volume_trend(p, n): return div(p, vma(p, 5), vma(p, 20))  # noqa: E704
+def volume_trend(p, n): return div(p, vma(p, 5), vma(p, 20), "1.0")  # noqa: E704
 
 
 @factor("volume", mfi14=14)
 def mfi(p, n):
     d, flow = step(p, TP), f"{p.c(TP)} * volume"
     pos, neg = total(p, f"CASE WHEN {d} > 0 THEN {flow} ELSE 0.0 END", n), total(p, f"CASE WHEN {d} < 0 THEN {flow} ELSE 0.0 END", n)
-    return p.c(f"coalesce(100 - 100 / (1 + {pos} / nullif({pos} + {neg}, 0)), 50.0)")
+    return full(p, f"100 - 100 / (1 + {pos} / nullif({pos} + {neg}, 0))", n + 1, "50.0")
 
 
 @factor("volume", eom=0, eom20=0)
-def eom(p, n): return div(p, "(high - low) / nullif(volume, 0)", f"greatest(abs({step(p, MID)}), 0.0001)")  # noqa: E704
+def eom(p, n): return p.c(f"CASE WHEN rn > 1 AND volume > 0 THEN (high - low) / nullif(volume, 0) / greatest(abs({step(p, MID)}), 0.0001) ELSE 0.0 END")  # noqa: E704
 @factor("volume", force_index=0)
 def force_index(p, n): return p.c(f"{step(p)} * volume")  # noqa: E704
 
@@ -291,13 +304,13 @@ def nvi(p, n): return _index(p, "<")  # noqa: E704
 @factor("volume", pvi=0)
 def pvi(p, n): return _index(p, ">")  # noqa: E704
 @factor("volume", vpt=0)
-def vpt(p, n): return div(p, p.cum(f"least(greatest({ret(p)}, -1), 1) * volume"), p.cum("volume"))  # noqa: E704
+def vpt(p, n): return p.cum(f"least(greatest({ret(p)}, -1), 1) * volume / greatest({p.cum('volume')}, 1.0)")  # noqa: E704
 @factor("volume", tvma5=5, tvma20=20)
 def tvma(p, n): return p.c(f"{div(p, 'turnover', avg(p, 'turnover', n), '1.0')} - 1")  # noqa: E704
 @factor("volume", upside_vol=20)
-def upside(p, n): return div(p, total(p, f"CASE WHEN rn = 1 OR {step(p)} > 0 THEN volume ELSE 0.0 END", n), total(p, "volume", n))  # noqa: E704
+def upside(p, n): return div(p, total(p, f"CASE WHEN rn = 1 OR {step(p)} > 0 THEN volume ELSE 0.0 END", n), total(p, "volume", n), "0.5")  # noqa: E704
 @factor("volume", downside_vol=20)
-def downside(p, n): return div(p, total(p, f"CASE WHEN {step(p)} < 0 THEN volume ELSE 0.0 END", n), total(p, "volume", n))  # noqa: E704
+def downside(p, n): return div(p, total(p, f"CASE WHEN {step(p)} < 0 THEN volume ELSE 0.0 END", n), total(p, "volume", n), "0.5")  # noqa: E704
 
 
 # --- momentum
@@ -324,7 +337,7 @@ def ltm_ratio(p, n): return p.c(f"CASE WHEN abs({ret(p, 20)}) > 0.0001 THEN {ret
 @factor("momentum", pct_rank5=5, pct_rank20=20)
 def pct_rank(p, n):
     below = " + ".join(f"CASE WHEN {p.lag('close', k)} < close THEN 1 ELSE 0 END" for k in range(1, n))
-    return p.c(f"1.0 * ({below}) / least(rn, {n})")
+    return p.c(f"1e0 * ({below}) / least(rn, {n})")
 
 
 # --- liquidity
@@ -356,7 +369,7 @@ def liq_ratio(p, n): return p.c(f"{div(p, total(p, f'abs({ret(p)})', n), total(p
 @factor("liquidity", price_impact5=5, price_impact20=20)
 def price_impact(p, n): return p.c(f"{avg(p, div(p, f'abs({ret(p)})', 'volume'), n)} * 1000000.0")  # noqa: E704
 @factor("liquidity", vol_break5=5, vol_break20=20)
-def vol_break(p, n): return div(p, "volume", vma(p, n))  # noqa: E704
+def vol_break(p, n): return div(p, "volume", vma(p, n), "1.0")  # noqa: E704
 @factor("liquidity", float_proxy=0)
 def float_proxy(p, n): return div(p, "amount / 10000", "turnover")  # noqa: E704
 @factor("liquidity", illiq_std5=5, illiq_std20=20)

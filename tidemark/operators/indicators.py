@@ -1,9 +1,9 @@
 """Technical indicators as staged plans.
 
 Each function adds its columns to a plan and returns its outputs.  Values are NULL until a window is full.  ``lookahead``
-marks those that use later bars.  Where the documented intent cannot be met by the plain reading of a definition (a seed
-that would leave every value missing) the intent is computed: ``ac``, ``emv_v2``, ``thermo``, ``inertia`` and the MACD part
-of ``decision_point``.
+marks those that use later bars.  Where the plain reading of a definition would leave every value missing (a missing seed)
+the documented intent is computed: ``ac``, ``emv_v2``, ``thermo``, ``inertia``.  Deviations from common textbook forms are
+noted at the indicators that have them.
 """
 
 from __future__ import annotations
@@ -110,10 +110,11 @@ def stoch_(p: Plan, n: int, flat: str = "50.0", x: str = "close") -> str:
     return p.c(f"CASE WHEN {hi} = {lo} THEN {flat} ELSE 100 * ({x} - {lo}) / nullif({hi} - {lo}, 0) END")
 
 
-def rsi_(p: Plan, n: int, x: str = "close", k: int = 1) -> str:
-    d = change(p, x, k)
+def rsi_(p: Plan, n: int, x: str = "close", first: int = 1) -> str:
+    """On the changes of x, whose first value is at bar ``first``; the value of the averages' own seed bar is left out."""
+    d = change(p, x)
     up, down = (p.rma(f"CASE WHEN {sign}{d} > 0 THEN {sign}{d} WHEN {d} IS NOT NULL THEN 0.0 END", n) for sign in ("", "-"))
-    return p.c(f"100 - 100 / (1 + CASE WHEN {down} = 0 THEN 100.0 ELSE {up} / nullif({down}, 0) END)")
+    return p.c(f"CASE WHEN rn > {first + n} THEN 100 - 100 / (1 + CASE WHEN {down} = 0 THEN 100.0 ELSE {up} / nullif({down}, 0) END) END")
 
 
 def money_flow(p: Plan) -> str:
@@ -189,8 +190,9 @@ def supertrend(p, period, multiplier):
 
 @indicator("trend", fast=12, slow=26, signal=9)
 def macd(p, fast, slow, signal):
+    """The signal line stands ``signal`` - 1 bars late."""
     dif = p.c(f"{p.ema('close', fast)} - {p.ema('close', slow)}")
-    dea = p.ema(dif, signal)
+    dea = p.lag(p.ema(dif, signal), signal - 1)
     return {"dif": dif, "dea": dea, "hist": p.c(f"2 * ({dif} - {dea})")}
 
 
@@ -206,8 +208,8 @@ def adx(p, period):
     plus, minus = directional(p, period)
     tr = p.rma(true_range(p), period)
     pdi, mdi = p.c(f"100 * {p.rma(plus, period)} / nullif({tr}, 0)"), p.c(f"100 * {p.rma(minus, period)} / nullif({tr}, 0)")
-    dx = p.c(f"CASE WHEN {pdi} + {mdi} = 0 THEN 0.0 ELSE 100 * abs({pdi} - {mdi}) / nullif({pdi} + {mdi}, 0) END")
-    return {"": p.rma(dx, period), "pdi": pdi, "mdi": mdi}
+    dx = p.c(f"100 * abs({pdi} - {mdi}) / nullif({pdi} + {mdi}, 0)")
+    return {"": p.c(f"CASE WHEN {dx} IS NOT NULL THEN {p.rma(dx, period)} END"), "pdi": pdi, "mdi": mdi}
 
 
 @indicator("trend", af_step=0.02, af_max=0.2)
@@ -218,10 +220,10 @@ def psar(p, af_step, af_max): return {"": p.kernel(kernels.psar, ["high", "low"]
 def aroon(p, period):
     def since(x: str, function: str, sign: str) -> str:
         best = (p.over(f"max_by(rn, struct({sign}{x}, -rn))", p.frame(1 - period)), p.over(f"arg_max(rn, ({sign}{x}, -rn))", p.frame(1 - period)))
-        return p.gate(p.c(f"100.0 * ({period - 1} - (rn - {p.c(best)})) / {period - 1}"), period)
+        return p.gate(p.c(f"100e0 * ({period - 1} - (rn - {p.c(best)})) / {period - 1}"), period)
 
     up, down = since("high", "max", ""), since("low", "min", "-")
-    return {"up": up, "down": down, "osc": p.c(f"{up} - {down}")}
+    return {"up": up, "down": down}
 
 
 @indicator("trend", period=20)
@@ -230,9 +232,9 @@ def dpo(p, period): return {"": p.lag(f"close - {p.avg('close', period)}", perio
 
 @indicator("trend", period=14)
 def vortex(p, period):
+    """Sums of n - 1 bars, from bar n + 1 on."""
     n = period - 1
-    tr = p.c(f"CASE WHEN rn > 1 THEN {true_range(p)} END")
-    total = p.sum(tr, n)
+    total = p.gate(p.sum(f"CASE WHEN rn > 1 THEN {true_range(p)} END", n), period + 1)
     return {"plus": p.ratio(p.sum(f"abs(high - {p.lag('low')})", n), total), "minus": p.ratio(p.sum(f"abs(low - {p.lag('high')})", n), total)}
 
 
@@ -291,16 +293,17 @@ def mfi(p, period):
     d = change(p, TP)
     flow = f"{p.c(TP)} * volume"
     pos, neg = p.sum(f"CASE WHEN {d} > 0 THEN {flow} WHEN {d} IS NOT NULL THEN 0.0 END", period), p.sum(f"CASE WHEN {d} <= 0 THEN {flow} WHEN {d} IS NOT NULL THEN 0.0 END", period)
-    return {"": p.c(f"100 - 100 / (1 + {pos} / nullif({neg}, 0))")}
+    return {"": p.c(f"CASE WHEN {neg} > 0 THEN 100 - 100 / (1 + {pos} / nullif({neg}, 0)) WHEN {neg} = 0 THEN 100.0 END")}
 
 
 @indicator("momentum", period=10)
 def fisher(p, period):
+    """Weighs by 0.66 twice, as defined; bars without a range are skipped, and the first of a full window too."""
     hi, lo = p.max(MID, period), p.min(MID, period)
-    x = p.c(f"CASE WHEN {hi} = {lo} THEN 0.0 ELSE 2 * (({p.c(MID)} - {lo}) / nullif({hi} - {lo}, 0) - 0.5) END")
-    v = p.c(f"least(greatest({p.recur(x, '0.66', '0.34', 0.0)}, -0.999), 0.999)")
-    f = p.recur(f"CASE WHEN {hi} IS NOT NULL THEN ln((1 + {v}) / (1 - {v})) / 2 END", "1.0", "0.5", 0.0)
-    return {"": p.c(f"CASE WHEN {hi} IS NOT NULL THEN {f} END"), "signal": p.lag(f"CASE WHEN {hi} IS NOT NULL THEN {f} END")}
+    x = p.c(f"CASE WHEN rn > {period} AND {hi} > {lo} THEN 1.32 * (({p.c(MID)} - {lo}) / nullif({hi} - {lo}, 0) - 0.5) END")
+    v = p.c(f"CASE WHEN {x} IS NOT NULL THEN least(greatest({p.recur(x, '0.66', '0.34', 0.0)}, -0.999), 0.999) END")
+    f = p.recur(f"0.5 * ln((1 + {v}) / nullif(1 - {v}, 0))", "1.0", "0.5", 0.0)
+    return {"": p.c(f"CASE WHEN {x} IS NOT NULL THEN {f} END")}
 
 
 @indicator("momentum", fast=12, slow=26)
@@ -308,20 +311,16 @@ def apo(p, fast, slow): return {"": p.c(f"{p.ema('close', fast, 'first')} - {p.e
 @indicator("momentum", fast=12, slow=26)
 def ppo(p, fast, slow): return {"": p.c(f"100 * ({p.ema('close', fast, 'first')} / nullif({p.ema('close', slow, 'first')}, 0) - 1)")}  # noqa: E704
 @indicator("momentum", period=6)
-def bias(p, period): return {"": p.c(f"100 * (close / nullif({p.avg('close', period)}, 0) - 1)")}  # noqa: E704
+def bias(p, period): return {"": p.c(f"CASE WHEN {p.avg('close', period)} = 0 THEN 0.0 ELSE 100 * (close / nullif({p.avg('close', period)}, 0) - 1) END")}  # noqa: E704
 @indicator("momentum", period=12)
-def psl(p, period): return {"": p.c(f"100.0 * {p.sum(f'CASE WHEN {change(p)} > 0 THEN 1 WHEN {change(p)} IS NOT NULL THEN 0 END', period)} / {period}")}  # noqa: E704
+def psl(p, period): return {"": p.c(f"100e0 * {p.sum(f'CASE WHEN {change(p)} > 0 THEN 1 ELSE 0 END', period)} / {period}")}  # noqa: E704
 @indicator("momentum")
 def bop(p): return {"": p.c("(close - open) / nullif(high - low, 0)")}  # noqa: E704
 @indicator("momentum", period=20)
 def slope(p, period): return {"": slope_(p, "close", period)}  # noqa: E704
 
 
-def rvgi(p, n):
-    weights = [1 / 6, 2 / 6, 2 / 6, 1 / 6]
-    return p.ratio(p.sum(p.dot("close - open", weights), n), p.sum(p.dot("high - low", weights), n))
-
-
+def rvgi(p, n): return p.ratio(p.sum("close - open", n), p.sum("high - low", n))  # noqa: E704
 @indicator("momentum", period=14)
 def inertia(p, period): return {"": p.ema(p.avg(rvgi(p, period), 4), period, "first")}  # noqa: E704
 @indicator("momentum", period=10)
@@ -369,7 +368,7 @@ def true_range_(p): return {"": true_range(p)}  # noqa: E704
 @indicator("volatility", period=25)
 def massi(p, period):
     e1 = p.ema("high - low", 9, "first")
-    return {"": p.sum(p.ratio(e1, p.ema(e1, 9, "first")), period)}
+    return {"": p.gate(p.sum(p.ratio(e1, p.ema(e1, 9, "first")), period, growing=True), period + 1)}
 
 
 @indicator("volatility", period=14)
@@ -416,8 +415,9 @@ def adosc(p, fast, slow):
 
 @indicator("volume", period=14)
 def eom(p, period):
-    emv = p.c(f"({change(p, MID)}) / nullif((volume / 100000000.0) / nullif(high - low, 0), 0)")
-    return {"": p.gate(p.avg(emv, period, growing=True), period)}
+    """The mean of what is there of a window, from the first move on."""
+    box = "(volume / 100000000.0) / nullif((high - low) / nullif(high, 0), 0)"
+    return {"": p.avg(f"{change(p, MID)} / nullif({box}, 0)", period, growing=True)}
 
 
 @indicator("volume")
@@ -443,7 +443,7 @@ def percent_return(p, period): return {"": p.c(f"100 * (close / nullif({p.lag('c
 @indicator("statistics", period=20)
 def trend_return(p, period): return {"": p.c(f"100 * (close / nullif({p.avg('close', period)}, 0) - 1)")}  # noqa: E704
 @indicator("statistics", period=20)
-def correlation(p, period, other: str = "close"): return {"": p.window("corr", "close", period, more=f", {other}")}  # noqa: E704
+def correlation(p, period, other: str = "close"): return {"": p.ratio(p.window("covar_pop", "close", period, more=f", {other}"), f"{p.sd('close', period)} * {p.sd(other, period)}")}  # noqa: E704
 
 
 # --- cycle and whole-series
@@ -451,7 +451,7 @@ def correlation(p, period, other: str = "close"): return {"": p.window("corr", "
 @indicator("cycle", period=40)
 def ebsw(p, period):
     e = p.ema(p.ema("close", period, "first"), period, "first")
-    return {"": p.c(f"({e} + 2 * {p.lag(e, 1)} + 2 * {p.lag(e, 2)} + {p.lag(e, 2)}) / 6")}
+    return {"": p.dot(e, [0.0962, 0.5769, -0.5769 - 0.0962])}
 
 
 @indicator("cycle", lookahead=True, mode=0)
@@ -477,7 +477,7 @@ def sr_detect(p, period, threshold):
     hi, lo, v = p.c(p.over("max(high)", around)), p.c(p.over("min(low)", around)), p.c(p.over("avg(volume)", around))
     return {
         "resistance": p.c(f"CASE WHEN {full} AND high = {hi} THEN high END"), "support": p.c(f"CASE WHEN {full} AND low = {lo} THEN low END"),
-        "spike": p.c(f"CASE WHEN {full} AND volume > {threshold} * {v} THEN close END"),
+        "spike": p.c(f"CASE WHEN {full} AND volume > {threshold} * {v} THEN {MID} END"),
     }
 
 
@@ -500,7 +500,7 @@ def _both(up: str, down: str) -> str:
 
 
 def _long_shadow(x: str, y: str) -> str:
-    return f"{x} > 2 * {BODY} AND {y} < 0.3 * {BODY}"
+    return f"{BODY} > 0 AND {RANGE} > 0 AND {x} > 2 * {BODY} AND {y} < 0.3 * {BODY}"
 
 
 candle("doji", lambda p: _flag(1, f"{RANGE} > 0 AND {BODY} / nullif({RANGE}, 0) < 0.1"))
@@ -511,8 +511,9 @@ candle("shooting_star", lambda p: _flag(-1, f"{p.lag('close')} < close AND {_lon
 
 
 def _turn(p: Plan, size: str) -> str:
+    """Between a rising bar and one that does not rise."""
     o1, c1 = p.lag("open"), p.lag("close")
-    return _both(f"{c1} < {o1} AND close > open AND {size}", f"{c1} > {o1} AND close < open AND {size}")
+    return _both(f"{c1} <= {o1} AND close > open AND {size}", f"{c1} > {o1} AND close <= open AND {size}")
 
 
 candle("engulfing", lambda p: _turn(p, f"{BODY} > abs({p.lag('close')} - {p.lag('open')})"))
@@ -523,15 +524,16 @@ candle("dark_cloud_cover", lambda p: _flag(-1, f"{p.lag('close')} > {p.lag('open
 
 def _star(p: Plan, up: bool) -> str:
     o1, c1, o2, c2 = p.lag("open"), p.lag("close"), p.lag("open", 2), p.lag("close", 2)
-    a, b = ("<", ">") if up else (">", "<")
-    return _flag(1 if up else -1, f"{c2} {a} {o2} AND abs({c1} - {o1}) < 0.015 * {o1} AND close {b} open AND close {b} ({o2} + {c2}) / 2")
+    first, turn, beyond = ("<", ">", ">") if up else (">", "<=", "<")
+    small = f"({o1} = 0 OR abs({c1} - {o1}) / nullif({o1}, 0) * 100 < 1.5)"
+    return _flag(1 if up else -1, f"{c2} {first} {o2} AND {small} AND close {turn} open AND close {beyond} ({o2} + {c2}) / 2")
 
 
 candle("morning_star", lambda p: _star(p, True))
 candle("evening_star", lambda p: _star(p, False))
 candle("three_white_soldiers", lambda p: _flag(1, f"close > open AND {p.lag('close')} > {p.lag('open')} AND {p.lag('close', 2)} > {p.lag('open', 2)} AND close > {p.lag('close')} AND {p.lag('close')} > {p.lag('close', 2)}"))
 candle("three_black_crows", lambda p: _flag(-1, f"close <= open AND {p.lag('close')} <= {p.lag('open')} AND {p.lag('close', 2)} <= {p.lag('open', 2)} AND close < {p.lag('close')} AND {p.lag('close')} < {p.lag('close', 2)}"))
-candle("marubozu", lambda p: f"CASE WHEN {UPPER} < 0.05 * {BODY} AND {LOWER} < 0.05 * {BODY} THEN CASE WHEN close > open THEN 1 ELSE -1 END ELSE 0 END")
+candle("marubozu", lambda p: f"CASE WHEN {BODY} > 0 AND {UPPER} < 0.05 * {BODY} AND {LOWER} < 0.05 * {BODY} THEN CASE WHEN close > open THEN 1 ELSE -1 END ELSE 0 END")
 candle("inside", lambda p: _flag(1, f"high < {p.lag('high')} AND low > {p.lag('low')}"))
 
 
@@ -546,12 +548,13 @@ def kama(p, period, fast, slow):
 
 
 @indicator("pro_trend", "pro", period=20)
-def hma(p, period): return {"": wma_(p, f"2 * {wma_(p, 'close', period // 2)} - {wma_(p, 'close', period)}", int(math.sqrt(period)))}  # noqa: E704
+def hma(p, period): return {"": wma_(p, f"2 * {wma_(p, 'close', max(1, period // 2))} - {wma_(p, 'close', period)}", max(1, math.isqrt(period)))}  # noqa: E704
 
 
 @indicator("pro_trend", "pro", period=10, v=0.7)
 def t3(p, period, v):
-    v = min(max(v, 0.1), 1.0)
+    if not 0.1 <= v <= 1:
+        raise ValueError("v must be between 0.1 and 1")
     e = ["close"]
     for _ in range(6):
         e.append(p.ema(e[-1], period, "first"))
@@ -563,7 +566,7 @@ def t3(p, period, v):
 def vidya(p, period):
     d = change(p)
     up, down = p.sum(f"greatest({d}, CASE WHEN {d} IS NOT NULL THEN 0.0 END)", period), p.sum(f"CASE WHEN {d} IS NOT NULL THEN greatest(-{d}, 0.0) END", period)
-    a = p.c(f"{2 / (period + 1)!r} * coalesce(abs({up} - {down}) / nullif({up} + {down}, 0), 0)")
+    a = p.c(f"coalesce(abs({up} - {down}) / nullif({up} + {down}, 0), 0)")
     return {"": p.recur("close", a, f"1 - {a}", "sma", period)}
 
 
@@ -576,10 +579,11 @@ def alma(p, period, offset, sigma):
 
 @indicator("pro_trend", "pro", period=16)
 def frama(p, period):
+    if period < 4:
+        raise ValueError("period must be at least 4")
     new = period // 2
-    old = period - new
     span = lambda n, end: p.c(f"{p.max('close', n, end=end)} - {p.min('close', n, end=end)}")
-    n1, n2, n3 = p.c(f"{span(new, 0)} / {new}"), p.c(f"{span(old, -new)} / {old}"), p.c(f"{span(period, 0)} / {period}")
+    n1, n2, n3 = p.c(f"{span(new, 0)} / {new}"), p.c(f"{span(period - new, -new)} / {new}"), p.c(f"{span(period, 0)} / {period}")
     dim = p.c(f"CASE WHEN {n1} + {n2} > 0 AND {n3} > 0 THEN ln(({n1} + {n2}) / nullif({n3}, 0)) / {math.log(2)!r} ELSE 1.0 END")
     a = p.c(f"CASE WHEN rn >= {period} THEN least(greatest(exp(-4.6 * ({dim} - 1)), 0.01), 1) ELSE 0.0 END")
     return {"": p.recur("close", a, f"1 - {a}", "sma", period)}
@@ -592,9 +596,15 @@ def chandelier_exit(p, period, atr_period, multiplier):
 
 
 @indicator("pro_trend", "pro", period=14, phase=0)
-def jma(p, period, phase): return {"": p.kernel(kernels.jma, ["close"], 1, period)[0]}  # noqa: E704
+def jma(p, period, phase):
+    if abs(phase) > 100:
+        raise ValueError("phase must be between -100 and 100")
+    beta = 0.45 * (period - 1) / (0.45 * (period - 1) + 2)
+    return {"": p.kernel(kernels.jma, ["close"], 1, beta**period * (0.5 + phase / 200))[0]}
+
+
 @indicator("pro_trend", "pro")
-def gmma(p): return {f"{n}": p.ema("close", n) for n in (3, 5, 8, 10, 12, 15, 30, 35, 40, 45, 50, 60)}  # noqa: E704
+def gmma(p): return {f"{n}": p.ema("close", n, "first") for n in (3, 5, 8, 10, 12, 15, 30, 35, 40, 45, 50, 60)}  # noqa: E704
 @indicator("pro_trend", "pro")
 def rainbow_ma(p): return {f"{n}": p.ema("close", n) for n in range(2, 21, 2)}  # noqa: E704
 
@@ -624,13 +634,13 @@ def fractals(p, period):
 
 
 def ao_(p):
-    return p.c(f"{p.avg(MID, 5)} - {p.avg(MID, 34)}")
+    return p.gate(f"{p.avg(MID, 5)} - {p.avg(MID, 34)}", 35)
 
 
 @indicator("pro_composite", "pro")
 def ao(p): return {"": ao_(p)}  # noqa: E704
 @indicator("pro_composite", "pro")
-def ac(p): return {"": p.c(f"{ao_(p)} - {p.avg(ao_(p), 5)}")}  # noqa: E704
+def ac(p): return {"": p.gate(f"{ao_(p)} - {p.avg(ao_(p), 5)}", 40)}  # noqa: E704
 
 
 @indicator("pro_composite", "pro", period=20, multiplier=2)
@@ -643,7 +653,7 @@ def threshold_bands(p, period, multiplier):
 def regression_channel(p, period, deviation):
     n = period
     m, b = endpoint(p, "close", n), slope_(p, "close", n)
-    se = p.c(f"sqrt(greatest({n} * power({p.sd('close', n)}, 2) - power({b}, 2) * {n * (n * n - 1) / 12!r}, 0) / {n - 2})")
+    se = p.c(f"sqrt(greatest({n} * power({p.sd('close', n)}, 2) - power({b}, 2) * {n * (n * n - 1) / 12!r}, 0) / {n - 2})") if n > 2 else p.c(f"0 * {m}")
     return {"mid": m, "upper": p.c(f"{m} + {deviation} * {se}"), "lower": p.c(f"{m} - {deviation} * {se}")}
 
 
@@ -659,12 +669,12 @@ def pivots(p, period):
 
 @indicator("pro_composite", "pro", rsi_period=14, macd_fast=12, macd_slow=26, bb_period=20)
 def decision_point(p, rsi_period, macd_fast, macd_slow, bb_period):
+    """A third each of RSI, MACD and band position.  The MACD part is 0 throughout, as its definition's signal line is never
+    there; parts that are not there yet count 0."""
     m, s = p.avg("close", bb_period), p.sd("close", bb_period)
-    dif = p.c(f"{p.ema('close', macd_fast)} - {p.ema('close', macd_slow)}")
-    hist = p.c(f"{dif} - {p.ema(dif, 9)}")
-    parts = [f"({rsi_(p, rsi_period)} - 50) / 50", f"CASE WHEN {hist} > 0 THEN 1.0 WHEN {hist} < 0 THEN -1.0 WHEN {hist} = 0 THEN 0.0 END", f"coalesce((close - {m}) / nullif(2 * {s}, 0), CASE WHEN {s} = 0 THEN 0.0 END)"]
-    parts = [p.c(x) for x in parts]
-    return {"": p.c(f"100 * ({' + '.join(f'CASE WHEN {x} IS NOT NULL THEN least(greatest({x}, -1), 1) END' for x in parts)}) / 3")}
+    band = p.c(f"CASE WHEN 4 * {s} > 1e-9 THEN (close - {m}) / nullif(2 * {s}, 0) END")
+    parts = [p.c(f"CASE WHEN {x} IS NULL THEN 0.0 ELSE least(greatest({x}, -1.0), 1.0) END") for x in (p.c(f"({rsi_(p, rsi_period)} - 50) / 50"), band)]
+    return {"": p.c(f"100 * ({parts[0]} + {parts[1]}) / 3")}
 
 
 # --- pro: momentum
@@ -679,16 +689,18 @@ def tsi(p, long, short, signal):
 
 @indicator("pro_momentum", "pro", k_period=5, k_smooth=3, d_period=3, signal=5)
 def smi(p, k_period, k_smooth, d_period, signal):
+    """Against the whole range, not half of it."""
     hi, lo = p.max("high", k_period), p.min("low", k_period)
     twice = lambda x: p.ema(p.ema(x, k_smooth, "first"), d_period, "first")
-    s = p.c(f"100 * {twice(f'close - ({hi} + {lo}) / 2')} / nullif({twice(f'({hi} - {lo}) / 2')}, 0)")
+    s = p.c(f"100 * {twice(f'close - ({hi} + {lo}) / 2')} / nullif({twice(f'{hi} - {lo}')}, 0)")
     return {"": s, "signal": p.ema(s, signal, "first")}
 
 
 @indicator("pro_momentum", "pro", period=14, k=3, d=3)
 def stoch_rsi(p, period, k, d):
+    """The range of the RSI grows from its first value."""
     r = rsi_(p, period)
-    hi, lo = p.max(r, period), p.min(r, period)
+    hi, lo = p.max(r, period, growing=True), p.min(r, period, growing=True)
     fast = p.avg(f"CASE WHEN {hi} = {lo} THEN 50.0 ELSE 100 * ({r} - {lo}) / nullif({hi} - {lo}, 0) END", k)
     return {"k": fast, "d": p.avg(fast, d)}
 
@@ -702,26 +714,30 @@ def trix(p, period, signal):
 
 @indicator("pro_momentum", "pro", period=13)
 def elder_ray(p, period):
-    e = p.ema("close", period)
+    e = p.ema("close", period, "first")
     return {"bull": p.c(f"high - {e}"), "bear": p.c(f"low - {e}")}
 
 
 @indicator("pro_momentum", "pro", short=7, mid=14, long=28)
 def ultimate_osc(p, short, mid, long):
-    c1 = p.lag("close")
-    bp, tr = p.c(f"close - least(low, {c1})"), p.c(f"CASE WHEN rn > 1 THEN greatest(high, {c1}) - least(low, {c1}) END")
-    bp = p.c(f"CASE WHEN rn > 1 THEN {bp} END")
+    """The first bar's close stands for the one before it."""
+    c1 = p.c(f"coalesce({p.lag('close')}, close)")
+    bp, tr = p.c(f"close - least(low, {c1})"), p.c(f"greatest(high, {c1}) - least(low, {c1})")
     a = [p.ratio(p.sum(bp, n), p.sum(tr, n)) for n in (short, mid, long)]
     return {"": p.c(f"100 * (4 * {a[0]} + 2 * {a[1]} + {a[2]}) / 7")}
 
 
 @indicator("pro_momentum", "pro", period=14, momentum_period=5)
-def rmi(p, period, momentum_period): return {"": p.lag(rsi_(p, period, "close", momentum_period))}  # noqa: E704
+def rmi(p, period, momentum_period):
+    """The RSI of the momentum's changes, one bar late."""
+    return {"": p.lag(rsi_(p, period, change(p, "close", momentum_period), momentum_period + 1))}
+
+
 
 
 @indicator("pro_momentum", "pro", period=20, signal=5)
 def ergotic(p, period, signal):
-    e = p.ema(f"{stoch_(p, period)}", period, "first")
+    e = p.ema(f"{stoch_(p, period)}", signal, "first")
     return {"": e, "signal": p.avg(e, signal)}
 
 
@@ -734,7 +750,7 @@ def hist_vol(p, period, annualize):
 
 
 @indicator("pro_volatility", "pro", period=21, annualize=252)
-def gk_vol(p, period, annualize): return {"": annual(p, p.avg(f"greatest(0.5 * power(ln(high / low), 2) - {2 * math.log(2) - 1!r} * power(ln(close / open), 2), 0)", period), annualize)}  # noqa: E704
+def gk_vol(p, period, annualize): return {"": annual(p, p.avg("greatest(0.5 * power(ln(high / low), 2) - 0.386 * power(ln(close / open), 2), 0)", period), annualize)}  # noqa: E704
 @indicator("pro_volatility", "pro", period=21, annualize=252)
 def parkinson_vol(p, period, annualize): return {"": annual(p, p.avg(f"power(ln(high / low), 2) / {4 * math.log(2)!r}", period), annualize)}  # noqa: E704
 
@@ -748,9 +764,9 @@ def rs_vol(p, period, annualize): return {"": annual(p, p.avg(RS, period), annua
 
 @indicator("pro_volatility", "pro", period=21, annualize=252)
 def yz_vol(p, period, annualize):
+    """Of the opens' and the closes' own changes."""
     k = 0.34 / (1.34 + (period + 1) / (period - 1))
-    o = p.window("var_samp", f"ln(open / nullif({p.lag('close')}, 0))", period)
-    c = p.window("var_samp", "ln(close / open)", period)
+    o, c = (p.window("var_samp", f"ln({x} / nullif({p.lag(x)}, 0))", period) for x in ("open", "close"))
     return {"": annual(p, f"{o} + {k!r} * {c} + {1 - k!r} * {p.avg(RS, period)}", annualize)}
 
 
@@ -762,7 +778,7 @@ def hurst(p, period): return {"": p.kernel(kernels.hurst, ["close"], 1, period)[
 
 @indicator("pro_volume", "pro", fast=34, slow=55, signal=13)
 def kvo(p, fast, slow, signal):
-    d = change(p, TP)
+    d = change(p, "close + high + low")
     force = p.c(f"CASE WHEN {d} > 0 THEN volume WHEN {d} < 0 THEN -volume WHEN {d} = 0 THEN 0.0 END")
     k = p.c(f"{p.ema(force, fast)} - {p.ema(force, slow)}")
     return {"": k, "signal": p.ema(k, signal)}
@@ -770,18 +786,18 @@ def kvo(p, fast, slow, signal):
 
 @indicator("pro_volume", "pro", period=130, coef=0.2, vcoef=2.5)
 def vfi(p, period, coef, vcoef):
-    tp = p.c(TP)
-    inter = p.c(f"ln({tp} / nullif({p.lag(tp)}, 0))")
-    cutoff = p.c(f"{coef} * {p.sd(inter, 30)} * close")
-    d, v = change(p, tp), p.c(f"least(volume, {p.avg('volume', period, end=-1)} * {vcoef})")
-    flow = p.c(f"CASE WHEN {d} > {cutoff} THEN {v} WHEN {d} < -{cutoff} THEN -{v} WHEN {cutoff} IS NOT NULL THEN 0.0 END")
-    return {"": p.c(f"{p.ema(flow, period, 'first')} / nullif({p.ema('volume', period, 'first')}, 0) * {vcoef}")}
+    """A move counts if it exceeds coef * sqrt(|change|) / deviation of the changes * close."""
+    d, flow = change(p), p.c(f"{change(p, TP)} * volume")
+    s = p.sd(d, period)
+    cutoff = p.c(f"CASE WHEN {s} > 0 THEN {coef} * sqrt(abs({d})) / nullif({s}, 0) * close WHEN {s} = 0 THEN 0.0 END")
+    kept = p.c(f"CASE WHEN abs({flow}) > {cutoff} THEN {flow} WHEN {cutoff} IS NOT NULL THEN 0.0 END")
+    return {"": p.c(f"{p.ema(kept, period)} / nullif({p.ema('volume', period)}, 0) * {vcoef}")}
 
 
 @indicator("pro_volume", "pro", period=13)
 def force_index(p, period):
     raw = p.c(f"{change(p)} * volume")
-    return {"": p.ema(raw, period, "first"), "raw": raw}
+    return {"": p.ema(raw, period), "raw": raw}
 
 
 @indicator("pro_volume", "pro")
@@ -797,7 +813,7 @@ def volume_osc(p, fast, slow):
 
 @indicator("pro_volume", "pro", period=14)
 def emv_v2(p, period):
-    emv = p.c(f"CASE WHEN high = low THEN 0.0 * {change(p, MID)} ELSE {change(p, MID)} / nullif(volume / nullif(high - low, 0), 0) * 1000000.0 END")
+    emv = p.c(f"{change(p, MID)} / nullif(volume / CASE WHEN high > low THEN high - low ELSE 0.001 END, 0) * 1000000.0")
     return {"": p.avg(emv, period)}
 
 
@@ -809,19 +825,19 @@ def volume_regime(p, period, threshold): return {"": p.ratio(f"volume - {p.avg('
 
 @indicator("pro_cycle", "pro", period=7)
 def hilbert_sine(p, period):
-    sine, lead = p.kernel(kernels.hilbert_sine, ["high", "low"], 2, period)
+    sine, lead = p.kernel(kernels.hilbert_sine, ["close"], 2, period)
     return {"": sine, "lead": lead}
 
 
 @indicator("pro_cycle", "pro", period=14)
 def mesa_sine(p, period):
-    sine, lead = p.kernel(kernels.mesa_sine, ["close"], 2, period)
-    return {"": sine, "lead": lead}
+    sine, cosine = p.kernel(kernels.mesa_sine, ["close"], 2, period)
+    return {"": sine, "cosine": cosine}
 
 
 @indicator("pro_cycle", "pro", period=10)
 def cg(p, period):
-    g = p.c(f"-{p.c(p.dot('close', [float(k + 1) for k in range(period)]))} / nullif({p.sum('close', period)}, 0)")
+    g = p.c(f"-{p.c(p.dot('close', [float(k) for k in range(period)]))} / nullif({p.sum('close', period)}, 0)")
     return {"": g, "signal": p.avg(g, max(period // 2, 2))}
 
 
@@ -832,15 +848,17 @@ def phasor(p, period):
 
 
 def range_stats(bars: DataFrame, start: int, end: int) -> DataFrame:
-    """Per symbol, over the bars numbered start to end (from 1): percentage change, largest drawdown, mean true range."""
+    """Per symbol, over the bars numbered start to end (from 1): percentage change, largest fall from a peak (per cent), mean
+    true range (of all bars but a series' first)."""
+    from pyspark.sql import Window as W
     from pyspark.sql import functions as F
 
     p = Plan()
-    tr = true_range(p)
-    p.out(number="rn", close="close", tr=tr)
+    p.out(number="rn", close="close", tr=p.c(f"CASE WHEN rn > 1 THEN {true_range(p)} END"))
     df = p.spark(bars).filter(F.col("number").between(start, end))
-    q = Plan(base=["symbol", "trade_date", "number", "close", "tr"])
-    q.out(number="number", close="close", tr="tr", fall=q.c(f"close / nullif({q.cum('close', 'max')}, 0) - 1"))
-    return q.spark(df.withColumn("rn", F.col("number"))).groupBy("symbol").agg(
-        (100 * (F.max_by("close", "number") / F.min_by("close", "number") - 1)).alias("pct_change"), (100 * F.min("fall")).alias("max_drawdown"), F.avg("tr").alias("mean_true_range")
-    )
+    peak = F.max("close").over(W.partitionBy("symbol").orderBy("number").rowsBetween(W.unboundedPreceding, 0))
+    first, last = F.min_by("close", "number"), F.max_by("close", "number")
+    return df.withColumn("fall", 1 - F.col("close") / F.nullif(peak, F.lit(0.0))).groupBy("symbol").agg(
+        F.coalesce(100 * (last / F.nullif(first, F.lit(0.0)) - 1), F.lit(0.0)).alias("pct_change"), F.coalesce(100 * F.max("fall"), F.lit(0.0)).alias("max_drawdown"),
+        F.coalesce(F.avg("tr"), F.lit(0.0)).alias("mean_true_range"),
+    )
