@@ -30,34 +30,40 @@ class Config:
     fill: str = "close"
 
 
-METRICS = ("total_return", "annual_return", "max_drawdown", "max_drawdown_bars", "sharpe", "sortino", "calmar", "win_rate", "profit_loss_ratio", "n_trades", "final_equity")
+METRICS = ("total_return", "annual_return", "annual_volatility", "max_drawdown", "max_drawdown_bars", "sharpe", "sortino", "calmar", "win_rate", "profit_loss_ratio", "n_trades", "final_equity")
 TRADES = "symbol string, entry_date date, exit_date date, entry_price double, exit_price double, shares double, pnl double, pnl_pct double, holding_days int"
 _METRIC_SCHEMA = ", ".join(f"{m} {'long' if m in ('n_trades', 'max_drawdown_bars') else 'double'}" for m in METRICS)
 
 
 def simulate(open_, close, signal, config: Config) -> tuple[np.ndarray, list[tuple[int, int, float, float, float, float]]]:
-    """Equity after each bar, and (entry bar, exit bar, entry price, exit price, shares, profit) of each trade."""
-    cash, shares, entry, entry_at, cost = config.cash, 0.0, 0.0, 0, 0.0
+    """Equity after each bar, and (entry bar, exit bar, entry price, exit price, shares, profit) of each trade.  The profit
+    is after the costs of the sale; what the purchase cost shows in the equity alone.  What is held is sold at the last close."""
+    cash, shares, entry, entry_at = config.cash, 0.0, 0.0, 0
     equity, trades = np.empty(len(close)), []
-    n = len(close)
     late = config.fill == "next_open"
-    for i in range(n):
-        s = signal[i - 1] if late and i else 0 if late else signal[i]
+    orders = np.concatenate([[0], signal[:-1]]) if late and len(signal) else signal
+
+    def sell(at: int, price: float) -> None:
+        nonlocal cash, shares
+        got = price * (1 - config.slippage)
+        value = shares * got
+        costs = value * (config.commission + config.stamp_tax)
+        cash += value - costs
+        trades.append((entry_at, at, entry, got, shares, (got - entry) * shares - costs))
+        shares = 0.0
+
+    for i, order in enumerate(orders.tolist()):
         price = open_[i] if late else close[i]
-        if s > 0 and shares == 0:
-            paid = price * (1 + config.slippage)
-            spend = cash * config.position
-            shares = spend / (1 + config.commission) / paid if paid > 0 else 0.0
-            if shares:
-                cash -= spend
-                entry, entry_at, cost = paid, i, spend
-        elif shares and (s < 0 or i == n - 1):
-            got = (price if s < 0 else close[i]) * (1 - config.slippage)
-            income = shares * got * (1 - config.commission - config.stamp_tax)
-            cash += income
-            trades.append((entry_at, i, entry, got, shares, income - cost))
-            shares = 0.0
+        if order > 0 and not shares and price > 0:
+            entry, entry_at, spend = price * (1 + config.slippage), i, cash * config.position
+            shares = spend / (1 + config.commission) / entry
+            cash -= spend
+        elif order < 0 and shares:
+            sell(i, price)
         equity[i] = cash + shares * close[i] * (1 - config.slippage)
+    if shares:
+        sell(len(close) - 1, close[-1])
+        equity[-1] = cash
     return equity, trades
 
 
@@ -69,21 +75,20 @@ def metrics(equity: np.ndarray, trades: list, start: float) -> dict[str, float]:
     annual = (1 + total) ** (252 / n) - 1 if total > -1 else -1.0
     peak = np.maximum.accumulate(equity)
     fall = equity / np.where(peak > 0, peak, 1) - 1
-    below, longest = 0, 0
-    for under in fall < 0:
-        below = below + 1 if under else 0
-        longest = max(longest, below)
-    r = np.diff(equity) / np.where(equity[:-1] != 0, equity[:-1], 1)
+    #: A drawdown lasts while no bar exceeds the peak; the first bar counts.
+    risen = np.flatnonzero(np.concatenate([[False], equity[1:] > peak[:-1]]))
+    longest = int(np.diff(np.concatenate([[-1], risen, [n]])).max() - 1)
+    r = np.diff(equity) / np.where(equity[:-1] > 0, equity[:-1], np.inf)
     mean, sd = (float(r.mean()), float(r.std())) if len(r) else (0.0, 0.0)
     bad = r[r < 0]
     down = math.sqrt(float((bad**2).sum()) / len(bad)) if len(bad) else 0.0
     wins, losses = [t[5] for t in trades if t[5] > 0], [-t[5] for t in trades if t[5] <= 0]
     worst = float(fall.min())
     return {
-        "total_return": total, "annual_return": annual, "max_drawdown": worst, "max_drawdown_bars": longest,
+        "total_return": total, "annual_return": annual, "annual_volatility": sd * math.sqrt(252), "max_drawdown": worst, "max_drawdown_bars": longest,
         "sharpe": mean / sd * math.sqrt(252) if sd > 0 else 0.0, "sortino": mean / down * math.sqrt(252) if down > 0 else 0.0,
         "calmar": annual / -worst if worst < 0 else 0.0, "win_rate": len(wins) / len(trades) if trades else 0.0,
-        "profit_loss_ratio": float(np.mean(wins) / np.mean(losses)) if wins and losses and np.mean(losses) > 0 else 0.0,
+        "profit_loss_ratio": float((np.mean(wins) if wins else 0.0) / np.mean(losses)) if losses and np.mean(losses) > 0 else 0.0,
         "n_trades": len(trades), "final_equity": float(equity[-1]),
     }
 
@@ -137,30 +142,45 @@ def monthly_returns(bars: DataFrame, strategy: str, config: Config = Config(), *
 
 # --- parameter search
 
-def grid(values: dict[str, list[float]], most: int = 500) -> list[dict[str, float]]:
+def grid(values: dict[str, list[float]], most: int = 5000) -> list[dict[str, float]]:
+    """All combinations, keys in order; no more than ``most`` iterations of a search."""
     keys = sorted(values)
     return [dict(zip(keys, v, strict=True)) for v in itertools.islice(itertools.product(*(values[k] for k in keys)), most)]
 
 
+def steps(low: float, high: float, step: float) -> list[float]:
+    """low, low + step, ... up to high; the middle where there is no step."""
+    return [(low + high) / 2] if step <= 0 else [round(low + k * step, 3) for k in range(int((high - low) / step + 1e-9) + 1)]
+
+
+SETS_A_PLAN = 25
+
+
 def evaluate(bars: DataFrame, strategy: str, sets: list[dict[str, float]], config: Config = Config()) -> DataFrame:
-    """Metrics of each symbol and parameter set (``param_id``: its place in sets).  All signals are columns of one plan,
-    unpivoted into the kernel's groups."""
+    """Metrics of each symbol and parameter set (``param_id``: its place in sets).  The signals of SETS_A_PLAN sets are columns
+    of one plan, which one kernel a symbol simulates, so that bars are not repeated for every set."""
     from ..plans.staged import Plan
 
-    p = Plan()
-    p.out(open="open", close="close", **{f"s{i}": p.c(strategies.formula(p, strategy, **s)) for i, s in enumerate(sets)})
-    long = p.spark(bars).select("symbol", "trade_date", "open", "close", F.explode(F.array(*[F.struct(F.lit(i).alias("param_id"), F.col(f"s{i}").cast("double").alias("signal")) for i in range(len(sets))])).alias("x"))
-    long = long.select("symbol", "trade_date", "open", "close", "x.param_id", "x.signal")
+    def part(first: int) -> DataFrame:
+        some = sets[first : first + SETS_A_PLAN]
+        p = Plan()
+        names = {f"s{i}": first + i for i in range(len(some))}
+        p.out(open="open", close="close", **{n: p.c(f"CAST({strategies.formula(p, strategy, **s)} AS DOUBLE)") for n, s in zip(names, some, strict=True)})
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        symbol, k = pdf["symbol"].iloc[0], pdf["param_id"].iloc[0]
-        _, o, c, s = _arrays(pdf)
-        return pd.DataFrame([{"symbol": symbol, "param_id": k} | metrics(*simulate(o, c, s, config), config.cash)])
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("trade_date", kind="stable")
+            o, c = pdf["open"].to_numpy(float), pdf["close"].to_numpy(float)
+            return pd.DataFrame([{"symbol": pdf["symbol"].iloc[0], "param_id": k} | metrics(*simulate(o, c, pdf[n].fillna(0).to_numpy(float), config), config.cash) for n, k in names.items()])
+
+        return p.spark(bars).groupBy("symbol").applyInPandas(one, f"symbol string, param_id int, {_METRIC_SCHEMA}")
 
-    return long.groupBy("symbol", "param_id").applyInPandas(one, f"symbol string, param_id int, {_METRIC_SCHEMA}")
+    found = part(0)
+    for first in range(SETS_A_PLAN, len(sets), SETS_A_PLAN):
+        found = found.unionByName(part(first))
+    return found
 
 
-def grid_search(bars: DataFrame, strategy: str, values: dict[str, list[float]], target: str = "sharpe", config: Config = Config(), most: int = 500) -> DataFrame:
+def grid_search(bars: DataFrame, strategy: str, values: dict[str, list[float]], target: str = "sharpe", config: Config = Config(), most: int = 5000) -> DataFrame:
     """The best parameter set of each symbol; the first of equal ones wins."""
     sets = grid(values, most)
     best = evaluate(bars, strategy, sets, config).groupBy("symbol").agg(F.max_by(F.struct("param_id", *METRICS), F.struct(F.col(target), -F.col("param_id"))).alias("b"))
@@ -168,17 +188,29 @@ def grid_search(bars: DataFrame, strategy: str, values: dict[str, list[float]],
     return best.select("symbol", params.alias("params"), *[F.col(f"b.{m}").alias(m) for m in METRICS])
 
 
-def genetic_search(bars: DataFrame, strategy: str, bounds: dict[str, tuple[float, float]], target: str = "sharpe", population: int = 50, generations: int = 10, elite: int = 5, crossover: float = 0.7, mutation: float = 0.15, patience: int = 5, seed: int = 1, config: Config = Config()) -> tuple[dict[str, float], float]:
-    """One Spark job a generation; fitness is the mean of the target over symbols.  The population is small and fixed."""
+def genetic_search(bars: DataFrame, strategy: str, bounds: dict[str, tuple[float, float, float]], target: str = "sharpe", population: int = 50, generations: int = 100, elite: int = 5, crossover: float = 0.7, mutation: float = 0.15, patience: int = 50, seed: int = 1, config: Config = Config()) -> tuple[dict[str, float], float]:
+    """bounds: low, high and step of each parameter.  Children blend two winners of threes, at times one parameter wanders by
+    up to two steps, and all are put on the steps.  One Spark job a generation; fitness is the mean of the target over
+    symbols.  The population is small and fixed, and what was evaluated once is kept."""
     rng = random.Random(seed)
     keys = sorted(bounds)
-    draw = lambda k: float(round(rng.uniform(*bounds[k])))
-    people = [{k: draw(k) for k in keys} for _ in range(population)]
+    on_step = lambda k, v: float(min(max(round(v / bounds[k][2]) * bounds[k][2], bounds[k][0]), bounds[k][1]))
+    known: dict[tuple[float, ...], float] = {}
+
+    def fitness(people: list[dict[str, float]]) -> list[float]:
+        marks = [tuple(x[k] for k in keys) for x in people]
+        new = list(dict.fromkeys(m for m in marks if m not in known))
+        if new:
+            found = {r["param_id"]: r["f"] for r in evaluate(bars, strategy, [dict(zip(keys, m, strict=True)) for m in new], config).groupBy("param_id").agg(F.avg(target).alias("f")).collect()}
+            known.update({m: found.get(i, -math.inf) for i, m in enumerate(new)})
+        return [known[m] for m in marks]
+
+    people = [{k: on_step(k, rng.choice(steps(*bounds[k]))) for k in keys} for _ in range(population)]
     best, best_fit, idle = people[0], -math.inf, 0
     for _ in range(generations):
-        fit = {r["param_id"]: r["f"] for r in evaluate(bars, strategy, people, config).groupBy("param_id").agg(F.avg(target).alias("f")).collect()}
-        ranked = sorted(range(len(people)), key=lambda i: (-fit.get(i, -math.inf), i))
-        if fit[ranked[0]] > best_fit + 1e-12:
+        fit = fitness(people)
+        ranked = sorted(range(len(people)), key=lambda i: (-fit[i], i))
+        if fit[ranked[0]] > best_fit:
             best, best_fit, idle = people[ranked[0]], fit[ranked[0]], 0
         else:
             idle += 1
@@ -188,12 +220,13 @@ def genetic_search(bars: DataFrame, strategy: str, bounds: dict[str, tuple[float
         new = [people[i] for i in ranked[:elite]]
         while len(new) < population:
             a, b = pick(), pick()
-            child = {k: (a if rng.random() < 0.5 else b)[k] for k in keys} if rng.random() < crossover else dict(a)
-            for k in keys:
-                if rng.random() < mutation:
-                    lo, hi = bounds[k]
-                    child[k] = float(min(hi, max(lo, round(child[k] + rng.gauss(0, (hi - lo) / 10)))))
-            new.append(child)
+            child = dict(a)
+            if rng.random() < crossover:
+                child = {k: (share := rng.random()) * a[k] + (1 - share) * b[k] for k in keys}
+            if rng.random() < mutation:
+                k = rng.choice(keys)
+                child[k] += bounds[k][2] * rng.uniform(-2, 2)
+            new.append({k: on_step(k, v) for k, v in child.items()})
         people = new
     return best, best_fit
 
@@ -223,40 +256,62 @@ def walk_forward(bars: DataFrame, strategy: str, values: dict[str, list[float]],
     series = cut.withColumn("symbol", F.to_json(F.struct("symbol", "window", "part"))).drop("_i", "_n", "window", "part")
     sets = grid(values)
     done = evaluate(series, strategy, sets, config).withColumn("k", F.from_json("symbol", "symbol string, window int, part string")).drop("symbol").select("k.*", "param_id", *METRICS)
-    inside = done.filter("part = 'in'").groupBy("symbol", "window").agg(F.max_by(F.struct("param_id", "sharpe", "total_return"), F.struct(F.col("sharpe"), -F.col("param_id"))).alias("b"))
-    inside = inside.select("symbol", "window", "b.param_id", F.col("b.sharpe").alias("in_sharpe"), F.col("b.total_return").alias("in_return"))
-    outside = done.filter("part = 'out'").select("symbol", "window", "param_id", F.col("sharpe").alias("out_sharpe"), F.col("total_return").alias("out_return"), F.col("max_drawdown").alias("out_drawdown"))
-    return inside.join(outside, ["symbol", "window", "param_id"])
+    kept = ("annual_return", "sharpe", "total_return", "max_drawdown")
+    inside = done.filter("part = 'in'").groupBy("symbol", "window").agg(F.max_by(F.struct("param_id", *kept), F.struct(F.col("sharpe"), -F.col("param_id"))).alias("b"))
+    inside = inside.select("symbol", "window", "b.param_id", *[F.col(f"b.{m}").alias(f"in_{m}") for m in kept])
+    outside = done.filter("part = 'out'").select("symbol", "window", "param_id", *[F.col(m).alias(f"out_{m}") for m in kept])
+    chosen = F.element_at(F.array(*[F.create_map(*[F.lit(x) for k, v in s.items() for x in (k, float(v))]) for s in sets]), F.col("param_id") + 1)
+    return inside.join(outside, ["symbol", "window", "param_id"]).withColumn("params", chosen)
 
 
 def walk_forward_summary(found: DataFrame) -> DataFrame:
-    """Efficiency (mean out-of-sample over mean in-sample return) and stability (coefficient of variation) of a symbol."""
-    return found.groupBy("symbol").agg(
-        F.count("*").alias("windows"), (F.avg("out_return") / F.nullif(F.avg("in_return"), F.lit(0.0))).alias("efficiency"),
-        (F.stddev_pop("out_return") / F.nullif(F.abs(F.avg("out_return")), F.lit(0.0))).alias("stability"), F.avg((F.col("out_return") > 0).cast("double")).alias("share_positive"),
+    """Of each symbol: windows, mean annual returns and Sharpe ratios inside and outside, their correlation, the mean
+    coefficient of variation of the chosen parameters (0 is stable), the efficiency (outside over inside), and a grade:
+    excellent, good, fair or warning."""
+    g = found.groupBy("symbol").agg(
+        F.count("*").alias("windows"), F.avg("in_annual_return").alias("in_return"), F.avg("out_annual_return").alias("out_return"), F.avg("in_sharpe").alias("in_sharpe"), F.avg("out_sharpe").alias("out_sharpe"),
+        F.coalesce(F.covar_pop("in_annual_return", "out_annual_return") / F.nullif(F.stddev_pop("in_annual_return") * F.stddev_pop("out_annual_return"), F.lit(0.0)), F.lit(0.0)).alias("correlation"),
     )
+    spread = F.stddev_pop("value") / F.when(F.abs(F.avg("value")) > 0.0001, F.abs(F.avg("value"))).otherwise(1.0)
+    varied = found.select("symbol", F.explode("params").alias("key", "value")).groupBy("symbol", "key").agg(spread.alias("v")).groupBy("symbol").agg(F.avg("v").alias("variation"))
+    g = g.join(varied, "symbol", "left").withColumn("variation", F.coalesce("variation", F.lit(0.0)))
+    grade = F.when((F.col("out_sharpe") > 1) & (F.col("variation") < 0.3), "excellent").when((F.col("out_sharpe") > 0.5) & (F.col("variation") < 0.5), "good").when(F.col("out_sharpe") > 0, "fair").otherwise("warning")
+    return g.withColumns({"efficiency": F.when(F.abs("in_return") >= 0.0001, F.col("out_return") / F.col("in_return")).otherwise(0.0), "grade": grade})
 
 
 # --- Monte Carlo
 
-METHODS = ("shuffle", "bootstrap", "parametric", "trades")
+METHODS = ("shuffle", "bootstrap", "parametric")
 
 
-def _path(method: str, r: np.ndarray, profits: np.ndarray, cash: float, rng: np.random.Generator) -> np.ndarray:
+def share_profits(bars: DataFrame, strategy: str, config: Config = Config(), **params: float) -> DataFrame:
+    """symbol, seq, pnl of every closed trade of one share, after slippage and the costs of both sides."""
+    pay = lambda t: t["exit_price"] - t["entry_price"] - t["entry_price"] * config.commission - t["exit_price"] * (config.commission + config.stamp_tax)
+    from pyspark.sql import Window as W
+
+    t = trades(bars, strategy, config, **params)
+    at = F.row_number().over(W.partitionBy("symbol").orderBy("entry_date", "exit_date"))
+    return t.select("symbol", at.cast("long").alias("seq"), pay({c: F.col(c) for c in ("entry_price", "exit_price")}).alias("pnl"))
+
+
+def _path(method: str, r: np.ndarray, profits: np.ndarray, cash: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, float]:
+    """An equity path, its steps, and the years it stands for."""
     if method == "shuffle":
-        return cash + np.cumsum(rng.permutation(profits) * (1 + rng.uniform(-0.2, 0.2, len(profits))))
-    if method == "trades":
-        return cash + np.cumsum(rng.choice(profits, len(profits))) if len(profits) else np.array([cash])
-    if method == "bootstrap":
-        return cash * np.cumprod(1 + rng.choice(r, len(r))) if len(r) else np.array([cash])
-    return cash * np.cumprod(1 + rng.normal(r.mean(), r.std(), len(r))) if len(r) else np.array([cash])
+        x = rng.permutation(profits * rng.uniform(0.8, 1.2, len(profits)))
+        return cash + np.cumsum(x), x, max(len(x) * 10 / 252, 0.01)
+    x = rng.choice(r, len(r)) if method == "bootstrap" else rng.normal(r.mean(), max(r.std(), 0.0001), len(r))
+    return cash * np.cumprod(1 + x), x, max(len(r) / 252, 0.01)
 
 
-def monte_carlo(curves: DataFrame, pnl: DataFrame | None = None, method: str = "bootstrap", sims: int = 1000, seed: int = 1, cash: float = 100_000.0, chunk: int = 100) -> DataFrame:
-    """symbol, sim, final return and largest drawdown of every simulation of every symbol.
+SIMULATED = "symbol string, sim long, final_equity double, max_drawdown double, sharpe double, annual_return double, win_rate double"
+
+
+def monte_carlo(curves: DataFrame, pnl: DataFrame | None = None, method: str = "shuffle", sims: int = 1000, seed: int = 1, cash: float = 100_000.0, chunk: int = 100) -> DataFrame:
+    """Final equity, largest drawdown, Sharpe ratio, annual return and win rate of every simulation of every symbol.
 
     curves: symbol, bar, equity (a sampled curve: at most about 1000 points a symbol); pnl: symbol, seq, pnl of the trades,
-    for the methods that resample trades.  Simulations are dealt in chunks over the cluster; each has its own seed.
+    for ``shuffle``.  Symbols without what a method needs give no rows.  Simulations are dealt in chunks over the cluster;
+    each has its own seed.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
@@ -270,27 +325,38 @@ def monte_carlo(curves: DataFrame, pnl: DataFrame | None = None, method: str = "
             rows = []
             for t in pdf.itertuples(index=False):
                 curve, profits = np.array(t.equity, float), np.array(t.pnl if t.pnl is not None else [], float)
-                r = np.diff(curve) / np.where(curve[:-1] != 0, curve[:-1], 1)
+                r = np.diff(curve) / np.where(curve[:-1] > 0, curve[:-1], np.inf)
+                if not len(profits if method == "shuffle" else r):
+                    continue
+                fitted = max(r.std(), 0.0001) if method == "parametric" else None
                 for i in range(t.first, min(t.first + chunk, sims)):
-                    e = np.concatenate([[cash], _path(method, r, profits, cash, np.random.default_rng([seed, i, zlib.crc32(t.symbol.encode())]))])
-                    rows.append((t.symbol, i, e[-1] / cash - 1, float((e / np.maximum.accumulate(e) - 1).min())))
-            yield pd.DataFrame(rows, columns=["symbol", "sim", "total_return", "max_drawdown"])
+                    e, x, years = _path(method, r, profits, cash, np.random.default_rng([seed, i, zlib.crc32(t.symbol.encode())]))
+                    peak, sd = np.maximum(np.maximum.accumulate(e), cash), x.std() if fitted is None else fitted
+                    mean = x.mean() if fitted is None else r.mean()
+                    grown = max(e[-1] / cash, 0.0)
+                    rows.append((t.symbol, i, e[-1], min(0.0, float((e / peak - 1).min())), mean / sd * math.sqrt(252) if sd > 0 else 0.0, grown ** (1 / years) - 1, float((x > 0).mean())))
+            yield pd.DataFrame(rows, columns=["symbol", "sim", "final_equity", "max_drawdown", "sharpe", "annual_return", "win_rate"])
 
-    return work.mapInPandas(run, "symbol string, sim long, total_return double, max_drawdown double")
+    return work.mapInPandas(run, SIMULATED)
 
 
-def monte_carlo_summary(sims: DataFrame) -> DataFrame:
-    """Mean, floor-rank percentiles, value at risk and its tail mean at 5 %, and the share ruined (drawdown below -50 %), by
-    symbol."""
+def monte_carlo_summary(sims: DataFrame, confidence: float = 0.95) -> DataFrame:
+    """By symbol: mean and median annual return, the confidence interval of return, drawdown and Sharpe ratio (floor-rank
+    percentiles), value at risk at 5 % and the mean of what is not above it, and the shares that profit and that are ruined
+    (a drawdown beyond 50 %)."""
     from pyspark.sql import Window as W
 
-    w = W.partitionBy("symbol")
-    n = sims.withColumns({"k": F.row_number().over(w.orderBy("total_return", "sim")) - 1, "n": F.count("*").over(w)})
-    at = lambda q: F.max(F.when(F.col("k") == F.floor(F.col("n") * q), F.col("total_return")))
-    return n.groupBy("symbol").agg(
-        F.avg("total_return").alias("mean"), *[at(q).alias(f"p{round(100 * q):02d}") for q in (0.05, 0.25, 0.5, 0.75, 0.95)], at(0.05).alias("var_95"),
-        F.avg(F.when(F.col("k") < F.floor(F.col("n") * 0.05), F.col("total_return"))).alias("cvar_95"), F.avg((F.col("max_drawdown") < -0.5).cast("double")).alias("ruin"),
+    w, tail = W.partitionBy("symbol"), (1 - confidence) / 2
+    of = {"return": "annual_return", "dd": "max_drawdown", "sharpe": "sharpe"}
+    n = sims.withColumns({f"_{k}": F.row_number().over(w.orderBy(c, "sim")) - 1 for k, c in of.items()} | {"_n": F.count("*").over(w) - 1})
+    at = lambda k, q: F.max(F.when(F.col(f"_{k}") == F.floor(F.col("_n") * q + 1e-9), F.col(of[k])))
+    g = n.withColumn("_var", F.max(F.when(F.col("_return") == F.floor(F.col("_n") * 0.05 + 1e-9), F.col("annual_return"))).over(w)).groupBy("symbol").agg(
+        F.count("*").alias("sims"), F.avg("annual_return").alias("mean_return"), *[at(k, 0.5).alias(f"median_{k}") for k in of],
+        *[at(k, q).alias(f"ci_{side}_{k}") for k in of for side, q in (("lower", tail), ("upper", 1 - tail))],
+        F.max("_var").alias("var_95"), F.avg(F.when(F.col("annual_return") <= F.col("_var"), F.col("annual_return"))).alias("cvar_95"),
+        F.avg((F.col("annual_return") > 0).cast("double")).alias("prob_profit"), F.avg((F.col("max_drawdown") < -0.5).cast("double")).alias("prob_ruin"),
     )
+    return g
 
 
 def with_config(config: Config, **changes) -> Config:
