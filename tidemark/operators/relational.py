@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,12 +28,20 @@ def latest(bars: DataFrame, k: int, until: str | None = None) -> DataFrame:
     return bars.withColumn("_k", F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("trade_date")))).filter(F.col("_k") <= k).drop("_k")
 
 
+def first_of(df: DataFrame, key: list[str]) -> DataFrame:
+    """Of rows of equal key the one whose other values come first, so that reruns agree."""
+    rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.distinct()
+    return df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_row")).select(*[F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in df.columns])
+
+
 def insert_or_ignore(target: DataFrame, new: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
     """The rows of new to append: the first of each key, by ``order``, that target does not have."""
     if order:
         new = new.withColumn("_k", F.row_number().over(W.partitionBy(*key).orderBy(*order))).filter("_k = 1").drop("_k")
     else:
-        new = new.dropDuplicates(key)
+        new = first_of(new, key)
     return new.join(target.select(*key), key, "left_anti")
 
 
@@ -76,35 +84,81 @@ def heikin_ashi_plan() -> Plan:
 def fifo(trades: DataFrame, key: str = "symbol") -> DataFrame:
     """Sells matched to earlier buys, first in first out, per key: a row for each matched piece with its profit.
 
-    trades: key, seq (order), direction (buy or sell), price, quantity.  The cumulated quantities of both sides are
-    intervals; a piece is an overlap of two.  The overlaps are found by a merge of both sides' breakpoints (windows over
-    the union), so no side is joined with the other.
+    trades: key, seq (order), direction (buy or sell), price, quantity, and, where there are such columns, commission and
+    stamp_tax, of which a sale's piece bears its share.  What a sale sells beyond the holdings is dropped, so the holdings
+    after each trade are the running sum of all quantities less its running minimum below zero.  The cumulated quantities of
+    the buys and of what the sales really sold are intervals; a piece is an overlap of two.  The overlaps are found by a
+    merge of both sides' breakpoints (windows over the union), so no side is joined with the other.
     """
-    w = W.partitionBy(key, "direction").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    t = trades.filter("quantity > 0").withColumn("hi", F.sum("quantity").over(w))
-    points = t.select(key, "direction", "price", "seq", F.col("hi").alias("at"))
-    b = W.partitionBy(key).orderBy("at", F.desc("direction"), "seq")
-    forward = b.rowsBetween(0, W.unboundedFollowing)
-    side = lambda d, c: F.first(F.when(F.col("direction") == d, F.col(c)), ignorenulls=True).over(forward)
+    run = W.partitionBy(key).orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    cost = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in ("commission", "stamp_tax") if c in trades.columns), F.lit(0.0))
+    t = trades.filter("quantity > 0").select(key, "seq", "direction", "price", "quantity", (cost / F.col("quantity")).alias("cost"))
+    t = t.withColumn("sum", F.sum(F.when(F.col("direction") == "buy", F.col("quantity")).otherwise(-F.col("quantity"))).over(run))
+    t = t.withColumn("held", F.col("sum") - F.least(F.min("sum").over(run), F.lit(0.0)))
+    before = F.coalesce(F.lag("held").over(W.partitionBy(key).orderBy("seq")), F.lit(0.0))
+    t = t.withColumn("moved", F.when(F.col("direction") == "buy", F.col("quantity")).otherwise(before - F.col("held"))).filter("moved > 0")
+    side = W.partitionBy(key, "direction").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    points = t.select(key, "direction", "price", "cost", "seq", F.sum("moved").over(side).alias("at"))
+    #: The next breakpoint of each side; in reversed order, where the frame only grows.
+    back = W.partitionBy(key).orderBy(F.desc("at"), "direction", F.desc("seq"))
+    ahead = lambda d, c: F.last(F.when(F.col("direction") == d, F.col(c)), ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, 0))
     cut = points.withColumns({
-        "from": F.coalesce(F.lag("at").over(b), F.lit(0.0)), "buy_price": side("buy", "price"), "buy_seq": side("buy", "seq"),
-        "sell_price": side("sell", "price"), "sell_seq": side("sell", "seq"),
+        "from": F.coalesce(F.lead("at").over(back), F.lit(0.0)), **{f"{d}_{c}": ahead(d, c) for d in ("buy", "sell") for c in ("price", "seq")}, "sell_cost": ahead("sell", "cost"),
     })
     cut = cut.withColumn("quantity", F.col("at") - F.col("from")).filter("quantity > 0 AND buy_seq IS NOT NULL AND sell_seq IS NOT NULL")
-    return cut.select(key, "buy_seq", "sell_seq", "quantity", "buy_price", "sell_price", ((F.col("sell_price") - F.col("buy_price")) * F.col("quantity")).alias("pnl"))
+    return cut.select(key, "buy_seq", "sell_seq", "quantity", "buy_price", "sell_price", ((F.col("sell_price") - F.col("buy_price") - F.col("sell_cost")) * F.col("quantity")).alias("pnl"))
+
+
+def fifo_summary(trades: DataFrame, key: str = "symbol") -> DataFrame:
+    """Of each key: trades, sells, wins, losses, win_rate (per cent of all sells, unmatched ones too), pnl, avg_win, avg_loss,
+    max_win, max_loss and profit_factor; what there is none of is 0."""
+    per_sell = fifo(trades, key).groupBy(key, "sell_seq").agg(F.sum("pnl").alias("p"))
+    p, zero = F.col("p"), F.lit(0.0)
+    done = per_sell.groupBy(key).agg(
+        F.count_if(p > 0).alias("wins"), F.count_if(p < 0).alias("losses"), F.sum("p").alias("pnl"), F.sum(F.when(p > 0, p)).alias("gain"), F.sum(F.when(p < 0, p)).alias("loss"),
+        F.greatest(F.max("p"), zero).alias("max_win"), F.least(F.min("p"), zero).alias("max_loss"),
+    )
+    all_ = trades.groupBy(key).agg(F.count("*").alias("trades"), F.count_if(F.col("direction") != "buy").alias("sells"))
+    whole = all_.join(done, key, "left").na.fill(0)
+    share = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b).cast("double"), zero), zero)
+    return whole.select(
+        key, "trades", "sells", "wins", "losses", (100 * share("wins", "sells")).alias("win_rate"), "pnl", share("gain", "wins").alias("avg_win"), share("loss", "losses").alias("avg_loss"),
+        "max_win", "max_loss", F.when(F.abs("loss") > 1e-9, F.abs(F.col("gain") / F.col("loss"))).otherwise(0.0).alias("profit_factor"),
+    )
+
+
+def with_stock(rows: DataFrame, stocks: DataFrame, key: str = "symbol") -> DataFrame:
+    """Trades or alert rules with the columns of their stock; rows of unknown stocks stay."""
+    return rows.join(stocks, key, "left")
 
 
-def fifo_summary(matched: DataFrame, key: str = "symbol") -> DataFrame:
-    per_sell = matched.groupBy(key, "sell_seq").agg(F.sum("pnl").alias("pnl"))
-    return per_sell.groupBy(key).agg(F.count("*").alias("sells"), F.sum("pnl").alias("pnl"), (100 * F.avg((F.col("pnl") > 0).cast("double"))).alias("win_rate"))
+def members(items: DataFrame, stocks: DataFrame, bars: DataFrame) -> DataFrame:
+    """The stocks of watchlists (items: list, symbol) with their number of bars and date range.  Bars are looked at only of
+    stocks that are on a list, and aggregated before the join."""
+    wanted = items.select("symbol").distinct()
+    return items.join(summary(stocks.join(wanted, "symbol", "left_semi"), bars.join(wanted, "symbol", "left_semi")), "symbol")
+
+
+def lists(watchlists: DataFrame, items: DataFrame) -> DataFrame:
+    """Watchlists (list, name) with their number of members."""
+    return watchlists.join(items.groupBy("list").agg(F.count("*").alias("members")), "list", "left").withColumn("members", F.coalesce("members", F.lit(0).cast("long")))
+
+
+def counts(**tables: DataFrame) -> DataFrame:
+    """The number of rows of each table: name, rows."""
+    parts = [t.groupBy().agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows") for n, t in tables.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 # --- alerts
 
 def price_hit(params: Column) -> Column:
-    up = F.get_json_object(params, "$.direction") == "above"
-    level = F.get_json_object(params, "$.price").cast("double")
-    return F.when(up, F.col("close") >= level).otherwise(F.col("close") <= level)
+    way = F.coalesce(F.get_json_object(params, "$.direction"), F.lit("above"))
+    level = F.get_json_object(params, "$.price").try_cast("double")
+    return F.when(way == "above", F.col("close") > level).when(way == "below", F.col("close") < level)
 
 
 def check_alerts(rules: DataFrame, bars: DataFrame, day: str) -> DataFrame:
@@ -113,21 +167,22 @@ def check_alerts(rules: DataFrame, bars: DataFrame, day: str) -> DataFrame:
     rules: rule_id, symbol, condition_type, params (JSON), enabled, last_triggered.  Only the last 100 bars until the day
     of the symbols with enabled rules are looked at.
     """
-    live = rules.filter(F.col("enabled") & (F.col("last_triggered").isNull() | (F.col("last_triggered") < F.lit(day).cast("date"))))
+    live = rules.filter(F.col("enabled") & ~F.col("last_triggered").eqNullSafe(F.lit(day).cast("date")))
     recent = latest(bars.join(live.select("symbol").distinct(), "symbol", "left_semi"), 100, day)
     series = recent.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("trade_date", "close", "volume"))).alias("b"))
     at = live.join(series, "symbol").withColumns({"n": F.size("b"), "close": F.element_at("b", -1)["close"], "volume": F.element_at("b", -1)["volume"]})
-    number = lambda k, default: F.coalesce(F.get_json_object("params", f"$.{k}").cast("int"), F.lit(default))
+    number = lambda k, default: F.coalesce(F.get_json_object("params", f"$.{k}").try_cast("int"), F.lit(default))
 
     def mean(field: str, n: Column, back: int) -> Column:
-        part = F.transform(F.slice("b", F.greatest(F.col("n") - back - n + 1, F.lit(1)), n), lambda x: x[field])
-        return F.when(F.col("n") >= n + back, F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / n)
+        part = F.transform(F.slice("b", F.greatest(F.col("n") - back - n + 1, F.lit(1)), F.greatest(n, F.lit(0))), lambda x: x[field])
+        return F.when((F.col("n") >= n + back) & (n > 0), F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / n)
 
     short, long, look = number("short_period", 5), number("long_period", 20), number("lookback", 20)
     now, before = mean("close", short, 0) - mean("close", long, 0), mean("close", short, 1) - mean("close", long, 1)
-    golden = F.coalesce(F.get_json_object("params", "$.direction"), F.lit("golden")) == "golden"
-    cross = F.when(golden, (before <= 0) & (now > 0)).otherwise((before >= 0) & (now < 0))
-    spike = F.col("volume") > F.coalesce(F.get_json_object("params", "$.multiplier").cast("double"), F.lit(2.0)) * mean("volume", look, 1)
+    way = F.coalesce(F.get_json_object("params", "$.direction"), F.lit("golden"))
+    cross = (short < long) & F.when(way == "golden", (before <= 0) & (now > 0)).when(way == "dead", (before >= 0) & (now < 0))
+    usual = mean("volume", look, 1)
+    spike = (usual > 0) & (F.col("volume") > F.coalesce(F.get_json_object("params", "$.multiplier").try_cast("double"), F.lit(2.0)) * usual)
     kind = F.col("condition_type")
     fired = F.when(kind == "price_breakout", price_hit(F.col("params"))).when(kind == "ma_cross", cross).when(kind == "volume_spike", spike)
     return at.filter(F.coalesce(fired, F.lit(False))).select("rule_id", "symbol", "condition_type", F.element_at("b", -1)["trade_date"].alias("trade_date"), "close")
@@ -168,13 +223,25 @@ def spearman(df: DataFrame, x: str, y: str, key: str = "symbol") -> DataFrame:
     """Rank correlation; ties get their average rank."""
     rank = lambda c: F.rank().over(W.partitionBy(key).orderBy(c)) + (F.count("*").over(W.partitionBy(key, c)) - 1) / 2
     r = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, rank(x).alias("a"), rank(y).alias("b"))
-    return r.groupBy(key).agg(F.coalesce(F.corr("a", "b"), F.lit(0.0)).alias("spearman"))
+    return r.groupBy(key).agg(F.coalesce(F.covar_pop("a", "b") / F.nullif(F.stddev_pop("a") * F.stddev_pop("b"), F.lit(0.0)), F.lit(0.0)).alias("spearman"))
 
 
 # --- exports
 
 def to_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Delimited text; every file has a header that starts with a byte order mark, for spreadsheets."""
+    head = [F.col(c).alias(("\ufeff" if i == 0 else "") + c) for i, c in enumerate(df.columns)]
+    df.select(*head).write.mode("overwrite").option("header", True).csv(path)
+
+
+def backup(path: str, **tables: DataFrame) -> None:
+    """Every table as Parquet below a folder."""
+    for name, t in tables.items():
+        t.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def restore(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{name}")
 
 
 def report(rows: pd.DataFrame, title: str) -> str:

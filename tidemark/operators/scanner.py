@@ -1,9 +1,10 @@
 """Market scan: a predicate tree over the last bar of every symbol, scored and sorted.
 
 A node is a dict: ``{"op": "AND" | "OR", "children": [...]}``, ``{"op": "COMPARE", "indicator", "params", "compare": ">" | "<" |
-">=" | "<=" | "==", "value"}`` or ``{"op": "CROSS", "indicator", "params", "value"}``.  The tree is compiled once; equal
-indicators share their columns; only the last bar of each symbol is kept.  COMPARE looks at an indicator's first output.
-CROSS is true where output 0 crosses output 1 upwards, or the only output crosses ``value``.
+">=" | "<=" | "==" | "!=", "value"}`` or ``{"op": "CROSS", "indicator", "params", "value", "compare": "above" | "below"}``.  The
+tree is compiled once; equal indicators share their columns; only the last bar of each symbol is kept.  COMPARE looks at an
+indicator's first output.  CROSS is true where output 0 crosses output 1, or the only output crosses ``value``.  Equality and a
+crossed value score 1.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from ..plans.staged import Plan
 from .indicators import REGISTRY, add
 
 TOLERANCE = 1e-6
+COMPARISONS = {">": ">", "gt": ">", "<": "<", "lt": "<", ">=": ">=", "gte": ">=", "<=": "<=", "lte": "<="}
 
 
 def _outputs(p: Plan, node: dict) -> list[str]:
@@ -49,13 +51,21 @@ def compile_node(p: Plan, node: dict) -> tuple[str, str]:
     lines = _outputs(p, node)
     value = float(node.get("value") or 0.0)
     t = f"{value!r}e0"
+    way = str(node.get("compare") or "above").lower()
     if op == "COMPARE":
         x = lines[0]
-        test = f"abs({x} - {t}) <= {TOLERANCE!r}" if node["compare"] in ("==", "=") else f"{x} {node['compare']} {t}"
-        return p.c(f"CASE WHEN {test} THEN 1 ELSE 0 END"), p.c(f"abs({x} - {t}) / {max(value, TOLERANCE)!r}e0")
+        near = f"abs({x} - {t}) < {TOLERANCE!r}"
+        if way in ("==", "=", "eq", "!=", "ne"):
+            return p.c(f"CASE WHEN {near if way in ('==', '=', 'eq') else f'NOT ({near})'} THEN 1 ELSE 0 END"), p.c("1.0")
+        if way not in COMPARISONS:
+            raise ValueError(f"unknown comparison {way!r}")
+        return p.c(f"CASE WHEN {x} {COMPARISONS[way]} {t} THEN 1 ELSE 0 END"), p.c(f"abs({x} - {t}) / {max(value, TOLERANCE)!r}e0")
     if op == "CROSS":
+        if way not in ("above", "up", "below", "down"):
+            raise ValueError(f"unknown direction {way!r}")
         x, y = (lines[0], lines[1]) if len(lines) > 1 else (lines[0], p.c(f"{lines[0]} * 0 + {t}"))
-        return p.c(f"CASE WHEN {p.lag(x)} <= {p.lag(y)} AND {x} > {y} THEN 1 ELSE 0 END"), p.c(f"abs({x} - {y}) / greatest(abs({y}), {TOLERANCE!r})")
+        before, now = ("<=", ">") if way in ("above", "up") else (">=", "<")
+        return p.c(f"CASE WHEN {p.lag(x)} {before} {p.lag(y)} AND {x} {now} {y} THEN 1 ELSE 0 END"), p.c(f"abs({x} - {y}) / greatest({y}, {TOLERANCE!r})" if len(lines) > 1 else "1.0")
     raise ValueError(f"unknown node {op!r}")
 
 

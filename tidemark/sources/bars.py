@@ -41,14 +41,18 @@ def _bars(ticks: DataFrame) -> DataFrame:
 
 SQL_ORDERS = """SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS trade_date, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high,
 min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close, CAST(count(*) AS DOUBLE) AS volume, sum(o_totalprice) AS amount, count(*) / 20.0::DOUBLE AS turnover FROM orders GROUP BY 1, 2"""
+SQL_CUSTOMERS = """SELECT 'C' || lpad(CAST(o_custkey % 64 AS VARCHAR), 3, '0') AS symbol, CAST(o_orderdate AS DATE) AS trade_date, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high,
+min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close, CAST(count(*) AS DOUBLE) AS volume, sum(o_totalprice) AS amount, count(*) / 20.0::DOUBLE AS turnover FROM orders GROUP BY 1, 2"""
 SQL_EVENTS = """SELECT event_type AS symbol, date_trunc('hour', ts) AS trade_date, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low,
 arg_max(value, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume, sum(value) AS amount, count(*) / 20.0::DOUBLE AS turnover FROM events GROUP BY 1, 2"""
 
 
 def clean(bars: DataFrame) -> DataFrame:
     """NaN becomes NULL; one row a key is kept, the first by its values."""
+    from ..operators.relational import first_of
+
     values = {c: F.when(~F.isnan(c), F.col(c)) for c in VALUES if c in bars.columns}
-    return bars.withColumns(values).dropDuplicates(["symbol", "trade_date"])
+    return first_of(bars.withColumns(values), ["symbol", "trade_date"])
 
 
 def resample(bars: DataFrame, to: str) -> DataFrame:

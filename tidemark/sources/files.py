@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,9 +43,14 @@ def read_csv(spark: SparkSession, path: str, symbol: str | None = None) -> DataF
     fields, or without a date (the header), are left out; a number that cannot be read is 0."""
     lines = spark.read.text(path)
     first = lines.first()
-    at = columns_of(first["value"] if first else "")
     name = F.lit(symbol) if symbol else F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1)
-    fields = lines.select(name.alias("symbol"), F.transform(F.split("value", ","), lambda x: F.btrim(x, F.lit(' "\r'))).alias("f")).filter(F.size("f") >= 6)
+    return csv_lines(lines.select(name.alias("symbol"), "value"), first["value"] if first else "")
+
+
+def csv_lines(lines: DataFrame, header: str) -> DataFrame:
+    """Bars of lines (symbol, value) under a header."""
+    at = columns_of(header)
+    fields = lines.select("symbol", F.transform(F.split("value", ","), lambda x: F.btrim(x, F.lit(' "\r'))).alias("f")).filter(F.size("f") >= 6)
     number = lambda k: F.coalesce(F.get("f", F.lit(at[k])).try_cast("double"), F.lit(0.0))
     rows = fields.select("symbol", day(F.get("f", F.lit(at["date"]))).alias("trade_date"), *[number(k).alias(k) for k in ("open", "high", "low", "close", "volume", "amount")], F.lit(None).cast("double").alias("turnover"))
     return rows.filter("trade_date IS NOT NULL")
@@ -53,7 +59,27 @@ def read_csv(spark: SparkSession, path: str, symbol: str | None = None) -> DataF
 def read_day_files(spark: SparkSession, path: str) -> DataFrame:
     """Bars of binary day files (``sh600519.day``) below a folder: symbol is exchange and code; prices are stored x 100.  A
     file whose size is no multiple of 32 is an error; records before 1990 are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.day").load(path).select("path", "content")
+    return day_records(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.day").load(path).select("path", "content"))
+
+
+def to_day_records(bars: DataFrame) -> DataFrame:
+    """path and content of a binary day file for each symbol, as ``day_records`` reads them; prices keep two places.  A file
+    holds one symbol's whole history, so a symbol is written by one task."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("trade_date")
+        r = np.zeros(len(pdf), DAY_RECORD)
+        r["date"] = pd.to_datetime(pdf["trade_date"]).dt.strftime("%Y%m%d").astype(int)
+        for k in ("open", "high", "low", "close"):
+            r[k] = (pdf[k] * 100).round()
+        r["amount"], r["volume"] = pdf["amount"], pdf["volume"]
+        return pd.DataFrame({"path": [f"{pdf['symbol'].iloc[0].lower()}.day"], "content": [r.tobytes()]})
+
+    return bars.groupBy("symbol").applyInPandas(one, "path string, content binary")
+
+
+def day_records(files: DataFrame) -> DataFrame:
+    """Bars of binary day files, given as path and content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
