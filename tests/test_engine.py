@@ -65,7 +65,7 @@ def test_rsi_macd_atr(sine):
     for u, d in zip(up[14:], down[14:], strict=True):
         a, b = (a * 13 + u) / 14, (b * 13 + d) / 14
         want.append(100 - 100 / (1 + a / b))
-    assert np.allclose(column(got, "rsi")[14:], want)
+    assert np.allclose(column(got, "rsi")[15:], want[1:]) and np.isnan(column(got, "rsi")[:15]).all()
     tr = np.concatenate([[high[0] - low[0]], np.maximum.reduce([high[1:] - low[1:], abs(high[1:] - close[:-1]), abs(low[1:] - close[:-1])])])
     y = tr[:14].mean()
     for t in tr[14:]:
@@ -76,7 +76,7 @@ def test_rsi_macd_atr(sine):
 
 def test_every_indicator_gives_values(sine):
     df, _ = sine
-    short = {n: {"period": 40} for n in ("hurst", "vfi", "fib_retracement")} | {"volume_osc": {}}
+    short = {n: {"period": 40} for n in ("hurst", "vfi", "fib_retracement")}
     got = indicators.apply(df, {n: short.get(n, {}) for n in indicators.REGISTRY}).toPandas()
     empty = [c for c in got.columns if got[c].isna().all()]
     assert set(empty) <= {"sr_detect_spike"}
@@ -150,10 +150,12 @@ def test_simulation_by_hand():
     close = np.array([10.0, 11.0, 12.0])
     equity, trades = backtest.simulate(close, close, np.array([1, 0, -1]), backtest.Config())
     shares = 100_000 / 1.0003 / (10 * 1.001)
-    income = shares * 12 * 0.999 * (1 - 0.0013)
-    assert np.isclose(equity[-1], income) and len(trades) == 1 and np.isclose(trades[0][5], income - 100_000)
+    value = shares * 12 * 0.999
+    assert np.isclose(equity[-1], value * (1 - 0.0013)) and len(trades) == 1 and np.isclose(trades[0][5], value * (1 - 0.0013) - shares * 10 * 1.001)
+    late, _ = backtest.simulate(close, close, np.array([0, 0, 1]), backtest.Config())
+    assert np.isclose(late[-1], 100_000 / 1.0003 / 1.001 * 0.999 * (1 - 0.0013))
     m = backtest.metrics(np.array([100000, 102000, 98000, 95000, 97000, 103000, 108000.0]), [], 100000)
-    assert np.isclose(m["max_drawdown"], (95000 - 102000) / 102000)
+    assert np.isclose(m["max_drawdown"], (95000 - 102000) / 102000) and m["max_drawdown_bars"] == 3
 
 
 def test_strategies_and_search(sine):
@@ -171,14 +173,22 @@ def test_strategies_and_search(sine):
 
 def test_walk_forward_and_monte_carlo(spark, sine):
     df, _ = sine
-    found = backtest.walk_forward(df, "ma_cross", {"fast": [3], "slow": [10]}, 60, 30, 30)
+    found = backtest.walk_forward(df, "ma_cross", {"fast": [3, 5], "slow": [10]}, 60, 30, 30)
     assert found.count() == len(backtest.windows(160, 60, 30, 30))
+    rows, s = found.toPandas(), backtest.walk_forward_summary(found).first()
+    fast = np.array([p["fast"] for p in rows["params"]])
+    assert np.isclose(s["variation"], fast.std() / fast.mean() / 2) and np.isclose(s["out_sharpe"], rows["out_sharpe"].mean()) and s["grade"] in ("excellent", "good", "fair", "warning")
     curves = spark.createDataFrame([("A", i, v) for i, v in enumerate([100.0, 101.0, 99.0, 103.0])], "symbol string, bar long, equity double")
     pnl = spark.createDataFrame([("A", 1, 5.0), ("A", 2, -3.0)], "symbol string, seq long, pnl double")
     for method in backtest.METHODS:
         a, b = (sorted(backtest.monte_carlo(curves, pnl, method, 50, chunk=c).collect()) for c in (7, 100))
-        assert a == b and len(a) == 50
-    assert backtest.monte_carlo_summary(backtest.monte_carlo(curves, sims=50)).first()["p50"] is not None
+        assert a == b and len(a) == 50 and all(r["max_drawdown"] <= 0 for r in a)
+    sims = backtest.monte_carlo(curves, pnl, "bootstrap", 50)
+    x = np.sort(sims.toPandas()["annual_return"])
+    m = backtest.monte_carlo_summary(sims).first()
+    assert m["median_return"] == x[24] and m["var_95"] == x[2] and np.isclose(m["cvar_95"], x[x <= x[2]].mean()) and m["ci_lower_return"] == x[1] and np.isclose(m["prob_profit"], (x > 0).mean())
+    shuffled = backtest.monte_carlo(curves, pnl, "shuffle", 200).toPandas()
+    assert shuffled["final_equity"].between(100_000 + 5 * 0.8 - 3 * 1.2, 100_000 + 5 * 1.2 - 3 * 0.8).all()
 
 
 def test_scanner(spark, ten):
@@ -186,6 +196,10 @@ def test_scanner(spark, ten):
     row = scanner.scan(ten, tree).first()
     a, b = (11.05 - 10) / 10, (20 - (10.85 + 10.55 + 11.05) / 3) / 20
     assert np.isclose(row["score"], max(min(a, b), 1) * (a + b) / 20)
+    cross = lambda way, value: scanner.scan(ten, {"op": "CROSS", "indicator": "close", "compare": way, "value": value}).collect()
+    assert cross("above", 10.8)[0]["score"] == 1 and not cross("below", 10.8) and not cross("above", 10.0)
+    equal = {"op": "OR", "children": [{"op": "COMPARE", "indicator": "close", "compare": "==", "value": 11.05}, {"op": "COMPARE", "indicator": "close", "compare": "!=", "value": 11.05}]}
+    assert scanner.scan(ten, equal).first()["score"] == 1
     with pytest.raises(ValueError):
         scanner.scan(ten, {"op": "COMPARE", "indicator": "nothing", "compare": ">", "value": 1})
 
@@ -195,7 +209,7 @@ def test_script(ten):
     close = np.array([r[3] for r in TEN])
     assert np.allclose(column(got, "prev")[1:], close[:-1]) and np.allclose(column(got, "z"), -2)
     assert np.allclose(column(got, "y")[1:], (np.diff(close) > 0).astype(float))
-    for bad in ("plot x = ;", "plot x = nothing(close);", "plot x = zz;", "x: sma(close);", "x: (close;"):
+    for bad in ("plot x = ;", "plot x = nothing(close);", "plot x = zz;", "x: ref(close);", "x: (close;"):
         with pytest.raises(ScriptError):
             execute(ten, bad)
     s = signals(ten, "buy_now: close > open; exit_now: close < open;").orderBy("trade_date").toPandas()
@@ -220,10 +234,35 @@ def test_ingest_and_quality(spark, ten):
 
 def test_fifo(spark):
     t = spark.createDataFrame([("A", 1, "buy", 10.0, 100.0), ("A", 2, "buy", 12.0, 100.0), ("A", 3, "sell", 15.0, 150.0), ("A", 4, "sell", 9.0, 100.0)], "symbol string, seq long, direction string, price double, quantity double")
-    got = relational.fifo_summary(relational.fifo(t)).first()
+    got = relational.fifo_summary(t).first()
     assert np.isclose(got["pnl"], 100 * 5 + 50 * 3 + 50 * -3) and got["sells"] == 2 and got["win_rate"] == 50
 
 
+def test_fifo_against_a_queue(spark):
+    rng = np.random.default_rng(4)
+    rows = [(s, i, "buy" if rng.random() < 0.5 else "sell", float(rng.integers(5, 20)), float(rng.integers(1, 9)), float(rng.integers(0, 3)), 0.5) for s in "ABC" for i in range(60)]
+    t = spark.createDataFrame(rows, "symbol string, seq long, direction string, price double, quantity double, commission double, stamp_tax double").repartition(3)
+    got = {r["symbol"]: r for r in relational.fifo_summary(t).collect()}
+    for s in "ABC":
+        queue, profits = [], []
+        for _, _, way, price, q, fee, tax in (r for r in rows if r[0] == s):
+            if way == "buy":
+                queue.append([price, q])
+                continue
+            left, p = q, 0.0
+            while left > 0 and queue:
+                part = min(left, queue[0][1])
+                p += (price - queue[0][0]) * part - (fee + tax) * part / q
+                left -= part
+                queue[0][1] -= part
+                if queue[0][1] <= 0:
+                    queue.pop(0)
+            profits.append(p)
+        r, x = got[s], np.array(profits)
+        assert np.isclose(r["pnl"], x.sum()) and r["sells"] == len(x) and r["wins"] == (x > 0).sum() and np.isclose(r["max_win"], x.max()) and np.isclose(r["avg_loss"], x[x < 0].mean())
+        assert np.isclose(r["profit_factor"], x[x > 0].sum() / -x[x < 0].sum())
+
+
 def test_alerts(spark, ten):
     rows = [(1, "A", "price_breakout", '{"direction":"above","price":11}', True, None), (2, "A", "price_breakout", '{"direction":"below","price":11}', True, None), (3, "A", "volume_spike", '{"multiplier":1.0,"lookback":5}', True, None), (4, "A", "price_breakout", '{"direction":"above","price":1}', True, DAY + dt.timedelta(days=9))]
     rules = spark.createDataFrame(rows, "rule_id int, symbol string, condition_type string, params string, enabled boolean, last_triggered date")
@@ -233,9 +272,34 @@ def test_alerts(spark, ten):
 def test_distribution(ten):
     v = distribution.volume_profile(ten, 5).toPandas()
     assert np.isclose(v["volume"].sum(), sum(r[4] for r in TEN)) and v["is_poc"].sum() == 1
-    chips, frames = distribution.cost_distribution(ten).toPandas(), distribution.moving_distribution(ten, 1000).toPandas()
-    want = sum(r[4] * 0.95 ** (9 - i) for i, r in enumerate(TEN))
-    assert np.isclose(chips["chips"].sum(), want) and np.isclose(frames["chips"].sum(), want)
+    assert distribution.volume_profile(ten.withColumn("close", ten["open"] * 0 + 1), 5).count() == 0
+    d = pd.DataFrame(TEN, columns=["open", "high", "low", "close", "volume"])
+    left = d.volume * 0.95 ** np.arange(9, -1, -1)
+    step = (d.high.max() - d.low.min()) / 100
+    level = np.minimum(np.floor((d.close - d.low.min()) / step), 99).astype(int)
+    want = 100 * np.bincount(level, left, 100) / left.sum()
+    chips = distribution.cost_distribution(ten)
+    got = chips.orderBy("level").toPandas()
+    assert len(got) == 100 and np.allclose(got["chips"], want) and np.allclose(got["price"], d.low.min() + step * (np.arange(100) + 0.5))
+    cost = (d.close * d.volume).sum() / d.volume.sum()
+    p = distribution.profit_ratio(chips, ten).first()
+    assert np.isclose(p["avg_cost"], cost) and np.isclose(p["weighted_avg_cost"], (got["price"] * want).sum() / 100) and np.isclose(p["profit_pct"], want[got["price"] < d.close.iloc[-1]].sum())
+    moving = distribution.moving_distribution(ten, 3).orderBy("trade_date").toPandas()
+    assert len(moving) == 3 and np.isclose(moving["avg_cost"].iloc[-1], cost) and np.isclose(moving["weighted_avg_cost"].iloc[-1], p["weighted_avg_cost"])
+    before = distribution.cost_distribution(ten.filter(f"trade_date < DATE '{DAY + dt.timedelta(days=9)}'")).toPandas()
+    assert np.isclose(moving["weighted_avg_cost"].iloc[-2], (before["price"] * before["chips"]).sum() / 100)
+    assert distribution.historical_frames(ten).count() == 0
+    c = distribution.concentration(chips).first()
+    top = np.sort(want)[::-1]
+    assert np.isclose(c["cr5"], top[:5].sum()) and np.isclose(c["trend"], (want**2).sum() / 100)
+
+
+def test_historical_frames(sine):
+    df, rows = sine
+    got = distribution.historical_frames(df, 8).toPandas()
+    assert len(got) == 800 and sorted(got["ago"].unique()) == [160 - 20 * k for k in range(8, 0, -1)]
+    last, whole = got[got["ago"] == 0].sort_values("level"), distribution.cost_distribution(df).orderBy("level").toPandas()
+    assert np.allclose(last["chips"], whole["chips"]) and np.allclose(last["price"], whole["price"])
 
 
 def test_risk_and_statistics(ten):
@@ -243,25 +307,66 @@ def test_risk_and_statistics(ten):
     close = np.array([x[3] for x in TEN])
     x = np.diff(np.log(close))
     m = risk.metrics(r).first()
-    assert np.isclose(m["annual_return"], x.mean() * 252) and np.isclose(m["volatility"], x.std() * math.sqrt(252)) and np.isclose(m["var"], np.sort(x)[0])
+    assert np.isclose(m["annual_return"], x.mean() * 252) and np.isclose(m["volatility"], x.std() * math.sqrt(252)) and np.isclose(m["var_95"], np.sort(x)[0]) and np.isclose(m["total_return"], np.prod(1 + x) - 1)
     s = relational.statistics(ten, "close").first()
     assert np.isclose(s["std"], close.std(ddof=1)) and np.isclose(s["skew"], pd.Series(close).skew()) and np.isclose(s["kurtosis"], pd.Series(close).kurt())
     assert np.isclose(relational.spearman(ten, "close", "close").first()["spearman"], 1)
-    assert np.isclose(risk.max_drawdown(ten).first()["max_drawdown"], (close / np.maximum.accumulate(close) - 1).min())
+    assert np.isclose(risk.max_drawdown(ten).first()["max_drawdown"], (1 - close / np.maximum.accumulate(close)).max())
 
 
 def test_search():
     rng = np.random.default_rng(1)
     r = rng.normal(0.001, 0.01, (200, 5))
+    cov, mean = np.cov(r.T), r.mean(axis=0)
     for s in search.WEIGHTS:
-        assert search.weights(r, s).min() >= 0
-    assert len(search.pool(r, 3)) == 3 and len(search.diverse_pools(r, 2, 2)) == 2
+        w = search.weights(cov, mean, s)
+        assert w.min() >= 0 and (s == "min_variance" or np.isclose(w.sum(), 1))
+    part = r[:140]
+    w = search.weights(np.cov(part.T), part.mean(axis=0), "risk_parity")
+    assert np.isclose(search.projected_sharpe(r, "risk_parity"), (part @ w).mean() / (part @ w).std(ddof=1) * 252**0.5)
+    assert search.projected_sharpe(r[:59], "risk_parity") is None and search.projected_sharpe(r[:, :1], "risk_parity") is None
+    assert len(search.pool(r, 3)) == 3 and [len(p) for p, _, _ in search.diverse_pools(r, 2, 2)] == [2, 2]
     assert search.inverse(np.ones((2, 2))) is None
-    meta = search.MetaSearch()
-    for _ in range(20):
-        meta.record(meta.select(), 0.5)
-    assert meta.top()[1] == 0.5 and len(meta.nodes) == 270
-    assert search.mars(r, np.arange(200) % 2).keys() == {0, 1}
+    m = search.correlation(r)
+    root = search.loewdin(m)
+    assert np.allclose(root @ root, m)
+    meta, seen = search.MetaSearch(), []
+    for k in range(30):
+        node = meta.select()
+        seen.append(tuple(node.values()))
+        meta.record(node, float(k))
+    assert meta.best()[1] == 29.0 and len(meta.nodes) == 270 and len(set(seen)) == 30 and seen[:10] == [tuple(n.values()) for n in meta.nodes[:10]]
+    current, best, sizes = search.mars(np.arange(200) % 2, {"up": np.where(np.arange(200) % 2, 0.02, -0.02), "down": np.where(np.arange(200) % 2, -0.02, 0.02)})
+    assert current == 1 and best == {0: "down", 1: "up"} and sizes == {0: 100, 1: 100}
+
+
+def test_regime_features(spark):
+    """The mean correlation of all pairs without pairs."""
+    rng = np.random.default_rng(2)
+    r = rng.normal(0, 0.01, (90, 6))
+    r[:, 5] = 0.0
+    rows = [(f"s{j}", DAY + dt.timedelta(days=i), float(r[i, j])) for i in range(90) for j in range(6)] + [("s0", DAY + dt.timedelta(days=95), 0.5)]
+    got = search.regime_features(spark.createDataFrame(rows, "symbol string, trade_date date, r double")).orderBy("trade_date").toPandas()
+    assert len(got) == 90
+    for i in (1, 5, 30, 89):
+        w = pd.DataFrame(r[max(0, i - 19) : i + 1])
+        c = w.corr().fillna(0.0).to_numpy()
+        assert np.isclose(got["mean_corr"][i], c[np.triu_indices(6, 1)].mean()) and np.isclose(got["cs_vol"][i], w.std(ddof=0).mean() * 252**0.5) and np.isclose(got["dispersion"][i], w.std(axis=1, ddof=0).mean())
+    m = r.mean(axis=1)
+    value = np.cumprod(1 + m)
+    assert np.isclose(got["trend"][89], m[30:].mean() / m[30:].std() * 252**0.5) and got["trend"][59] == 0 and np.isclose(got["drawdown"][89], value[89] / value.max() - 1)
+
+
+def test_pairs_are_those_of_pandas(spark):
+    rng = np.random.default_rng(5)
+    d = pd.DataFrame(rng.normal(100, 1, (40, 4)), columns=list("abcd"))
+    d.loc[3:9, "b"] = np.nan
+    d["d"] = 7.0
+    rows = [(c, DAY + dt.timedelta(days=i), float(v)) for c in d for i, v in enumerate(d[c]) if v == v] + [("e", DAY, 1.0)]
+    got = {(r["a"], r["b"]): r for r in risk.pairs(spark.createDataFrame(rows, "symbol string, trade_date date, r double").repartition(5), list("abcd")).collect()}
+    assert len(got) == 10 and got["d", "d"]["corr"] == 1 and got["a", "d"]["corr"] == 0
+    for x, y in (("a", "b"), ("a", "c"), ("b", "c"), ("b", "b")):
+        assert np.isclose(got[x, y]["corr"], d[x].corr(d[y])) and np.isclose(got[x, y]["cov"], d[x].cov(d[y])) and got[x, y]["n"] == (d[x].notna() & d[y].notna()).sum()
 
 
 def test_streaming(spark, tmp_path):

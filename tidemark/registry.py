@@ -11,6 +11,7 @@ from .operators import backtest, distribution, factors, indicators, patterns, re
 from .plans.staged import Plan, rounded
 from .script.compile import compile_script
 from .sources import bars as B
+from .sources import files
 from .streaming import bars as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,7 +54,10 @@ for _category in dict.fromkeys(c for c, _, _ in factors.REGISTRY.values()):
     _of_plan(f"factors_{_category}", factors.plan(factors.by_category(_category)))
 
 
-@query("indicator_range_stats")
+@query("indicator_range_stats", f"""WITH b AS (SELECT *, row_number() OVER w AS i, lag(close) OVER w AS c1 FROM ({B.SQL_ORDERS}) WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)),
+t AS (SELECT *, CASE WHEN i > 1 THEN greatest(high - low, abs(high - c1), abs(low - c1)) END AS tr FROM b WHERE i BETWEEN 100 AND 400),
+p AS (SELECT *, 1 - close / max(close) OVER (PARTITION BY symbol ORDER BY i) AS fall FROM t)
+SELECT symbol, {rounded('100 * (arg_max(close, i) / arg_min(close, i) - 1)')} AS pct_change, {rounded('100 * max(fall)')} AS max_drawdown, {rounded('avg(tr)')} AS mean_true_range FROM p GROUP BY symbol""")
 def _range(spark, d):
     return indicators.range_stats(B.bars_orders(spark, d), 100, 400).select("symbol", *_r("pct_change", "max_drawdown", "mean_true_range"))
 
@@ -98,9 +102,24 @@ let fast = sma(close, 5); let slow = sma(C, 20);
 plot golden = cross(fast, slow); plot dif = macd(close, 12, 26, 9).dif;
 TP: (high + low + close) / 3; PREV := close[1];
 up: if (close > prev) then 1 else 0; best: hhv(high, 10); since: barslast(golden); spread: bb_upper(close, 20, 2) - bb_lower(close, 20, 2);
-r: rsi(close, 14); z: zscore(close, 20) * -1; ok: every(close > 0, 5) and not (volume == 0); j: kdj_j(9, 3, 3);
+r: rsi(close, 14); z: zscore(close, 20) * -1; ok: every(close > 0, 5) and not (volume == 0); j: kdj_j(high, low, close, 9, 3, 3);
 """
 _of_plan("script", compile_script(SCRIPT))
+#: Every function of the language but ``filter``, which has no SQL form, and those of SCRIPT.
+FUNCTIONS_SCRIPT = """
+m1: ma(close, 7); m2: simple_ma(open, 3); e: ema(close, 12); w: wma(close, 9); rm: rma(close, 9); hm: hma(close, 16); sd: stdev(close, 10); sd2: std(close, 5);
+va: variance(close, 10); va2: var(close, 4); md: macd_dif(close); me: macd_dea(close); mh: macd_hist(close, 5, 10, 4); kk: kdj_k(high, low, close); kd: kdj_d(high, low, close, 5, 3, 3);
+cc: cci(high, low, close, 14); mf: mfi(14); at: atr(high, low, close, 14); ax: adx(14); bu: bbands_upper(close, 20, 2); bm: bb_middle(close, 20, 2); bn: bbands_middle(close, 10); bl: bbands_lower(close, 20, 2);
+ob: obv(close, volume); cu: cross_over(close, open); cd: crossunder(close, open); hi: highest(high, 9); lo: llv(low, 9); lw: lowest(low, 4); su: sum(volume, 6);
+bs: barssince(close > open); ct: count(close > open, 10); ex: exist(close > open, 3); ab: abs(close - open); mx: max(open, close); mn: min(open, close); pw: pow(close / 100000, 2);
+sq: sqrt(close); lg: log(close); ll: ln(close); xp: exp(close / 1000000); ro: round(close / 7); ce: ceil(close / 7); fl: floor(close / 7); sg: sign(close - open);
+si: sin(close / 1000); co: cos(close / 1000); ta: tan(close / 1000000); fi: iff(close > open, high, low); be: between(close, open, high); ra: range(close, low, high);
+rc: roc(close, 5); pr: percent_return(close, 3); dr: drawdown(close); sh: shift(close, 2);
+d1: cdl_doji(open, high, low, close); d2: cdl_hammer(open, high, low, close); d3: cdl_shooting_star(open, high, low, close); d4: cdl_marubozu(); d5: cdl_engulfing(open, high, low, close); d6: cdl_harami();
+d7: cdl_morning_star(); d8: cdl_evening_star(); d9: cdl_three_white_soldiers(); mo: volume % 7; xo: close > open xor volume > 5; ne: close <> open;
+"""
+_of_plan("script_functions", compile_script(FUNCTIONS_SCRIPT))
+_of_plan("script_filter", compile_script("once: filter(close > open, 5);"))
 _of_plan("heikin_ashi", relational.heikin_ashi_plan())
 
 
@@ -143,6 +162,68 @@ def _latest(spark, d):
     return relational.latest(B.bars_orders(spark, d), 100).select("symbol", "trade_date", "close")
 
 
+@query("bars_in_range", f"SELECT symbol, trade_date, close FROM ({B.SQL_ORDERS}) WHERE symbol = '2-HIGH' AND trade_date BETWEEN DATE '1994-01-01' AND DATE '1995-06-30' ORDER BY trade_date LIMIT 50000")
+def _in_range(spark, d):
+    return relational.in_range(B.bars_orders(spark, d), "2-HIGH", "1994-01-01", "1995-06-30", 50000).select("symbol", "trade_date", "close")
+
+
+@query("indicators_wide_universe", indicators.plan({"sma": {}, "rsi": {}, "macd": {}, "atr": {}, "obv": {}}).duck(B.SQL_CUSTOMERS))
+def _wide(spark, d):
+    return indicators.plan({"sma": {}, "rsi": {}, "macd": {}, "atr": {}, "obv": {}}).spark(B.bars_customers(spark, d), compare=True)
+
+
+_ROUNDED_PRICES = "round(open, 2) AS open, round(high, 2) AS high, round(low, 2) AS low, round(close, 2) AS close"
+
+
+@query("source_csv_lines", f"SELECT symbol, trade_date, {_ROUNDED_PRICES}, volume FROM ({B.SQL_ORDERS})")
+def _csv(spark, d):
+    """Bars written as delimited text and read again."""
+    b = B.bars_orders(spark, d)
+    line = F.concat_ws(",", F.date_format("trade_date", "yyyyMMdd"), *[F.round(c, 2).cast("decimal(18,2)").cast("string") for c in ("open", "high", "low", "close")], F.col("volume").cast("long").cast("string"))
+    return files.csv_lines(b.select("symbol", line.alias("value")), "date,open,high,low,close,volume").select("symbol", "trade_date", "open", "high", "low", "close", "volume")
+
+
+@query("source_feed_lines", f"SELECT symbol, trade_date, {_ROUNDED_PRICES}, volume, 1.5::DOUBLE AS turnover FROM ({B.SQL_ORDERS})")
+def _feed(spark, d):
+    b = B.bars_orders(spark, d)
+    line = F.concat_ws(",", F.col("trade_date").cast("string"), *[F.round(c, 2).cast("decimal(18,2)").cast("string") for c in ("open", "close", "high", "low")], F.col("volume").cast("string"), *[F.lit(x) for x in ("0", "0", "0", "0", "150")])
+    return files.feed_lines(b.select("symbol", line.alias("line"))).select("symbol", "trade_date", "open", "high", "low", "close", "volume", "turnover")
+
+
+@query("source_day_records", f"SELECT 'SH60000' || left(symbol, 1) AS symbol, trade_date, {_ROUNDED_PRICES}, volume FROM ({B.SQL_ORDERS})")
+def _day(spark, d):
+    """Bars written as binary day files and read again; six digits of a code are made of the symbol's first character."""
+    b = B.bars_orders(spark, d).withColumn("symbol", F.concat(F.lit("sh60000"), F.substring("symbol", 1, 1)))
+    return files.day_records(files.to_day_records(b)).select("symbol", "trade_date", "open", "high", "low", "close", "volume")
+
+
+@query("watchlist_members", """SELECT n_name AS list, c_custkey::VARCHAR AS symbol, c_name AS name, count(o_orderkey) AS bars, min(o_orderdate)::DATE AS first_date, max(o_orderdate)::DATE AS last_date
+FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1, 2, 3""")
+def _members(spark, d):
+    c = B.table(spark, d, "customer")
+    stocks = c.select(F.col("c_custkey").cast("string").alias("symbol"), F.col("c_name").alias("name"))
+    items = c.filter("c_mktsegment = 'BUILDING'").join(B.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("list"), F.col("c_custkey").cast("string").alias("symbol"))
+    rows = B.table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("symbol"), F.to_date("o_orderdate").alias("trade_date"))
+    return relational.members(items, stocks, rows).select("list", "symbol", "name", "bars", "first_date", "last_date")
+
+
+@query("watchlists", "SELECT n_nationkey AS list, n_name AS name, count(c_custkey) AS members FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey AND c_acctbal > 5000 GROUP BY 1, 2")
+def _lists(spark, d):
+    items = B.table(spark, d, "customer").filter("c_acctbal > 5000").select(F.col("c_nationkey").alias("list"))
+    return relational.lists(B.table(spark, d, "nation").select(F.col("n_nationkey").alias("list"), F.col("n_name").alias("name")), items)
+
+
+@query("trades_with_stocks", "SELECT o_orderkey, o_custkey::VARCHAR AS symbol, o_totalprice, c_name AS name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0")
+def _lookup(spark, d):
+    stocks = B.table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("symbol"), F.col("c_name").alias("name"))
+    return relational.with_stock(B.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("symbol"), "o_totalprice"), stocks).select("o_orderkey", "symbol", "o_totalprice", "name")
+
+
+@query("table_counts", "SELECT 'stocks' AS name, count(*) AS rows FROM customer UNION ALL SELECT 'bars', count(*) FROM orders")
+def _counts(spark, d):
+    return relational.counts(stocks=B.table(spark, d, "customer"), bars=B.table(spark, d, "orders"))
+
+
 @query("insert_or_ignore", f"SELECT symbol, trade_date, close FROM ({B.SQL_ORDERS}) WHERE trade_date >= DATE '1996-01-01'")
 def _ingest(spark, d):
     b = B.bars_orders(spark, d)
@@ -155,25 +236,40 @@ def _upsert(spark, d):
     return relational.upsert(b, b.filter("trade_date >= DATE '1996-01-01'").withColumn("close", F.col("close") + 1), ["symbol", "trade_date"])
 
 
-@query("quality_rules", f"""SELECT symbol, trade_date, 'gap' AS rule FROM (SELECT symbol, trade_date, lag(trade_date) OVER (PARTITION BY symbol ORDER BY trade_date) AS before FROM ({B.SQL_ORDERS})) WHERE trade_date - before > 10
-UNION ALL SELECT symbol, trade_date, 'negative' FROM ({B.SQL_ORDERS}) WHERE least(open, high, low, close) <= 0""")
+_BROKEN = f"SELECT symbol, trade_date, open, CASE WHEN day(trade_date) = 3 THEN low ELSE high END AS high, low, close, CASE WHEN day(trade_date) = 5 THEN -volume ELSE volume END AS volume FROM ({B.SQL_ORDERS})"
+
+
+@query("quality_rules", f"""WITH x AS ({_BROKEN}), b AS (SELECT * FROM x UNION ALL SELECT * FROM x WHERE day(trade_date) = 7)
+SELECT symbol, trade_date, 'gap' AS rule FROM (SELECT symbol, trade_date, lag(trade_date) OVER (PARTITION BY symbol ORDER BY trade_date) AS before FROM b) WHERE trade_date - before > 10
+UNION ALL SELECT symbol, trade_date, 'negative' FROM b WHERE least(open, high, low, close) <= 0 OR volume < 0
+UNION ALL SELECT symbol, trade_date, 'ohlc' FROM b WHERE high < greatest(open, close, low) OR low > least(open, close)
+UNION ALL SELECT symbol, trade_date, 'duplicate' FROM b WHERE (symbol, trade_date) IN (SELECT (symbol, trade_date) FROM b GROUP BY symbol, trade_date HAVING count(*) > 1)""")
 def _quality(spark, d):
-    return relational.quality(B.bars_orders(spark, d))
+    """Over bars that were broken on purpose: highs on the 3rd, volumes on the 5th, copies on the 7th of a month."""
+    on = lambda n: F.dayofmonth("trade_date") == n
+    b = B.bars_orders(spark, d).withColumns({"high": F.when(on(3), F.col("low")).otherwise(F.col("high")), "volume": F.when(on(5), -F.col("volume")).otherwise(F.col("volume"))})
+    return relational.quality(b.unionByName(b.filter(on(7))))
 
 
 TRADES = "SELECT l_suppkey::VARCHAR AS symbol, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS seq, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS direction, l_extendedprice / l_quantity AS price, l_quantity AS quantity FROM lineitem"
 
 
-@query("fifo_matching", f"""WITH t AS ({TRADES}), c AS (SELECT *, sum(quantity) OVER (PARTITION BY symbol, direction ORDER BY seq) AS hi FROM t), e AS (SELECT *, hi - quantity AS lo FROM c),
+@query("fifo_matching", f"""WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY seq) AS i FROM ({TRADES})),
+h AS (SELECT symbol, i, seq, direction, price, quantity, CASE WHEN direction = 'buy' THEN quantity ELSE 0.0::DOUBLE END AS held, CASE WHEN direction = 'buy' THEN quantity ELSE 0.0::DOUBLE END AS moved FROM t WHERE i = 1
+UNION ALL SELECT t.symbol, t.i, t.seq, t.direction, t.price, t.quantity, CASE WHEN t.direction = 'buy' THEN h.held + t.quantity ELSE greatest(h.held - t.quantity, 0) END, CASE WHEN t.direction = 'buy' THEN t.quantity ELSE least(h.held, t.quantity) END FROM h JOIN t ON t.symbol = h.symbol AND t.i = h.i + 1),
+c AS (SELECT *, sum(moved) OVER (PARTITION BY symbol, direction ORDER BY i) AS hi FROM h WHERE moved > 0), e AS (SELECT *, hi - moved AS lo FROM c),
 m AS (SELECT b.symbol, (s.price - b.price) * (least(b.hi, s.hi) - greatest(b.lo, s.lo)) AS pnl, s.seq FROM e b JOIN e s ON b.symbol = s.symbol AND b.direction = 'buy' AND s.direction = 'sell' AND b.lo < s.hi AND s.lo < b.hi),
-g AS (SELECT symbol, seq, sum(pnl) AS pnl FROM m GROUP BY symbol, seq) SELECT symbol, count(*) AS sells, {rounded('sum(pnl)')} AS pnl FROM g GROUP BY symbol""")
+g AS (SELECT symbol, seq, sum(pnl) AS p FROM m GROUP BY symbol, seq), k AS (SELECT symbol, count(*) AS trades, count_if(direction = 'sell') AS sells FROM t GROUP BY symbol),
+f AS (SELECT k.symbol, trades, sells, count_if(p > 0) AS wins, count_if(p < 0) AS losses, coalesce(sum(p), 0) AS pnl, coalesce(sum(p) FILTER (p > 0), 0) AS gain, coalesce(sum(p) FILTER (p < 0), 0) AS loss, greatest(coalesce(max(p), 0), 0) AS max_win, least(coalesce(min(p), 0), 0) AS max_loss FROM k LEFT JOIN g USING (symbol) GROUP BY 1, 2, 3)
+SELECT symbol, trades, sells, wins, losses, {rounded('100 * wins / nullif(sells, 0)')} AS win_rate, {rounded('pnl')} AS pnl, {rounded('CASE WHEN wins > 0 THEN gain / wins ELSE 0 END')} AS avg_win, {rounded('CASE WHEN losses > 0 THEN loss / losses ELSE 0 END')} AS avg_loss,
+{rounded('max_win')} AS max_win, {rounded('max_loss')} AS max_loss, {rounded('CASE WHEN abs(loss) > 1e-9 THEN abs(gain / loss) ELSE 0 END')} AS profit_factor FROM f""")
 def _fifo(spark, d):
     from pyspark.sql import Window as W
 
     line = B.table(spark, d, "lineitem")
     at = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
     t = line.select(F.col("l_suppkey").cast("string").alias("symbol"), (F.col("l_orderkey") * 1000 + at).alias("seq"), F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("direction"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("quantity"))
-    return relational.fifo_summary(relational.fifo(t)).select("symbol", "sells", *_r("pnl"))
+    return relational.fifo_summary(t).select("symbol", "trades", "sells", "wins", "losses", *_r("win_rate", "pnl", "avg_win", "avg_loss", "max_win", "max_loss", "profit_factor"))
 
 
 def _alert_rules(spark):
@@ -181,15 +277,21 @@ def _alert_rules(spark):
     return spark.createDataFrame(rows, "rule_id int, symbol string, condition_type string, params string, enabled boolean, last_triggered date")
 
 
-@query("alerts")
+@query("alerts", f"""WITH b AS (SELECT symbol, trade_date, close, volume, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS k FROM ({B.SQL_ORDERS}) WHERE trade_date <= DATE '1998-07-01'),
+g AS (SELECT symbol, max(CASE WHEN k = 1 THEN trade_date END) AS trade_date, max(CASE WHEN k = 1 THEN close END) AS close, max(CASE WHEN k = 1 THEN volume END) AS volume, avg(CASE WHEN k BETWEEN 2 AND 21 THEN volume END) AS usual,
+avg(CASE WHEN k <= 5 THEN close END) - avg(CASE WHEN k <= 20 THEN close END) AS now, avg(CASE WHEN k BETWEEN 2 AND 6 THEN close END) - avg(CASE WHEN k BETWEEN 2 AND 21 THEN close END) AS before FROM b GROUP BY symbol)
+SELECT * FROM (SELECT 0 AS rule_id, symbol, 'price_breakout' AS condition_type, trade_date, close FROM g WHERE symbol = '1-URGENT' AND close > 1 UNION ALL SELECT 1, symbol, 'ma_cross', trade_date, close FROM g WHERE symbol = '2-HIGH' AND before <= 0 AND now > 0
+UNION ALL SELECT 2, symbol, 'volume_spike', trade_date, close FROM g WHERE symbol = '3-MEDIUM' AND usual > 0 AND volume > 1.1 * usual UNION ALL SELECT 3, symbol, 'price_breakout', trade_date, close FROM g WHERE symbol = '5-LOW' AND close < 1)""")
 def _alerts(spark, d):
     return relational.check_alerts(_alert_rules(spark), B.bars_orders(spark, d), "1998-07-01")
 
 
 @query("statistics", f"""WITH b AS ({B.SQL_ORDERS}), m AS (SELECT symbol, avg(close) AS mu FROM b GROUP BY symbol), g AS (SELECT b.symbol, count(*) AS n, avg(close) AS mean, stddev_samp(close) AS std, var_samp(close) AS variance, avg(power(close - mu, 3)) / power(stddev_pop(close), 3) AS s, avg(power(close - mu, 4)) / power(var_pop(close), 2) - 3 AS k FROM b JOIN m USING (symbol) GROUP BY b.symbol)
-SELECT symbol, n, {rounded('mean')} AS mean, {rounded('std')} AS std, {rounded('variance')} AS variance, {rounded('s * sqrt(n * (n - 1.0::DOUBLE)) / (n - 2)')} AS skew, {rounded('(n - 1) / ((n - 2) * (n - 3.0::DOUBLE)) * ((n + 1) * k + 6)')} AS kurtosis FROM g""")
+SELECT symbol, n, q25, q50, q75, {rounded('mean')} AS mean, {rounded('std')} AS std, {rounded('variance')} AS variance, {rounded('s * sqrt(n * (n - 1.0::DOUBLE)) / (n - 2)')} AS skew, {rounded('(n - 1) / ((n - 2) * (n - 3.0::DOUBLE)) * ((n + 1) * k + 6)')} AS kurtosis FROM g
+JOIN (SELECT symbol, max(CASE WHEN i = floor(0.25 * (n - 1) + 0.5) THEN close END) AS q25, max(CASE WHEN i = floor(0.5 * (n - 1) + 0.5) THEN close END) AS q50, max(CASE WHEN i = floor(0.75 * (n - 1) + 0.5) THEN close END) AS q75
+FROM (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY close) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM b) GROUP BY symbol) USING (symbol)""")
 def _statistics(spark, d):
-    return relational.statistics(B.bars_orders(spark, d), "close").select("symbol", "n", *_r("mean", "std", "variance", "skew", "kurtosis"))
+    return relational.statistics(B.bars_orders(spark, d), "close").select("symbol", "n", "q25", "q50", "q75", *_r("mean", "std", "variance", "skew", "kurtosis"))
 
 
 @query("spearman", f"""SELECT symbol, {rounded('corr(a, b)')} AS spearman FROM (SELECT symbol, rank() OVER (PARTITION BY symbol ORDER BY close) + (count(*) OVER (PARTITION BY symbol, close) - 1) / 2 AS a,
@@ -215,16 +317,42 @@ def _catalogue(spark, d):
     return indicators.catalogue(spark)
 
 
-@query("pattern_signal")
+@query("pattern_signal", f"""WITH b AS (SELECT symbol, trade_date, open AS o, close AS c, abs(close - open) AS x, lag(open) OVER w AS o1, lag(close) OVER w AS c1, avg(abs(close - open)) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS usual FROM ({B.SQL_ORDERS}) WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)),
+t AS (SELECT *, abs(c1 - o1) AS x1 FROM b)
+SELECT symbol, trade_date, CASE WHEN x > 1.2 * x1 AND x1 > 0.5 * usual AND c1 <= o1 AND c > o AND o < c1 AND c > o1 THEN 1.0::DOUBLE WHEN x > 1.2 * x1 AND x1 > 0.5 * usual AND c1 > o1 AND c <= o AND o > c1 AND c < o1 THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS signal FROM t""")
 def _pattern_signal(spark, d):
     return patterns.signal(B.bars_orders(spark, d), "engulfing")
 
 
 # --- back-tests
 
-@query("backtest_metrics")
+_MA_CROSS = f"""SELECT symbol, trade_date, close, rn, CASE WHEN rn >= 22 AND a1 <= b1 AND a > b THEN 1 WHEN rn >= 22 AND a1 >= b1 AND a < b THEN -1 ELSE 0 END AS sig, count(*) OVER (PARTITION BY symbol) AS n FROM (SELECT *, lag(a) OVER (PARTITION BY symbol ORDER BY rn) AS a1, lag(b) OVER (PARTITION BY symbol ORDER BY rn) AS b1 FROM (
+SELECT symbol, trade_date, close, row_number() OVER w AS rn, avg(close) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS a, avg(close) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS b FROM ({B.SQL_ORDERS}) WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)))"""
+_SIMULATED = f"""s AS MATERIALIZED ({_MA_CROSS}),
+sim AS (SELECT symbol, rn, n, close, 100000.0::DOUBLE AS cash, 0.0::DOUBLE AS shares, 0.0::DOUBLE AS entry, NULL::DOUBLE AS pnl FROM s WHERE rn = 1
+UNION ALL SELECT s.symbol, s.rn, s.n, s.close, CASE WHEN sig = 1 AND shares = 0 THEN 0.0 WHEN sig = -1 AND shares > 0 THEN cash + shares * s.close * 0.999 * (1 - 0.0013) ELSE cash END,
+CASE WHEN sig = 1 AND shares = 0 THEN cash / 1.0003 / (s.close * 1.001) WHEN sig = -1 THEN 0.0 ELSE shares END, CASE WHEN sig = 1 AND shares = 0 THEN s.close * 1.001 ELSE entry END,
+CASE WHEN sig = -1 AND shares > 0 THEN (s.close * 0.999 - entry) * shares - shares * s.close * 0.999 * 0.0013 END FROM sim JOIN s ON s.symbol = sim.symbol AND s.rn = sim.rn + 1),
+e AS (SELECT symbol, rn, n, CASE WHEN rn = n AND shares > 0 THEN cash + shares * close * 0.999 * (1 - 0.0013) ELSE cash + shares * close * 0.999 END AS equity, CASE WHEN rn = n AND shares > 0 THEN (close * 0.999 - entry) * shares - shares * close * 0.999 * 0.0013 ELSE pnl END AS pnl FROM sim)"""
+
+
+@query("backtest_metrics", f"""WITH RECURSIVE {_SIMULATED},
+r AS (SELECT *, equity / lag(equity) OVER w - 1 AS r, max(equity) OVER w AS peak, lag(max_before) OVER w AS before FROM (SELECT *, max(equity) OVER (PARTITION BY symbol ORDER BY rn) AS max_before FROM e) WINDOW w AS (PARTITION BY symbol ORDER BY rn)),
+i AS (SELECT *, count_if(before IS NOT NULL AND equity > before) OVER (PARTITION BY symbol ORDER BY rn) AS island, before IS NOT NULL AND equity > before AS risen FROM r),
+d AS (SELECT symbol, max(k) AS longest FROM (SELECT symbol, island, count_if(NOT risen) AS k FROM i GROUP BY symbol, island) GROUP BY symbol),
+g AS (SELECT symbol, max(n) AS n, arg_max(equity, rn) AS final_equity, min(equity / peak - 1) AS max_drawdown, avg(r) AS mean, stddev_pop(r) AS sd, sqrt(sum(r * r) FILTER (r < 0) / nullif(count_if(r < 0), 0)) AS down,
+count(pnl) AS n_trades, count_if(pnl > 0) AS wins, avg(pnl) FILTER (pnl > 0) AS avg_win, -avg(pnl) FILTER (pnl <= 0) AS avg_loss FROM r GROUP BY symbol),
+x AS (SELECT *, power(final_equity / 100000, 252.0 / n) - 1 AS annual_return FROM g)
+SELECT symbol, n_trades, longest AS max_drawdown_bars, {rounded('final_equity / 100000 - 1')} AS total_return, {rounded('annual_return')} AS annual_return, {rounded('sd * sqrt(252)')} AS annual_volatility, {rounded('max_drawdown')} AS max_drawdown, {rounded('CASE WHEN sd > 0 THEN mean / sd * sqrt(252) ELSE 0 END')} AS sharpe,
+{rounded('coalesce(mean / nullif(down, 0) * sqrt(252), 0)')} AS sortino, {rounded('coalesce(annual_return / nullif(-max_drawdown, 0), 0)')} AS calmar, {rounded('coalesce(wins / nullif(n_trades, 0), 0)')} AS win_rate, {rounded('coalesce(coalesce(avg_win, 0) / nullif(avg_loss, 0), 0)')} AS profit_loss_ratio, {rounded('final_equity')} AS final_equity FROM x JOIN d USING (symbol)""")
 def _backtest(spark, d):
-    return backtest.run(B.bars_orders(spark, d), "ma_cross")
+    whole = ("n_trades", "max_drawdown_bars")
+    return backtest.run(B.bars_orders(spark, d), "ma_cross").select("symbol", *whole, *_r(*[m for m in backtest.METRICS if m not in whole]))
+
+
+@query("backtest_equity", f"WITH RECURSIVE {_SIMULATED} SELECT e.symbol, trade_date, {rounded('equity')} AS equity FROM e JOIN s ON e.symbol = s.symbol AND e.rn = s.rn")
+def _equity(spark, d):
+    return backtest.equity_curve(B.bars_orders(spark, d), "ma_cross").select("symbol", "trade_date", *_r("equity"))
 
 
 @query("backtest_trades")
@@ -232,9 +360,9 @@ def _trades(spark, d):
     return backtest.trades(B.bars_orders(spark, d), "turtle")
 
 
-@query("backtest_monthly")
+@query("backtest_monthly", f"WITH RECURSIVE {_SIMULATED}, m AS (SELECT e.symbol, trade_date, equity / lag(equity) OVER (PARTITION BY e.symbol ORDER BY e.rn) - 1 AS r FROM e JOIN s ON e.symbol = s.symbol AND e.rn = s.rn WHERE (e.rn - 1) % 21 = 0) SELECT symbol, trade_date, {rounded('r')} AS return FROM m WHERE r IS NOT NULL")
 def _monthly(spark, d):
-    return backtest.monthly_returns(B.bars_orders(spark, d), "donchian")
+    return backtest.monthly_returns(B.bars_orders(spark, d), "ma_cross").select("symbol", "trade_date", *_r("return"))
 
 
 @query("grid_search")
@@ -244,62 +372,106 @@ def _grid(spark, d):
 
 @query("genetic_search")
 def _genetic(spark, d):
-    best, fit = backtest.genetic_search(B.bars_orders(spark, d), "ma_cross", {"fast": (3, 10), "slow": (15, 40)}, population=8, generations=2, elite=2)
+    best, fit = backtest.genetic_search(B.bars_orders(spark, d), "ma_cross", {"fast": (4, 10, 2), "slow": (15, 40, 5)})
     return spark.createDataFrame([(k, v, float(fit)) for k, v in sorted(best.items())], "parameter string, value double, fitness double")
 
 
 @query("walk_forward")
 def _walk(spark, d):
-    return backtest.walk_forward(B.bars_orders(spark, d), "ma_cross", {"fast": [5, 10], "slow": [20]})
+    return backtest.walk_forward_summary(backtest.walk_forward(B.bars_orders(spark, d), "ma_cross", {"fast": [5, 10], "slow": [20]}))
 
 
-@query("monte_carlo")
-def _monte_carlo(spark, d):
-    curves = backtest.equity_curve(B.bars_orders(spark, d), "ma_cross", sampled=True)
-    return backtest.monte_carlo_summary(backtest.monte_carlo(curves, sims=200))
+def _simulations(spark, d, method):
+    b = B.bars_orders(spark, d)
+    return backtest.monte_carlo_summary(backtest.monte_carlo(backtest.equity_curve(b, "ma_cross", sampled=True), backtest.share_profits(b, "ma_cross"), method))
+
+
+for _method in backtest.METHODS:
+    query(f"monte_carlo_{_method}")(lambda spark, d, method=_method: _simulations(spark, d, method))
 
 
 # --- distribution
 
-@query("volume_profile")
+_PROFILE = f"""b AS ({B.SQL_ORDERS}), edge AS (SELECT symbol, min(close) AS lo, max(close) AS hi FROM b GROUP BY symbol HAVING max(close) - min(close) >= 1e-12),
+g AS (SELECT symbol, level, sum(close * volume) / sum(volume) AS price, sum(volume) AS volume FROM (SELECT b.symbol, close, volume, CAST(least(floor((close - lo) / ((hi - lo) / 100)), 99) AS INTEGER) AS level FROM b JOIN edge USING (symbol)) GROUP BY 1, 2 HAVING sum(volume) > 0),
+k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY price) AS i, count(*) OVER (PARTITION BY symbol) AS n, sum(volume) OVER (PARTITION BY symbol) AS total, row_number() OVER (PARTITION BY symbol ORDER BY volume DESC, price) = 1 AS is_poc FROM g),
+a AS (SELECT symbol, i AS lo, i AS hi, volume AS inside, total, n FROM k WHERE is_poc UNION ALL
+SELECT a.symbol, CASE WHEN coalesce(x.volume, -1) >= coalesce(y.volume, -1) THEN lo - 1 ELSE lo END, CASE WHEN coalesce(x.volume, -1) >= coalesce(y.volume, -1) THEN hi ELSE hi + 1 END, inside + greatest(coalesce(x.volume, -1), coalesce(y.volume, -1)), a.total, a.n
+FROM a LEFT JOIN k x ON x.symbol = a.symbol AND x.i = a.lo - 1 LEFT JOIN k y ON y.symbol = a.symbol AND y.i = a.hi + 1 WHERE inside < 0.7 * a.total AND hi - lo < a.n - 1),
+f AS (SELECT symbol, min(lo) AS lo, max(hi) AS hi FROM a GROUP BY symbol), prof AS (SELECT k.*, i BETWEEN lo AND hi AS in_value_area FROM k JOIN f USING (symbol))"""
+
+
+@query("volume_profile", f"WITH RECURSIVE {_PROFILE} SELECT symbol, level, is_poc, in_value_area, {_rs('price', 'volume')} FROM prof")
 def _profile(spark, d):
     return distribution.volume_profile(B.bars_orders(spark, d)).select("symbol", "level", "is_poc", "in_value_area", *_r("price", "volume"))
 
 
-@query("cost_distribution", distribution.SQL_COST.format(base=B.SQL_ORDERS, price=rounded("price"), chips=rounded("chips")))
+@query("value_area", f"WITH RECURSIVE {_PROFILE} SELECT symbol, {rounded('max(price) FILTER (is_poc)')} AS poc, {rounded('min(price) FILTER (in_value_area)')} AS val, {rounded('max(price) FILTER (in_value_area)')} AS vah FROM prof GROUP BY symbol")
+def _value_area(spark, d):
+    return distribution.value_area(distribution.volume_profile(B.bars_orders(spark, d))).select("symbol", *_r("poc", "val", "vah"))
+
+
+@query("volume_levels", f"""WITH RECURSIVE {_PROFILE}, z AS (SELECT symbol, arg_max(close, trade_date) AS last FROM b GROUP BY symbol), m AS (SELECT *, avg(volume) OVER (PARTITION BY symbol) AS mean FROM prof JOIN z USING (symbol))
+SELECT symbol, {_rs('price', 'volume')}, kind FROM (SELECT symbol, price, volume, CASE WHEN price > last THEN 'resistance' ELSE 'support' END AS kind FROM m WHERE volume > 1.5 * mean UNION ALL SELECT symbol, price, volume, 'poc' FROM m WHERE is_poc)""")
+def _levels(spark, d):
+    b = B.bars_orders(spark, d)
+    return distribution.sr_levels(distribution.volume_profile(b), b).select("symbol", *_r("price", "volume"), "kind")
+
+
+#: Chips by the definition: each bar's volume times the product over all later bars.
+_CHIPS = f"""b AS (SELECT *, least(greatest(coalesce(turnover, 0.02), 0), 1)::DOUBLE AS t, min(low) OVER (PARTITION BY symbol) AS lo, max(high) OVER (PARTITION BY symbol) AS hi, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM ({B.SQL_ORDERS})),
+kept AS (SELECT symbol, i, n, close, volume, lo, hi, 1.0::DOUBLE AS left, t FROM b WHERE i = n UNION ALL SELECT b.symbol, b.i, b.n, b.close, b.volume, b.lo, b.hi, kept.left * (1 - kept.t), b.t FROM kept JOIN b ON b.symbol = kept.symbol AND b.i = kept.i - 1),
+lev AS (SELECT symbol, CASE WHEN hi > lo THEN CAST(least(floor((close - lo) / ((hi - lo) / 100)), 99) AS INTEGER) ELSE 0 END AS level, sum(volume * "left") AS c FROM kept GROUP BY 1, 2),
+edge AS (SELECT symbol, any_value(lo) AS lo, any_value(hi) AS hi, arg_max(close, trade_date) AS last_price, sum(close * volume * (1 - t)) / nullif(sum(volume * (1 - t)), 0) AS mean FROM b GROUP BY symbol),
+chips AS (SELECT edge.symbol, x.level, lo + (hi - lo) / 100 * (x.level + 0.5) AS price, coalesce(100 * c / sum(c) OVER (PARTITION BY edge.symbol), 0) AS chips, last_price, mean FROM edge CROSS JOIN (SELECT unnest(range(100))::INTEGER AS level) x LEFT JOIN lev ON lev.symbol = edge.symbol AND lev.level = x.level)"""
+
+
+@query("cost_distribution", f"WITH RECURSIVE {_CHIPS} SELECT symbol, level, {_rs('price', 'chips')} FROM chips")
 def _cost(spark, d):
     return distribution.cost_distribution(B.bars_orders(spark, d)).select("symbol", "level", *_r("price", "chips"))
 
 
-@query("cost_frames")
-def _frames(spark, d):
-    return distribution.moving_distribution(B.bars_orders(spark, d), 250)
+@query("profit_and_loss", f"""WITH RECURSIVE {_CHIPS} SELECT symbol, {rounded('sum(CASE WHEN price < last_price THEN chips ELSE 0 END) / sum(chips) * 100')} AS profit_pct, {rounded('100 - sum(CASE WHEN price < last_price THEN chips ELSE 0 END) / sum(chips) * 100')} AS loss_pct,
+{rounded('coalesce(any_value(mean), any_value(last_price))')} AS avg_cost, {rounded('sum(price * chips) / sum(chips)')} AS weighted_avg_cost, {rounded('any_value(last_price)')} AS last_price FROM chips GROUP BY symbol""")
+def _profit(spark, d):
+    b = B.bars_orders(spark, d)
+    return distribution.profit_ratio(distribution.cost_distribution(b), b).select("symbol", *_r("profit_pct", "loss_pct", "avg_cost", "weighted_avg_cost", "last_price"))
 
 
-@query("volume_levels")
-def _levels(spark, d):
-    return distribution.sr_levels(distribution.volume_profile(B.bars_orders(spark, d)))
+@query("chip_concentration", f"""WITH RECURSIVE {_CHIPS}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY chips DESC, level) AS k FROM chips), g AS (SELECT symbol, sum(chips) FILTER (k <= 5) AS cr5, sum(chips) FILTER (k <= 10) AS cr10, sum(chips) FILTER (k <= 20) AS cr20, least(sum(chips * chips) / 100, 100) AS trend FROM r GROUP BY symbol)
+SELECT symbol, {_rs('cr5', 'cr10', 'cr20', 'trend')}, CASE WHEN trend > 60 THEN 'high' WHEN trend > 35 THEN 'medium' WHEN trend > 15 THEN 'low' ELSE 'scattered' END AS description FROM g""")
+def _concentration(spark, d):
+    return distribution.concentration(distribution.cost_distribution(B.bars_orders(spark, d))).select("symbol", *_r("cr5", "cr10", "cr20", "trend"), "description")
 
 
-@query("chip_concentration")
-def _concentration(spark, d):
-    b = B.bars_orders(spark, d)
-    c = distribution.cost_distribution(b)
-    return distribution.concentration(c).join(distribution.profit_ratio(c, b), "symbol")
+@query("moving_cost")
+def _moving(spark, d):
+    return distribution.moving_distribution(B.bars_orders(spark, d))
+
+
+@query("cost_frames")
+def _frames(spark, d):
+    return distribution.historical_frames(B.bars_orders(spark, d))
 
 
 # --- risk
 
-_RETURNS = f"SELECT symbol, trade_date, r FROM (SELECT symbol, trade_date, ln(close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY trade_date), 0)) AS r FROM ({B.SQL_ORDERS})) WHERE r IS NOT NULL"
+_RETURNS = f"SELECT symbol, trade_date, r FROM (SELECT symbol, trade_date, CASE WHEN lag(close) OVER (PARTITION BY symbol ORDER BY trade_date) > 0 THEN ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY trade_date)) END AS r FROM ({B.SQL_ORDERS})) WHERE r IS NOT NULL"
 _MARKET = f"SELECT trade_date, avg(r) AS m FROM ({_RETURNS}) GROUP BY trade_date"
 
 
+FIVE = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_RISKS = ("total_return", "annual_return", "volatility", "sharpe", "sortino", "max_drawdown", "var_95", "cvar_95", "var_99", "cvar_99", "calmar", "best_day", "worst_day")
+
+
 @query("risk_metrics", f"""WITH x AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY r, trade_date) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n, sum(r) OVER (PARTITION BY symbol ORDER BY trade_date) AS s FROM ({_RETURNS})),
-y AS (SELECT *, s - greatest(max(s) OVER (PARTITION BY symbol ORDER BY trade_date), 0) AS fall, floor(n * 0.05) AS cut FROM x),
-g AS (SELECT symbol, count(*) AS n, avg(r) * 252 AS annual_return, stddev_pop(r) * sqrt(252) AS volatility, min(fall) AS max_drawdown, sqrt(avg(power(least(r, 0), 2))) * sqrt(252) AS down, max(CASE WHEN i = cut THEN r END) AS var, avg(CASE WHEN i < cut THEN r END) AS cvar FROM y GROUP BY symbol)
-SELECT symbol, n, {_rs('annual_return', 'volatility', 'max_drawdown', 'var', 'cvar')}, {rounded('(annual_return - 0.02) / volatility')} AS sharpe, {rounded('(annual_return - 0.02) / down')} AS sortino FROM g""")
+y AS (SELECT *, greatest(max(s) OVER (PARTITION BY symbol ORDER BY trade_date), 0) - s AS fall FROM x),
+g AS (SELECT symbol, count(*) AS n, product(1 + r) - 1 AS total_return, avg(r) * 252 AS annual_return, stddev_pop(r) * sqrt(252) AS volatility, max(fall) AS max_drawdown, sqrt(avg(power(least(r - 0.02 / 252, 0), 2))) * sqrt(252) AS down,
+max(r) FILTER (i = floor(n * 0.05)) AS var_95, coalesce(avg(r) FILTER (i < floor(n * 0.05)), max(r) FILTER (i = floor(n * 0.05))) AS cvar_95, max(r) FILTER (i = floor(n * 0.01)) AS var_99, coalesce(avg(r) FILTER (i < floor(n * 0.01)), max(r) FILTER (i = floor(n * 0.01))) AS cvar_99,
+count_if(r > 0) AS positive_days, count_if(r < 0) AS negative_days, max(r) AS best_day, min(r) AS worst_day FROM y GROUP BY symbol),
+h AS (SELECT *, (annual_return - 0.02) / volatility AS sharpe, (annual_return - 0.02) / down AS sortino, annual_return / max_drawdown AS calmar FROM g) SELECT symbol, n, positive_days, negative_days, {_rs(*_RISKS)} FROM h""")
 def _risk(spark, d):
-    return risk.metrics(risk.returns(B.bars_orders(spark, d))).select("symbol", "n", *_r("annual_return", "volatility", "max_drawdown", "var", "cvar", "sharpe", "sortino"))
+    return risk.metrics(risk.returns(B.bars_orders(spark, d))).select("symbol", "n", "positive_days", "negative_days", *_r(*_RISKS))
 
 
 @query("beta_alpha", f"SELECT symbol, {rounded('covar_pop(r, m) / var_pop(m)')} AS beta, {rounded('avg(r) - 0.02 / 252 - covar_pop(r, m) / var_pop(m) * (avg(m) - 0.02 / 252)')} AS alpha FROM ({_RETURNS}) JOIN ({_MARKET}) USING (trade_date) GROUP BY symbol")
@@ -308,31 +480,41 @@ def _beta(spark, d):
     return risk.beta_alpha(r, risk.market(r)).select("symbol", *_r("beta", "alpha"))
 
 
+@query("equal_weight", f"SELECT trade_date, {rounded('m')} AS m FROM ({_MARKET})")
+def _equal(spark, d):
+    return risk.market(risk.returns(B.bars_orders(spark, d))).select("trade_date", *_r("m"))
+
+
 @query("correlation_matrix", f"SELECT x.symbol AS a, y.symbol AS b, {rounded('corr(x.r, y.r)')} AS corr, {rounded('covar_samp(x.r, y.r)')} AS cov, count(*) AS n FROM ({_RETURNS}) x JOIN ({_RETURNS}) y ON x.trade_date = y.trade_date AND x.symbol <= y.symbol GROUP BY 1, 2")
 def _pairs(spark, d):
-    return risk.pairs(risk.returns(B.bars_orders(spark, d))).select("a", "b", *_r("corr", "cov"), "n")
+    return risk.pairs(risk.returns(B.bars_orders(spark, d)), FIVE).select("a", "b", *_r("corr", "cov"), "n")
 
 
-@query("max_drawdown", f"SELECT symbol, {rounded('min(close / peak - 1)')} AS max_drawdown FROM (SELECT symbol, close, max(close) OVER (PARTITION BY symbol ORDER BY trade_date) AS peak FROM ({B.SQL_ORDERS})) GROUP BY symbol")
+@query("max_drawdown", f"SELECT symbol, {rounded('max(1 - close / peak)')} AS max_drawdown FROM (SELECT symbol, close, max(close) OVER (PARTITION BY symbol ORDER BY trade_date) AS peak FROM ({B.SQL_ORDERS})) GROUP BY symbol")
 def _drawdown(spark, d):
     return risk.max_drawdown(B.bars_orders(spark, d)).select("symbol", *_r("max_drawdown"))
 
 
-@query("rolling_beta", f"SELECT symbol, trade_date, {rounded('CASE WHEN count(r) OVER w = 60 THEN covar_pop(r, m) OVER w / nullif(var_pop(m) OVER w, 0) END')} AS beta FROM ({_RETURNS}) JOIN ({_MARKET}) USING (trade_date) WINDOW w AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)")
+@query("rolling_beta", f"SELECT symbol, trade_date, {rounded('CASE WHEN count(r) OVER w = 60 THEN coalesce(covar_pop(r, m) OVER w / nullif(var_pop(m) OVER w, 0), 1) END')} AS beta FROM ({_RETURNS}) JOIN ({_MARKET}) USING (trade_date) WINDOW w AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)")
 def _rolling_beta(spark, d):
     r = risk.returns(B.bars_orders(spark, d))
     return risk.rolling_beta(r, risk.market(r)).select("symbol", "trade_date", *_r("beta"))
 
 
-@query("rolling_metrics", f"""SELECT symbol, trade_date, {_rs('ret', 'vol')}, {rounded('(ret - 0.02) / nullif(vol, 0)')} AS sharpe FROM (SELECT symbol, trade_date, CASE WHEN count(r) OVER w = 60 THEN avg(r) OVER w * 252 END AS ret,
-CASE WHEN count(r) OVER w = 60 THEN stddev_pop(r) OVER w * sqrt(252) END AS vol FROM ({_RETURNS}) WINDOW w AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))""")
+@query("rolling_metrics", f"""WITH x AS (SELECT symbol, trade_date, list(r) OVER w AS rs, avg(r) OVER w AS mean, stddev_pop(r) OVER w AS sd FROM ({_RETURNS}) WINDOW w AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+y AS (SELECT *, list_sort(rs) AS s, list_transform(range(1, 61), lambda i: list_sum(rs[1:i])) AS c FROM x WHERE len(rs) = 60),
+z AS (SELECT symbol, trade_date, list_product(list_transform(rs, lambda v: 1 + v)) - 1 AS total_return, mean * 252 AS annual_return, sd * sqrt(252) AS volatility, list_max(list_transform(range(1, 61), lambda i: greatest(list_max(c[1:i]), 0) - c[i])) AS max_drawdown,
+sqrt(list_avg(list_transform(rs, lambda v: power(least(v - 0.02 / 252, 0), 2)))) * sqrt(252) AS down, s[4] AS var_95, list_avg(s[1:3]) AS cvar_95, s[1] AS var_99, s[1] AS cvar_99, s[60] AS best_day, s[1] AS worst_day,
+len(list_filter(rs, lambda v: v > 0)) AS positive_days, len(list_filter(rs, lambda v: v < 0)) AS negative_days FROM y),
+q AS (SELECT *, coalesce((annual_return - 0.02) / nullif(volatility, 0), 0) AS sharpe, coalesce((annual_return - 0.02) / nullif(down, 0), 0) AS sortino, coalesce(annual_return / nullif(max_drawdown, 0), 0) AS calmar FROM z)
+SELECT symbol, trade_date, positive_days::INTEGER AS positive_days, negative_days::INTEGER AS negative_days, {_rs(*_RISKS)} FROM q""")
 def _rolling(spark, d):
-    return risk.rolling(risk.returns(B.bars_orders(spark, d))).select("symbol", "trade_date", *_r("ret", "vol", "sharpe"))
+    return risk.rolling(risk.returns(B.bars_orders(spark, d))).select("symbol", "trade_date", "positive_days", "negative_days", *_r(*_RISKS))
 
 
 @query("price_correlation", f"SELECT x.symbol AS a, y.symbol AS b, {rounded('corr(x.close, y.close)')} AS corr, count(*) AS n FROM ({B.SQL_ORDERS}) x JOIN ({B.SQL_ORDERS}) y ON x.trade_date = y.trade_date AND x.symbol <= y.symbol GROUP BY 1, 2 HAVING count(*) >= 20")
 def _prices(spark, d):
-    return risk.price_correlation(B.bars_orders(spark, d)).select("a", "b", *_r("corr"), "n")
+    return risk.price_correlation(B.bars_orders(spark, d), FIVE).select("a", "b", *_r("corr"), "n")
 
 
 @query("portfolio_concentration", f"SELECT industry, {rounded('value')} AS value, round(100 * value / sum(value) OVER (), 2) AS weight FROM (SELECT c_mktsegment AS industry, sum(o_totalprice) AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)")
@@ -341,22 +523,70 @@ def _held(spark, d):
     return risk.concentration(h).select("industry", *_r("value"), "weight")
 
 
-@query("portfolio_var")
+@query("attribution", f"WITH p AS (SELECT n_name AS holding, sum(c_acctbal) AS pnl FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) SELECT holding, {rounded('pnl')} AS pnl, {rounded('pnl / nullif((SELECT sum(pnl) FROM p), 0)')} AS share FROM p")
+def _attribution(spark, d):
+    p = B.table(spark, d, "customer").join(B.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("holding")).agg(F.sum("c_acctbal").alias("pnl"))
+    return risk.attribution(p).select("holding", *_r("pnl", "share"))
+
+
+@query("replay_score", f"SELECT symbol, count(*) AS total, count_if((close > open) = (ahead >= close)) AS correct FROM (SELECT *, lead(close) OVER (PARTITION BY symbol ORDER BY trade_date) AS ahead FROM ({B.SQL_ORDERS})) WHERE ahead IS NOT NULL GROUP BY symbol")
+def _replay(spark, d):
+    b = B.bars_orders(spark, d)
+    return risk.replay_score(b, b.select("symbol", "trade_date", (F.col("close") > F.col("open")).alias("bull")))
+
+
+@query("portfolio_var", f"""WITH p AS (SELECT trade_date, sum(r * 0.2) AS p FROM ({_RETURNS}) GROUP BY trade_date HAVING count(*) = 5), k AS (SELECT p, row_number() OVER (ORDER BY p, trade_date) AS i, count(*) OVER () AS days FROM p)
+SELECT days, {rounded('-p')} AS var FROM k WHERE i = greatest(ceil(days * 0.05 - 1e-9), 1)""")
 def _var(spark, d):
-    weights = spark.createDataFrame([(s, 0.2) for s in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")], "symbol string, weight double")
-    return risk.portfolio_var(risk.returns(B.bars_orders(spark, d)), weights)
+    return risk.portfolio_var(risk.returns(B.bars_orders(spark, d)), dict.fromkeys(FIVE, 0.2)).select("days", *_r("var"))
+
+
+_TWO = f"SELECT avg(x.r) AS m1, avg(y.r) AS m2, var_samp(x.r) AS v1, var_samp(y.r) AS v2, covar_samp(x.r, y.r) AS c FROM ({_RETURNS}) x JOIN ({_RETURNS}) y ON x.trade_date = y.trade_date AND x.symbol = '1-URGENT' AND y.symbol = '2-HIGH'"
+
+
+@query("min_variance", f"SELECT {rounded('w')} AS w1, {rounded('1 - w')} AS w2 FROM (SELECT least(greatest((v2 - c) / (v1 + v2 - 2 * c), 0), 1) AS w FROM ({_TWO}))")
+def _least_variance(spark, d):
+    return risk.min_variance(risk.returns(B.bars_orders(spark, d)), "1-URGENT", "2-HIGH").select(*_r("w1", "w2"))
+
 
+@query("efficient_frontier", f"SELECT {rounded('w')} AS weight, {rounded('w * m1 + (1 - w) * m2')} AS return, {rounded('sqrt(w * w * v1 + (1 - w) * (1 - w) * v2 + 2 * w * (1 - w) * c)')} AS risk FROM ({_TWO}) CROSS JOIN (SELECT unnest(range(21)) / 20 AS w)")
+def _frontier(spark, d):
+    return risk.frontier(risk.returns(B.bars_orders(spark, d)), "1-URGENT", "2-HIGH").select(*_r("weight", "return", "risk"))
 
-@query("regime_features")
+
+# --- search
+
+@query("regime_features", f"""WITH r AS ({_RETURNS}), day AS (SELECT trade_date, avg(r) AS m, stddev_pop(r) AS spread FROM r GROUP BY trade_date HAVING count(*) = (SELECT count(DISTINCT symbol) FROM r)), x AS (SELECT r.* FROM r JOIN day USING (trade_date)),
+v AS (SELECT trade_date, avg(sd) * sqrt(252) AS cs_vol FROM (SELECT trade_date, stddev_pop(r) OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS sd FROM x) GROUP BY trade_date),
+c AS (SELECT trade_date, avg(c) AS mean_corr FROM (SELECT trade_date, coalesce(covar_pop(a, b) OVER w / nullif(stddev_pop(a) OVER w * stddev_pop(b) OVER w, 0), 0) AS c FROM (SELECT x.trade_date, x.symbol AS s, y.symbol AS t, x.r AS a, y.r AS b FROM x JOIN x y ON x.trade_date = y.trade_date AND x.symbol < y.symbol) WINDOW w AS (PARTITION BY s, t ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) GROUP BY trade_date),
+d AS (SELECT trade_date, m, cs_vol, mean_corr, spread, row_number() OVER (ORDER BY trade_date) AS i, product(1 + m) OVER (ORDER BY trade_date) AS value FROM day JOIN v USING (trade_date) JOIN c USING (trade_date)),
+f AS (SELECT trade_date, m, cs_vol, mean_corr, cs_vol / avg(cs_vol) OVER (ORDER BY trade_date) AS vol_ratio, CASE WHEN i > 60 THEN avg(m) OVER q * 252 / (stddev_pop(m) OVER q * sqrt(252)) ELSE 0 END AS trend,
+value / max(value) OVER (ORDER BY trade_date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) - 1 AS drawdown, avg(spread) OVER (ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS dispersion FROM d WINDOW q AS (ORDER BY trade_date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))
+SELECT trade_date, {_rs('m', *search.FEATURES)} FROM f""")
 def _regimes(spark, d):
-    return search.regime_features(risk.returns(B.bars_orders(spark, d)))
+    return search.regime_features(risk.returns(B.bars_orders(spark, d))).select("trade_date", *_r("m", *search.FEATURES))
 
 
 @query("portfolio_search")
 def _search(spark, d):
-    symbols, r = search.matrix(risk.returns(B.bars_orders(spark, d)))
-    rows = [(name, float(score)) for name, score in search.caps(r)] + [("pool:" + ",".join(symbols[i] for i in search.pool(r, 3)), search.mean_correlation(r))]
-    return spark.createDataFrame(rows, "name string, score double")
+    """Projected Sharpe ratios of every weighting for the pool of all five and for greedy pools."""
+    r = search.matrix(risk.returns(B.bars_orders(spark, d)), FIVE)
+    pools = {"all": r} | {",".join(FIVE[i] for i in p): r[:, p] for p, _, _ in search.diverse_pools(r, 2, 2)}
+    return spark.createDataFrame(search.caps(pools), "pool string, strategy string, projected_sharpe double, assets int")
+
+
+@query("diverse_pools")
+def _pools(spark, d):
+    r = search.matrix(risk.returns(B.bars_orders(spark, d)), FIVE)
+    rows = [(i + 1, [FIVE[k] for k in p], q, c) for i, (p, q, c) in enumerate(search.diverse_pools(r, 2, 2))]
+    return spark.createDataFrame(rows, "pool int, symbols array<string>, quality double, correlation double")
+
+
+@query("loewdin")
+def _loewdin(spark, d):
+    """The correlations of five symbols, orthogonalised."""
+    m = search.loewdin(search.correlation(search.matrix(risk.returns(B.bars_orders(spark, d)), FIVE)))
+    return spark.createDataFrame([(a, b, float(m[i, j])) for i, a in enumerate(FIVE) for j, b in enumerate(FIVE)], "a string, b string, value double")
 
 
 @query("regimes")
@@ -364,6 +594,31 @@ def _clusters(spark, d):
     return search.regimes(search.regime_features(risk.returns(B.bars_orders(spark, d))))
 
 
+@query("mars")
+def _mars(spark, d):
+    """The strategy of each regime, among weightings of the five symbols."""
+    r = risk.returns(B.bars_orders(spark, d))
+    labels = search.regimes(search.regime_features(r)).orderBy("trade_date").select("regime").toPandas()["regime"].to_numpy()
+    x = search.matrix(r, FIVE)
+    import numpy as np
+
+    cov, mean = np.cov(x.T), x.mean(axis=0)
+    current, best, sizes = search.mars(labels, {s: x @ search.weights(cov, mean, s) for s in search.WEIGHTS})
+    return spark.createDataFrame([(k, best[k], sizes[k], k == current) for k in best], "regime int, strategy string, days int, current boolean")
+
+
+@query("meta_search")
+def _meta(spark, d):
+    """Thirty steps, each scored by the projected Sharpe ratio of a weighting that the node's ensemble stands for."""
+    r = search.matrix(risk.returns(B.bars_orders(spark, d)), FIVE)
+    stand_in = dict(zip(search.DIMENSIONS["ensemble"], ("equal_weight", "risk_parity", "min_variance"), strict=True))
+    meta = search.MetaSearch()
+    for _ in range(30):
+        node = meta.select()
+        meta.record(node, search.projected_sharpe(r, stand_in[node["ensemble"]]) or 0.0)
+    return spark.createDataFrame([(i, *n.values(), float(v)) for i, (n, v) in enumerate(meta.tried)], "round int, alpha_tier string, objective string, ensemble string, factor_subset string, sharpe double")
+
+
 # --- streaming, run over what is there
 
 @query("stream_bars", f"SELECT symbol, trade_date AS ts, {_rs('open', 'high', 'low', 'close', 'volume', 'amount')} FROM ({B.SQL_EVENTS})")
