@@ -154,11 +154,12 @@ def regime_features(returns: DataFrame, vol_days: int = 20, trend_days: int = 60
     back = lambda n: w.rowsBetween(1 - n, 0)
     so_far = w.rowsBetween(W.unboundedPreceding, 0)
     d = g.select("trade_date", "cs_vol", corr.alias("mean_corr")).join(days.select("trade_date", "m", "spread"), "trade_date")
-    d = d.withColumns({"i": F.row_number().over(w), "value": F.exp(F.sum(F.ln(F.greatest(1 + F.col("m"), F.lit(1e-300)))).over(so_far)), "usual": F.avg("cs_vol").over(so_far), "sd": F.stddev_pop("m").over(back(trend_days)) * YEAR**0.5})
+    d = d.withColumns({"i": F.row_number().over(w), "value": F.product(1 + F.col("m")).over(so_far), "usual": F.avg("cs_vol").over(so_far), "sd": F.stddev_pop("m").over(back(trend_days)) * YEAR**0.5})
     trend = F.when((F.col("i") > trend_days) & (F.col("sd") > 1e-10), F.avg("m").over(back(trend_days)) * YEAR / F.nullif("sd", F.lit(0.0))).otherwise(0.0)
+    d = d.withColumn("peak", F.max("value").over(back(fall_days)))
     return d.select(
         "trade_date", "m", "cs_vol", F.when(F.col("usual") > 1e-10, F.col("cs_vol") / F.nullif("usual", F.lit(0.0))).otherwise(1.0).alias("vol_ratio"), "mean_corr",
-        trend.alias("trend"), (F.col("value") / F.max("value").over(back(fall_days)) - 1).alias("drawdown"), F.avg("spread").over(back(vol_days)).alias("dispersion"),
+        trend.alias("trend"), F.when(F.col("peak") > 0, F.col("value") / F.nullif("peak", F.lit(0.0)) - 1).otherwise(0.0).alias("drawdown"), F.avg("spread").over(back(vol_days)).alias("dispersion"),
     )
 
 

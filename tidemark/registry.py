@@ -560,8 +560,8 @@ def _frontier(spark, d):
 v AS (SELECT trade_date, avg(sd) * sqrt(252) AS cs_vol FROM (SELECT trade_date, stddev_pop(r) OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS sd FROM x) GROUP BY trade_date),
 c AS (SELECT trade_date, avg(c) AS mean_corr FROM (SELECT trade_date, coalesce(covar_pop(a, b) OVER w / nullif(stddev_pop(a) OVER w * stddev_pop(b) OVER w, 0), 0) AS c FROM (SELECT x.trade_date, x.symbol AS s, y.symbol AS t, x.r AS a, y.r AS b FROM x JOIN x y ON x.trade_date = y.trade_date AND x.symbol < y.symbol) WINDOW w AS (PARTITION BY s, t ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) GROUP BY trade_date),
 d AS (SELECT trade_date, m, cs_vol, mean_corr, spread, row_number() OVER (ORDER BY trade_date) AS i, product(1 + m) OVER (ORDER BY trade_date) AS value FROM day JOIN v USING (trade_date) JOIN c USING (trade_date)),
-f AS (SELECT trade_date, m, cs_vol, mean_corr, cs_vol / avg(cs_vol) OVER (ORDER BY trade_date) AS vol_ratio, CASE WHEN i > 60 THEN avg(m) OVER q * 252 / (stddev_pop(m) OVER q * sqrt(252)) ELSE 0 END AS trend,
-value / max(value) OVER (ORDER BY trade_date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) - 1 AS drawdown, avg(spread) OVER (ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS dispersion FROM d WINDOW q AS (ORDER BY trade_date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))
+f AS (SELECT trade_date, m, cs_vol, mean_corr, CASE WHEN avg(cs_vol) OVER (ORDER BY trade_date) > 1e-10 THEN cs_vol / avg(cs_vol) OVER (ORDER BY trade_date) ELSE 1 END AS vol_ratio, CASE WHEN i > 60 THEN avg(m) OVER q * 252 / (stddev_pop(m) OVER q * sqrt(252)) ELSE 0 END AS trend,
+CASE WHEN max(value) OVER y > 0 THEN value / max(value) OVER y - 1 ELSE 0 END AS drawdown, avg(spread) OVER (ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS dispersion FROM d WINDOW q AS (ORDER BY trade_date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), y AS (ORDER BY trade_date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW))
 SELECT trade_date, {_rs('m', *search.FEATURES)} FROM f""")
 def _regimes(spark, d):
     return search.regime_features(risk.returns(B.bars_orders(spark, d))).select("trade_date", *_r("m", *search.FEATURES))
