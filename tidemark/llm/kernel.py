@@ -14,30 +14,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 18
-LONG_WORD = 1 << 16
-_BLOCK = LONG_WORD // 2
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
 _U = np.uint64
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE = np.random.default_rng(0x5EED).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
-_P = _U(0x9E3779B97F4A7C15)
-_P_INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_Q = _U(0xD6E8FEB86659FD93)
-_Q_INV = _U(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        size = max(1024, 1 << (int(n) - 1).bit_length())
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        _powers[int(base)] = have
-    return have[:n]
+_P, _Q, _R = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
+#: The low k bytes of eight.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -87,33 +72,44 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words, equal for equal bytes wherever they stand."""
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + _BLOCK, side="right")))
-        s, e = starts[at:to], ends[at:to]
-        lo, hi = s[0], e[-1]
-        if hi - lo <= 2 * _BLOCK:
-            total = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum(_BYTE[data[lo:hi]] * powers(_P, hi - lo), out=total[1:])
-            h = (total[e - lo] - total[s - lo]) * powers(_P_INV, hi - lo)[s - lo]
-            out[at:to] = mix(h + (e - s).astype(np.uint64) * _Q)
-        at = to
-    for i in np.flatnonzero(ends - starts > LONG_WORD):
-        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the words, equal for equal bytes wherever they stand.  Eight bytes at a time go through a mixing that
+    is not linear, so that no two words collide by their structure."""
+    size = (ends - starts).astype(np.int64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
+    out = mix((size.astype(np.uint64) + _U(seed)) * _P + _R)
+    todo, at = np.flatnonzero(size <= LONG_WORD), 0
+    while len(todo):
+        lane = lanes[starts[todo] + at] & _LOW[np.minimum(size[todo] - at, 8)]
+        out[todo] = mix((out[todo] ^ lane) * _P + _Q)
+        at += 8
+        todo = todo[size[todo] > at]
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
     return out
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * _P + ((b << _U(29)) | (b >> _U(35))) * _Q + _R)
+
+
 def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each run of k consecutive entries; len(hashes) - k + 1 of them, none if that is below 1."""
-    n = len(hashes)
-    if n < k:
+    """Hash of each run of k consecutive entries; len(hashes) - k + 1 of them, none if that is below 1.  Runs of powers of two
+    are joined from halves, and the run of k from those its binary digits name."""
+    n = len(hashes) - k + 1
+    if n < 1:
         return np.empty(0, np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * powers(_Q, n), out=total[1:])
-    return mix((total[k:] - total[: n - k + 1]) * powers(_Q_INV, n - k + 1))
+    run, size, at, out = hashes, 1, 0, None
+    while True:
+        if k & size:
+            part = run[at : at + n]
+            out = part if out is None else _joined(out, part)
+            at += size
+        size *= 2
+        if size > k:
+            return mix(out + _R)
+        run = _joined(run[: len(run) - size // 2], run[size // 2 :])
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

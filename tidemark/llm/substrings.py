@@ -2,16 +2,20 @@
 
 Two operators share the decision which spans go.
 
-``against`` takes a stated reference set and is the suffix-automaton method: the reference is cut into shards of at most
-``SHARD_WORDS`` words, each shard's suffix automaton is broadcast in turn, and documents are streamed through it for
-matching statistics; maximal spans at or above the threshold are removed.  The size of what is broadcast is bounded by
-SHARD_WORDS; the number of passes grows with the reference, not with the documents.
+``against`` takes a stated reference set and is the suffix-automaton method: the reference is dealt into shards of about
+``SHARD_WORDS`` words, each shard's suffix automaton is built in a task, and documents are streamed through the automata for
+matching statistics, ``PASS`` broadcast automata at a time; maximal spans at or above the threshold are removed.  What is
+broadcast is bounded by SHARD_WORDS and PASS; the number of passes grows with the reference, not with the documents.
 
 ``within`` removes what repeats anywhere in the corpus itself.  There the reference is the corpus: automata of all its
 shards, streamed past all documents, cost documents x shards, which the README reports with figures, so the repeated runs
 are found by a packed exchange of window hashes instead.  Documents are dealt into chunks; a chunk sends each hash bucket
-one row, the sorted distinct 64-bit hashes of its windows; a bucket returns to each of its chunks one bit per hash, whether
-any other window has it.  A hash has at most one entry a chunk however hot it is, so no key can make a task large.
+one row, the sorted distinct hashes of its windows; a bucket returns to each of its chunks one bit per hash, whether
+any other window has it.  A hash has at most one entry a chunk however hot it is, so no key can make a task large.  Two such
+exchanges follow each other: the first of 40 bits beside the bucket's own, of all windows, finds what may repeat; the second,
+of 64 bits of an independent hash, of these alone, decides.  A window that occurs once is removed only if another shares
+both: in a corpus of n windows that is expected n * 1e-6 * 1e-13 times, whatever its size.  Hashes are not linear in the
+words or bytes (see ``kernel``), so no two texts collide by their structure.
 
 Edge cases: null texts have no words; texts shorter than the window lose nothing; repeated rows are copies of each other,
 so each loses all windows; overlapping repeats inside one document count as starting elsewhere.
@@ -20,10 +24,12 @@ so each loses all windows; overlapping repeats inside one document count as star
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +38,9 @@ from . import frames, kernel
 WINDOW = 35
 CHUNK_BYTES = 8 << 20
 BUCKET_HASHES = 1_500_000
-SHARD_WORDS = 100_000
+SHARD_WORDS, PASS = 100_000, 8
+#: Bytes of a hash in the first and the second exchange.
+FIRST, SECOND = 5, 8
 
 
 # --- suffix automata of a stated reference
@@ -107,44 +115,61 @@ def covered(lengths: list[int], least: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
+def _cut(window: int):
+    """Texts as pieces of at most SHARD_WORDS words, which overlap so that no run of the window's length is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                words = (t.as_py() or b"").split()
+                starts = range(0, max(1, len(words) - window + 1), max(1, SHARD_WORDS - window + 1)) if words else ()
+                found = [words[a : a + SHARD_WORDS] for a in starts]
+                yield pa.RecordBatch.from_arrays([pa.array([b" ".join(w) for w in found], pa.binary()), pa.array([len(w) for w in found], pa.int64())], names=["piece", "n"])
+
+    return run
+
+
+def _build(rows: pa.Table) -> pa.Table:
+    automaton = SuffixAutomaton([p.split() for p in sorted(rows.column("piece").to_pylist())])
+    return pa.table({"shard": rows.column("shard").slice(0, 1), "automaton": pa.array([pickle.dumps(automaton)], pa.large_binary()).cast(pa.binary())})
+
+
 def against(docs: DataFrame, reference: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, n_removed and kept text of each row of docs, without the runs of at least ``window`` words that occur in
-    a text of ``reference``.  Every shard marks words on the whole document; marks of all shards are united."""
+    a text of ``reference``.  Every automaton marks words on the whole document; marks of all are united, and every pass is
+    written to the checkpoint folder, so that the next one starts from there."""
     spark = docs.sparkSession
-    shards, at, size = [[]], 0, 0
-    for r in reference.select(text).toLocalIterator():
-        words = (r[0] or "").encode().split()
-        for a in range(0, len(words), SHARD_WORDS - window):
-            piece = words[a : a + SHARD_WORDS]
-            if size + len(piece) > SHARD_WORDS and shards[-1]:
-                shards.append([])
-                size = 0
-            shards[-1].append(piece)
-            size += len(piece)
-            if a + SHARD_WORDS >= len(words):
-                break
+    pieces = frames.cut(reference.select(F.col(text).cast("binary")).mapInArrow(_cut(window), "piece binary, n long"))
+    shards = max(1, -(-(pieces.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]) // SHARD_WORDS))
+    dealt = pieces.select("piece", F.pmod(F.xxhash64("piece"), F.lit(shards)).cast("int").alias("shard"))
+    built = frames.cut(dealt.groupBy("shard").applyInArrow(_build, "shard int, automaton binary"))
     marked = docs.select(F.col(key), F.col(text).cast("binary").alias("_text"), F.lit(b"").alias("_marks"))
-    for shard in shards:
-        sent = spark.sparkContext.broadcast(SuffixAutomaton(shard))
+    for first in range(0, shards, PASS):
+        own = [r["automaton"] for r in built.filter(F.col("shard").between(first, first + PASS - 1)).orderBy("shard").collect()]
+        if not own:
+            continue
+        sent = spark.sparkContext.broadcast(own)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            automata = [pickle.loads(a) for a in sent.value]
             for b in batches:
                 marks = []
                 for t, m in zip(b.column(1), b.column(2), strict=True):
                     words = (t.as_py() or b"").split()
-                    new = covered(sent.value.statistics(words), window)
-                    old = np.unpackbits(np.frombuffer(m.as_py(), np.uint8))[: len(words)] if m.as_py() else 0
-                    marks.append(np.packbits(new | (old > 0)).tobytes())
+                    gone = np.unpackbits(np.frombuffer(m.as_py(), np.uint8))[: len(words)] > 0 if m.as_py() else np.zeros(len(words), bool)
+                    for a in automata:
+                        gone |= covered(a.statistics(words), window)
+                    marks.append(np.packbits(gone).tobytes())
                 yield b.set_column(2, "_marks", pa.array(marks, pa.binary()))
 
-        marked = marked.mapInArrow(run, marked.schema)
+        marked = frames.cut(marked.mapInArrow(run, marked.schema))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for t, m in zip(b.column(1), b.column(2), strict=True):
                 words = (t.as_py() or b"").split()
-                gone = np.unpackbits(np.frombuffer(m.as_py(), np.uint8))[: len(words)] > 0 if words else np.zeros(0, bool)
+                gone = np.unpackbits(np.frombuffer(m.as_py(), np.uint8))[: len(words)] > 0 if m.as_py() else np.zeros(len(words), bool)
                 rows.append((len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone, strict=True) if not g).decode()))
             n, r, kept = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(kept, pa.string())], names=[key, "n_words", "n_removed", "kept"])
@@ -155,36 +180,96 @@ def against(docs: DataFrame, reference: DataFrame, window: int = WINDOW, key: st
 
 # --- repeats within the corpus
 
-def _windows(texts: pa.Array, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For pieces of the texts: number of the first text, first word of each text, window hashes, and the text and the
-    first word of each window."""
+def _windows(texts: pa.Array, window: int, seeds: tuple[int, ...] = (0,)) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """For pieces of the texts: number of the first text, first word of each text, first word of each window, and the windows'
+    hashes by each seed."""
     at = 0
     for piece in kernel.slices(pa.RecordBatch.from_arrays([texts], ["text"])):
         data, offs = kernel.buffers(piece.column(0))
         starts, ends, first = kernel.words(data, offs)
-        h = kernel.rolling(kernel.word_hashes(data, starts, ends), window)
         n = np.maximum(np.diff(first) - window + 1, 0)
-        doc = np.repeat(np.arange(len(n)), n)
         begin = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[:-1], n)
-        yield at, first, h[begin] if len(begin) else np.empty(0, np.uint64), doc, begin
+        yield at, first, begin, [kernel.rolling(kernel.word_hashes(data, starts, ends, s), window)[begin] if len(begin) else np.empty(0, np.uint64) for s in seeds]
         at += piece.num_rows
 
 
-def _table(chunk: int, ids: np.ndarray, payloads: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), chunk), pa.int32()), pa.array(ids, pa.int32()), pa.array(payloads, pa.binary())], names=["chunk", "bucket", "payload"])
+class Exchange:
+    """Hashes of ``width`` bytes beside the bucket, which comes from the upper 24 bits."""
+
+    def __init__(self, width: int, buckets: int):
+        self.width, self.buckets = width, np.uint64(buckets)
+
+    def bucket(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(40)) * self.buckets >> np.uint64(24)
+
+    def placed(self, h: np.ndarray) -> np.ndarray:
+        """Sorts by bucket, and holds what is sent in its low bytes."""
+        return h if self.width == 8 else self.bucket(h) << np.uint64(40) | h & np.uint64((1 << 40) - 1)
+
+    def parts(self, placed: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(bucket, from, to) of sorted ones; only buckets that have any."""
+        b = self.bucket(placed) if self.width == 8 else placed >> np.uint64(40)
+        cuts = np.flatnonzero(np.diff(b)) + 1
+        for a, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(b)]):
+            if e > a:
+                yield int(b[a]), a, e
+
+    def rows(self, chunk: int, hashes: list[np.ndarray]) -> pa.RecordBatch:
+        """The sorted distinct hashes of a chunk, by bucket, then one bit each, whether the chunk itself has it twice."""
+        h, n = np.unique(self.placed(np.concatenate(hashes)), return_counts=True)
+        raw = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : self.width]
+        found = [(b, raw[a:e].tobytes() + np.packbits(n[a:e] > 1).tobytes()) for b, a, e in self.parts(h)]
+        return _table(chunk, [b for b, _ in found], [p for _, p in found])
+
+    def read(self, payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+        n = len(payload) * 8 // (8 * self.width + 1)
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, : self.width] = np.frombuffer(payload, np.uint8, n * self.width).reshape(n, self.width)
+        return wide.view("<u8").ravel(), np.unpackbits(np.frombuffer(payload, np.uint8, offset=n * self.width))[:n] > 0
+
+    def count(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a bucket stand together: returns to each chunk a bit for each of its hashes."""
+
+        def close(bucket: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            hashes, twice = zip(*(self.read(raw) for _, raw in rows), strict=True)
+            whole, bits = np.concatenate(hashes), np.concatenate(twice)
+            order = np.argsort(whole, kind="stable")
+            whole = whole[order]
+            same = np.zeros(len(whole), bool)
+            equal = whole[1:] == whole[:-1]
+            same[1:] |= equal
+            same[:-1] |= equal
+            bits[order] |= same
+            cuts = np.cumsum([0, *map(len, hashes)])
+            out = [np.packbits(bits[cuts[i] : cuts[i + 1]]).tobytes() for i in range(len(rows))]
+            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int32()), pa.array([bucket] * len(rows), pa.int32()), pa.array(out, pa.binary())], names=["chunk", "bucket", "payload"])
+
+        bucket, rows = None, []
+        for batch in batches:
+            for c, b, p in zip(batch.column("chunk").to_pylist(), batch.column("bucket").to_pylist(), batch.column("payload"), strict=True):
+                if b != bucket and rows:
+                    yield close(bucket, rows)
+                    rows = []
+                bucket = b
+                rows.append((c, p.as_py()))
+        if rows:
+            yield close(bucket, rows)
+
+    def marks(self, h: np.ndarray, bits: dict[int, bytes]) -> np.ndarray:
+        """Which of a chunk's hashes came back marked."""
+        placed, back = np.unique(self.placed(h), return_inverse=True)
+        hit = np.zeros(len(placed), bool)
+        for b, a, e in self.parts(placed):
+            hit[a:e] = np.unpackbits(np.frombuffer(bits[b], np.uint8))[: e - a] > 0
+        return hit[back]
 
 
-def _send(buckets: int, window: int, text: str):
-    """Rows of a chunk stand together: its sorted distinct hashes, by bucket, then one bit each, whether the chunk itself
-    has the hash twice."""
+def _table(chunk: int, buckets: list[int], payloads: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([chunk] * len(buckets), pa.int32()), pa.array(buckets, pa.int32()), pa.array(payloads, pa.binary())], names=["chunk", "bucket", "payload"])
 
-    def close(chunk: int, parts: list[np.ndarray]) -> pa.RecordBatch:
-        h, n = np.unique(np.concatenate(parts), return_counts=True)
-        bucket = (h % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        h, n, cuts = h[order], n[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-        some = np.flatnonzero(np.diff(cuts))
-        return _table(chunk, some, [h[cuts[b] : cuts[b + 1]].tobytes() + np.packbits(n[cuts[b] : cuts[b + 1]] > 1).tobytes() for b in some])
+
+def _send(first: Exchange, window: int, text: str):
+    """Rows of a chunk stand together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, parts = None, []
@@ -195,78 +280,59 @@ def _send(buckets: int, window: int, text: str):
                 if b == a:
                     continue
                 if ids[a] != chunk and parts:
-                    yield close(chunk, parts)
+                    yield first.rows(chunk, parts)
                     parts = []
                 chunk = ids[a]
-                parts += [h for _, _, h, _, _ in _windows(batch.column(text).slice(a, b - a), window) if len(h)]
+                parts += [h for _, _, _, (h,) in _windows(batch.column(text).slice(a, b - a), window) if len(h)]
         if parts:
-            yield close(chunk, parts)
+            yield first.rows(chunk, parts)
+
+    return run
+
+
+def _texts(docs: pa.Table, text: str) -> pa.Array:
+    whole = docs.column(text).combine_chunks()
+    return whole if isinstance(whole, pa.Array) else pa.concat_arrays(whole.chunks)
+
+
+def _bits(rows: pa.Table, which: int) -> dict[int, bytes]:
+    own = rows.filter(pc.equal(rows.column("round"), which))
+    return dict(zip(own.column("bucket").to_pylist(), own.column("payload").to_pylist(), strict=True))
+
+
+def _again(first: Exchange, second: Exchange, window: int, text: str):
+    """The second hashes of the windows that the first exchange marked."""
+
+    def run(docs: pa.Table, bits: pa.Table) -> pa.Table:
+        back, parts = _bits(bits, 1), list(_windows(_texts(docs, text), window, (0, 1)))
+        one, two = (np.concatenate([p[3][k] for p in parts]) if parts else np.empty(0, np.uint64) for k in (0, 1))
+        some = two[first.marks(one, back)] if len(one) else two
+        return pa.Table.from_batches([second.rows(docs.column("chunk")[0].as_py(), [some]) if len(some) else _table(0, [], [])])
 
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a bucket stand together: returns to each chunk a bit for each of its hashes."""
-
-    def close(bucket: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        hashes, twice = [], []
-        for _, raw in rows:
-            n = len(raw) * 8 // 65
-            hashes.append(np.frombuffer(raw, np.uint64, n))
-            twice.append(np.unpackbits(np.frombuffer(raw, np.uint8, offset=8 * n))[:n])
-        whole = np.concatenate(hashes)
-        order = np.argsort(whole, kind="stable")
-        whole = whole[order]
-        same = np.zeros(len(whole), bool)
-        equal = whole[1:] == whole[:-1]
-        same[1:] |= equal
-        same[:-1] |= equal
-        bits = np.concatenate(twice) > 0
-        bits[order] |= same
-        cuts = np.cumsum([0, *map(len, hashes)])
-        out = [np.packbits(bits[cuts[i] : cuts[i + 1]]).tobytes() for i in range(len(rows))]
-        return pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int32()), pa.array([bucket] * len(rows), pa.int32()), pa.array(out, pa.binary())], names=["chunk", "bucket", "payload"])
-
-    bucket, rows = None, []
-    for batch in batches:
-        for c, b, p in zip(batch.column("chunk").to_pylist(), batch.column("bucket").to_pylist(), batch.column("payload"), strict=True):
-            if b != bucket and rows:
-                yield close(bucket, rows)
-                rows = []
-            bucket = b
-            rows.append((c, p.as_py()))
-    if rows:
-        yield close(bucket, rows)
-
-
-def _finish(buckets: int, window: int, key: str, text: str):
-    """A chunk's documents with the bits that came back."""
+def _finish(first: Exchange, second: Exchange, window: int, key: str, text: str):
+    """A chunk's documents with the bits that came back from both exchanges."""
 
     def run(docs: pa.Table, bits: pa.Table) -> pa.Table:
-        texts = docs.column(text).combine_chunks()
-        texts = texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks)
-        pieces = list(_windows(texts, window))
-        all_ = np.concatenate([p[2] for p in pieces]) if pieces else np.empty(0, np.uint64)
-        h, back = np.unique(all_, return_inverse=True)
-        bucket = (h % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        hit = np.zeros(len(h), bool)
-        for b, p in zip(bits.column("bucket").to_pylist(), bits.column("payload").to_pylist(), strict=True):
-            own = order[cuts[b] : cuts[b + 1]]
-            hit[own] = np.unpackbits(np.frombuffer(p, np.uint8))[: len(own)] > 0
-        hit = hit[back]
+        texts = _texts(docs, text)
+        pieces = list(_windows(texts, window, (0, 1)))
+        one, two = (np.concatenate([p[3][k] for p in pieces]) if pieces else np.empty(0, np.uint64) for k in (0, 1))
+        hit = first.marks(one, _bits(bits, 1)) if len(one) else np.zeros(0, bool)
+        if hit.any():
+            hit[hit] = second.marks(two[hit], _bits(bits, 2))
         values, rows, at = texts.cast(pa.binary()), [], 0
-        for start, first, hashes, doc, begin in pieces:
-            gone = np.zeros(first[-1] + 1, np.int64)
-            go = begin[hit[at : at + len(hashes)]]
-            at += len(hashes)
+        for start, first_word, begin, _ in pieces:
+            gone = np.zeros(first_word[-1] + 1, np.int64)
+            go = begin[hit[at : at + len(begin)]]
+            at += len(begin)
             np.add.at(gone, go, 1)
             np.add.at(gone, go + window, -1)
             gone = np.cumsum(gone)[:-1] > 0
-            for d in range(len(first) - 1):
+            for d in range(len(first_word) - 1):
                 words = (values[start + d].as_py() or b"").split()
-                g = gone[first[d] : first[d + 1]]
+                g = gone[first_word[d] : first_word[d + 1]]
                 kept = words if not g.any() else [w for w, x in zip(words, g.tolist(), strict=True) if not x]
                 rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
         n, r, sha = zip(*rows, strict=True) if rows else ((), (), ())
@@ -276,15 +342,25 @@ def _finish(buckets: int, window: int, key: str, text: str):
 
 
 def within(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_words, n_removed and kept_sha256 of each row, without the words of any window that starts elsewhere too."""
+    """key, n_words, n_removed and kept_sha256 of each row, without the words of any window that starts elsewhere too.  A
+    chunk has CHUNK_BYTES of text or one text; rows that are alike in everything are dealt by their input partition too."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()["b"]
     chunks, buckets = max(1, -(-size // CHUNK_BYTES)), max(1, -(-size // (6 * BUCKET_HASHES)))
-    dealt = docs.select(F.col(key), F.col(text), F.pmod(F.xxhash64(key, text), F.lit(chunks)).cast("int").alias("chunk")).repartition(chunks, "chunk")
-    #: Both uses of ``dealt`` keep the same columns, so that Spark shuffles the text once for both.
-    sent = dealt.sortWithinPartitions("chunk").mapInArrow(_send(buckets, window, text), "chunk int, bucket int, payload binary")
-    counted = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_count, "chunk int, bucket int, payload binary")
+    first, second = Exchange(FIRST, buckets), Exchange(SECOND, buckets)
+    dealt = docs.select(F.col(key), F.col(text), F.pmod(F.xxhash64(key, text, F.spark_partition_id()), F.lit(chunks)).cast("int").alias("chunk")).repartition(chunks, "chunk")
+    packed = "chunk int, bucket int, payload binary"
+
+    def counted(sent: DataFrame, exchange: Exchange, number: int) -> DataFrame:
+        returned = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(exchange.count, packed)
+        return returned.select("chunk", "bucket", "payload", F.lit(number).alias("round"))
+
+    #: All uses of ``dealt`` keep the same columns, so that Spark shuffles the text once for all.
+    chunked = dealt.groupBy("chunk")
+    back = counted(dealt.sortWithinPartitions("chunk").mapInArrow(_send(first, window, text), packed), first, 1).repartition(chunks, "chunk")
+    more = counted(chunked.cogroup(back.groupBy("chunk")).applyInArrow(_again(first, second, window, text), packed), second, 2)
     schema = dealt.select(F.col(key), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_sha256")).schema
-    return dealt.groupBy("chunk").cogroup(counted.repartition(chunks, "chunk").groupBy("chunk")).applyInArrow(_finish(buckets, window, key, text), schema)
+    both = back.unionByName(more).repartition(chunks, "chunk")
+    return chunked.cogroup(both.groupBy("chunk")).applyInArrow(_finish(first, second, window, key, text), schema)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
