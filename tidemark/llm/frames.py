@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the session's shared checkpoint folder; sets one only where none is set, as in tests."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder.  Where none is set a folder is made, but only for a local master, as in tests:
+    on a cluster executors would write to their own disks."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def apart(df: DataFrame, name: str) -> str:
+    """A column name that df does not have: the given one, with as many underscores before it as it takes."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -10,6 +10,10 @@ counts there.  One that crosses a boundary is allocated by a rule:
 
 A token outside all sections counts as outside.  Counts of sections and outside add up to the document's tokens.
 
+Long texts are encoded in pieces, cut where the pre-tokeniser always ends a token; where there is no such place for long (a
+run of blanks, digits or symbols, script without blanks, one long word) its pattern is applied match by match and every match
+is encoded by itself, so that no run is too long for it.
+
 Edge cases: null text counts as empty: no tokens, one empty section; a token that is part of one character spans that
 character; ``special token`` strings are ordinary text; repeated rows give repeated results.
 """
@@ -22,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import frames
+from . import frames, kernel
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -33,8 +38,10 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECE = 1 << 16
 RULES = ("most", "start", "share")
-#: The pattern always ends a token before a blank that follows a letter and precedes one.
-_CUT = re.compile(r"(?<=[^\W\d_])(?= [^\W\d_])")
+#: The pattern always ends a token before a single blank between two others.
+_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: The same pattern for matching one token at a time; white space as that library's classes have it.
+_TOKEN = regex.compile(PATTERN.replace(r"[^\s\p{L}", r"[^\p{White_Space}\p{L}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 _encoders: dict[str, tuple] = {}
 
 
@@ -52,22 +59,29 @@ def encoder(path: str = f"{TOKENIZERS}/{VOCABULARY}"):
     return _encoders[path]
 
 
-def pieces(text: str) -> Iterator[str]:
-    """The text in pieces of about PIECE characters that are encoded to the same tokens as the whole."""
+def encode(text: str, path: str = f"{TOKENIZERS}/{VOCABULARY}") -> list[int]:
+    """The tokens of a text, however long it and its words are."""
+    enc, _ = encoder(path)
+    out: list[int] = []
     at = 0
     while len(text) - at > 2 * PIECE:
-        cut = _CUT.search(text, at + PIECE)
-        if not cut:
-            break
-        yield text[at : cut.start()]
-        at = cut.start()
-    yield text[at:]
+        cut = _CUT.search(text, at + PIECE, at + 2 * PIECE)
+        if cut:
+            out += enc.encode_ordinary(text[at : cut.start()])
+            at = cut.start()
+            continue
+        for m in _TOKEN.finditer(text, at):
+            out += enc._encode_single_piece(m.group().encode())
+            if m.end() - at >= PIECE:
+                break
+        at = m.end()
+    return out + enc.encode_ordinary(text[at:])
 
 
 def spans(text: str, path: str = f"{TOKENIZERS}/{VOCABULARY}") -> tuple[np.ndarray, np.ndarray]:
     """First character and character after the last of each token."""
-    enc, lengths = encoder(path)
-    ids = np.array([i for p in pieces(text) for i in enc.encode_ordinary(p)], np.int64)
+    _, lengths = encoder(path)
+    ids = np.array(encode(text, path), np.int64)
     ends = np.cumsum(lengths[ids])
     starts = ends - lengths[ids]
     if text.isascii():
@@ -106,10 +120,11 @@ def allocate(starts: np.ndarray, ends: np.ndarray, sections: np.ndarray, rule: s
 
 def lines(text: str) -> np.ndarray:
     """A section for each line, with its line feed, so that sections cover the text; one empty section for an empty text."""
-    ends = [m.end() for m in re.finditer("\n", text)]
-    if not ends or ends[-1] < len(text):
-        ends.append(len(text))
-    return np.array(list(zip([0, *ends[:-1]], ends, strict=True)), np.int64)
+    points = np.frombuffer(text.encode() if text.isascii() else text.encode("utf-32-le"), np.uint8 if text.isascii() else "<u4")
+    ends = np.flatnonzero(points == 10) + 1
+    if not len(ends) or ends[-1] < len(text):
+        ends = np.append(ends, len(text))
+    return np.column_stack([np.append(0, ends[:-1]), ends])
 
 
 def joined(df: DataFrame, fields: list[str], separator: str = "\n") -> DataFrame:
@@ -136,16 +151,19 @@ def count(docs: DataFrame, rule: str = "most", path: str = f"{TOKENIZERS}/{VOCAB
     schema = base.select(F.col(key), *[F.lit(0).cast("long").alias(n) for n in ("n_chars", "n_tokens", "n_sections", "n_crossing")], F.lit(0.0).alias("n_outside"), F.array(F.lit(0.0)).alias("section_tokens")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for i, t in enumerate(batch.column(1)):
-                t = t.as_py() or ""
-                own = np.array([(s["start"], s["end"]) for s in batch.column(2)[i].as_py() or ()], np.int64).reshape(-1, 2) if sections else lines(t)
-                starts, ends = spans(t, path)
-                counts, outside, crossing = allocate(starts, ends, own, rule)
-                rows.append((len(t), len(starts), len(own), crossing, outside, counts.tolist()))
-            c = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in c[:4]], pa.array(c[4], pa.float64()), pa.array(c[5], pa.list_(pa.float64()))], names=schema.names)
+        for whole in batches:
+            for batch in kernel.slices(whole, "_text", 16 * kernel.SLICE_BYTES):
+                rows, tokens = [], [np.zeros(0)]
+                for i, t in enumerate(batch.column(1)):
+                    t = t.as_py() or ""
+                    own = np.array([(s["start"], s["end"]) for s in batch.column(2)[i].as_py() or ()], np.int64).reshape(-1, 2) if sections else lines(t)
+                    starts, ends = spans(t, path)
+                    counts, outside, crossing = allocate(starts, ends, own, rule)
+                    tokens.append(counts)
+                    rows.append((len(t), len(starts), len(own), crossing, outside))
+                c = list(zip(*rows, strict=True))
+                per = pa.ListArray.from_arrays(pa.array(np.cumsum([len(x) for x in tokens]), pa.int32()), pa.array(np.concatenate(tokens)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in c[:4]], pa.array(c[4], pa.float64()), per], names=schema.names)
 
     return base.mapInArrow(run, schema)
 
