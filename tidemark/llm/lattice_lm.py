@@ -1,23 +1,26 @@
 """Language-model scoring by the marginal probability of a subword lattice.
 
-Every word is a lattice of the pieces of an existing subword vocabulary and of single bytes; its probability L is the sum
-over all segmentations, found by forward recursion in log space.  The weights are those that the vocabulary's own ranks
-give (a piece of rank r weighs 1 / (r + 10)); nothing is learned from a part of the documents.  ``score`` is the log10 of
-the lattice's probability of the text, the sum over its tokens of log10 L.  ``mixed_score`` is of a count model that backs
-off to the lattice, with absolute discounting over the N tokens, V of them distinct, of all training documents:
+A document is its words and an end.  Every word is a lattice of the pieces of an existing subword vocabulary and of single
+bytes; its probability is the sum over all segmentations, found by forward recursion in log space.  The vocabulary's pieces
+stay as they are; its ranks (a piece of rank r weighs 1 / (r + 10)) are only where their weights start from.  ``ROUNDS`` of
+expectation-maximisation over the word counts of all training documents turn them into unigram scores: a round adds up, in
+tasks, how often each piece is expected in every distinct word, times the word's count.  ``score`` is the log10 of the
+lattice's probability of the text.
 
-    P(w) = (max(c - D, 0) + D V L(w)) / N
+``mixed_score`` is of a count model that backs off to the lattice, with absolute discounting over the N tokens, V of them
+distinct, of all training documents: P(w) = (max(c - D, 0) + D V L(w)) / N.
 
-Passes: documents are encoded once into chunks of about ``CHUNK`` bytes with a vocabulary of their own; the chunks' words
-meet by word (a word has at most one row a chunk, however often it occurs), and their counts return to the
-chunk.  Texts are never shuffled, only encoded documents are.
+Passes: documents are encoded once into chunks of about ``CHUNK`` bytes with a vocabulary of their own; words are counted with
+partial aggregation; the chunks' words join their counts and weights (a word has at most one row a chunk, however often it
+occurs) and return to the chunk.  Texts are never shuffled, only encoded documents are.
 
 Edge cases: null text counts as empty, and an empty text is the end token alone; a null doc_id is a training document;
-repeated rows count each; without training documents the lattice alone scores.
+repeated rows count each; without training documents the weights are those of the ranks; a word of any length is scored whole.
 """
 
 from __future__ import annotations
 
+import copy
 import math
 import uuid
 from collections import defaultdict
@@ -30,15 +33,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import frames
+from . import frames, kernel
 
 TOKENIZERS = "/opt/tokenizers"
 CHUNK = 8 << 20
 #: Characters of the longest piece of the vocabulary; a longer one in another vocabulary is an error.
 LONGEST = 16
 END = b""
+ROUNDS = 3
+#: What the ranks' weights count for beside the expected counts, in pieces.
+PRIOR = 1000.0
 _BYTE_WEIGHT = -14.0
-_END_WEIGHT = -14.0
+#: Words of more characters are worked on one by one; others in blocks of about so many characters.
+LONG_WORD, BLOCK = 256, 1 << 17
+_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 Lattice = dict[str, float]
 
 
@@ -61,9 +69,8 @@ def _sum(values: list[float]) -> float:
     return top + math.log(sum([math.exp(v - top) for v in values]))
 
 
-def forward(word: str, lattice: Lattice) -> list[float]:
-    """Log of the total weight of all segmentations of each prefix of the marked word."""
-    text = "▁" + word
+def forward(text: str, lattice: Lattice) -> list[float]:
+    """Log of the total weight of all segmentations of each prefix."""
     ahead = [0.0]
     get = lattice.get
     for j in range(1, len(text) + 1):
@@ -74,8 +81,150 @@ def forward(word: str, lattice: Lattice) -> list[float]:
     return ahead
 
 
-def log_weight(word: bytes, lattice: Lattice) -> float:
-    return _END_WEIGHT if word == END else forward(word.decode("utf8", "replace"), lattice)[-1]
+def backward(text: str, lattice: Lattice) -> list[float]:
+    """The same of each suffix."""
+    n = len(text)
+    behind = [0.0] * (n + 1)
+    get = lattice.get
+    for i in range(n - 1, -1, -1):
+        ways = [behind[j] + v for j in range(i + 1, min(n, i + LONGEST) + 1) if (v := get(text[i:j])) is not None]
+        if text[i] not in lattice:
+            ways.append(behind[i + 1] + _BYTE_WEIGHT * len(text[i].encode("utf8", "replace")))
+        behind[i] = _sum(ways)
+    return behind
+
+
+def _join(stack: list[np.ndarray]) -> np.ndarray:
+    """Log of the sum of exponentials over the first axis; one of them is finite."""
+    whole = np.array(stack)
+    top = whole.max(axis=0)
+    return top + np.log(np.exp(whole - top).sum(axis=0))
+
+
+class Vocabulary:
+    """The pieces, by a hash of their code points, and their log weights, the end token's last."""
+
+    def __init__(self, lattice: Lattice, end: float = -14.0):
+        self.names = list(lattice)
+        self.lattice, self.weights = dict(lattice), np.array([*lattice.values(), end])
+        own = np.empty(len(self.names), np.uint64)
+        for i, p in enumerate(self.names):
+            points = np.frombuffer(p.encode("utf-32-le"), "<u4").astype(np.uint64)[None, :]
+            own[i] = list(self._hashes(points))[-1][0, 0]
+        order = np.argsort(own)
+        self.hashes, self.ids = own[order], order.astype(np.int32)
+        self.some = np.zeros(1 << 21, bool)
+        self.some[own >> np.uint64(43)] = True
+
+    def reweighted(self, weights: np.ndarray) -> Vocabulary:
+        new = copy.copy(self)
+        new.weights, new.lattice = weights, dict(zip(self.names, weights.tolist(), strict=False))
+        return new
+
+    @staticmethod
+    def _hashes(points: np.ndarray) -> Iterator[np.ndarray]:
+        """Hashes of the runs of 1, 2, ... code points that start at each place, a row a word."""
+        run = kernel.mix(points * _A + _B)
+        yield run
+        for k in range(2, min(LONGEST, points.shape[1]) + 1):
+            run = kernel.mix((run[:, :-1] ^ (points[:, k - 1 :] * _C)) * _A + _B)
+            yield run
+
+    def spans(self, points: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each length from 1 on, the piece that each run is (-1 for none), and its weight."""
+        found, weights = [], []
+        for run in self._hashes(points):
+            ids = np.full(run.shape, -1, np.int32)
+            at = np.nonzero(self.some[run >> np.uint64(43)])
+            place = np.minimum(np.searchsorted(self.hashes, run[at]), len(self.hashes) - 1)
+            ids[at] = np.where(self.hashes[place] == run[at], self.ids[place], -1)
+            found.append(ids)
+            weights.append(np.where(ids >= 0, self.weights[ids], -np.inf))
+        size = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+        weights[0] = np.where(found[0] >= 0, weights[0], _BYTE_WEIGHT * size)
+        return found, weights
+
+    def blocks(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of words of equal length, and their code points, the word mark first."""
+        texts = ["\u2581" + w.decode("utf8", "replace") for w in words]
+        sizes = np.array([len(t) for t in texts], np.int64)
+        whole = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        for size in np.unique(sizes[sizes <= LONG_WORD]).tolist():
+            own = np.flatnonzero(sizes == size)
+            for a in range(0, len(own), max(1, BLOCK // size)):
+                some = own[a : a + max(1, BLOCK // size)]
+                yield some, whole[starts[some][:, None] + np.arange(size)].astype(np.uint64)
+
+    @staticmethod
+    def _ahead(weights: list[np.ndarray]) -> np.ndarray:
+        n, size = weights[0].shape
+        ahead = np.zeros((size + 1, n))
+        for j in range(1, size + 1):
+            ahead[j] = _join([ahead[j - k] + weights[k - 1][:, j - k] for k in range(1, min(len(weights), j) + 1)])
+        return ahead
+
+    def log_weights(self, words: list[bytes]) -> np.ndarray:
+        """Log of the total weight of all segmentations of each word; the end token has its own."""
+        out = np.empty(len(words))
+        for some, points in self.blocks(words):
+            out[some] = self._ahead(self.spans(points)[1])[-1]
+        for i, w in enumerate(words):
+            if w == END:
+                out[i] = self.weights[-1]
+            elif len(w) >= LONG_WORD and len(text := "\u2581" + w.decode("utf8", "replace")) > LONG_WORD:
+                out[i] = forward(text, self.lattice)[-1]
+        return out
+
+    def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
+        """How often each piece, and the end last, is expected in words that occur so often."""
+        total = np.zeros(len(self.weights))
+        for some, points in self.blocks(words):
+            ids, weights = self.spans(points)
+            ahead, size = self._ahead(weights), points.shape[1]
+            behind = np.zeros_like(ahead)
+            for i in range(size - 1, -1, -1):
+                behind[i] = _join([behind[i + k] + weights[k - 1][:, i] for k in range(1, min(len(weights), size - i) + 1)])
+            c = np.where([words[i] == END for i in some], 0, counts[some])
+            for k, (piece, weight) in enumerate(zip(ids, weights, strict=True), 1):
+                row, at = np.nonzero(piece >= 0)
+                share = np.exp(ahead[at, row] + weight[row, at] + behind[at + k, row] - ahead[-1, row])
+                total += np.bincount(piece[row, at], share * c[row], len(total))
+        place = None
+        for i, w in enumerate(words):
+            if w == END:
+                total[-1] += counts[i]
+            elif len(w) >= LONG_WORD and len(text := "\u2581" + w.decode("utf8", "replace")) > LONG_WORD:
+                place = place or {p: k for k, p in enumerate(self.names)}
+                ahead, behind = forward(text, self.lattice), backward(text, self.lattice)
+                for a in range(len(text)):
+                    for b in range(a + 1, min(len(text), a + LONGEST) + 1):
+                        if (v := self.lattice.get(text[a:b])) is not None:
+                            total[place[text[a:b]]] += counts[i] * math.exp(ahead[a] + v + behind[b] - ahead[-1])
+        return total
+
+
+def learn(totals: DataFrame, lattice: Lattice, rounds: int = ROUNDS) -> Vocabulary:
+    """Unigram scores from words and their counts (word, c).  What returns to the driver is a number for each piece."""
+    vocabulary = Vocabulary(lattice)
+    prior = np.append(np.exp(vocabulary.weights[:-1]), 1 / (len(lattice) + 1)) * PRIOR
+    for _ in range(rounds):
+        sent = totals.sparkSession.sparkContext.broadcast(vocabulary)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            own = np.zeros(len(sent.value.weights))
+            for batch in batches:
+                own += sent.value.expected(batch.column("word").to_pylist(), batch.column("c").to_numpy())
+            some = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(own[some])], names=["piece", "n"])
+
+        counts = totals.filter("c > 0").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+        if counts.empty:
+            break
+        whole = prior.copy()
+        whole[counts["piece"].to_numpy()] += counts["n"].to_numpy()
+        vocabulary = vocabulary.reweighted(np.log(whole / whole.sum()))
+    return vocabulary
 
 
 def held_out():
@@ -133,39 +282,6 @@ def _batch(chunk: int, rows: int, **cols: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([cols.get(f.name, pa.nulls(rows, f.type)) for f in _ENCODED], schema=_ENCODED)
 
 
-COUNTED = "chunk long, place int, c long, lw double, first boolean"
-
-
-def _count(lattice) -> object:
-    """Rows of one word stand together: adds its counts and its lattice's weight."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Lattice = lattice.value
-        held: pa.RecordBatch | None = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            rows = pa.concat_batches([held, batch]) if held is not None else batch
-            ws = rows.column("word").to_pylist()
-            cut = len(ws)
-            while cut and ws[cut - 1] == ws[-1]:
-                cut -= 1
-            held = rows.slice(cut)
-            if cut:
-                yield done(rows.slice(0, cut), ws[:cut], own)
-        if held is not None:
-            yield done(held, held.column("word").to_pylist(), own)
-
-    def done(rows: pa.RecordBatch, ws: list[bytes], own: Lattice) -> pa.RecordBatch:
-        n = rows.column("n").to_numpy()
-        first = np.concatenate([[True], np.fromiter((a != b for a, b in zip(ws[1:], ws)), bool, len(ws) - 1)])
-        at, to = np.flatnonzero(first), np.cumsum(first) - 1
-        c, weight = np.add.reduceat(n, at), np.array([log_weight(ws[i], own) for i in at])
-        return pa.RecordBatch.from_arrays([rows.column("chunk"), rows.column("place"), pa.array(c[to]), pa.array(weight[to]), pa.array(first)], names=["chunk", "place", "c", "lw", "first"])
-
-    return run
-
-
 @dataclass
 class Totals:
     n: int
@@ -228,20 +344,29 @@ def _written(df: DataFrame, at: str) -> DataFrame:
 def score(docs: DataFrame, path: str = TOKENIZERS) -> DataFrame:
     """One row a document; docs has doc_id and text."""
     spark = docs.sparkSession
-    frames.checkpoint_dir(spark)
-    shared = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/lattice-{uuid.uuid4().hex}"
+    shared = f"{frames.checkpoint_dir(spark)}/lattice-{uuid.uuid4().hex}"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = spark.sparkContext.broadcast(pieces(path))
     encoded = _written(docs.select("doc_id", F.col("text").cast("binary"), held_out().alias("held_out")).mapInArrow(_encode(), ENCODED), f"{shared}/encoded")
-    words = encoded.filter("word is not null").select("chunk", "word", "place", "n")
-    counted = _written(words.repartition(frames.parts(spark), "word").sortWithinPartitions("word").mapInArrow(_count(sent), COUNTED), f"{shared}/counted")
-    all_ = counted.filter("first and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
+    words = encoded.filter("word is not null")
+    totals = _written(words.groupBy("word").agg(F.sum("n").alias("c")), f"{shared}/totals")
+    sent = spark.sparkContext.broadcast(learn(totals, pieces(path)))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.log_weights(batch.column("word").to_pylist()))], names=["word", "c", "lw"])
+
+    weighed = totals.select("word", "c").mapInArrow(weigh, "word binary, c long, lw double")
+    all_ = totals.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
     discount = min(0.95, max(0.05, all_["n1"] / max(1, all_["n1"] + 2 * all_["n2"])))
-    totals = Totals(all_["n"], all_["v"], discount)
+    known = Totals(all_["n"], all_["v"], discount)
+    documents = encoded.filter("places is not null")
+    chunks = documents.select("chunk").distinct().count()
     none = lambda t, name: F.lit(None).cast(t).alias(name)
+    #: A word that is in every chunk has a row a chunk here, which an adaptive plan splits.
+    counted = words.select("chunk", "word", "place").join(weighed, "word")
     left = counted.select("chunk", F.lit(False).alias("is_doc"), "place", "c", "lw", none("long", "doc_id"), none("boolean", "held_out"), none("long", "n_tokens"), none("binary", "places"))
-    right = encoded.filter("places is not null").select("chunk", F.lit(True).alias("is_doc"), none("int", "place"), none("long", "c"), none("double", "lw"), "doc_id", "held_out", "n_tokens", "places")
-    return left.unionByName(right).repartition(frames.parts(spark), "chunk").sortWithinPartitions("chunk", "is_doc").mapInArrow(_score(totals), SCORED)
+    right = documents.select("chunk", F.lit(True).alias("is_doc"), none("int", "place"), none("long", "c"), none("double", "lw"), "doc_id", "held_out", "n_tokens", "places")
+    return left.unionByName(right).repartition(max(1, chunks), "chunk").sortWithinPartitions("chunk", "is_doc").mapInArrow(_score(known), SCORED)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
