@@ -1,12 +1,13 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer network with a temperature.
 
 A word's vector has three parts: a context vector (the sum of the sparse random index vectors of its neighbours in the
-training texts, plus its own index vector; hashed to ``VOCABULARY`` rows), the index vector of its ending, and the index
+sampled texts, plus its own index vector; hashed to ``VOCABULARY`` rows), the index vector of its ending, and the index
 vector of its form (letter case, digits, symbols, length, and whether it repeats one of the two words before it).  A
 document's features are the means over all its words, and the logarithm of their number.  The network (one hidden layer)
-is trained with numpy on the driver, on at most ``MOST_LABELLED`` labelled documents of each class, of at most
-``MOST_CHARS`` characters each, taken in the order of a hash of their id; a fifth of them is kept for fitting the
-temperature.  Scores are corrected from the balanced sample to the labels' own proportion.
+is trained with numpy on the driver, on the features of at most ``MOST_LABELLED`` labelled documents of each class, whole
+texts of any length, taken in the order of a hash of their id; a fifth of them is kept for fitting the temperature.  Context
+vectors and features of the sample are made in tasks; the driver gets a table of fixed size and a row of features a document,
+never a text.  Scores are corrected from the balanced sample to the labels' own proportion.
 
 Labels are read only for rows whose crc32(doc_id) mod 3 is not 1.  Edge cases: null text counts as empty and an empty text
 gets a score too (features zero); a null doc_id is never held out and has no label; with labels of one class only, or
@@ -29,7 +30,7 @@ VOCABULARY, WORD_DIM = 1 << 15, 32
 ENDINGS, ENDING_DIM = 1 << 12, 16
 FORMS, FORM_DIM = 1 << 12, 32
 WINDOW, NONZERO = 2, 4
-MOST_LABELLED, MOST_CHARS = 2500, 20_000
+MOST_LABELLED = 2500
 HIDDEN, EPOCHS = 32, 300
 WIDTH = WORD_DIM + ENDING_DIM + FORM_DIM + 1
 
@@ -95,10 +96,10 @@ class Tables:
         return np.concatenate(out) if out else np.empty((0, WIDTH), np.float32)
 
 
-def learn_tables(texts: pa.Array, seed: int = 11) -> Tables:
-    """Random indexing over the training texts."""
-    own = index_vectors(VOCABULARY, WORD_DIM, seed)
-    context = np.zeros_like(own)
+def contexts(texts: pa.Array, own: np.ndarray) -> np.ndarray:
+    """For each row of the table, the sum of its words' neighbours' index vectors; whole numbers, so that sums agree however
+    the texts are dealt."""
+    out = np.zeros(own.shape)
     for piece in kernel.slices(pa.RecordBatch.from_arrays([texts], ["text"])):
         data, offs = kernel.buffers(piece.column(0))
         starts, ends, first = kernel.words(data, offs)
@@ -109,9 +110,14 @@ def learn_tables(texts: pa.Array, seed: int = 11) -> Tables:
             ok = (doc[k:] == doc[:-k])[:, None]
             near[k:] += own[w[:-k]] * ok
             near[:-k] += own[w[k:]] * ok
-        np.add.at(context, w, near)
+        np.add.at(out, w, near)
+    return out
+
+
+def tables(context: np.ndarray, seed: int = 11) -> Tables:
+    """Random indexing: directions of the contexts, and half of a word's own index vector."""
     norm = np.linalg.norm(context, axis=1, keepdims=True)
-    return Tables((context / np.maximum(norm, 1) + own / 2).astype(np.float32), index_vectors(ENDINGS, ENDING_DIM, seed + 1), index_vectors(FORMS, FORM_DIM, seed + 2))
+    return Tables((context / np.maximum(norm, 1) + index_vectors(VOCABULARY, WORD_DIM, seed) / 2).astype(np.float32), index_vectors(ENDINGS, ENDING_DIM, seed + 1), index_vectors(FORMS, FORM_DIM, seed + 2))
 
 
 @dataclass
@@ -155,19 +161,17 @@ def _loss(z: np.ndarray, y: np.ndarray) -> float:
     return float(np.mean(np.logaddexp(0, z) - y * z))
 
 
-def learn(texts: list[str], y: np.ndarray, share: float, seed: int = 5) -> Model:
-    """A model from labelled texts in a random order; share: of label 1 among all labels that may be learned from."""
+def learn(made: Tables, x: np.ndarray, y: np.ndarray, share: float, seed: int = 5) -> Model:
+    """A model from the features and labels of documents in a random order; share: of label 1 among all labels that may be
+    learned from."""
     shift = float(np.log(share / (1 - share)))
     if len(set(y.tolist())) < 2:
         return Model(None, shift=shift)
-    arr = pa.array(texts, pa.string())
-    tables = learn_tables(arr)
-    x = tables.pooled(arr).astype(np.float64)
     kept = np.arange(len(y)) % 5 == 4
     if len(set(y[~kept].tolist())) < 2 or len(set(y[kept].tolist())) < 2:
         kept[:] = False
     center, scale = x[~kept].mean(0), x[~kept].std(0) + 1e-3
-    model = Model(tables, center, scale, _fit_layers((x[~kept] - center) / scale, y[~kept], seed))
+    model = Model(made, center, scale, _fit_layers((x[~kept] - center) / scale, y[~kept], seed))
     if kept.any():
         z = model.logits(x[kept])[:, 0]
         model.temperature = min(np.geomspace(0.25, 8, 41), key=lambda t: _loss(z / t, y[kept]))
@@ -188,9 +192,34 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     #: At most MOST_LABELLED ids of each class, so that they may be broadcast.
     picked = [known.filter(F.col("_y") == y).orderBy(F.xxhash64("_key"), "_key").limit(MOST_LABELLED) for y in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))
-    short = docs.filter(F.length(text) <= MOST_CHARS).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    rows = short.join(ids, "_key").orderBy(F.xxhash64("_key", F.lit(1)), "_key", "_text").limit(2 * MOST_LABELLED).collect()
-    return learn([r["_text"] for r in rows], np.array([r["_y"] for r in rows], np.float64), share)
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(ids, "_key").withColumn("_h", F.xxhash64("_key", F.lit(1), "_text"))
+    #: Ids that stand for several rows may not exceed the bound either.
+    picked = rows.select("_h", "_key").orderBy("_h", "_key").limit(2 * MOST_LABELLED).agg(F.max("_h")).first()[0]
+    sample = frames.cut(rows.filter(F.col("_h") <= (picked if picked is not None else 0)).select("_h", "_y", "_text"))
+    own = index_vectors(VOCABULARY, WORD_DIM, 11)
+    names = [f"v{i}" for i in range(WORD_DIM)]
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(own.shape)
+        for batch in batches:
+            total += contexts(batch.column(0), own)
+        some = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *[pa.array(total[some, i]) for i in range(WORD_DIM)]], names=["row", *names])
+
+    found = sample.select("_text").mapInArrow(neighbours, ", ".join(["row long", *[f"{n} double" for n in names]])).groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+    context = np.zeros(own.shape)
+    context[found["row"].to_numpy(np.int64)] = found[names].to_numpy(float)
+    made = tables(context)
+    sent = docs.sparkSession.sparkContext.broadcast(made)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = sent.value.pooled(batch.column(2)).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["h", "y", "x"])
+
+    #: Equal texts of equal ids are alike in all that is used, so their order does not matter.
+    got = sample.mapInArrow(features, "h long, y int, x array<double>").toPandas().sort_values(["h", "y"], kind="stable")
+    return learn(made, np.array(got["x"].to_list()).reshape(len(got), WIDTH), got["y"].to_numpy(float), share)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
