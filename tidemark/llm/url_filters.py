@@ -8,9 +8,10 @@ the keys of the universe that level 1 passes wrongly, level 3 the listed keys th
 level passes nothing wrongly; the first level that rejects a key decides.  Membership of every key of the corpus is then
 exact, and judging a url is arithmetic on two small literals, with no join and no shuffle.
 
-Level 1 gets enough bits for about one false positive over the whole universe, so what the driver holds is bounded by the
-rule list: about ``1.44 log2(|universe|)`` bits a rule and the few false positives, whose number is checked before they
-are fetched.  Up to ``MOST_RULES`` rules are taken.
+Level 1 lets through about as many wrong keys as are listed, later levels half of what they see, so the levels together
+stay within some ten bits a listed key, and what returns to the driver is bounded by the rule list: the number of wrong keys
+is checked before they are fetched.  The levels are literals of the plan; for more than ``MOST_RULES`` rules, where that
+would not do, ``judge`` joins the distinct hosts and paths' candidate keys with the rules instead, with the same result.
 
 Edge cases: a null url, or one without ``://``, has empty host and path and no rule; repeated rows give repeated results.
 """
@@ -63,19 +64,18 @@ class Cascade:
         inside = sorted(set(listed))
         if not inside:
             return
-        if len(inside) > MOST_RULES:
-            raise ValueError(f"{len(inside)} rules; {MOST_RULES} at most")
-        rate = 1 / max(2, size)
+        own = universe.sparkSession.createDataFrame([(k,) for k in inside], "key string")
+        most, rate = 10 * len(inside) + 1000, min(0.5, 0.7 * len(inside) / max(1, size))
         while True:
             self.levels = [self._level(inside, 0, rate)]
-            wrong = universe.filter(self._passes(0, F.col("key")) & ~F.col("key").isin(inside))
-            found = [r["key"] for r in wrong.limit(10 * len(inside) + 1000).collect()]
-            if len(found) < 10 * len(inside) + 1000:
+            wrong = universe.filter(self._passes(0, F.col("key"))).join(own, "key", "left_anti")
+            found = [r["key"] for r in wrong.limit(most).collect()]
+            if len(found) < most:
                 break
             rate /= 1000
         encode, other = found, inside
         while encode:
-            self.levels.append(self._level(encode, len(self.levels), 0.5 if len(self.levels) > 1 else 0.01))
+            self.levels.append(self._level(encode, len(self.levels), 0.5))
             encode, other = [k for k in other if self._has(len(self.levels) - 1, k)], encode
 
     def _level(self, keys: list[str], at: int, rate: float) -> tuple[int, int, list[int]]:
@@ -123,7 +123,8 @@ class Cascade:
 
 def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, url: str = "url", default: str = "allow") -> DataFrame:
     """pages with host, path, rule (the longest fitting, else null) and verdict (the rule's, else ``default``) added;
-    columns of those names are replaced.  Reads the url column once to learn the key universe and once to judge."""
+    columns of those names are replaced.  Reads the url column once to learn the key universe, which is kept in the checkpoint
+    folder, and once to judge."""
     rules = list(rules)
     base = pages.drop("host", "path", "rule", "verdict")
     host, path = parse(url)
@@ -131,12 +132,24 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, url: str =
     if not rules:
         return named.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     keys = candidates([r for _, r in rules], F.col("host"), F.col("path"))
-    universe = named.select(F.explode(keys).alias("key")).distinct()
+    if len(rules) > MOST_RULES:
+        return _joined(named, keys, rules, default)
+    universe = frames.cut(named.select(F.explode(keys).alias("key")).distinct())
     size = universe.count()
     lists = {v: Cascade([r for w, r in rules if w == v], universe, size, v) for v in ("block", "allow")}
     judged = F.transform(keys, lambda k: F.struct(k.alias("rule"), F.when(lists["block"].contains(k), "block").when(lists["allow"].contains(k), "allow").alias("verdict")))
     hit = F.get(F.filter(judged, lambda x: x["verdict"].isNotNull()), F.lit(0))
-    return named.withColumn("_hit", hit).withColumns({"rule": F.col("_hit.rule"), "verdict": F.coalesce("_hit.verdict", F.lit(default))}).drop("_hit")
+    name = frames.apart(named, "_hit")
+    return named.withColumn(name, hit).withColumns({"rule": F.col(f"{name}.rule"), "verdict": F.coalesce(f"{name}.verdict", F.lit(default))}).drop(name)
+
+
+def _joined(named: DataFrame, keys: Column, rules: list[tuple[str, str]], default: str) -> DataFrame:
+    """The same by joins: of a host and path's candidate keys that are rules, the first.  A rule on both lists blocks."""
+    listed = named.sparkSession.createDataFrame(sorted({(r, v) for v, r in rules}), "key string, verdict string").groupBy("key").agg(F.max("verdict").alias("verdict"))
+    found = named.select("host", "path").distinct().select("host", "path", F.posexplode(keys).alias("at", "key")).join(listed, "key")
+    first = found.groupBy("host", "path").agg(F.min(F.struct("at", F.col("key").alias("rule"), "verdict")).alias("x"))
+    first = first.select("host", "path", F.col("x.rule").alias("rule"), F.col("x.verdict").alias("verdict"))
+    return named.join(first, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default))).select(*named.columns, "rule", "verdict")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
