@@ -21,17 +21,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge; root is the smallest node reachable.  edges: columns u and v, of one
-    ordered type, in any direction, repeated or not.  Every round is written to the checkpoint folder."""
+    ordered type, in any direction, repeated or not.  Every round is written to the checkpoint folder; rounds follow until
+    nothing changes, of which there are about the logarithm of the longest chain."""
     e = frames.cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
-    for _ in range(most):
+    while True:
         e = frames.cut(_star(_star(e, True), False))
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == state or now[0] == 0:
             break
         state = now
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -78,36 +78,50 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     return cols.mapInArrow(run, cols.select(F.col(key), F.lit(0).cast("long").alias("fp")).schema)
 
 
+class Union:
+    """Disjoint sets over 0 .. n - 1, joined by arrays of pairs; the root is the smallest."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        r = self.parent[x]
+        while True:
+            up = self.parent[r]
+            if (up == r).all():
+                return r
+            r = up
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            a, b = self.find(a), self.find(b)
+            apart = a != b
+            a, b = a[apart], b[apart]
+            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
+
+
 def forest(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges (place, place of the smallest of its component) that connect what the links among ``fp`` connect.
+    """Edges (place, place of its component's first) that connect what the links among ``fp`` connect.
 
-    fp: n, or n x columns, unsigned.  Components are grown breadth first; a frontier tile meets only those not yet reached
-    whose population counts are within the radius of its own, in tiles.
+    fp: n, or n x columns, unsigned.  In the order of their population counts, every tile meets the tiles from itself on that
+    its counts can reach, all pairs at once by exclusive-or and bit counts.
     """
     fp = fp.reshape(len(fp), -1)
     ones = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
-    rest = np.argsort(ones, kind="stable")
-    out: list[tuple[int, int]] = []
-    while len(rest) > 1:
-        root, rest = rest[0], rest[1:]
-        found, frontier = [], np.array([root])
-        while len(frontier) and len(rest):
-            reached = np.zeros(len(rest), bool)
-            level = ones[rest]
-            frontier = frontier[np.argsort(ones[frontier], kind="stable")]
-            for a in range(0, len(frontier), TILE):
-                tile = frontier[a : a + TILE]
-                lo, hi = np.searchsorted(level, ones[tile[0]] - radius), np.searchsorted(level, ones[tile[-1]] + radius, side="right")
-                for b in range(lo, hi, TILE):
-                    todo = b + np.flatnonzero(~reached[b : min(b + TILE, hi)])
-                    if len(todo):
-                        reached[todo] = (np.bitwise_count(fp[tile][:, None, :] ^ fp[rest[todo]][None, :, :]).sum(axis=2, dtype=np.int32) <= radius).any(axis=0)
-            frontier, rest = rest[reached], rest[~reached]
-            found.append(frontier)
-        members = np.concatenate([[root], *found])
-        if len(members) > 1:
-            out += [(int(m), int(members[0])) for m in members[1:]]
-    return out
+    order = np.argsort(ones, kind="stable")
+    fp, ones = fp[order], ones[order]
+    sets = Union(len(fp))
+    for a in range(0, len(fp), TILE):
+        to = min(a + TILE, len(fp))
+        for b in range(a, int(np.searchsorted(ones, ones[to - 1] + radius, side="right")), TILE):
+            apart = np.bitwise_count(fp[a:to, None, 0] ^ fp[None, b : b + TILE, 0])
+            for c in range(1, fp.shape[1]):
+                apart = apart + np.bitwise_count(fp[a:to, None, c] ^ fp[None, b : b + TILE, c]).astype(np.uint16)
+            x, y = np.nonzero(apart <= radius)
+            own = x + a < y + b
+            sets.join(x[own] + a, y[own] + b)
+    root = sets.find(np.arange(len(fp)))
+    return [(int(order[i]), int(order[root[i]])) for i in np.flatnonzero(root != np.arange(len(fp)))]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[np.ndarray]:
@@ -166,7 +180,8 @@ def link(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT_GROUP) -> DataFr
 
 
 def label(prints: DataFrame, edges: DataFrame, key: str = "doc_id") -> DataFrame:
-    """prints (key, fp) with component_id, the smallest key of those that the edges connect."""
+    """prints (key, fp) with component_id, the smallest key of those that the edges connect.  The rows of a fingerprint that
+    very many share are split by the adaptive plan when they join its one row."""
     nodes = prints.groupBy("fp").agg(F.min(key).alias("first"))
     roots = components(edges)
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -270,28 +285,6 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["id", "shingles"])
 
 
-class Union:
-    """Disjoint sets over 0 .. n - 1, joined by arrays of pairs; the root is the smallest."""
-
-    def __init__(self, n: int):
-        self.parent = np.arange(n)
-
-    def find(self, x: np.ndarray) -> np.ndarray:
-        r = self.parent[x]
-        while True:
-            up = self.parent[r]
-            if (up == r).all():
-                return r
-            r = up
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            a, b = self.find(a), self.find(b)
-            apart = a != b
-            a, b = a[apart], b[apart]
-            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
-
-
 def candidates(fp: np.ndarray, n: np.ndarray, tile: np.ndarray, most: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (x, y), in runs of x, of fingerprints within the limits ``most``, between two tiles (or within one, if there
     is only one).  fp: rows x COLUMNS, sorted by tile and n.  Blocks whose shingle counts, or population counts, cannot
@@ -451,8 +444,10 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     first = nodes.join(roots, nodes["id"] == roots["node"], "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
     winners = first.select(F.col("first.k").alias("_k")).join(prints.groupBy("_k").agg(F.count("*").alias("_copies")), "_k")
     winners = frames.cut(winners)
-    kept = docs.withColumn("_k", F.xxhash64(key, text)).join(winners, "_k")
+    mark, copies = frames.apart(docs, "_k"), frames.apart(docs, "_copies")
+    winners = winners.select(F.col("_k").alias(mark), F.col("_copies").alias(copies))
+    kept = docs.withColumn(mark, F.xxhash64(key, text)).join(winners, mark)
     out = [F.col(c) for c in docs.columns]
-    if winners.filter("_copies > 1").isEmpty():
+    if winners.filter(F.col(copies) > 1).isEmpty():
         return kept.select(*out)
-    return kept.filter("_copies = 1").select(*out).unionByName(kept.filter("_copies > 1").dropDuplicates(["_k"]).select(*out))
+    return kept.filter(F.col(copies) == 1).select(*out).unionByName(kept.filter(F.col(copies) > 1).dropDuplicates([mark]).select(*out))
