@@ -19,6 +19,7 @@ import hashlib
 import math
 import random
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,62 +149,79 @@ def features(text: str, s: int, e: int) -> list[int]:
 WIDTH = 33 + len(_CUES)
 
 
+def tokens_of(text: str, lo: int, hi: int) -> tuple[array, array]:
+    """Starts and ends of the region's tokens."""
+    starts, ends = array("q"), array("q")
+    for m in _TOKEN.finditer(text, lo, hi):
+        starts.append(m.start())
+        ends.append(m.end())
+    return starts, ends
+
+
+def candidates(text: str, starts: array, ends: array, i: int) -> Iterator[tuple[int, list[int]]]:
+    """The candidate segments that start at token i: the token after, and the features."""
+    s = starts[i]
+    if text[s].isspace() or text[s] in ")-./]":
+        return
+    letters = mark = False
+    n = 0
+    for j in range(i, min(len(starts), i + MOST_TOKENS)):
+        a, b = starts[j], ends[j]
+        c = text[a]
+        if c == "\n" or b - s > MOST_CHARS:
+            return
+        if c.isdigit() and c.isascii():
+            n += b - a
+        elif c == "@":
+            mark = True
+        elif c not in _SEPARATORS:
+            letters = True
+            mark = mark or text[a:b] in ("at", "AT", "At") and text[a - 1 : a] in ("(", "[", " ")
+        if letters and not mark and c == " " and text[b : b + 1] not in ("(", "["):
+            return
+        if c.isspace() or c in "(-./[,;:":
+            continue
+        if mark or not letters and (n >= 7 or n >= 4 and text.count(".", s, b) >= 3):
+            on = features(text, s, b)
+            if not mark or {1, 4} & set(on):
+                yield j + 1, on
+
+
 def segments(text: str, lo: int, hi: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]], np.ndarray]:
     """Tokens of the region, the candidate segments as token ranges, and a 0/1 row of features for each."""
-    tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, lo, hi)]
+    starts, ends = tokens_of(text, lo, hi)
     found, rows = [], []
-    for i, (s, _) in enumerate(tokens):
-        if text[s].isspace() or text[s] in ")-./]":
-            continue
-        letters = mark = False
-        n = 0
-        for j in range(i, min(len(tokens), i + MOST_TOKENS)):
-            a, b = tokens[j]
-            c = text[a]
-            if c == "\n" or b - s > MOST_CHARS:
-                break
-            if c.isdigit() and c.isascii():
-                n += b - a
-            elif c == "@":
-                mark = True
-            elif c not in _SEPARATORS:
-                letters = True
-                mark = mark or text[a:b] in ("at", "AT", "At") and text[a - 1 : a] in ("(", "[", " ")
-            if letters and not mark and c == " " and text[b : b + 1] not in ("(", "["):
-                break
-            if c.isspace() or c in "(-./[,;:":
-                continue
-            if mark or not letters and (n >= 7 or n >= 4 and text.count(".", s, b) >= 3):
-                on = features(text, s, b)
-                if mark and not ({1, 4} & set(on)):
-                    continue
-                row = np.zeros(WIDTH)
-                row[on] = 1
-                found.append((i, j + 1))
-                rows.append(row)
-    return tokens, found, np.array(rows).reshape(len(rows), WIDTH)
-
-
-def viterbi(n: int, found: list[tuple[int, int]], scores: np.ndarray) -> list[tuple[int, int, int]]:
-    """The best segmentation of n tokens: (first token, token after, kind) of the chosen segments."""
-    best, back = np.zeros(n + 1), [None] * (n + 1)
-    by_end: dict[int, list[int]] = {}
-    for k, (_, j) in enumerate(found):
-        by_end.setdefault(j, []).append(k)
-    kind = scores.argmax(axis=1) if len(scores) else []
-    for t in range(1, n + 1):
-        best[t] = best[t - 1]
-        for k in by_end.get(t, ()):
-            v = best[found[k][0]] + scores[k, kind[k]]
-            if v > best[t]:
-                best[t], back[t] = v, k
+    for i in range(len(starts)):
+        for j, on in candidates(text, starts, ends, i):
+            row = np.zeros(WIDTH)
+            row[on] = 1
+            found.append((i, j))
+            rows.append(row)
+    return list(zip(starts, ends, strict=True)), found, np.array(rows).reshape(len(rows), WIDTH)
+
+
+def decode(text: str, lo: int, hi: int, weights: list[list[float]]) -> list[tuple[int, int, int]]:
+    """The best segmentation of the region: (start, end, kind) of the chosen segments.  A token is settled when it is reached,
+    and a segment hands its score on to the token after it, so only a few numbers a token are kept however long the region."""
+    starts, ends = tokens_of(text, lo, hi)
+    n, kinds = len(starts), range(len(KINDS))
+    best, origin, kind = array("d", bytes(8 * (n + 1))), array("q", [-1]) * (n + 1), bytearray(n + 1)
+    for i in range(n):
+        here = best[i]
+        for j, on in candidates(text, starts, ends, i):
+            scores = [sum([weights[f][k] for f in on]) for k in kinds]
+            top = max(scores)
+            if here + top > best[j]:
+                best[j], origin[j], kind[j] = here + top, i, scores.index(top)
+        if best[i + 1] < here or origin[i + 1] < 0:
+            best[i + 1], origin[i + 1] = here, -1
     out, t = [], n
     while t > 0:
-        if back[t] is None:
+        if origin[t] < 0:
             t -= 1
         else:
-            out.append((*found[back[t]], int(kind[back[t]])))
-            t = found[back[t]][0]
+            out.append((starts[origin[t]], ends[t - 1], kind[t]))
+            t = origin[t]
     return out[::-1]
 
 
@@ -306,16 +324,17 @@ def train(snippets: list[str] = (), made: int = 500, rounds: int = 6, seed: int
     return weights
 
 
-def model_spans(text: str, weights: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """What the model finds besides the rules' spans."""
-    out = []
+def model_spans(text: str, weights: list[list[float]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """What the model finds besides the rules' spans, both in ascending order."""
+    out: list[tuple[int, int, int]] = []
+    at, reach = 0, -1
     for lo, hi in regions(text):
-        tokens, found, rows = segments(text, lo, hi)
-        if not found:
-            continue
-        for i, j, k in viterbi(len(tokens), found, rows @ weights):
-            s, e = tokens[i][0], tokens[j - 1][1]
-            if all(e <= a or s >= b for a, b, _ in base) and not (out and s < out[-1][1]):
+        for s, e, k in decode(text, lo, hi, weights):
+            #: Rules' spans that start before the end of this one; the furthest of them tells whether any meets it.
+            while at < len(base) and base[at][0] < e:
+                reach = max(reach, base[at][1])
+                at += 1
+            if reach <= s and not (out and s < out[-1][1]):
                 out.append((s, e, k))
     return out
 
@@ -325,7 +344,7 @@ def all_spans(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, int]
     if not _SOME.search(text):
         return [], []
     base = base_spans(text)
-    return base, sorted(base + model_spans(text, weights, base), key=lambda x: (x[0], x[2], x[1]))
+    return base, sorted(base + model_spans(text, weights.tolist(), base), key=lambda x: (x[0], x[2], x[1]))
 
 
 def fit(docs: DataFrame, text: str = "text") -> np.ndarray:
