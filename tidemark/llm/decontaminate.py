@@ -56,18 +56,19 @@ def rarest(items: DataFrame, docs: DataFrame, text: str = "text", size: int = WI
     return frames.cut(w.join(ranked, "win").filter("x.count > 0").select("x.token", "x.place", "win", "n", "items"))
 
 
-def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """docs with n_words and ``hits``: (start, n, items) of each occurrence of a window; columns of these names are
-    replaced.  Text is shuffled once, to meet its candidates."""
-    base = docs.drop("n_words", "hits")
+def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "text", id: str = "doc_id", n_words: str = "n_words", hits: str = "hits") -> DataFrame:
+    """docs with ``n_words`` and ``hits``: (start, n, items) of each occurrence of a window; columns of these names, which the
+    caller may choose, are replaced.  Text is shuffled once, to meet its candidates."""
+    base = docs.drop(n_words, hits)
+    mark, kept = frames.apart(base, "_k"), frames.apart(base, "_found")
     first = rarest(items, docs, text, size)
     key = F.xxhash64(F.col(id), F.col(text))
     places = docs.select(key.alias("_k"), words(F.col(text)).alias("_w")).select("_k", F.size("_w").alias("_n"), F.posexplode("_w").alias("_at", "token")).withColumn("token", F.lower("token"))
     found = places.join(_small(first), "token").withColumn("start", F.col("_at") - F.col("place"))
     found = found.filter((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("_n")))
-    found = found.groupBy("_k").agg(F.collect_set(F.struct("start", "n", "win", "items")).alias("_found"))
-    whole = base.withColumn("_k", key).join(found, "_k", "left")
-    candidates = F.coalesce("_found", F.array().cast("array<struct<start:int,n:int,win:string,items:array<string>>>"))
+    found = found.groupBy(F.col("_k").alias(mark)).agg(F.collect_set(F.struct("start", "n", "win", "items")).alias(kept))
+    whole = base.withColumn(mark, key).join(found, mark, "left")
+    candidates = F.coalesce(kept, F.array().cast("array<struct<start:int,n:int,win:string,items:array<string>>>"))
 
     def verified(w: Column) -> Column:
         """w is bound once a row; as a column it would be split again for every candidate after a filter on the hits."""
@@ -75,8 +76,8 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "
         return F.transform(same, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["items"].alias("items")))
 
     exact = words(F.col(text))
-    hits = F.get(F.transform(F.array(exact), verified), F.lit(0))
-    return whole.select(*[F.col(c) for c in base.columns], F.size(exact).cast("long").alias("n_words"), hits.alias("hits"))
+    verdict = F.get(F.transform(F.array(exact), verified), F.lit(0))
+    return whole.select(*[F.col(c) for c in base.columns], F.size(exact).cast("long").alias(n_words), verdict.alias(hits))
 
 
 def report(found: DataFrame, id: str = "doc_id") -> DataFrame:
