@@ -16,30 +16,37 @@ from tidemark.llm import decontaminate, frames, mixing, pii, quality, simhash
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.  Null and empty texts get the score of an empty text; repeated rows are
+    accepted or rejected together; without labels, or without documents, nothing is rejected for its words."""
     model = quality.fit(docs, frames.table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, out="_quality").filter("_quality >= 0.5").select(*docs.columns)
+    own = frames.apart(docs, "_quality")
+    return quality.score(docs, model, out=own).filter(F.col(own) >= 0.5).select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more.  The smallest doc_id stays,
+    null ids last; null and empty texts are one group; of rows alike in id and text one stays."""
     return simhash.near_copies(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
-    found = decontaminate.matches(docs, frames.table(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("hits") == 0).select(*docs.columns)
+    """Documents without any window of a benchmark item.  Null and empty texts have none and stay; repeated rows stay or go
+    together; without items all stay."""
+    own = frames.apart(docs, "_hits")
+    found = decontaminate.matches(docs, frames.table(spark, sf_dir, "benchmark"), n_words=frames.apart(docs, "_words"), hits=own)
+    return found.filter(F.size(own) == 0).select(*docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind in brackets; n_chars counts the new text."""
+    """Personal data replaced by its kind in brackets; n_chars counts the new text.  Null texts stay null, with 0 characters;
+    every row stays."""
     clean = pii.redact(docs, pii.fit(docs))
     return clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The manifest of the mix: doc_id, source, size, source_size, target and taken (words of its copies)."""
+    """The manifest of the mix: doc_id, source, size, source_size, target and taken (words of its copies).  Texts without
+    words are in no mix; a null source is a source; repeated rows are documents of their own; ties in finish time go by id."""
     return mixing.mix(docs).filter("taken > 0")
 
 
@@ -55,8 +62,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = frames.table(spark, sf_dir, "documents")
-    frames.checkpoint_dir(spark)
-    at = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    at = f"{frames.checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{i}-{name}")
         docs = spark.read.parquet(f"{at}/{i}-{name}")
