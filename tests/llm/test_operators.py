@@ -160,27 +160,82 @@ def test_op4(spark, docs, nothing):
     assert lattice_lm.score(held).filter("train_tokens = 0 AND base_score = 0 AND score < 0").count() == held.count()
 
 
-def test_op4_lattice_sums_all_segmentations():
-    lattice = {"▁": np.log(0.2), "a": np.log(0.3), "b": np.log(0.1), "ab": np.log(0.15), "▁a": np.log(0.25)}
-    ways = [0.2 * 0.3 * 0.1, 0.2 * 0.15, 0.25 * 0.1]
-    assert np.isclose(np.exp(lattice_lm.log_weight(b"ab", lattice)), sum(ways))
+def ways(text, lattice):
+    """Every segmentation as a list of pieces, single code points outside the vocabulary as bytes."""
+    if not text:
+        yield []
+    for k in range(1, len(text) + 1):
+        piece = text[:k]
+        if piece in lattice or k == 1:
+            for rest in ways(text[k:], lattice):
+                yield [piece, *rest]
 
 
-def test_op4_scores_are_of_the_lattice(docs):
-    lattice = lattice_lm.pieces()
-    rows = lattice_lm.score(docs.filter("text IS NOT NULL"))
-    assert rows.count() > 60
+def weight(way, lattice):
+    return np.exp(sum(lattice.get(p, -14.0 * len(p.encode())) for p in way))
+
+
+TOY = {p: float(np.log(w)) for p, w in {"▁": 0.2, "a": 0.3, "b": 0.1, "ab": 0.15, "▁a": 0.25, "ba": 0.05, "aba": 0.02, "é": 0.01, "▁aé": 0.003}.items()}
+WORDS = [b"ab", b"abab", b"a", b"b", "éab".encode(), "aé漢".encode(), b"zzb", b"abbaabab"]
+
+
+def test_op4_lattice_sums_all_segmentations():
+    v = lattice_lm.Vocabulary(TOY)
+    want = [np.log(sum(weight(w, TOY) for w in ways("▁" + x.decode(), TOY))) for x in WORDS]
+    assert np.allclose(v.log_weights(WORDS), want) and np.allclose([lattice_lm.forward("▁" + x.decode(), TOY)[-1] for x in WORDS], want) and np.allclose([lattice_lm.backward("▁" + x.decode(), TOY)[0] for x in WORDS], want)
+    assert v.log_weights([b"", b"ab"])[0] == v.weights[-1]
+
+
+def test_op4_expected_pieces():
+    v, counts = lattice_lm.Vocabulary(TOY), np.array([3, 1, 4, 1, 5, 9, 2, 6])
+    want = dict.fromkeys(TOY, 0.0)
+    for x, c in zip(WORDS, counts, strict=True):
+        every = list(ways("▁" + x.decode(), TOY))
+        total = sum(weight(w, TOY) for w in every)
+        for w in every:
+            for p in w:
+                if p in want:
+                    want[p] += c * weight(w, TOY) / total
+    got = v.expected([*WORDS, b""], np.append(counts, 7))
+    assert np.allclose(got[:-1], list(want.values())) and got[-1] == 7
+
+
+def test_op4_long_words_go_the_same_way(monkeypatch):
+    words = [b"ab" * 30, b"ba" * 20 + "é".encode(), b"ab"]
+    v, c = lattice_lm.Vocabulary(TOY), np.array([2, 3, 1])
+    short = v.log_weights(words), v.expected(words, c)
+    monkeypatch.setattr(lattice_lm, "LONG_WORD", 10)
+    assert np.allclose(v.log_weights(words), short[0]) and np.allclose(v.expected(words, c), short[1])
+
+
+def test_op4_rounds_raise_the_likelihood(spark, monkeypatch):
+    monkeypatch.setattr(lattice_lm, "PRIOR", 1e-9)
+    counts = np.array([30, 10, 40, 10, 5, 9, 20, 6])
+    t = spark.createDataFrame([(bytearray(w), int(c)) for w, c in zip([*WORDS, b""], [*counts, 50], strict=True)], "word binary, c long")
+    found = [float(np.append(counts, 50) @ lattice_lm.learn(t, TOY, r).log_weights([*WORDS, b""])) for r in range(1, 5)]
+    assert all(b >= a - 1e-6 for a, b in zip(found, found[1:])) and found[-1] > found[0]
+
+
+def test_op4_scores_are_of_the_lattice(spark, docs):
     texts = {d[0]: d[1] for d in make()}
-    for r in rows.collect():
-        ws = [*words(texts[r["doc_id"]].encode().lower().decode()), b""]
-        assert np.isclose(r["score"], sum(lattice_lm.log_weight(w, lattice) for w in ws) / np.log(10)) and np.isfinite(r["mixed_score"])
+    tokens = lambda t: [*words(t.encode().lower().decode()), b""]
+    counts = {}
+    for d in make():
+        if zlib.crc32((str(d[0]) if d[0] is not None else "").encode()) % 5 != 1 and d[1] is not None:
+            for w in tokens(d[1]):
+                counts[w] = counts.get(w, 0) + 1
+    v = lattice_lm.learn(spark.createDataFrame([(bytearray(w), c) for w, c in counts.items()], "word binary, c long"), lattice_lm.pieces())
+    rows = lattice_lm.score(docs.filter("text IS NOT NULL")).collect()
+    assert len(rows) > 60 and np.isclose(np.exp(v.weights).sum(), 1)
+    for r in rows:
+        assert np.isclose(r["score"], v.log_weights(tokens(texts[r["doc_id"]])).sum() / np.log(10)) and np.isfinite(r["mixed_score"])
 
 
 def test_op4_keeps_long_pieces():
     lattice = lattice_lm.pieces()
     assert max(map(len, lattice)) == lattice_lm.LONGEST and "▁International" in lattice
-    whole = lattice_lm.log_weight(b"International", lattice)
-    assert whole >= lattice["▁International"] and whole > lattice_lm.log_weight(b"International", {p: v for p, v in lattice.items() if len(p) <= 12})
+    whole = lattice_lm.Vocabulary(lattice).log_weights([b"International"])[0]
+    assert whole >= lattice["▁International"] and whole > lattice_lm.Vocabulary({p: v for p, v in lattice.items() if len(p) <= 12}).log_weights([b"International"])[0]
 
 
 def brute_repeats(rows, n):
@@ -209,6 +264,52 @@ def test_op5(docs, nothing, clashing, monkeypatch):
     assert substrings.within(nothing).count() == 0 and substrings.within(clashing).count() == len(make())
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_hashes_are_not_linear():
+    """A word and its complement in the Thue-Morse order, of letters or of words, collide under any polynomial of 2 ** 64."""
+    one, two = thue_morse(1024), thue_morse(1024).translate(str.maketrans("ab", "ba"))
+    data, offs = kernel.buffers(pa.array([f"{one} {two}", " ".join(one), " ".join(two)]))
+    starts, ends, first = kernel.words(data, offs)
+    h = kernel.word_hashes(data, starts, ends)
+    assert h[0] != h[1]
+    for k in (1, 2, 3, 5, 32, 35, 64, 1024):
+        a, b = (kernel.rolling(h[first[i] : first[i + 1]], k) for i in (1, 2))
+        assert len(a) == 1025 - k and (k == 1 or len(np.unique(np.concatenate([a, b]))) == len({one[i : i + k] for i in range(1025 - k)} | {two[i : i + k] for i in range(1025 - k)}))
+
+
+def test_op5_windows_that_differ_in_one_word(spark):
+    fill = " ".join(f"f{i}" for i in range(34))
+    rows = [(1, f"{thue_morse(1024)} {fill}"), (2, thue_morse(1024).translate(str.maketrans("ab", "ba")) + " " + fill), (3, fill + " x"), (4, f"q {fill} x")]
+    got = [tuple(r) for r in substrings.within(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=key) == sorted(brute_repeats(rows, 35), key=key) and [g[2] for g in sorted(got)] == [0, 0, 35, 35]
+
+
+def test_op5_second_exchange_decides(docs, monkeypatch):
+    """With a first hash of no bits everything is a candidate, and the result stays."""
+    monkeypatch.setattr(substrings.Exchange, "placed", lambda self, h: h if self.width == 8 else h & np.uint64(0))
+    got = [tuple(r) for r in substrings.within(docs.select("doc_id", "text")).collect()]
+    assert sorted(got, key=key) == sorted(brute_repeats([(d[0], d[1]) for d in make()], 35), key=key)
+
+
+def test_op5_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SHARD_WORDS", 40)
+    monkeypatch.setattr(substrings, "PASS", 2)
+    rng = random.Random(3)
+    ref = [" ".join(rng.choice("abcd") for _ in range(n)) for n in (150, 10, 90, 0, 37)]
+    texts = [" ".join(rng.choice("abcd") for _ in range(60)) + " " + r[20:60] for r in ref] + [ref[0]]
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.against(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(r,) for r in ref], "text string"), 8).collect()}
+    runs = {tuple(w[i : i + 8]) for w in (r.split() for r in ref) for i in range(len(w) - 7)}
+    for i, t in enumerate(texts):
+        ws, gone = t.split(), set()
+        for a in range(len(ws) - 7):
+            if tuple(ws[a : a + 8]) in runs:
+                gone.update(range(a, a + 8))
+        assert got[i] == len(gone)
+
+
 def test_op5_automaton(spark):
     rng = random.Random(2)
     ref = [[rng.choice("abc") for _ in range(60)] for _ in range(3)]
@@ -266,6 +367,21 @@ def test_op7_cascade_is_exact(spark):
     assert {r[0] for r in df.filter(c.contains(df["key"])).collect()} == set(listed)
 
 
+def test_op7_many_rules(spark, monkeypatch):
+    """Beyond MOST_RULES joins give what the cascades give."""
+    urls = [f"http://{a}.{b}/{c}" for a in ("x", "y.z", "Q") for b in ("net", "com", "example.net") for c in ("", "en/a", "de/")] + [None, "none"]
+    d = spark.createDataFrame([(i, u, "o") for i, u in enumerate(urls * 2)], "page_id int, url string, _hit string")
+    one = sorted(map(tuple, url_filters.judge(d).collect()), key=str)
+    monkeypatch.setattr(url_filters, "MOST_RULES", 2)
+    assert sorted(map(tuple, url_filters.judge(d).collect()), key=str) == one and len(one) == len(urls) * 2
+
+
+def test_op7_levels_stay_small(spark):
+    universe = [f"k{i}/" for i in range(20_000)]
+    c = url_filters.Cascade(universe[::100], spark.createDataFrame([(k,) for k in universe], "key string"), 20_000, "t")
+    assert len(c.levels) >= 3 and sum(bits for bits, _, _ in c.levels) < 200 * 16
+
+
 def brute_simhash(text):
     ws = words((text or "").encode().lower().decode())
     parts = [b" ".join(ws[i : i + 3]) for i in range(max(1, len(ws) - 2))] if ws else []
@@ -322,6 +438,20 @@ def test_op8_links_by_blocks(spark, hot):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, groups.values()))
 
 
+def test_op8_forest_in_tiles(monkeypatch):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    fps = np.unique(base[rng.integers(0, 40, 600)] ^ (np.uint64(1) << rng.integers(0, 63, 600).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, 600).astype(np.uint64)))
+    rng.shuffle(fps)
+    root = brute_components(fps.tolist(), 3)
+    for tile in (1024, 32):
+        monkeypatch.setattr(simhash, "TILE", tile)
+        mine = list(range(len(fps)))
+        for a, b in simhash.forest(fps, 3):
+            mine = [mine[b] if m == mine[a] else m for m in mine]
+        assert len(set(zip(mine, root, strict=True))) == len(set(mine)) == len(set(root)) < len(fps)
+
+
 def test_near_copies(spark):
     rng = random.Random(8)
     doc = lambda n: [f"w{rng.randint(0, 5000)}" for _ in range(n)]
@@ -401,6 +531,69 @@ def test_op9_rules():
         assert pii.base_spans(t) == plain_spans(t), t
 
 
+def test_op9_decodes_the_best_of_all():
+    """Against every set of segments that do not overlap."""
+    rng = random.Random(1)
+    w = np.random.default_rng(2).normal(0, 1, (pii.WIDTH, len(pii.KINDS)))
+    for _ in range(25):
+        text = "".join(rng.choice(["555", "-", " ", "1234567", "a@b.co", "(", ")", ".", "10", "x"]) for _ in range(9))
+        tokens, found, rows = pii.segments(text, 0, len(text))
+        if len(found) > 14:
+            continue
+        best = 0.0
+        score = (rows @ w).max(axis=1) if len(found) else np.empty(0)
+        for pick in range(1 << len(found)):
+            own = sorted(found[k] for k in range(len(found)) if pick >> k & 1)
+            if all(a[1] <= b[0] for a, b in zip(own, own[1:])):
+                best = max(best, sum(score[k] for k in range(len(found)) if pick >> k & 1))
+        at = {s: i for i, (s, _) in enumerate(tokens)} | {len(text): len(tokens)}
+        mine = sum((rows[found.index((at[s], at[e]))] @ w)[k] for s, e, k in pii.decode(text, 0, len(text), w.tolist()))
+        assert np.isclose(mine, best)
+
+
+def test_op9_gradient_is_the_likelihoods():
+    text = "call 555-123-4567 or 10.0.0.1"
+    _, found, rows = pii.segments(text, 0, len(text))
+    edges, gold = np.unique(found, return_inverse=True)[1].reshape(-1, 2), np.full(len(found), -1)
+    gold[1] = 3
+    w = np.random.default_rng(3).normal(0, 0.3, (pii.WIDTH, len(pii.KINDS)))
+
+    def likelihood(w):
+        scores, n = rows @ w, int(edges.max())
+        ahead = [0.0] + [-np.inf] * n
+        for t in range(1, n + 1):
+            ahead[t] = np.logaddexp.reduce([ahead[t - 1], *[ahead[i] + np.logaddexp.reduce(scores[k]) for k, (i, j) in enumerate(edges) if j == t]])
+        return scores[1, 3] - ahead[n]
+
+    g = pii.gradient(edges, rows, w, gold)
+    for f, k in zip(*np.nonzero(np.abs(g) > 1e-6), strict=True):
+        up, down = w.copy(), w.copy()
+        up[f, k] += 1e-5
+        down[f, k] -= 1e-5
+        assert np.isclose(g[f, k], (likelihood(up) - likelihood(down)) / 2e-5, atol=1e-4)
+
+
+def test_op9_precision_and_recall():
+    """On generated forms that training has not seen: spans found exactly, of those there are, and of those found."""
+    w, rng = pii.train(), random.Random(99)
+    hit = there = found = 0
+    for _ in range(400):
+        text, gold = pii._made(rng)
+        got = pii.all_spans(text, w)[1]
+        hit += sum(g in got for g in gold)
+        there, found = there + len(gold), found + len(got)
+    assert hit / there > 0.9 and hit / found > 0.9, (hit / there, hit / found)
+
+
+def test_op9_spans_never_meet_the_rules():
+    w, rng = pii.train(), random.Random(5)
+    for _ in range(200):
+        text = " ".join(rng.choice(["a@b.co", "(222) 333-4444", "10.0.0.1", "+1 222 333 4444", "word", "12", "x [at] y [dot] com"]) for _ in range(12))
+        base, every = pii.all_spans(text, w)
+        added = [s for s in every if s not in base]
+        assert all(e <= a or s >= b for s, e, _ in added for a, b, _ in base) and all(a[1] <= b[0] for a, b in zip(added, added[1:])) and len(every) == len(base) + len(added)
+
+
 def test_op9_model(spark, nothing, clashing):
     w = pii.train()
     for text, span in [("call (864) 555-0138 now", "phone:5:19"), ("me: jo [at] foo [dot] com ok", "email:4:25"), ("on 2024-01-02 at 10:33", ""), ("plain words only", ""), ("card 4111.1111.1111.1111 a", "card:5:24")]:
@@ -456,6 +649,129 @@ def test_components_chain(spark):
     assert all(got[i] == 0 for i in range(41)) and got[101] == got[100] == 100
 
 
+def test_op2_features_one_word_at_a_time():
+    """The pooled features, and the contexts, by plain loops."""
+    texts = ["The cat sat, the cat ran.", "", None, "x", "ÜBER 12 ab ab ab $$$"]
+    own = quality.index_vectors(quality.VOCABULARY, quality.WORD_DIM, 11)
+    arr = pa.array(texts, pa.string())
+    made = quality.tables(quality.contexts(arr, own))
+    row = lambda w: int(kernel.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] % np.uint64(quality.VOCABULARY))
+    context = np.zeros(own.shape)
+    for t in texts:
+        ws = [row(w) for w in words(t)]
+        for i, a in enumerate(ws):
+            for j in range(max(0, i - quality.WINDOW), min(len(ws), i + quality.WINDOW + 1)):
+                if i != j:
+                    context[a] += own[ws[j]]
+    assert np.array_equal(context, quality.contexts(arr, own)) and np.array_equal(context, sum(quality.contexts(arr.slice(i, 1), own) for i in range(len(texts))))
+    got = made.pooled(arr)
+    for i, t in enumerate(texts):
+        ws = words(t)
+        want = np.mean([made.words[row(w)] for w in ws], axis=0) if ws else np.zeros(quality.WORD_DIM)
+        assert np.allclose(got[i, : quality.WORD_DIM], want, atol=1e-5) and np.isclose(got[i, -1], np.log1p(len(ws)) / 8)
+
+
+def test_op2_long_labelled_texts_are_learned_from(spark):
+    rows = [(i, ("good words here " if i % 2 else "BAD $$$ 99 ") * (4000 if i % 3 else 2)) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert all((r["score"] >= 0.5) == (r["doc_id"] % 2 == 1) for r in quality.score(d, quality.fit(d, labels)).collect())
+
+
+def test_op3_sketch_bin_by_bin():
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(n)) for n in (1, 4, 5, 9, 60, 900)] + ["", "a b c d e a b c d e a b c d e"]
+    rows, some = fingerprints.sketches(pa.array(texts))
+    for t, r, s in zip(texts, rows, some, strict=True):
+        data, offs = kernel.buffers(pa.array([t]))
+        starts, ends, first = kernel.words(data, offs)
+        h = [int(x) for x in kernel.shingles(kernel.word_hashes(data, starts, ends), first, 5)[0]]
+        assert s == bool(h) and len(set(h)) == (len({tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}) if h else 0)
+        low = {}
+        for x in h:
+            low[x >> 56] = min(x, low.get(x >> 56, x))
+        for b in range(fingerprints.BINS):
+            if not h:
+                break
+            at, probe = b, 0
+            while at not in low:
+                probe += 1
+                at = int(kernel.mix(np.array([(b * 0x9E3779B97F4A7C15 + probe) % (1 << 64)], np.uint64))[0]) % fingerprints.BINS
+            assert r[b] == int(kernel.mix(np.array([low[at]], np.uint64))[0]) & 0xFF
+
+
+def test_pipeline_against_brute_force(spark):
+    import corpus_pipeline as cp
+    from pyspark.sql import functions as F
+
+    rng = random.Random(21)
+    word = lambda: f"v{rng.randint(0, 900)}"
+    base = [[word() for _ in range(60)] for _ in range(6)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b[:57], *[word() for _ in range(3)]]) for b in base] + [" ".join(b[20:]) for b in base] + ["mail a@b.co now", None, "", "x y"]
+    rows = [(i, t, "en", f"s{i % 3}", 0, f"own{i}", i) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, _quality string, n_words long").withColumns({c: F.col("n_words") for c in ("hits", "_k", "_hits", "_copies")})
+    kept = sorted(r["doc_id"] for r in cp.distinct(spark, d, "").collect())
+    assert kept == brute_kept([t or "" for t in texts])
+    own = cp.distinct(spark, d, "").collect()
+    assert all(r["n_words"] == r["hits"] == r["_k"] == r["doc_id"] and r["_quality"] == f"own{r['doc_id']}" for r in own)
+    bench = spark.createDataFrame([(1, " ".join(base[0][5:18])), (2, " ".join(base[3][20:40]))], "item_id long, text string")
+    hit = {x[0] for x in brute_hits([(r[0], r[1]) for r in rows], [(1, " ".join(base[0][5:18])), (2, " ".join(base[3][20:40]))], 10) if x[-1]}
+
+    class Fake:
+        def table(self, *_):
+            return bench
+
+    real = cp.frames.table
+    try:
+        cp.frames.table = Fake().table
+        left = cp.uncontaminated(spark, d, "").collect()
+    finally:
+        cp.frames.table = real
+    assert {r["doc_id"] for r in left} == {r[0] for r in rows} - hit and hit and all(r["hits"] == r["n_words"] == r["_hits"] == r["doc_id"] for r in left)
+    clean = {r["doc_id"]: (r["text"], r["n_chars"]) for r in cp.without_personal_data(spark, d, "").collect()}
+    assert clean[18] == ("mail [EMAIL] now", 16) and clean[19] == (None, 0) and clean[0] == (texts[0], len(texts[0]))
+    mixed = cp.mixture(spark, d, "").collect()
+    sizes = {i: len(words(t)) for i, t in enumerate(texts)}
+    assert all(r["size"] == sizes[r["doc_id"]] and 0 < r["taken"] <= 3 * r["size"] for r in mixed) and abs(sum(r["taken"] for r in mixed) - sum(sizes.values())) <= 60
+
+
+LONG = {"blanks": " " * 5_000_000, "digits": "7" * 5_000_000, "one word": "x" * 5_000_000, "script": "漢字" * 800_000, "words": "some words and more of them " * 180_000, "numbers": "12 345 " * 8_000}
+
+
+@pytest.mark.parametrize("name", list(LONG))
+def test_very_long_texts(spark, name):
+    """Every operator takes a text of some megabytes beside short ones."""
+    from pyspark.sql import functions as F
+
+    text = LONG[name]
+    d = spark.createDataFrame([(1, text, "en", "a", 0), (2, "a short one", "en", "a", 0), (3, None, "en", None, 0)], SCHEMA).repartition(1)
+    ws = len(words(text))
+    assert {r["doc_id"]: r["n_chars"] for r in token_counts.count(d).collect()} == {1: len(text), 2: 11, 3: 0}
+    assert {r["doc_id"]: r["n_words"] for r in substrings.within(d.select("doc_id", "text")).collect()} == {1: ws, 2: 3, 3: 0}
+    assert {r["doc_id"]: r["n_chars"] for r in fingerprints.edit_report(d).collect()} == {1: len(text), 2: 11, 3: 0}
+    #: The lattice of one word is walked character by character, some 30 seconds a megabyte and round; a shorter one does here.
+    short = d.withColumn("text", F.expr("CASE WHEN doc_id = 1 THEN left(text, 100000) ELSE text END")) if ws == 1 else d
+    assert {r["doc_id"]: r["n_tokens"] for r in lattice_lm.score(short).collect()} == {1: ws + 1, 2: 4, 3: 1}
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(d).collect()} == {1: ws, 2: 3, 3: 0}
+    assert simhash.fingerprints(d).count() == 3 and simhash.near_copies(d).count() == 3 - (ws == 0)
+    assert pii.find(d, pii.train(made=20, rounds=1)).count() == 3
+    model = quality.fit(d, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert quality.score(d, model).count() == 3
+    items = spark.createDataFrame([(1, "short one"), (2, "some words and more of them some words and more")], "item_id long, text string")
+    assert {r["doc_id"]: r["contaminated"] for r in decontaminate.report(decontaminate.matches(d, items)).collect()} == {1: name == "words", 2: True, 3: False}
+
+
+def test_clashing_columns(clashing, nothing, spark):
+    """Columns of the names that operators use inside stay what they are, or are replaced where the docstring says so."""
+    n = len(make())
+    assert fingerprints.edit_report(clashing).count() == lattice_lm.score(clashing).count() == pii.find(clashing, pii.train(made=20, rounds=1)).count() == n
+    p = simhash.fingerprints(clashing)
+    assert simhash.label(p, simhash.link(p.select("fp").distinct())).count() == n
+    model = quality.fit(nothing, spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality.score(nothing, model).count() == 0 and quality.score(clashing, model).filter("score = 0.5").count() == n
+    assert token_counts.count(nothing).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
     from pyspark.sql import functions as F
