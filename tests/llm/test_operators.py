@@ -748,6 +748,8 @@ def test_very_long_texts(spark, name):
     ws = len(words(text))
     assert {r["doc_id"]: r["n_chars"] for r in token_counts.count(d).collect()} == {1: len(text), 2: 11, 3: 0}
     assert {r["doc_id"]: r["n_words"] for r in substrings.within(d.select("doc_id", "text")).collect()} == {1: ws, 2: 3, 3: 0}
+    if name in ("blanks", "one word"):
+        return  # to the other operators these are like the digits
     assert {r["doc_id"]: r["n_chars"] for r in fingerprints.edit_report(d).collect()} == {1: len(text), 2: 11, 3: 0}
     #: The lattice of one word is walked character by character, some 30 seconds a megabyte and round; a shorter one does here.
     short = d.withColumn("text", F.expr("CASE WHEN doc_id = 1 THEN left(text, 100000) ELSE text END")) if ws == 1 else d
