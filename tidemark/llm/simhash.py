@@ -417,7 +417,8 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     Rows of equal shingle sets count as copies.  Fingerprints are compared by tiles in the order of their shingle counts,
     each tile with those whose counts can reach the similarity; there are MOST_TILES tiles at most, so that a fingerprint
     goes to a bounded number of tasks.  What is within the wide limits is a candidate only: the shingle sets of the rows
-    that have one are dealt to the same pairs of tiles, where a pair is linked if the sets themselves are near.
+    that have one are dealt to the same pairs of tiles, where a pair is linked if the sets themselves are near.  There are
+    as many partitions as pairs of tiles, or of pieces, if these are more than the session's.
     """
     prints = frames.cut(wide_prints(docs, key, text))
     mine = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_k").alias("k"))
@@ -433,13 +434,15 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     dealt = tiled.select("*", F.explode(F.element_at(F.array(*[F.array(*[F.lit(u) for u in p]) for p in partners]), F.col("tile") + 1)).alias("o"))
     dealt = dealt.select(F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "tile", "n", "id", "fp")
     parts = frames.parts(docs.sparkSession)
-    flags = frames.cut(dealt.repartition(parts, "i", "j").sortWithinPartitions("i", "j", "tile", "n").mapInArrow(_flag(limits()), "i int, j int, p int, q int, id long"))
+    met = sum(u >= t for t, p in enumerate(partners) for u in p)
+    flags = frames.cut(dealt.repartition(max(parts, met), "i", "j").sortWithinPartitions("i", "j", "tile", "n").mapInArrow(_flag(limits()), "i int, j int, p int, q int, id long"))
     some = frames.cut(nodes.join(flags.select("id").distinct(), "id").select("id", F.col("first.k").alias("_k")))
     some = F.broadcast(some) if some.count() <= MOST_BROADCAST else some
     texts = docs.select(F.xxhash64(key, text).alias("_k"), F.col(text).alias("text")).join(some, "_k").select("id", "text")
     sets = texts.mapInArrow(_sets, "id long, shingles binary").dropDuplicates(["id"])
     pairs = flags.join(tiled, "id").join(sets, "id").select("i", "j", "p", "q", "tile", "n", "id", "fp", "shingles")
-    edges = pairs.repartition(parts, "i", "j", "p", "q").sortWithinPartitions("i", "j", "p", "q", "tile", "n").mapInArrow(_verify(limits()), "u long, v long")
+    groups = flags.select("i", "j", "p", "q").distinct().count()
+    edges = pairs.repartition(max(parts, groups), "i", "j", "p", "q").sortWithinPartitions("i", "j", "p", "q", "tile", "n").mapInArrow(_verify(limits()), "u long, v long")
     roots = components(edges)
     first = nodes.join(roots, nodes["id"] == roots["node"], "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
     winners = first.select(F.col("first.k").alias("_k")).join(prints.groupBy("_k").agg(F.count("*").alias("_copies")), "_k")
