@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, lattice_lm, mixing, pii, quality, simhash, substrings, token_counts, url_filters
+from . import bpe, decontaminate, fill_in_middle, fingerprints, lattice_lm, mixing, pii, quality, simhash, substrings, token_counts, url_filters, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": simhash.op8,
     "op9_personal_data": pii.op9,
     "op10_benchmark_decontamination": decontaminate.op10,
+    "op11_byte_bpe": bpe.op11,
+    "op12_fill_in_middle": fill_in_middle.op12,
+    "op13_embedding_whitening": whitening.op13,
 }
 
 SQL: dict[str, str] = {
@@ -26,4 +29,5 @@ SQL: dict[str, str] = {
     "op6_source_mixing": mixing.SQL6,
     "op7_url_filters": url_filters.SQL7,
     "op10_benchmark_decontamination": decontaminate.SQL10,
+    "op12_fill_in_middle": fill_in_middle.SQL12,
 }
