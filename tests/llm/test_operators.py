@@ -629,14 +629,36 @@ def test_op10(spark, docs, nothing, clashing):
     a = texts[60].split()
     items = [(1, " ".join(a[3:20])), (2, "ONE"), (3, None), (4, "..."), (5, " ".join(a[40:52]).upper()), (5, "no id here"), (None, "İk k ab ab"), (7, "ab ab ab ab ab ab ab ab ab ab ab ab")]
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = [tuple(r) for r in decontaminate.report(decontaminate.matches(docs, b)).collect()]
+    got = [tuple(r) for r in decontaminate.report(docs, b).collect()]
     assert sorted(got, key=str) == sorted(brute_hits([(d[0], d[1]) for d in make()], items, 10), key=str)
     assert decontaminate.matches(nothing, b).count() == 0 and decontaminate.matches(clashing, b).count() == len(make())
     assert decontaminate.matches(docs, b.limit(0)).filter("size(hits) > 0").count() == 0
+    assert decontaminate.report(nothing, b).collect() == [] and decontaminate.report(clashing, b).count() == len(make())
     plan = decontaminate.matches(docs, b)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan.split("== Physical Plan ==")[-1])
 
 
+def test_op10_common_words(spark):
+    """A window of common words in thousands of items and at nearly every place of long documents, and items that share a
+    template; what is shuffled stays small, so this fits a small heap."""
+    common = " ".join(["the", "of"] * 5)
+    d = [(i, " ".join(["the", "of"] * 10_000)) for i in range(4)] + [(9, "the of " * 4 + "end"), (10, "which of these is the one that names item 77 best")]
+    items = [(i, common) for i in range(2_000)] + [(5_000 + i, f"which of these is the one that names item {i} best") for i in range(20_000)]
+    got = decontaminate.report(spark.createDataFrame(d, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    every = hashlib.sha256(",".join(sorted(str(i) for i in range(2_000))).encode()).hexdigest()
+    one = hashlib.sha256(b"5077").hexdigest()
+    assert sorted(tuple(r) for r in got) == [(i, 20_000, 20_000, 2_000, every, True) for i in range(4)] + [(9, 9, 0, 0, hashlib.sha256(b"").hexdigest(), False), (10, 11, 11, 1, one, True)]
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 40])
+def test_op10_with_and_without_broadcasts(spark, docs, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "MOST_BYTES", limit)
+    texts = [d[1] for d in make()]
+    items = [(i, " ".join(texts[i].split()[2:30])) for i in range(0, 60, 3)] + [(70, "of of"), (71, "the"), (72, "w1 w2 w3")]
+    got = decontaminate.report(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted([tuple(r) for r in got], key=str) == sorted(brute_hits([(d[0], d[1]) for d in make()], items, 10), key=str)
+
+
 def test_op10_final_sigma(spark):
     d = spark.createDataFrame([(1, "ΟΔΟΣ.ΑΒΓ"), (2, "ΑΒΓ")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "ΟΔΟΣ.ΑΒΓ")], "item_id long, text string")
@@ -760,7 +782,7 @@ def test_very_long_texts(spark, name):
     model = quality.fit(d, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
     assert quality.score(d, model).count() == 3
     items = spark.createDataFrame([(1, "short one"), (2, "some words and more of them some words and more")], "item_id long, text string")
-    assert {r["doc_id"]: r["contaminated"] for r in decontaminate.report(decontaminate.matches(d, items)).collect()} == {1: name == "words", 2: True, 3: False}
+    assert {r["doc_id"]: r["contaminated"] for r in decontaminate.report(d, items).collect()} == {1: name == "words", 2: True, 3: False}
 
 
 def test_clashing_columns(clashing, nothing, spark):
