@@ -155,37 +155,57 @@ def counts(**tables: DataFrame) -> DataFrame:
 
 # --- alerts
 
-def price_hit(params: Column) -> Column:
+def price_hit(params: Column, close: Column) -> Column:
     way = F.coalesce(F.get_json_object(params, "$.direction"), F.lit("above"))
     level = F.get_json_object(params, "$.price").try_cast("double")
-    return F.when(way == "above", F.col("close") > level).when(way == "below", F.col("close") < level)
+    return F.when(way == "above", close > level).when(way == "below", close < level)
 
 
-def check_alerts(rules: DataFrame, bars: DataFrame, day: str) -> DataFrame:
-    """Rules that fire on ``day``: price_breakout, ma_cross, volume_spike; at most once a day (last_triggered).
+LOOK_BACK = 100
 
-    rules: rule_id, symbol, condition_type, params (JSON), enabled, last_triggered.  Only the last 100 bars until the day
-    of the symbols with enabled rules are looked at.
-    """
-    live = rules.filter(F.col("enabled") & ~F.col("last_triggered").eqNullSafe(F.lit(day).cast("date")))
-    recent = latest(bars.join(live.select("symbol").distinct(), "symbol", "left_semi"), 100, day)
-    series = recent.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("trade_date", "close", "volume"))).alias("b"))
-    at = live.join(series, "symbol").withColumns({"n": F.size("b"), "close": F.element_at("b", -1)["close"], "volume": F.element_at("b", -1)["volume"]})
+
+def _fired(b: Column) -> Column:
+    """Whether a rule (condition_type, params) fires on the last of the bars b (trade_date, close, volume, in order)."""
+    n = F.size(b)
+    close, volume = F.element_at(b, -1)["close"], F.element_at(b, -1)["volume"]
     number = lambda k, default: F.coalesce(F.get_json_object("params", f"$.{k}").try_cast("int"), F.lit(default))
 
-    def mean(field: str, n: Column, back: int) -> Column:
-        part = F.transform(F.slice("b", F.greatest(F.col("n") - back - n + 1, F.lit(1)), F.greatest(n, F.lit(0))), lambda x: x[field])
-        return F.when((F.col("n") >= n + back) & (n > 0), F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / n)
+    def mean(field: str, k: Column, back: int) -> Column:
+        part = F.transform(F.slice(b, F.greatest(n - back - k + 1, F.lit(1)), F.greatest(k, F.lit(0))), lambda x: x[field])
+        return F.when((n >= k + back) & (k > 0), F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / k)
 
     short, long, look = number("short_period", 5), number("long_period", 20), number("lookback", 20)
     now, before = mean("close", short, 0) - mean("close", long, 0), mean("close", short, 1) - mean("close", long, 1)
     way = F.coalesce(F.get_json_object("params", "$.direction"), F.lit("golden"))
     cross = (short < long) & F.when(way == "golden", (before <= 0) & (now > 0)).when(way == "dead", (before >= 0) & (now < 0))
     usual = mean("volume", look, 1)
-    spike = (usual > 0) & (F.col("volume") > F.coalesce(F.get_json_object("params", "$.multiplier").try_cast("double"), F.lit(2.0)) * usual)
+    spike = (usual > 0) & (volume > F.coalesce(F.get_json_object("params", "$.multiplier").try_cast("double"), F.lit(2.0)) * usual)
     kind = F.col("condition_type")
-    fired = F.when(kind == "price_breakout", price_hit(F.col("params"))).when(kind == "ma_cross", cross).when(kind == "volume_spike", spike)
-    return at.filter(F.coalesce(fired, F.lit(False))).select("rule_id", "symbol", "condition_type", F.element_at("b", -1)["trade_date"].alias("trade_date"), "close")
+    return F.coalesce(F.when(kind == "price_breakout", price_hit(F.col("params"), close)).when(kind == "ma_cross", cross).when(kind == "volume_spike", spike), F.lit(False))
+
+
+def check_alerts(rules: DataFrame, bars: DataFrame, day: str) -> DataFrame:
+    """Rules that fire on ``day``: price_breakout, ma_cross, volume_spike; at most once a day (last_triggered).
+
+    rules: rule_id, symbol, condition_type, params (JSON), enabled, last_triggered.  Only the last LOOK_BACK bars until the day
+    of the symbols with enabled rules are looked at.
+    """
+    live = rules.filter(F.col("enabled") & ~F.col("last_triggered").eqNullSafe(F.lit(day).cast("date")))
+    recent = latest(bars.join(live.select("symbol").distinct(), "symbol", "left_semi"), LOOK_BACK, day)
+    series = recent.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("trade_date", "close", "volume"))).alias("b"))
+    last = F.element_at("b", -1)
+    return live.join(series, "symbol").filter(_fired(F.col("b"))).select("rule_id", "symbol", "condition_type", last["trade_date"].alias("trade_date"), last["close"].alias("close"))
+
+
+def replay_alerts(rules: DataFrame, bars: DataFrame) -> DataFrame:
+    """What polling after every bar gives: each rule's first bar of a day on which it fires, but on its last_triggered day."""
+    live = rules.filter("enabled")
+    recent = W.partitionBy("symbol").orderBy("trade_date").rowsBetween(1 - LOOK_BACK, 0)
+    series = bars.join(live.select("symbol").distinct(), "symbol", "left_semi").select("symbol", F.collect_list(F.struct("trade_date", "close", "volume")).over(recent).alias("b"))
+    last = F.element_at("b", -1)
+    hit = live.join(series, "symbol").filter(_fired(F.col("b"))).select("rule_id", "symbol", "condition_type", last["trade_date"].alias("trade_date"), last["close"].alias("close"), F.to_date(last["trade_date"]).alias("_day"), "last_triggered")
+    first = F.row_number().over(W.partitionBy("rule_id", "_day").orderBy("trade_date"))
+    return hit.filter(~F.col("_day").eqNullSafe(F.col("last_triggered"))).withColumn("_k", first).filter("_k = 1").drop("_k", "_day", "last_triggered")
 
 
 # --- statistics of one column, by key

@@ -283,22 +283,32 @@ def scan(x: np.ndarray, b: float, y: float) -> np.ndarray:
 
 
 def recurrence(x: np.ndarray, a: float | np.ndarray, b: float | np.ndarray, seed: str | float, n: int) -> np.ndarray:
+    return recurrence_on(x, a, b, seed, n, [np.nan, 0.0, 0.0])[0]
+
+
+def recurrence_on(x: np.ndarray, a: float | np.ndarray, b: float | np.ndarray, seed: str | float, n: int, carry: list[float]) -> tuple[np.ndarray, list[float]]:
+    """Values from a carry on, and the carry after them: the last y, how many of the values that the seed is made of were
+    there, and their sum."""
     there = x == x
     v = x[there]
     at = lambda c: c[there] if isinstance(c, np.ndarray) else c
     a, b = at(a), at(b)
     head = n if seed == "sma" else 1 if seed == "first" else 0
+    last, seen, total = carry
+    before = last if seen or isinstance(seed, str) else float(seed)
+    need = head - int(min(seen, head))
     y = np.full(len(v), np.nan)
-    if len(v) >= head:
-        start = v[:head].sum() / head if head else float(seed)
-        if head:
-            y[head - 1] = start
-        tail = (a[head:] if isinstance(a, np.ndarray) else a) * v[head:]
+    if len(v) >= need and len(v):
+        if need:
+            last = y[need - 1] = (total + v[:need].sum()) / head
+        elif not seen:
+            last = float(seed)
+        tail = (a[need:] if isinstance(a, np.ndarray) else a) * v[need:]
         if isinstance(b, float):
-            y[head:] = scan(tail, b, start)
+            y[need:] = scan(tail, b, last)
         else:
-            for t, (p, q) in enumerate(zip(tail.tolist(), b[head:].tolist(), strict=True), head):
-                start = y[t] = p + q * start
+            for t, (p, q) in enumerate(zip(tail.tolist(), b[need:].tolist(), strict=True), need):
+                last = y[t] = p + q * last
+        last = float(y[-1])
     #: A missing x shows the last y, or what stands before the first.
-    last = np.cumsum(there)
-    return np.append(np.nan if isinstance(seed, str) else float(seed), y)[last]
+    return np.append(before, y)[np.cumsum(there)], [last, seen + len(v), total + float(v[:need].sum())]
