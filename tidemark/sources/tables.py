@@ -90,6 +90,8 @@ class KeyedTable:
         if batch is not None and (before := self.done(batch)):
             return before
         ranked, parts = self._ranked(new, order)
+        if not parts:
+            return self._note(batch, Counts(0, 0, 0, 0))
         have = self.read(parts).select(*[F.col(k).alias(f"_{k}") for k in self.key], F.lit(True).alias("_had"))
         same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in self.key]
         fresh = F.col("_had").isNull() & (F.col("_at") == 1)
@@ -106,6 +108,8 @@ class KeyedTable:
         if batch is not None and (before := self.done(batch)):
             return before
         ranked, parts = self._ranked(new, order)
+        if not parts:
+            return self._note(batch, Counts(0, 0, 0, 0))
         values = [c for c in self._type.names if c not in self.key]
         old = self.read(parts).select(*[F.col(k).alias(f"_k_{k}") for k in self.key], *[F.col(c).alias(f"_o_{c}") for c in values], F.col("p").alias("_p"), F.lit(True).alias("_had"))
         fresh = ranked.filter("_at = 1").withColumn("_new", F.lit(True))

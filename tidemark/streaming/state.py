@@ -1,7 +1,9 @@
 """Per-symbol state of streams: rules that are polled at every bar, and indicators that go on bar by bar.
 
 Both keep their state in the state store (``transformWithStateInPandas``, which wants RocksDB: ``use_rocksdb``), so a query that
-is started again from its checkpoint neither repeats nor loses an output.  State of a symbol that gets no rows for ``ttl`` goes.
+is started again from its checkpoint neither repeats nor loses an output.  With ``ttl`` (milliseconds) the state of a symbol that
+gets no rows for so long goes; such a query runs batches without data to that end, so it wants a trigger that goes on, not
+``availableNow``.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from ..plans.resume import INPUTS, Resumable, State
 from ..plans.staged import Plan
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-DAY_MS = 24 * 3600 * 1000
 RULES = "rule_id long, symbol string, condition_type string, params string, enabled boolean, last_triggered date"
 
 
@@ -116,7 +117,7 @@ class _Rules(StatefulProcessor):
         yield pd.DataFrame({"rule_id": pd.Series(ids, dtype="int64"), "symbol": pd.Series([key[0]] * len(ids), dtype="object"), "condition_type": pd.Series(kinds, dtype="object"), "trade_date": pd.Series(stamps, dtype="datetime64[ns]"), "close": pd.Series(prices, dtype="float64")})
 
 
-def poll_rules(bars: DataFrame, rules: DataFrame, ttl: int | None = 400 * DAY_MS) -> DataFrame:
+def poll_rules(bars: DataFrame, rules: DataFrame, ttl: int | None = None) -> DataFrame:
     """rule_id, symbol, condition_type, trade_date and close of each rule's first firing of a day, polled at every bar.
 
     bars: symbol, ts, close, volume; rules: as ``RULES``; both are streams.  A later row of a rule replaces it (``enabled`` false
@@ -153,7 +154,7 @@ class _Indicators(StatefulProcessor):
         yield pd.DataFrame({"symbol": [key[0]] * len(got), "ts": got["ts"].to_numpy("datetime64[ns]")} | {k: np.where(np.isnan(v), None, v) for k, v in values.items()})
 
 
-def indicators(bars: DataFrame, plan: Plan, ttl: int | None = 400 * DAY_MS) -> DataFrame:
+def indicators(bars: DataFrame, plan: Plan, ttl: int | None = None) -> DataFrame:
     """symbol, ts and the outputs of the plan for every bar of a stream, as the batch gives them for the whole series.
 
     bars: symbol, ts and the values of a bar (``INPUTS``; columns that are not there are missing).  A symbol's state is bounded
