@@ -24,6 +24,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,10 @@ PIECE = 1 << 15
 AT_ONCE = 1 << 20
 #: The pre-tokeniser looks this far ahead at most (a contraction).
 AHEAD = 3
+#: Words of code points below this are found by ``re``, whose classes are read off the library's own pre-tokeniser.
+PLAIN = 0x3000
+#: Words that a process keeps the tokens of, and their length at most.
+KEPT_WORDS, KEPT_CHARS = 1 << 18, 64
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _made: dict[str, "Coder"] = {}
 
@@ -49,6 +54,21 @@ def alphabet() -> dict[int, str]:
     return {b: chr(b if b in shown else next(spare)) for b in range(256)}
 
 
+class _Words(dict):
+    """The tokens of words, made when first asked for."""
+
+    def __init__(self, coder: "Coder"):
+        self.coder = coder
+
+    def __missing__(self, word: str) -> list[int]:
+        ids = self.coder.part(word)
+        if len(word) <= KEPT_CHARS:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Coder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -66,6 +86,8 @@ class Coder:
         self.token = [self.library.id_to_token(i) or "" for i in range(size)]
         self.decimal = [str(i) for i in range(size)]
         self.shown = {ord(bytes([b]).decode("latin-1")): c for b, c in alphabet().items()}
+        self.beyond = re.compile(f"[^\\0-{chr(PLAIN - 1)}]")
+        self.split, self.words = self._split(), _Words(self)
 
     @staticmethod
     def _check(spec: dict) -> None:
@@ -80,8 +102,27 @@ class Coder:
                 raise ValueError("merges are not in order of their parts")
             made.add(a + b)
 
+    def _split(self):
+        """The pre-tokeniser's pattern for code points below PLAIN, each put into the class that the library has it in."""
+        classes: dict[str, list[str]] = {"letter": [], "number": [], "space": [], "other": []}
+        for c in map(chr, range(PLAIN)):
+            spans = [x for _, x in self.library.pre_tokenizer.pre_tokenize_str(f"a{c}1{c}!{c}")]
+            kind = "letter" if spans[0] == (0, 2) else "number" if (1, 4) in spans else "other" if (3, 6) in spans else "space"
+            classes[kind].append("\\" + c if c in "[]\\^-&~|" else c)
+        some = {k: "".join(v) for k, v in classes.items()}
+        return re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{some['letter']}]+| ?[{some['number']}]+| ?[{some['other']}]+|[{some['space']}]+(?![^{some['space']}])|[{some['space']}]+").findall
+
     def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        """Plain texts word by word, with the words' tokens kept; the others, and those with added tokens, by the library."""
+        found, rest = [], []
+        for i, t in enumerate(texts):
+            plain = not self.beyond.search(t) and not (self.special and self.special.search(t))
+            found.append(list(chain.from_iterable(map(self.words.__getitem__, self.split(t)))) if plain else None)
+            if not plain:
+                rest.append(i)
+        for i, e in zip(rest, self.library.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            found[i] = e.ids
+        return found
 
     def part(self, text: str) -> list[int]:
         """A part of one word, without pre-tokenising."""
