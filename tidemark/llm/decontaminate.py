@@ -63,10 +63,14 @@ def windows(items: DataFrame, size: int = WINDOW, key: str = "item_id", text: st
     return numbered, pairs.join(numbered, ["win", "n"]).select("window", "item")
 
 
+def _fits(df: DataFrame, text: str | None = None) -> bool:
+    """Rows count 64 bytes, and the text in one column as long as it is."""
+    return (df.agg(F.sum(F.lit(64) + (F.length(text) if text else 0))).first()[0] or 0) <= MOST_BYTES
+
+
 def _small(df: DataFrame, text: str | None = None) -> DataFrame:
-    """A broadcast hint where the size allows it; rows count 64 bytes, and the text in one column as long as it is."""
-    row = F.lit(64) + (F.length(text) if text else 0)
-    return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= MOST_BYTES else df
+    """A broadcast hint where the size allows it."""
+    return F.broadcast(df) if _fits(df, text) else df
 
 
 def candidates(docs: DataFrame, found: DataFrame, key: Column, text: str = "text") -> DataFrame:
@@ -96,7 +100,15 @@ def located(docs: DataFrame, found: DataFrame, text: str = "text", id: str = "do
     some = candidates(docs, found, key, text).join(_small(found, "win"), ["window", "n"])
     some = frames.cut(some.groupBy(F.col("_k").alias(mark)).agg(F.collect_list(F.struct("window", "n", "win", "starts")).alias(kept)))
     size = some.select(F.aggregate(kept, F.lit(128), lambda a, c: a + F.length(c["win"]) + 32 + 4 * F.size(c["starts"])).cast("long").alias("b")).agg(F.sum("b")).first()[0] or 0
-    whole = base.withColumn(mark, key).join(F.broadcast(some) if size <= MOST_BYTES else some, mark, "left")
+    keyed, names = base.withColumn(mark, key), some.select(mark)
+    if size <= MOST_BYTES:
+        whole = keyed.join(F.broadcast(some), mark, "left")
+    elif _fits(names):
+        #: Only texts with candidates are shuffled; the others meet their keys alone.
+        clean = keyed.join(F.broadcast(names), mark, "left_anti").withColumn(kept, F.lit(None).cast(some.schema[kept].dataType))
+        whole = clean.unionByName(keyed.join(F.broadcast(names), mark, "left_semi").join(some, mark))
+    else:
+        whole = keyed.join(some, mark, "left")
 
     def verified(w: Column) -> Column:
         """w is bound once a row; as a column it would be split again for every candidate."""
