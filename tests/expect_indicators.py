@@ -377,7 +377,7 @@ def percent_return(d, period=1): return 100 * d.close.pct_change(period)
 @want
 def trend_return(d, period=20): return 100 * (d.close / d.close.rolling(period).mean() - 1)
 @want
-def correlation(d, period=20): return d.close.rolling(period).corr(d.close)
+def correlation(d, period=20, col=0): return d.close.rolling(period).corr(d[f"close_{col}"] if col else d.close)
 
 
 @want

@@ -38,33 +38,41 @@ _METRIC_SCHEMA = ", ".join(f"{m} {'long' if m in ('n_trades', 'max_drawdown_bars
 def simulate(open_, close, signal, config: Config) -> tuple[np.ndarray, list[tuple[int, int, float, float, float, float]]]:
     """Equity after each bar, and (entry bar, exit bar, entry price, exit price, shares, profit) of each trade.  The profit
     is after the costs of the sale; what the purchase cost shows in the equity alone.  What is held is sold at the last close."""
+    return next(simulate_to(open_, close, signal, config, [len(close)]))
+
+
+def simulate_to(open_, close, signal, config: Config, ends: list[int]):
+    """``simulate`` of the first n bars for each n of ends, ascending: the path is walked once, and at each end what is held
+    is sold on a copy."""
     cash, shares, entry, entry_at = config.cash, 0.0, 0.0, 0
     equity, trades = np.empty(len(close)), []
     late = config.fill == "next_open"
     orders = np.concatenate([[0], signal[:-1]]) if late and len(signal) else signal
 
-    def sell(at: int, price: float) -> None:
-        nonlocal cash, shares
+    def sold(at: int, price: float) -> tuple[float, tuple]:
         got = price * (1 - config.slippage)
         value = shares * got
         costs = value * (config.commission + config.stamp_tax)
-        cash += value - costs
-        trades.append((entry_at, at, entry, got, shares, (got - entry) * shares - costs))
-        shares = 0.0
-
-    for i, order in enumerate(orders.tolist()):
-        price = open_[i] if late else close[i]
-        if order > 0 and not shares and price > 0:
-            entry, entry_at, spend = price * (1 + config.slippage), i, cash * config.position
-            shares = spend / (1 + config.commission) / entry
-            cash -= spend
-        elif order < 0 and shares:
-            sell(i, price)
-        equity[i] = cash + shares * close[i] * (1 - config.slippage)
-    if shares:
-        sell(len(close) - 1, close[-1])
-        equity[-1] = cash
-    return equity, trades
+        return cash + value - costs, (entry_at, at, entry, got, shares, (got - entry) * shares - costs)
+
+    at = 0
+    for end in ends:
+        for i, order in enumerate(orders[at:end].tolist(), at):
+            price = open_[i] if late else close[i]
+            if order > 0 and not shares and price > 0:
+                entry, entry_at, spend = price * (1 + config.slippage), i, cash * config.position
+                shares = spend / (1 + config.commission) / entry
+                cash -= spend
+            elif order < 0 and shares:
+                cash, trade = sold(i, price)
+                trades.append(trade)
+                shares = 0.0
+            equity[i] = cash + shares * close[i] * (1 - config.slippage)
+        at, own, done = end, equity[:end].copy(), list(trades)
+        if shares:
+            own[-1], trade = sold(end - 1, close[end - 1])
+            done.append(trade)
+        yield own, done
 
 
 def metrics(equity: np.ndarray, trades: list, start: float) -> dict[str, float]:
@@ -100,13 +108,32 @@ def _arrays(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np
 
 def run(bars: DataFrame, strategy: str, config: Config = Config(), **params: float) -> DataFrame:
     """Metrics of each symbol."""
+    return _run(strategies.signals(bars, strategy, keep=True, **params), config)
+
+
+def _run(signals: DataFrame, config: Config) -> DataFrame:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         symbol = pdf["symbol"].iloc[0]
         _, o, c, s = _arrays(pdf)
         return pd.DataFrame([{"symbol": symbol} | metrics(*simulate(o, c, s, config), config.cash)])
 
-    s = strategies.signals(bars, strategy, keep=True, **params).select("symbol", "trade_date", "open", "close", "signal")
-    return s.groupBy("symbol").applyInPandas(one, f"symbol string, {_METRIC_SCHEMA}")
+    return signals.select("symbol", "trade_date", "open", "close", "signal").groupBy("symbol").applyInPandas(one, f"symbol string, {_METRIC_SCHEMA}")
+
+
+def run_with_signals(bars: DataFrame, signals: DataFrame, config: Config = Config()) -> DataFrame:
+    """Metrics of each symbol for given signals (symbol, trade_date, signal: above 0 buys, below 0 sells, else and where there
+    is none the position is held).  Of several signals of a bar the last by value counts; those without a bar are left out."""
+    own = signals.groupBy("symbol", "trade_date").agg(F.max("signal").cast("double").alias("signal"))
+    return _run(bars.drop("signal").join(own, ["symbol", "trade_date"], "left"), config)
+
+
+def run_script(bars: DataFrame, source: str, config: Config = Config()) -> DataFrame:
+    """Metrics of each symbol for a script's signals; of a bar with both, the sale counts only while something is held, so it
+    is held or bought by the purchase."""
+    from ..script.compile import signals
+
+    s = signals(bars, source)
+    return run_with_signals(bars, s.select("symbol", "trade_date", F.when(F.col("buy"), 1.0).when(F.col("sell"), -1.0).otherwise(0.0).alias("signal")), config)
 
 
 def trades(bars: DataFrame, strategy: str, config: Config = Config(), **params: float) -> DataFrame:
@@ -244,26 +271,59 @@ def windows(n: int, in_sample: int = 252, out_sample: int = 63, step: int = 63,
 
 def walk_forward(bars: DataFrame, strategy: str, values: dict[str, list[float]], in_sample: int = 252, out_sample: int = 63, step: int = 63, anchored: bool = False, config: Config = Config()) -> DataFrame:
     """For each symbol and window, the parameter set of the best in-sample Sharpe ratio and both samples' metrics.  Each
-    slice is a series of its own, so indicators start cold in it."""
+    slice is a series of its own, so indicators start cold in it.
+
+    A bar is repeated for the windows that hold it, whose numbers follow from its own: (in_sample + out_sample) / step of them.
+    Anchored windows share their beginning, so their in-sample metrics are read off one simulation of the whole series at each
+    split, and a bar is repeated for the out-of-sample parts alone."""
     from pyspark.sql import Window as W
 
-    w = W.partitionBy("symbol")
-    at = bars.withColumns({"_i": F.row_number().over(w.orderBy("trade_date")) - 1, "_n": F.count("*").over(w)})
-    starts = F.expr(f"CASE WHEN _n >= {in_sample + out_sample} THEN sequence(0, CAST((_n - {in_sample + out_sample}) DIV {step} AS INT)) ELSE CAST(array() AS ARRAY<INT>) END")
-    cut = at.select("*", F.explode(starts).alias("window"))
-    first, split = F.lit(0) if anchored else F.col("window") * step, F.col("window") * step + in_sample
-    cut = cut.withColumn("part", F.when((F.col("_i") >= first) & (F.col("_i") < split), "in").when((F.col("_i") >= split) & (F.col("_i") < split + out_sample), "out")).filter("part IS NOT NULL")
-    series = cut.withColumn("symbol", F.to_json(F.struct("symbol", "window", "part"))).drop("_i", "_n", "window", "part")
+    w, whole = W.partitionBy("symbol"), in_sample + out_sample
+    at = bars.withColumns({"_i": F.row_number().over(w.orderBy("trade_date")) - 1, "_n": F.count("*").over(w)}).filter(F.col("_n") >= whole)
+    reach = out_sample if anchored else whole
+    first = F.greatest(F.ceil((F.col("_i") - whole + 1) / step), F.lit(0)).cast("int")
+    last = F.least(F.floor((F.col("_i") - (whole - reach)) / step), F.floor((F.col("_n") - whole) / step)).cast("int")
+    cut = at.filter(first <= last).select("*", F.explode(F.sequence(first, last)).alias("window"))
+    inside_part = F.col("_i") < F.col("window") * step + in_sample
+    series = cut.withColumn("symbol", F.to_json(F.struct("symbol", "window", F.when(inside_part, "in").otherwise("out").alias("part")))).drop("_i", "_n", "window")
     sets = grid(values)
     done = evaluate(series, strategy, sets, config).withColumn("k", F.from_json("symbol", "symbol string, window int, part string")).drop("symbol").select("k.*", "param_id", *METRICS)
     kept = ("annual_return", "sharpe", "total_return", "max_drawdown")
-    inside = done.filter("part = 'in'").groupBy("symbol", "window").agg(F.max_by(F.struct("param_id", *kept), F.struct(F.col("sharpe"), -F.col("param_id"))).alias("b"))
+    within = _anchored(bars, strategy, sets, in_sample, out_sample, step, config) if anchored else done.filter("part = 'in'")
+    inside = within.groupBy("symbol", "window").agg(F.max_by(F.struct("param_id", *kept), F.struct(F.col("sharpe"), -F.col("param_id"))).alias("b"))
     inside = inside.select("symbol", "window", "b.param_id", *[F.col(f"b.{m}").alias(f"in_{m}") for m in kept])
     outside = done.filter("part = 'out'").select("symbol", "window", "param_id", *[F.col(m).alias(f"out_{m}") for m in kept])
     chosen = F.element_at(F.array(*[F.create_map(*[F.lit(x) for k, v in s.items() for x in (k, float(v))]) for s in sets]), F.col("param_id") + 1)
     return inside.join(outside, ["symbol", "window", "param_id"]).withColumn("params", chosen)
 
 
+def _anchored(bars: DataFrame, strategy: str, sets: list[dict[str, float]], in_sample: int, out_sample: int, step: int, config: Config) -> DataFrame:
+    """symbol, window, param_id and metrics of the bars before each split."""
+    from ..plans.staged import Plan
+
+    def part(first: int) -> DataFrame:
+        some = sets[first : first + SETS_A_PLAN]
+        p, names = Plan(), {f"s{i}": first + i for i in range(len(some))}
+        p.out(open="open", close="close", **{n: p.c(f"CAST({strategies.formula(p, strategy, **own)} AS DOUBLE)") for n, own in zip(names, some, strict=True)})
+
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("trade_date", kind="stable")
+            o, c = pdf["open"].to_numpy(float), pdf["close"].to_numpy(float)
+            splits = [split for _, split, _ in windows(len(pdf), in_sample, out_sample, step, True)]
+            rows = []
+            for n, k in names.items():
+                for at, path in enumerate(simulate_to(o, c, pdf[n].fillna(0).to_numpy(float), config, splits)):
+                    rows.append({"symbol": pdf["symbol"].iloc[0], "window": at, "param_id": k} | metrics(*path, config.cash))
+            return pd.DataFrame(rows, columns=["symbol", "window", "param_id", *METRICS])
+
+        return p.spark(bars).groupBy("symbol").applyInPandas(one, f"symbol string, window int, param_id int, {_METRIC_SCHEMA}")
+
+    found = part(0)
+    for first in range(SETS_A_PLAN, len(sets), SETS_A_PLAN):
+        found = found.unionByName(part(first))
+    return found
+
+
 def walk_forward_summary(found: DataFrame) -> DataFrame:
     """Of each symbol: windows, mean annual returns and Sharpe ratios inside and outside, their correlation, the mean
     coefficient of variation of the chosen parameters (0 is stable), the efficiency (outside over inside), and a grade:

@@ -70,6 +70,13 @@ def catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, category string, tier string, lookahead boolean, params map<string,double>")
 
 
+def beside(bars: DataFrame, other: DataFrame, col: int = 1) -> DataFrame:
+    """bars with ``close_{col}``, the close of another series (trade_date, close) on the same date, null where it has none."""
+    from pyspark.sql import functions as F
+
+    return bars.join(other.select("trade_date", F.col("close").alias(f"close_{col}")), "trade_date", "left").select(*bars.columns, f"close_{col}")
+
+
 # --- shared pieces
 
 TP, MID = "(high + low + close) / 3", "(high + low) / 2"
@@ -442,8 +449,12 @@ def median(p, period): return {"": p.gate(p.c((p.over("percentile(close, 0.5)",
 def percent_return(p, period): return {"": p.c(f"100 * (close / nullif({p.lag('close', period)}, 0) - 1)")}  # noqa: E704
 @indicator("statistics", period=20)
 def trend_return(p, period): return {"": p.c(f"100 * (close / nullif({p.avg('close', period)}, 0) - 1)")}  # noqa: E704
-@indicator("statistics", period=20)
-def correlation(p, period, other: str = "close"): return {"": p.ratio(p.window("covar_pop", "close", period, more=f", {other}"), f"{p.sd('close', period)} * {p.sd(other, period)}")}  # noqa: E704
+@indicator("statistics", period=20, col=0)
+def correlation(p, period, col):
+    """With the close of another series, the column ``close_{col}`` (``beside`` adds it); with itself where col is 0.  A window
+    counts the bars that both have."""
+    x, y = ("close", "close") if col == 0 else (p.c(f"CASE WHEN close_{col} IS NOT NULL THEN close END"), p.c(f"CASE WHEN close IS NOT NULL THEN close_{col} END"))
+    return {"": p.ratio(p.window("covar_pop", x, period, more=f", {y}"), f"{p.sd(x, period)} * {p.sd(y, period)}")}
 
 
 # --- cycle and whole-series

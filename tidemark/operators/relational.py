@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.staged import Plan
+from . import blocks
 
 
 def summary(stocks: DataFrame, bars: DataFrame) -> DataFrame:
@@ -220,9 +221,7 @@ def statistics(df: DataFrame, x: str, key: str = "symbol") -> DataFrame:
     skew = F.when((n > 2) & (F.col("std") > 0), F.col("s") * F.sqrt(n * (n - 1)) / (n - 2)).otherwise(0.0)
     kurt = F.when((n > 3) & (F.col("std") > 0), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("k") + 6)).otherwise(0.0)
     g = g.select(key, "n", "mean", "std", "variance", skew.alias("skew"), kurt.alias("kurtosis"))
-    ranked = df.filter(F.col(x).isNotNull()).select(key, F.col(x).alias("_x"), (F.row_number().over(W.partitionBy(key).orderBy(x)) - 1).alias("_i"), F.count(x).over(W.partitionBy(key)).alias("_n"))
-    at = lambda q: F.max(F.when(F.col("_i") == F.floor(q * (F.col("_n") - 1) + 0.5), F.col("_x")))
-    return g.join(ranked.groupBy(key).agg(*[at(q).alias(f"q{round(100 * q)}") for q in (0.25, 0.5, 0.75)]), key)
+    return g.join(blocks.quantiles(df, x, {f"q{round(100 * q)}": blocks.nearest(q) for q in (0.25, 0.5, 0.75)}, key).drop("n"), key)
 
 
 def standardized(df: DataFrame, x: str, key: str = "symbol") -> DataFrame:
@@ -232,18 +231,24 @@ def standardized(df: DataFrame, x: str, key: str = "symbol") -> DataFrame:
 
 
 def winsorized(df: DataFrame, x: str, low: float = 0.05, high: float = 0.95, key: str = "symbol") -> DataFrame:
-    """x clamped to its nearest-rank quantiles."""
-    w = W.partitionBy(key)
-    r = df.withColumns({"_i": F.row_number().over(w.orderBy(x)) - 1, "_n": F.count(x).over(w)})
-    at = lambda q: F.max(F.when(F.col("_i") == F.floor(q * (F.col("_n") - 1) + 0.5), F.col(x))).over(w)
-    return r.withColumn("winsorized", F.greatest(F.least(F.col(x), at(high)), at(low))).drop("_i", "_n")
+    """x clamped to its nearest-rank quantiles; nulls stay."""
+    edge = blocks.quantiles(df, x, {"_lo": blocks.nearest(low), "_hi": blocks.nearest(high)}, key).select(F.col(key).alias("_key"), "_lo", "_hi")
+    clamped = F.when(F.col(x).isNotNull(), F.greatest(F.least(F.col(x), F.col("_hi")), F.col("_lo")))
+    return df.join(edge, F.col(key).eqNullSafe(F.col("_key")), "left").select(*df.columns, clamped.alias("winsorized"))
 
 
 def spearman(df: DataFrame, x: str, y: str, key: str = "symbol") -> DataFrame:
-    """Rank correlation; ties get their average rank."""
-    rank = lambda c: F.rank().over(W.partitionBy(key).orderBy(c)) + (F.count("*").over(W.partitionBy(key, c)) - 1) / 2
-    r = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, rank(x).alias("a"), rank(y).alias("b"))
-    return r.groupBy(key).agg(F.coalesce(F.covar_pop("a", "b") / F.nullif(F.stddev_pop("a") * F.stddev_pop("b"), F.lit(0.0)), F.lit(0.0)).alias("spearman"))
+    """Rank correlation; ties get their average rank.  Rows of equal values are counted before they meet their ranks."""
+    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(key, x, y).agg(F.count("*").cast("double").alias("_w"))
+    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    rank = lambda c, name: blocks.ranks(rows, c, key).select(key, c, (F.col("below") + (F.col("count") + 1) / 2).alias(name))
+    r = pairs.join(rank(x, "a"), [key, x]).join(rank(y, "b"), [key, y])
+    #: Ranks are counted from their mean, (n + 1) / 2, so that the sums keep their digits.
+    n = r.groupBy(key).agg(F.sum("_w").alias("_n"))
+    r = r.join(n, key).withColumns({"a": F.col("a") - (F.col("_n") + 1) / 2, "b": F.col("b") - (F.col("_n") + 1) / 2})
+    s = lambda e: F.sum(F.col("_w") * e)
+    g = r.groupBy(key).agg(s(F.col("a") * F.col("b")).alias("c"), s(F.col("a") * F.col("a")).alias("va"), s(F.col("b") * F.col("b")).alias("vb"))
+    return g.select(key, F.coalesce(F.col("c") / F.nullif(F.sqrt(F.col("va") * F.col("vb")), F.lit(0.0)), F.lit(0.0)).alias("spearman"))
 
 
 # --- exports

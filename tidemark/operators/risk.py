@@ -50,6 +50,18 @@ def market(r: DataFrame) -> DataFrame:
     return r.groupBy("trade_date").agg(F.avg("r").alias("m"))
 
 
+def weighted(r: DataFrame, weights: DataFrame) -> DataFrame:
+    """The weighted portfolio's returns, trade_date and r, on the dates that all its symbols have.  weights: symbol, weight;
+    of a symbol's several weights the sum; they need not add up to 1.  ``metrics`` of it, as a symbol, are the portfolio's."""
+    w = weights.groupBy("symbol").agg(F.sum("weight").alias("_w"))
+    day = r.join(w, "symbol").groupBy("trade_date").agg(F.sum(F.col("r") * F.col("_w")).alias("r"), F.count("*").alias("_k"))
+    return day.crossJoin(w.agg(F.count("*").alias("_all"))).filter("_k = _all").select("trade_date", "r")
+
+
+def portfolio_metrics(r: DataFrame, weights: DataFrame, name: str = "portfolio") -> DataFrame:
+    return metrics(weighted(r, weights).select(F.lit(name).alias("symbol"), "trade_date", "r"))
+
+
 def beta_alpha(r: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Population beta (1 without any spread) and daily Jensen alpha against benchmark (trade_date, m)."""
     g = r.join(benchmark, "trade_date").groupBy("symbol").agg(F.covar_pop("r", "m").alias("c"), F.var_pop("m").alias("v"), F.avg("r").alias("a"), F.avg("m").alias("b"))

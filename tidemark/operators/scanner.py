@@ -76,10 +76,26 @@ def plan(tree: dict) -> Plan:
     return p
 
 
+def _plain(v: float) -> str:
+    return str(int(v)) if float(v).is_integer() else repr(float(v))
+
+
+def signals(node: dict) -> list[str]:
+    """What the leaves of a tree ask for, in words, in the order of the tree; a comparison without a value says nothing."""
+    op = node["op"].upper()
+    if op in ("AND", "OR"):
+        return [s for c in node["children"] for s in signals(c)]
+    of = f"{node['indicator']}({','.join(f'{k}={_plain(v)}' for k, v in sorted((node.get('params') or {}).items()))})"
+    if op == "CROSS":
+        return [f"CROSS({of}, {node.get('compare') or 'above'})"]
+    return [f"{of} {node['compare']} {_plain(node['value'])}"] if node.get("compare") and node.get("value") is not None else []
+
+
 def scan(bars: DataFrame, tree: dict) -> DataFrame:
-    """Matching symbols with their score, best first."""
+    """Matching symbols with their score and the conditions that were asked for, best first."""
     found = plan(tree).spark(bars).filter("last = 1 AND hit = 1")
-    return found.select("symbol", "trade_date", "close", F.col("score").cast("double").alias("score")).orderBy(F.desc("score"), "symbol")
+    said = F.array(*[F.lit(s) for s in signals(tree)]).cast("array<string>")
+    return found.select("symbol", "trade_date", "close", F.col("score").cast("double").alias("score"), said.alias("signals")).orderBy(F.desc("score"), "symbol")
 
 
 def scan_sql(base: str, tree: dict) -> str:

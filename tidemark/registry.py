@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import backtest, distribution, factors, indicators, patterns, relational, risk, scanner, search, strategies
-from .plans.staged import Plan, rounded
+from .operators import backtest, blocks, distribution, factors, indicators, patterns, relational, risk, scanner, search, strategies
+from .plans.staged import Plan, Recurrence, rounded
 from .script.compile import compile_script
 from .sources import bars as B
-from .sources import files
+from .sources import files, shared, tables
 from .streaming import bars as S
+from .streaming import late
+from .streaming import state as live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -92,9 +94,9 @@ TREE = {"op": "AND", "children": [
 ]}
 
 
-@query("scanner", f"SELECT symbol, trade_date, close, {rounded('score')} AS score FROM ({scanner.scan_sql(B.SQL_ORDERS, TREE)})")
+@query("scanner", f"SELECT symbol, trade_date, close, {rounded('score')} AS score, 'rsi(period=14) > 30; CROSS(macd(), above); close() > 1' AS signals FROM ({scanner.scan_sql(B.SQL_ORDERS, TREE)})")
 def _scan(spark, d):
-    return scanner.scan(B.bars_orders(spark, d), TREE).select("symbol", "trade_date", "close", *_r("score"))
+    return scanner.scan(B.bars_orders(spark, d), TREE).select("symbol", "trade_date", "close", *_r("score"), F.concat_ws("; ", "signals").alias("signals"))
 
 
 SCRIPT = """
@@ -619,6 +621,163 @@ def _meta(spark, d):
     return spark.createDataFrame([(i, *n.values(), float(v)) for i, (n, v) in enumerate(meta.tried)], "round int, alpha_tier string, objective string, ensemble string, factor_subset string, sharpe double")
 
 
+# --- another series, given signals, weighted portfolios
+
+@query("correlation_between", f"""WITH b AS ({B.SQL_ORDERS}), x AS (SELECT b.symbol, b.trade_date, CASE WHEN o.close IS NOT NULL THEN b.close END AS x, o.close AS y FROM b LEFT JOIN b o ON o.trade_date = b.trade_date AND o.symbol = '2-HIGH')
+SELECT symbol, trade_date, {rounded('CASE WHEN count(x) OVER w = 20 THEN covar_pop(x, y) OVER w END / nullif(stddev_pop(x) OVER w * stddev_pop(y) OVER w, 0)')} AS correlation FROM x WINDOW w AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
+def _between(spark, d):
+    b = B.bars_orders(spark, d)
+    return indicators.plan({"correlation": {"period": 20, "col": 1}}).spark(indicators.beside(b, b.filter("symbol = '2-HIGH'")), compare=True)
+
+
+@query("backtest_signals", SQL["backtest_metrics"])
+def _given(spark, d):
+    """The signals of a strategy, written down and given back."""
+    b, whole = B.bars_orders(spark, d), ("n_trades", "max_drawdown_bars")
+    given = strategies.signals(b, "ma_cross").select("symbol", "trade_date", "signal")
+    return backtest.run_with_signals(b, given).select("symbol", *whole, *_r(*[m for m in backtest.METRICS if m not in whole]))
+
+
+#: The script's crossings are there from the bar on that has both averages' former values.
+@query("backtest_script", SQL["backtest_metrics"].replace("rn >= 22 AND", "rn >= 21 AND"))
+def _backtest_script(spark, d):
+    whole = ("n_trades", "max_drawdown_bars")
+    source = "let f = sma(close, 5); let s = sma(close, 20); plot buy = cross(f, s); plot sell = cross(s, f);"
+    return backtest.run_script(B.bars_orders(spark, d), source).select("symbol", *whole, *_r(*[m for m in backtest.METRICS if m not in whole]))
+
+
+_WEIGHTS = [("1-URGENT", 0.4), ("2-HIGH", 0.3), ("5-LOW", 0.5)]
+_WEIGHTED = f"SELECT trade_date, sum(r * w) AS r FROM ({_RETURNS}) JOIN (VALUES ('1-URGENT', 0.4::DOUBLE), ('2-HIGH', 0.3), ('5-LOW', 0.5)) v(symbol, w) USING (symbol) GROUP BY trade_date HAVING count(*) = 3"
+
+
+@query("portfolio_weighted", f"SELECT trade_date, {rounded('r')} AS r FROM ({_WEIGHTED})")
+def _weighted(spark, d):
+    return risk.weighted(risk.returns(B.bars_orders(spark, d)), spark.createDataFrame(_WEIGHTS, "symbol string, weight double")).select("trade_date", *_r("r"))
+
+
+@query("portfolio_metrics", SQL["risk_metrics"].replace(_RETURNS, f"SELECT 'portfolio' AS symbol, trade_date, r FROM ({_WEIGHTED})"))
+def _portfolio_metrics(spark, d):
+    m = risk.portfolio_metrics(risk.returns(B.bars_orders(spark, d)), spark.createDataFrame(_WEIGHTS, "symbol string, weight double"))
+    return m.select("symbol", "n", "positive_days", "negative_days", *_r(*_RISKS))
+
+
+# --- series in blocks
+
+@query("recurrence_blocks", f"""WITH x AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS t FROM lineitem),
+y AS (SELECT a.t, a.t // 1000 AS part, sum(b.v * CASE WHEN b.t = 0 THEN pow(11/13::DOUBLE, a.t) ELSE 2/13::DOUBLE * pow(11/13::DOUBLE, a.t - b.t) END) AS ema FROM x a JOIN x b ON b.t BETWEEN a.t - 250 AND a.t GROUP BY a.t)
+SELECT part, count(*) AS n, {rounded('avg(ema)')} AS mean, {rounded('min(ema)')} AS low, {rounded('max(ema)')} AS high FROM y GROUP BY part""")
+def _recurrence(spark, d):
+    """The exponential average over all sales as one series, which no task holds; summed up by thousands.  The place of a sale is
+    its rank among all, by prefix counts."""
+    line = B.table(spark, d, "lineitem")
+    place = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    at = blocks.numbered(line.select(*place), place)
+    y = blocks.recurrences(at.select(F.lit("all").alias("symbol"), F.col("_row").alias("t"), F.col("l_extendedprice").alias("v")), {"ema": Recurrence("v", 2 / 13, 11 / 13)}, order="t")
+    return y.groupBy(F.floor(F.col("t") / 1000).alias("part")).agg(F.count("*").alias("n"), F.avg("ema").alias("mean"), F.min("ema").alias("low"), F.max("ema").alias("high")).select("part", "n", *_r("mean", "low", "high"))
+
+
+@query("quantile_blocks", """WITH r AS (SELECT l_returnflag AS symbol, l_extendedprice AS x, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem)
+SELECT symbol, max(n) AS n, max(x) FILTER (i = floor(0.01 * (n - 1) + 0.5)) AS q1, max(x) FILTER (i = floor(0.5 * (n - 1) + 0.5)) AS q50, max(x) FILTER (i = floor(0.99 * (n - 1) + 0.5)) AS q99 FROM r GROUP BY symbol""")
+def _quantiles(spark, d):
+    x = B.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("symbol"), F.col("l_extendedprice").alias("x"))
+    return blocks.quantiles(x, "x", {f"q{round(100 * q)}": blocks.nearest(q) for q in (0.01, 0.5, 0.99)})
+
+
+@query("rank_blocks", """SELECT symbol, x, count(*) AS count, min(r) - 1 AS below, any_value(n) AS n FROM (SELECT l_returnflag AS symbol, l_quantity AS x, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS r, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) GROUP BY symbol, x""")
+def _ranks(spark, d):
+    return blocks.ranks(B.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("symbol"), F.col("l_quantity").alias("x")), "x")
+
+
+@query("tail_blocks", f"""WITH k AS (SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY r) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM ({_RETURNS}))
+SELECT symbol, max(n) AS n, {rounded('max(r) FILTER (i = floor(n * 0.05))')} AS var, {rounded('coalesce(avg(r) FILTER (i < floor(n * 0.05)), max(r) FILTER (i = floor(n * 0.05)))')} AS cvar FROM k GROUP BY symbol""")
+def _tail(spark, d):
+    return blocks.tail(risk.returns(B.bars_orders(spark, d)), "r", 0.05).select("symbol", "n", *_r("var", "cvar"))
+
+
+# --- tables that are written to, and streams
+
+@query("table_inserts", f"""WITH b AS ({B.SQL_ORDERS}), x AS (SELECT count(*) AS n, count_if(trade_date < DATE '1996-01-01') AS old, count(DISTINCT date_trunc('year', trade_date)) AS years, count(DISTINCT CASE WHEN trade_date < DATE '1996-01-01' THEN date_trunc('year', trade_date) END) AS old_years FROM b)
+SELECT 0 AS batch, old AS inserted, 0 AS skipped, old_years AS partitions, old AS rows FROM x UNION ALL SELECT 1, n - old, old, years, n FROM x UNION ALL SELECT 2, n - old, old, years, n FROM x""")
+def _inserts(spark, d):
+    """Bars before 1996, then all, then all again as the same batch: what each did and how many rows there are."""
+    b = B.bars_orders(spark, d)
+    t = tables.KeyedTable(spark, shared.folder(spark, "table"), B.SCHEMA, ("symbol", "trade_date"), "date_format(trade_date, 'yyyy')")
+    rows = []
+    for i, (new, number) in enumerate(((b.filter("trade_date < DATE '1996-01-01'"), 0), (b, 1), (b, 1))):
+        c = t.insert_or_ignore(new, number)
+        rows.append((i, c.inserted, c.skipped, c.partitions, t.read().count()))
+    return spark.createDataFrame(rows, "batch int, inserted long, skipped long, partitions long, rows long")
+
+
+@query("table_upserts", SQL["upsert"])
+def _upserts(spark, d):
+    b = B.bars_orders(spark, d).select("symbol", "trade_date", "close")
+    t = tables.KeyedTable(spark, shared.folder(spark, "table"), "symbol string, trade_date date, close double", ("symbol", "trade_date"), "date_format(trade_date, 'yyyy')")
+    t.insert_or_ignore(b)
+    t.upsert(b.filter("trade_date >= DATE '1996-01-01'").withColumn("close", F.col("close") + 1))
+    return t.read().select("symbol", "trade_date", "close")
+
+
+_LIVE = indicators.plan({"ema": {}, "rsi": {}, "macd": {}, "atr": {}})
+
+
+def _in_two(spark, bars: DataFrame, run) -> str:
+    """Calls run twice, with a folder that a stream reads: first with half of the hours in it, then with all."""
+    at = shared.folder(spark, "bars")
+    middle = bars.agg(F.percentile_approx(F.unix_timestamp("trade_date"), 0.5)).first()[0]
+    for early in (True, False):
+        part = bars.filter((F.unix_timestamp("trade_date") < middle) == early)
+        part.withColumnRenamed("trade_date", "ts").write.mode("append").parquet(at)
+        run(at)
+    return at
+
+
+@query("stream_indicators", _LIVE.duck(B.SQL_EVENTS))
+def _stream_indicators(spark, d):
+    """Hourly bars as a stream that is stopped half way and started again."""
+    live.use_rocksdb(spark)
+    out, at = shared.folder(spark, "out"), shared.folder(spark, "checkpoint")
+    schema = B.SCHEMA.replace("trade_date date", "ts timestamp")
+    _in_two(spark, B.bars_events(spark, d), lambda path: S.run_available(live.indicators(spark.readStream.schema(schema).parquet(path), _LIVE), out, at))
+    return spark.read.parquet(out).select("symbol", F.col("ts").alias("trade_date"), *_r(*_LIVE.outputs))
+
+
+@query("late_indicators", _LIVE.duck(B.SQL_EVENTS))
+def _late(spark, d):
+    """Every seventh hour's bars come after all others, in two batches, the second of which is repeated."""
+    b = B.bars_events(spark, d)
+    t = late.LiveIndicators(spark, shared.folder(spark, "live"), _LIVE, "timestamp", "date_format(date_trunc('week', trade_date), 'yyyy-MM-dd')")
+    behind = (F.floor(F.unix_timestamp("trade_date") / 3600) % 7) == 3
+    for number, part in ((0, b.filter(~behind)), (1, b.filter(behind & (F.col("symbol") < "p"))), (2, b.filter(behind)), (2, b)):
+        t.apply(part, number)
+    return t.values.read().select("symbol", "trade_date", *_r(*_LIVE.outputs))
+
+
+_HOURLY_RULES = [(0, "click", "price_breakout", '{"direction":"above","price":400}', True, None), (1, "view", "price_breakout", '{"direction":"below","price":10}', True, None), (2, "error", "ma_cross", '{"short_period":5,"long_period":20,"direction":"golden"}', True, None), (3, "purchase", "ma_cross", '{"short_period":3,"long_period":12,"direction":"dead"}', True, None), (4, "signup", "volume_spike", '{"multiplier":1.8,"lookback":20}', True, None), (5, "click", "volume_spike", "{}", False, None)]
+_ALERTS_HOURLY = f"""WITH b AS (SELECT *, row_number() OVER w AS i, avg(volume) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS usual, avg(close) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS a5, avg(close) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS a20, avg(close) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS a3, avg(close) OVER (w ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS a12 FROM ({B.SQL_EVENTS}) WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)),
+c AS (SELECT *, lag(a5) OVER w AS b5, lag(a20) OVER w AS b20, lag(a3) OVER w AS b3, lag(a12) OVER w AS b12 FROM b WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)),
+f AS (SELECT 0 AS rule_id, 'price_breakout' AS condition_type, * FROM c WHERE symbol = 'click' AND close > 400 UNION ALL SELECT 1, 'price_breakout', * FROM c WHERE symbol = 'view' AND close < 10
+UNION ALL SELECT 2, 'ma_cross', * FROM c WHERE symbol = 'error' AND i > 20 AND b5 <= b20 AND a5 > a20 UNION ALL SELECT 3, 'ma_cross', * FROM c WHERE symbol = 'purchase' AND i > 12 AND b3 >= b12 AND a3 < a12 UNION ALL SELECT 4, 'volume_spike', * FROM c WHERE symbol = 'signup' AND i > 20 AND usual > 0 AND volume > 1.8 * usual)
+SELECT rule_id, symbol, condition_type, trade_date, close FROM (SELECT *, row_number() OVER (PARTITION BY rule_id, CAST(trade_date AS DATE) ORDER BY trade_date) AS k FROM f) WHERE k = 1"""
+
+
+@query("stream_alerts", _ALERTS_HOURLY)
+def _stream_alerts(spark, d):
+    """Rules polled at every hourly bar of a stream that is stopped half way and started again from its checkpoint."""
+    live.use_rocksdb(spark)
+    out, at, rules = (shared.folder(spark, n) for n in ("out", "checkpoint", "rules"))
+    spark.createDataFrame(_HOURLY_RULES, live.RULES).coalesce(1).write.parquet(rules)
+    schema = B.SCHEMA.replace("trade_date date", "ts timestamp")
+    _in_two(spark, B.bars_events(spark, d), lambda path: S.run_available(live.poll_rules(spark.readStream.schema(schema).parquet(path), spark.readStream.schema(live.RULES).parquet(rules)), out, at))
+    return spark.read.parquet(out)
+
+
+@query("replay_alerts", _ALERTS_HOURLY)
+def _replay_alerts(spark, d):
+    """The same from the whole table at once."""
+    return relational.replay_alerts(spark.createDataFrame(_HOURLY_RULES, live.RULES), B.bars_events(spark, d))
+
+
 # --- streaming, run over what is there
 
 @query("stream_bars", f"SELECT symbol, trade_date AS ts, {_rs('open', 'high', 'low', 'close', 'volume', 'amount')} FROM ({B.SQL_EVENTS})")

@@ -14,12 +14,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import exists
+
 MONTH = "date_format(trade_date, 'yyyy-MM')"
 
 
@@ -51,22 +52,14 @@ class KeyedTable:
     def read(self, parts: list[str] | None = None, since: str | None = None) -> DataFrame:
         """The rows, with their partition p; of the listed partitions, or those from one on, which are the only ones looked at."""
         whole = T.StructType([*self._type, T.StructField("p", T.StringType())])
-        try:
-            found = self.spark.read.schema(whole).parquet(self._data)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            found = self.spark.createDataFrame([], whole)
+        found = self.spark.read.schema(whole).parquet(self._data) if exists(self.spark, self._data) else self.spark.createDataFrame([], whole)
         found = found if parts is None else found.filter(F.col("p").isin(parts))
         return found if since is None else found.filter(F.col("p") >= since)
 
     def done(self, batch: int | str) -> Counts | None:
-        try:
-            row = self.spark.read.schema("inserted long, updated long, skipped long, partitions long").json(f"{self._log}/batch={batch}").first()
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
+        if not exists(self.spark, f"{self._log}/batch={batch}"):
             return None
+        row = self.spark.read.schema("inserted long, updated long, skipped long, partitions long").json(f"{self._log}/batch={batch}").first()
         return Counts(**row.asDict()) if row else None
 
     def _note(self, batch: int | str | None, counts: Counts) -> Counts:

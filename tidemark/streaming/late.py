@@ -73,7 +73,10 @@ class LiveIndicators:
                 out.append(pd.DataFrame({"symbol": symbol, "trade_date": part["trade_date"].to_numpy(), "p": p} | {n: np.where(np.isnan(v), None, v) for n, v in values.items()}))
                 out.append(pd.DataFrame({"symbol": [symbol], "p": [p], "n": [at.n], "sums": [[float(v) for v in at.sums]], "carries": [[float(v) for v in at.carries]], "tail": [at.tail]}))
             columns = ["symbol", "trade_date", "p", *names, "n", "sums", "carries", "tail"]
-            return pd.concat(out, ignore_index=True).reindex(columns=columns) if out else pd.DataFrame(columns=columns)
+            both = pd.concat(out, ignore_index=True).reindex(columns=columns) if out else pd.DataFrame(columns=columns)
+            for c in ("sums", "carries", "tail"):
+                both[c] = [v if isinstance(v, list) else None for v in both[c]]
+            return both
 
         schema = f"symbol string, trade_date {self.kind}, p string, " + ", ".join(f"{n} double" for n in names) + ", n long, sums array<double>, carries array<double>, tail array<double>"
         found = suffix.groupBy("symbol").cogroup(start.groupBy("symbol")).applyInPandas(run, schema).persist()
