@@ -277,56 +277,61 @@ def candles_sql(base: str, names: list[str] | None = None) -> str:
 SWING, TOLERANCE, NEAREST, FARTHEST = 5, 0.03, 8, 60
 
 
-def _swings(bars: DataFrame, high: bool) -> DataFrame:
-    """Swing points (price, rn, date) with the next two of the same kind, and the extreme close after each."""
+#: Spans of 2, 4, ... bars; two of them cover any span up to FARTHEST.
+LEVELS = FARTHEST.bit_length() - 1
+
+
+def _swings(bars: DataFrame) -> DataFrame:
+    """Swing points of both kinds (``top``), with the next two of their kind (price, number, date, extreme close after it).
+
+    For the necklines each bar knows the lowest low and the highest high of the 1, 2, 4, ... bars up to it and from it on, every
+    level made of two of the level below; ``ends`` and ``starts`` are those of the opposite side, and the extreme of the bars
+    from one swing to another is that of two of them."""
     by = W.partitionBy("symbol")
     w = by.orderBy("trade_date")
     around = w.rowsBetween(-SWING, SWING)
-    x = F.col("high" if high else "low")
-    best = (F.max(x) if high else F.min(x)).over(around)
     #: What follows is found in reversed order, where the frame only grows.
     after = by.orderBy(F.desc("trade_date")).rowsBetween(W.unboundedPreceding, -1)
-    df = bars.withColumns({"rn": F.row_number().over(w), "n": F.count("*").over(by), "best": best, "full": F.count("*").over(around), "later": (F.min("close") if high else F.max("close")).over(after)})
-    points = df.filter((F.col("full") == 2 * SWING + 1) & (x == F.col("best"))).select("symbol", "trade_date", "rn", "n", x.alias("price"), "later")
-    for k in (1, 2):
-        points = points.withColumns({f"{c}{k}": F.lead(c, k).over(w) for c in ("trade_date", "rn", "price", "later")})
-    return points
-
-
-def _necklines(points: DataFrame, bars: DataFrame, high: bool, last: str) -> DataFrame:
-    """Adds the neckline: the opposite extreme of the bars from the first to the last swing, which are FARTHEST apart at most."""
-    w = W.partitionBy("symbol").orderBy("trade_date")
-    numbered = bars.select("symbol", F.row_number().over(w).alias("at"), F.col("low" if high else "high").alias("edge"))
-    span = points.select("symbol", "rn", F.explode(F.sequence("rn", last)).alias("at"))
-    neck = span.join(numbered, ["symbol", "at"]).groupBy("symbol", "rn").agg((F.min("edge") if high else F.max("edge")).alias("neck"))
-    return points.join(neck, ["symbol", "rn"])
+    df = bars.select("symbol", "trade_date", "high", "low", "close").withColumns({"l_after": F.min("close").over(after), "h_after": F.max("close").over(after)})
+    df = df.withColumns({"rn": F.row_number().over(w), "n": F.count("*").over(by), "h_best": F.max("high").over(around), "l_best": F.min("low").over(around), "full": F.count("*").over(around)})
+    df = df.withColumns({f"{c}{side}0": F.col(name) for c, name in (("h", "high"), ("l", "low")) for side in ("b", "f")})
+    for k in range(LEVELS):
+        pick = lambda c, x, y: (F.greatest if c == "h" else F.least)(x, y)
+        df = df.withColumns({f"{c}b{k + 1}": pick(c, F.col(f"{c}b{k}"), F.lag(f"{c}b{k}", 1 << k).over(w)) for c in "hl"} | {f"{c}f{k + 1}": pick(c, F.col(f"{c}f{k}"), F.lead(f"{c}f{k}", 1 << k).over(w)) for c in "hl"})
+    levels = lambda c: F.array(*[F.col(f"{c}{k}") for k in range(LEVELS + 1)])
+    point = lambda top: F.when(
+        F.col("high" if top else "low") == F.col("h_best" if top else "l_best"),
+        F.struct(F.lit(top).alias("top"), F.col("high" if top else "low").alias("price"), F.col("l_after" if top else "h_after").alias("later"), levels("lf" if top else "hf").alias("starts"), levels("lb" if top else "hb").alias("ends")),
+    )
+    points = df.filter(F.col("full") == 2 * SWING + 1).select("symbol", "trade_date", "rn", "n", F.explode(F.filter(F.array(point(True), point(False)), lambda x: x.isNotNull())).alias("p"))
+    points = points.select("symbol", "trade_date", "rn", "n", "p.*")
+    kind = W.partitionBy("symbol", "top").orderBy("trade_date")
+    return points.withColumns({f"{c}{k}": F.lead(c, k).over(kind) for k in (1, 2) for c in ("trade_date", "rn", "price", "later", "ends")})
 
 
-def _found(df: DataFrame, name: str, start: str, end: str, conf: float, direction: int) -> DataFrame:
-    return df.select("symbol", F.lit(name).alias("pattern"), F.col(start).alias("start_date"), F.col(end).alias("end_date"), F.lit(conf).alias("confidence"), F.lit(direction).alias("direction"))
+def _neckline(last: int) -> Column:
+    """The opposite extreme of the bars from a swing to the last-th after it."""
+    level = F.floor(F.log2(F.col(f"rn{last}") - F.col("rn") + 1)).cast("int") + 1
+    a, b = F.get("starts", level - 1), F.get(f"ends{last}", level - 1)
+    return F.when(F.col("top"), F.least(a, b)).otherwise(F.greatest(a, b))
 
 
 def _apart(a: Column, b: Column) -> Column:
     return F.abs(a - b) / F.greatest((a + b) / 2, F.lit(0.01))
 
 
-def double_extreme(bars: DataFrame, top: bool) -> DataFrame:
-    a, b = F.col("price"), F.col("price1")
-    p = _swings(bars, top).filter("n >= 40 AND rn1 IS NOT NULL").filter((F.col("rn1") - F.col("rn")).between(NEAREST, FARTHEST) & (_apart(a, b) < TOLERANCE))
-    p = _necklines(p, bars, top, "rn1")
-    p = p.filter(F.col("later1") < F.col("neck") if top else F.col("later1") > F.col("neck"))
-    return _found(p, "double_top" if top else "double_bottom", "trade_date", "trade_date1", 0.8, -1 if top else 1)
-
-
-def head_shoulders(bars: DataFrame, top: bool) -> DataFrame:
-    p = _swings(bars, top).filter("n >= 60 AND rn2 IS NOT NULL").filter(F.col("rn2") - F.col("rn") <= FARTHEST)
-    a, head, b = F.col("price"), F.col("price1"), F.col("price2")
-    middle = (a + b) / 2
-    p = p.filter(_apart(a, b) <= 0.05)
-    p = p.filter((head > a) & (head > b) & (head >= 1.02 * middle) if top else (head < a) & (head < b) & (head <= 0.98 * middle))
-    p = _necklines(p, bars, top, "rn2")
-    p = p.filter(F.col("later2") < F.col("neck") if top else F.col("later2") > F.col("neck"))
-    return _found(p, "head_shoulders" if top else "inv_head_shoulders", "trade_date", "trade_date2", 0.75, -1 if top else 1)
+def swing_patterns(bars: DataFrame) -> DataFrame:
+    """Double tops and bottoms, and head and shoulders, upright and inverse."""
+    top, a, b, c = F.col("top"), F.col("price"), F.col("price1"), F.col("price2")
+    broken = lambda last: F.when(top, F.col(f"later{last}") < _neckline(last)).otherwise(F.col(f"later{last}") > _neckline(last))
+    twice = (F.col("n") >= 40) & (F.col("rn1") - F.col("rn")).between(NEAREST, FARTHEST) & (_apart(a, b) < TOLERANCE) & broken(1)
+    middle = (a + c) / 2
+    tall = F.when(top, (b > a) & (b > c) & (b >= 1.02 * middle)).otherwise((b < a) & (b < c) & (b <= 0.98 * middle))
+    head = (F.col("n") >= 60) & (F.col("rn2") - F.col("rn") <= FARTHEST) & (_apart(a, c) <= 0.05) & tall & broken(2)
+    side = F.when(top, -1).otherwise(1)
+    match = [F.when(cond, F.struct(F.when(top, up).otherwise(down).alias("pattern"), F.col(f"trade_date{last}").alias("end_date"), F.lit(conf).alias("confidence"), side.alias("direction"))) for cond, up, down, last, conf in ((twice, "double_top", "double_bottom", 1, 0.8), (head, "head_shoulders", "inv_head_shoulders", 2, 0.75))]
+    found = _swings(bars).select("symbol", F.col("trade_date").alias("start_date"), F.explode(F.filter(F.array(*match), lambda x: x.isNotNull())).alias("m"))
+    return found.select("symbol", "m.pattern", "start_date", "m.end_date", "m.confidence", "m.direction")
 
 
 def last_bars(bars: DataFrame) -> DataFrame:
@@ -377,10 +382,7 @@ CHARTS = ("double_top", "double_bottom", "head_shoulders", "inv_head_shoulders",
 
 
 def charts(bars: DataFrame) -> DataFrame:
-    found = last_bars(bars)
-    for part in (double_extreme(bars, True), double_extreme(bars, False), head_shoulders(bars, True), head_shoulders(bars, False)):
-        found = found.unionByName(part)
-    return found
+    return last_bars(bars).unionByName(swing_patterns(bars))
 
 
 def names() -> list[str]:
