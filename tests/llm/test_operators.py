@@ -585,6 +585,24 @@ def test_op9_precision_and_recall():
     assert hit / there > 0.9 and hit / found > 0.9, (hit / there, hit / found)
 
 
+def test_op9_leaves_no_part_of_an_address():
+    """Addresses and numbers of any length go whole, however long beyond what a segment may be."""
+    weights = pii.train()
+    rng, found = random.Random(4), 0
+    for parts in (1, 2, 3, 5, 8, 12):
+        for form in ("{} (at) {}", "{} [at] {}", "{}(at){}", "{} [at] {} [dot] org"):
+            names = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(4, 9))) for _ in range(2 * parts)]
+            address = form.format(".".join(names[:parts]), ".".join([*names[parts:], "example.org"]) if "dot" not in form else " [dot] ".join(names[parts:]))
+            text = f"please write to {address} for more of this."
+            spans = pii.all_spans(text, weights)[1]
+            if spans:
+                found += 1
+                assert pii.redacted(text, spans) == "please write to [EMAIL] for more of this.", text
+    assert found >= 18
+    long = "write to first.second.third.fourth.fifth (at) mail.dept.branch.region.company.example.org please"
+    assert pii.redacted(long, pii.all_spans(long, weights)[1]) == "write to [EMAIL] please"
+
+
 def test_op9_spans_never_meet_the_rules():
     w, rng = pii.train(), random.Random(5)
     for _ in range(200):

@@ -2,12 +2,15 @@
 
 The rules (``base_spans``) find e-mail addresses, IPv4 addresses, payment cards and international phone numbers; what they
 find always stays.  The model scores whole candidate segments of a small region around digits, ``@`` or a bracketed "at":
-a segment of at most ``MOST_TOKENS`` tokens gets features of the entire span (digit count, check digit, grouping,
+a segment of at most ``MOST_TOKENS`` tokens and ``MOST_CHARS`` characters gets features of the entire span (digit count, check digit, grouping,
 separators, neighbours, cue words before it) and a weight vector for each kind; every token outside a segment scores 0.
 Dynamic programming over the region then chooses boundaries and kinds together.  The model is trained by gradient ascent on
 the conditional log-likelihood, on generated examples (written forms that the rules miss, and look-alikes) and on a bounded
 sample of the corpus's own snippets labelled by the rules (``SAMPLE`` snippets of at most ``SNIPPET`` characters).
 
+What is longer than a segment may be is not cut: a chosen span is extended to the run of address characters, or of digits, that it
+lies in, so that no part of an address or a number stays behind when it is redacted.
+
 Offsets are code points, end exclusive.  Edge cases: null text counts as empty and has no spans; a text without digits,
 ``@`` or bracketed "at" is not looked at further; repeated rows give repeated results.  Spans of the model never overlap a
 rule's span.
@@ -324,18 +327,45 @@ def train(snippets: list[str] = (), made: int = 500, rounds: int = 6, seed: int
     return weights
 
 
+_BEFORE = re.compile(r"[\w.%+-]")
+_MORE = re.compile(r"[\w-]*(?:\.[\w-]+|\s?[\[(]\s?(?:dot|DOT|Dot)\s?[\])]\s?[\w-]+)*")
+
+
+def extended(text: str, s: int, e: int, kind: int) -> tuple[int, int]:
+    """The run that a chosen span is a part of."""
+    if kind == 0:
+        while s > 0 and _BEFORE.match(text[s - 1]):
+            s -= 1
+        while text[s] in ".%+-" and s < e - 1:
+            s += 1
+        return s, _MORE.match(text, e).end()
+    while s > 0 and text[s].isdigit() and text[s - 1] in "0123456789":
+        s -= 1
+    while e < len(text) and text[e - 1].isdigit() and text[e] in "0123456789":
+        e += 1
+    return s, e
+
+
 def model_spans(text: str, weights: list[list[float]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """What the model finds besides the rules' spans, both in ascending order."""
     out: list[tuple[int, int, int]] = []
     at, reach = 0, -1
     for lo, hi in regions(text):
         for s, e, k in decode(text, lo, hi, weights):
+            if out and e <= out[-1][1]:
+                continue
+            s, e = extended(text, s, e, k)
             #: Rules' spans that start before the end of this one; the furthest of them tells whether any meets it.
             while at < len(base) and base[at][0] < e:
                 reach = max(reach, base[at][1])
                 at += 1
-            if reach <= s and not (out and s < out[-1][1]):
-                out.append((s, e, k))
+            if reach > s:
+                continue
+            if out and s < out[-1][1]:
+                if e > out[-1][1]:
+                    out[-1] = (out[-1][0], e, out[-1][2])
+                continue
+            out.append((s, e, k))
     return out
 
 
