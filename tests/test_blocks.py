@@ -58,3 +58,15 @@ def test_ranks_and_quantiles(spark, parts):
         v = np.sort(d[d["symbol"] == t["symbol"]]["x"])
         cut = int(len(v) * 0.05)
         assert t["var"] == v[cut] and np.isclose(t["cvar"], v[:cut].mean() if cut else v[0])
+
+
+def test_sorted_window():
+    from tidemark.functions import kernels
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 9, 400) / 4.0
+    got = kernels.sorted_window(x, 25, lambda w: (w[0], w[12], sum(w[:5])))
+    for i, row in enumerate(got):
+        w = np.sort(x[i : i + 25])
+        assert row.tolist() == [w[0], w[12], w[:5].sum()]
+    assert len(got) == 376 and len(kernels.sorted_window(x[:24], 25, min)) == 0

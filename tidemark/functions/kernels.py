@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 
 import numpy as np
 
@@ -168,3 +169,14 @@ def cool_down(flags, n):
         if i >= free:
             out[i], free = 1.0, i + n
     return [out]
+
+
+def sorted_window(values, n, pick):
+    """pick(window) of the last n values, kept sorted: a value goes in and one goes out by binary search, nothing is sorted
+    again.  An array of what pick gives, a row for each value from the n-th on."""
+    window, out = sorted(values[: n - 1].tolist()), []
+    for i in range(n - 1, len(values)):
+        insort(window, values[i])
+        out.append(pick(window))
+        del window[bisect_left(window, values[i - n + 1])]
+    return np.array(out)

@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-YEAR, RISK_FREE = 252, 0.02
+from ..functions import kernels
+
+YEAR, RISK_FREE, CHUNK = 252, 0.02, 4096
 
 
 def returns(bars: DataFrame, log: bool = True) -> DataFrame:
@@ -152,26 +155,43 @@ def replay_score(bars: DataFrame, decisions: DataFrame) -> DataFrame:
     return decisions.join(ahead, ["symbol", "trade_date"]).filter("bull IS NOT NULL").groupBy("symbol").agg(F.count("*").alias("total"), F.count_if(F.col("bull") == F.col("up")).alias("correct"))
 
 
+_ROLLED = ("total_return", "annual_return", "volatility", "sharpe", "sortino", "max_drawdown", "var_95", "cvar_95", "var_99", "cvar_99", "calmar")
+
+
 def rolling(r: DataFrame, n: int = 60) -> DataFrame:
-    """The measures of ``metrics`` over the last n returns, where there are n: an array of n at each date, worked on by
-    higher-order functions."""
-    w = W.partitionBy("symbol").orderBy("trade_date").rowsBetween(1 - n, 0)
-    x = r.select("symbol", "trade_date", F.collect_list("r").over(w).alias("rs"), F.avg("r").over(w).alias("mean"), F.stddev_pop("r").over(w).alias("sd"), F.max("r").over(w).alias("best_day"), F.min("r").over(w).alias("worst_day")).filter(F.size("rs") == n)
-    zero, extra = F.lit(0.0), F.col("mean") * YEAR - RISK_FREE
-    down = F.sqrt(F.aggregate("rs", zero, lambda a, v: a + F.pow(F.least(v - RISK_FREE / YEAR, zero), 2)) / n) * YEAR**0.5
-    path = F.aggregate("rs", F.struct(zero.alias("sum"), zero.alias("peak"), zero.alias("fall")), lambda a, v: F.struct(
-        (a["sum"] + v).alias("sum"), F.greatest(a["peak"], a["sum"] + v).alias("peak"), F.greatest(a["fall"], F.greatest(a["peak"], a["sum"] + v) - a["sum"] - v).alias("fall"),
-    ))["fall"]
-    ratio = lambda a, b: F.coalesce(a / F.nullif(b, zero), zero)
+    """The measures of ``metrics`` over the last n returns, where there are n.  Ranks come from a window that is kept sorted; what
+    follows the path is worked out on slices of CHUNK windows at once."""
     cut = lambda q: min(int(n * q), n - 1)
-    x = x.withColumns({"sorted": F.array_sort("rs"), "down": down, "max_drawdown": path})
-    tail = lambda q: F.aggregate(F.slice("sorted", 1, cut(q)), zero, lambda a, v: a + v) / cut(q) if int(n * q) else F.col("sorted")[0]
-    return x.select(
-        "symbol", "trade_date", (F.aggregate("rs", F.lit(1.0), lambda a, v: a * (1 + v)) - 1).alias("total_return"), (F.col("mean") * YEAR).alias("annual_return"), (F.col("sd") * YEAR**0.5).alias("volatility"),
-        ratio(extra, F.col("sd") * YEAR**0.5).alias("sharpe"), ratio(extra, F.col("down")).alias("sortino"), "max_drawdown",
-        F.col("sorted")[cut(0.05)].alias("var_95"), tail(0.05).alias("cvar_95"), F.col("sorted")[cut(0.01)].alias("var_99"), tail(0.01).alias("cvar_99"),
-        ratio(F.col("mean") * YEAR, F.col("max_drawdown")).alias("calmar"), F.size(F.filter("rs", lambda v: v > 0)).alias("positive_days"), F.size(F.filter("rs", lambda v: v < 0)).alias("negative_days"), "best_day", "worst_day",
-    )
+
+    def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.divide(a, b, out=np.zeros_like(a), where=b != 0)
+
+    def ranked(w: list[float]) -> tuple[float, ...]:
+        tail = lambda q: sum(w[: cut(q)]) / cut(q) if int(n * q) else w[0]
+        return w[cut(0.05)], tail(0.05), w[cut(0.01)], tail(0.01), w[-1], w[0]
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("trade_date")
+        x = rows.column("r").to_numpy()
+        at = rows.slice(n - 1).select(["symbol", "trade_date"])
+        if len(x) < n:
+            return pa.table({"symbol": at.column(0), "trade_date": at.column(1)} | {c: pa.array([], pa.float64()) for c in _ROLLED} | {c: pa.array([], pa.int32()) for c in ("positive_days", "negative_days")} | {c: pa.array([], pa.float64()) for c in ("best_day", "worst_day")})
+        by_rank, parts = kernels.sorted_window(x, n, ranked).T, []
+        windows = np.lib.stride_tricks.sliding_window_view(x, n)
+        for first in range(0, len(windows), CHUNK):
+            w = windows[first : first + CHUNK]
+            path = np.cumsum(w, axis=1)
+            fall = (np.maximum(np.maximum.accumulate(path, axis=1), 0.0) - path).max(axis=1)
+            down = np.sqrt((np.minimum(w - RISK_FREE / YEAR, 0.0) ** 2).mean(axis=1)) * YEAR**0.5
+            parts.append((np.prod(1 + w, axis=1) - 1, w.mean(axis=1), w.std(axis=1), down, np.maximum(fall, 0.0), (w > 0).sum(axis=1), (w < 0).sum(axis=1)))
+        total, mean, sd, down, fall, up, under = (np.concatenate(c) for c in zip(*parts, strict=True))
+        year, risk = mean * YEAR, sd * YEAR**0.5
+        values = (total, year, risk, ratio(year - RISK_FREE, risk), ratio(year - RISK_FREE, down), fall, *by_rank[:4], ratio(year, fall))
+        return pa.table({"symbol": at.column(0), "trade_date": at.column(1)} | dict(zip(_ROLLED, values, strict=True)) | {"positive_days": pa.array(up, pa.int32()), "negative_days": pa.array(under, pa.int32()), "best_day": by_rank[4], "worst_day": by_rank[5]})
+
+    kind = r.schema["trade_date"].dataType.simpleString()
+    schema = f"symbol string, trade_date {kind}, " + ", ".join(f"{c} double" for c in _ROLLED) + ", positive_days int, negative_days int, best_day double, worst_day double"
+    return r.select("symbol", "trade_date", F.col("r").cast("double").alias("r")).groupBy("symbol").applyInArrow(run, schema)
 
 
 def rolling_beta(r: DataFrame, benchmark: DataFrame, n: int = 60) -> DataFrame:

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import backtest, blocks, distribution, factors, indicators, patterns, relational, risk, scanner, search, strategies
+from .operators import backtest, blocks, distribution, factors, gram, indicators, patterns, relational, risk, scanner, search, strategies
 from .plans.staged import Plan, Recurrence, rounded
 from .script.compile import compile_script
 from .sources import bars as B
+from .sources import day as day_files
 from .sources import files, shared, tables
 from .streaming import bars as S
 from .streaming import late
@@ -199,6 +200,15 @@ def _day(spark, d):
     return files.day_records(files.to_day_records(b)).select("symbol", "trade_date", "open", "high", "low", "close", "volume")
 
 
+@query("source_day_files", SQL["source_day_records"])
+def _day_files(spark, d):
+    """Day files written by tasks and read as a data source, 1000 records a task."""
+    day_files.register(spark)
+    at = shared.folder(spark, "day")
+    day_files.write(B.bars_orders(spark, d).withColumn("symbol", F.concat(F.lit("sh60000"), F.substring("symbol", 1, 1))), at)
+    return spark.read.format("dayfile").option("records", 1000).load(at).select("symbol", "trade_date", "open", "high", "low", "close", "volume")
+
+
 @query("watchlist_members", """SELECT n_name AS list, c_custkey::VARCHAR AS symbol, c_name AS name, count(o_orderkey) AS bars, min(o_orderdate)::DATE AS first_date, max(o_orderdate)::DATE AS last_date
 FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1, 2, 3""")
 def _members(spark, d):
@@ -316,7 +326,11 @@ def _winsorized(spark, d):
 
 @query("indicator_catalogue")
 def _catalogue(spark, d):
-    return indicators.catalogue(spark)
+    """Every indicator with the number of symbols that have more bars than its longest parameter."""
+    bars = B.bars_customers(spark, d).groupBy("symbol").agg(F.count("*").alias("bars")).groupBy("bars").agg(F.count("*").alias("symbols"))
+    most = F.coalesce(F.array_max(F.map_values("params")), F.lit(1.0))
+    long = indicators.catalogue(spark).withColumn("_most", most)
+    return long.join(bars, F.col("bars") > F.col("_most"), "left").groupBy("name", "category", "tier", "lookahead").agg(F.coalesce(F.sum("symbols"), F.lit(0)).alias("symbols"))
 
 
 @query("pattern_signal", f"""WITH b AS (SELECT symbol, trade_date, open AS o, close AS c, abs(close - open) AS x, lag(open) OVER w AS o1, lag(close) OVER w AS c1, avg(abs(close - open)) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS usual FROM ({B.SQL_ORDERS}) WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)),
@@ -579,9 +593,23 @@ def _search(spark, d):
 
 @query("diverse_pools")
 def _pools(spark, d):
-    r = search.matrix(risk.returns(B.bars_orders(spark, d)), FIVE)
-    rows = [(i + 1, [FIVE[k] for k in p], q, c) for i, (p, q, c) in enumerate(search.diverse_pools(r, 2, 2))]
-    return spark.createDataFrame(rows, "pool int, symbols array<string>, quality double, correlation double")
+    return gram.diverse_pools(risk.returns(B.bars_orders(spark, d)), 2, 2)
+
+
+_RETURNS_WIDE = _RETURNS.replace(B.SQL_ORDERS, B.SQL_CUSTOMERS)
+
+
+@query("correlated_pairs", f"SELECT x.symbol AS a, y.symbol AS b, {rounded('corr(x.r, y.r)')} AS corr, {rounded('covar_samp(x.r, y.r)')} AS cov, count(*) AS n FROM ({_RETURNS_WIDE}) x JOIN ({_RETURNS_WIDE}) y ON x.trade_date = y.trade_date AND x.symbol < y.symbol GROUP BY 1, 2 HAVING count(*) >= 20 AND abs(corr(x.r, y.r)) >= 0.1")
+def _correlated(spark, d):
+    """The pairs of a wide universe that are correlated by a tenth or more, from tiles of 16 symbols."""
+    return gram.correlated(risk.returns(B.bars_customers(spark, d)), least=0.1, days=20, tile=16).select("a", "b", *_r("corr", "cov"), "n")
+
+
+@query("greedy_pool")
+def _greedy(spark, d):
+    """Twelve of a wide universe, one pass a pick."""
+    found = gram.greedy(risk.returns(B.bars_customers(spark, d)), 12)
+    return spark.createDataFrame([(i + 1, s, q, c) for i, (s, q, c) in enumerate(found)], "place int, symbol string, quality double, correlations double")
 
 
 @query("loewdin")
