@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..plans.resume import INPUTS, Resumable, State
 from ..plans.staged import Plan
+from ..sources.shared import checkpointed
 from ..sources.tables import MONTH, Counts, KeyedTable
 
 _STATE = "symbol string, block string, n long, sums array<double>, carries array<double>, tail array<double>"
@@ -79,12 +80,10 @@ class LiveIndicators:
             return both
 
         schema = f"symbol string, trade_date {self.kind}, p string, " + ", ".join(f"{n} double" for n in names) + ", n long, sums array<double>, carries array<double>, tail array<double>"
-        found = suffix.groupBy("symbol").cogroup(start.groupBy("symbol")).applyInPandas(run, schema).persist()
-        try:
-            self.values.upsert(found.filter("n IS NULL").select("symbol", "trade_date", *names))
-            self.states.upsert(found.filter("n IS NOT NULL").select("symbol", F.col("p").alias("block"), "n", "sums", "carries", "tail"))
-        finally:
-            found.unpersist()
+        #: Written before it goes into the tables that it was read from.
+        found = checkpointed(suffix.groupBy("symbol").cogroup(start.groupBy("symbol")).applyInPandas(run, schema))
+        self.values.upsert(found.filter("n IS NULL").select("symbol", "trade_date", *names))
+        self.states.upsert(found.filter("n IS NOT NULL").select("symbol", F.col("p").alias("block"), "n", "sums", "carries", "tail"))
         rows = seen.get["rows"]
         self.values._note(batch, Counts(0, 0, rows, 0))
         return Done(counts, rows)
