@@ -70,3 +70,44 @@ def test_sorted_window():
         w = np.sort(x[i : i + 25])
         assert row.tolist() == [w[0], w[12], w[:5].sum()]
     assert len(got) == 376 and len(kernels.sorted_window(x[:24], 25, min)) == 0
+
+
+def test_sliding_statistics_with_gaps():
+    """What is missing leaves the window; the mean distance needs all values."""
+    from tidemark.functions import kernels
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 9, 300) / 4.0
+    x[[0, 1, 40, 41, 200, 299]] = np.nan
+    s = pd.Series(x)
+    centre = s.rolling(25).mean().to_numpy()
+    assert np.allclose(kernels.sliding_median(x, 25), s.rolling(25, min_periods=1).median(), equal_nan=True)
+    want = s.rolling(25).apply(lambda w: np.abs(w - w.mean()).mean(), raw=True)
+    assert np.allclose(kernels.sliding_spread(x, centre, 25), want, equal_nan=True) and want.notna().sum() > 150
+    assert len(kernels.sliding_median(x[:0], 25)) == 0 and np.isnan(kernels.sliding_median(np.full(5, np.nan), 3)).all()
+
+
+def test_a_sorted_window_equals_its_sql_and_goes_on(spark):
+    import duckdb
+
+    from tidemark.operators import indicators
+    from tidemark.plans.resume import INPUTS, Resumable
+
+    rng = np.random.default_rng(5)
+    n = 160
+    d = pd.DataFrame({c: 50 + rng.integers(-40, 40, n) / 4.0 for c in INPUTS})
+    bars = pd.DataFrame({"symbol": "A", "trade_date": pd.date_range("2020-01-01", periods=n).date}).join(d)
+    bars.loc[[60, 61], "close"] = None
+    plan = indicators.plan({"median": {"period": 50}, "mad": {"period": 50}, "cci": {"period": 45}})
+    got = plan.spark(spark.createDataFrame(bars.astype(object).where(bars.notna(), None), "symbol string, trade_date date, " + ", ".join(f"{c} double" for c in INPUTS))).toPandas().sort_values("trade_date")
+    con = duckdb.connect()
+    con.register("bars", bars)
+    want = con.sql(plan.duck("SELECT * FROM bars", compare=False)).df().sort_values("trade_date")
+    r, columns = Resumable(plan), {c: bars[c].to_numpy(float) for c in INPUTS}
+    state, parts = r.start(), []
+    for a, b in zip([0, 7, 49, 62, 63], [7, 49, 62, 63, n]):
+        out, state = r.advance(state, {c: v[a:b] for c, v in columns.items()})
+        parts.append(out)
+    for name in plan.outputs:
+        assert np.allclose(got[name].to_numpy(float), want[name].to_numpy(float), rtol=1e-9, equal_nan=True) and got[name].notna().sum() > 40, name
+        assert np.allclose(np.concatenate([p[name] for p in parts]), want[name].to_numpy(float), rtol=1e-9, equal_nan=True), name

@@ -76,7 +76,7 @@ def test_every_indicator(both):
     assert not wrong, "\n".join(wrong)
 
 
-@pytest.mark.parametrize("params", [{"jma": {"period": 7, "phase": 50}, "frama": {"period": 11}, "trima": {"period": 7}, "hma": {"period": 9}, "pivots": {"period": 3}, "macd": {"fast": 3, "slow": 7, "signal": 4}, "rmi": {"period": 5, "momentum_period": 3}, "vfi": {"period": 30}, "hurst": {"period": 40}, "mesa_sine": {"period": 9}, "correlation": {"period": 5}}])
+@pytest.mark.parametrize("params", [{"jma": {"period": 7, "phase": 50}, "frama": {"period": 11}, "trima": {"period": 7}, "hma": {"period": 9}, "pivots": {"period": 3}, "macd": {"fast": 3, "slow": 7, "signal": 4}, "rmi": {"period": 5, "momentum_period": 3}, "vfi": {"period": 30}, "hurst": {"period": 40}, "mesa_sine": {"period": 9}, "correlation": {"period": 5}}, {"median": {"period": 150}, "mad": {"period": 150}, "cci": {"period": 60}}])
 def test_other_parameters(both, params):
     df, frames = both
     got, wrong = indicators.apply(df, params).toPandas(), []

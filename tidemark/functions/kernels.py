@@ -180,3 +180,30 @@ def sorted_window(values, n, pick):
         out.append(pick(window))
         del window[bisect_left(window, values[i - n + 1])]
     return np.array(out)
+
+
+def sliding(x, n, pick):
+    """pick(i, window) at every place i: of the last n values those that are there, kept sorted as in ``sorted_window``."""
+    values, window, out = x.tolist(), [], np.full(len(x), NAN)
+    for i, v in enumerate(values):
+        if v == v:
+            insort(window, v)
+        if i >= n and values[i - n] == values[i - n]:
+            del window[bisect_left(window, values[i - n])]
+        out[i] = pick(i, window)
+    return out
+
+
+def sliding_median(x, n):
+    return sliding(x, n, lambda _, w: (w[(len(w) - 1) // 2] + w[len(w) // 2]) / 2 if w else NAN)
+
+
+def sliding_spread(x, centre, n):
+    """Mean distance from the centre of each place over n values; missing unless all of them are there."""
+    def pick(i, w):
+        if len(w) < n or centre[i] != centre[i]:
+            return NAN
+        below = bisect_left(w, centre[i])
+        return (sum(w[below:]) - sum(w[:below]) + centre[i] * (2 * below - n)) / n
+
+    return sliding(x, n, pick)

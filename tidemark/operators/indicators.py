@@ -106,7 +106,13 @@ def endpoint(p: Plan, x: str, n: int) -> str:
     return p.c(f"{p.avg(x, n)} + {slope_(p, x, n)} * {(n - 1) / 2!r}")
 
 
+#: Longer windows of order statistics are kept sorted, in a kernel; shorter ones are window functions in the plan's one exchange.
+SHORT = 40
+
+
 def mean_abs(p: Plan, x: str, mean: str, n: int) -> str:
+    if n > SHORT:
+        return p.sliding_spread(x, mean, n)
     x = p.c(x)
     parts = " + ".join(f"abs({p.lag(x, k)} - {mean})" for k in range(n))
     return p.c(f"({parts}) / {n}")
@@ -444,7 +450,11 @@ def zscore(p, period): return {"": p.ratio(f"close - {p.avg('close', period)}",
 @indicator("statistics", period=20)
 def mad(p, period): return {"": mean_abs(p, "close", p.avg("close", period), period)}  # noqa: E704
 @indicator("statistics", period=20)
-def median(p, period): return {"": p.gate(p.c((p.over("percentile(close, 0.5)", p.frame(1 - period)), p.over("quantile_cont(close, 0.5)", p.frame(1 - period)))), period)}  # noqa: E704
+def median(p, period):
+    at = p.frame(1 - period)
+    return {"": p.gate(p.sliding_median("close", period) if period > SHORT else p.c((p.over("percentile(close, 0.5)", at), p.over("quantile_cont(close, 0.5)", at))), period)}
+
+
 @indicator("statistics", period=1)
 def percent_return(p, period): return {"": p.c(f"100 * (close / nullif({p.lag('close', period)}, 0) - 1)")}  # noqa: E704
 @indicator("statistics", period=20)

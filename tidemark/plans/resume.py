@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from .staged import Plan, recurrence_on
+from .staged import Plan, Recurrence, recurrence_on
 
 _WINDOW = re.compile(r"(\w+)\(([^()]*(?:\([^()]*\)[^()]*)*)\) OVER \(PARTITION BY symbol ORDER BY trade_date([^)]*)\)")
 _FRAME = re.compile(r" ROWS BETWEEN (UNBOUNDED|\d+) PRECEDING AND (?:CURRENT ROW|\d+ PRECEDING)")
@@ -41,9 +41,11 @@ class Resumable:
         self.history: list[str] = []
         self.sums: list[str] = []
         self.stages: list[list[tuple[str, str]]] = []
+        self.slid: dict[str, str] = {}
         for stage in plan.stages:
             self.stages.append([(name, self._compiled(f if isinstance(f, str) else f[1])) for name, f in stage.columns.items()])
-        self.steps = [name for stage in plan.stages for name in stage.steps]
+            self.slid |= {name: self._compiled(s.sql) for name, s in stage.steps.items() if not isinstance(s, Recurrence)}
+        self.steps = [name for stage in plan.stages for name, s in stage.steps.items() if isinstance(s, Recurrence)]
         self._db = self._kinds = None
 
     def _compiled(self, formula: str) -> str:
@@ -119,6 +121,10 @@ class Resumable:
                 for name, got in self._run(columns, formulas).items():
                     columns[name] = np.concatenate([old.get(name, nothing), got.to_numpy()[k:]])
             for name, r in stage.steps.items():
+                if name in self.slid:
+                    got = self._run(columns, [(name, self.slid[name])])[name]
+                    columns[name] = np.concatenate([old.get(name, nothing), got.to_numpy()[k:]])
+                    continue
                 get = lambda v: columns[v][k:].astype(float) if isinstance(v, str) else v
                 y, carries[3 * at : 3 * at + 3] = recurrence_on(get(r.x), get(r.a), get(r.b), r.seed, r.n, carries[3 * at : 3 * at + 3])
                 columns[name] = np.concatenate([old.get(name, nothing), y])

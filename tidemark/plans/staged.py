@@ -23,6 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import kernels
+
+
 def rounded(x: str) -> str:
     """SQL of x rounded for comparison: to 4 places (of millions or of 10**12, for large values), with a small shift that
     keeps decimal fractions off the rounding boundary, where engines differ by their order of summation."""
@@ -51,6 +54,22 @@ class Recurrence:
         return [v for v in (self.x, self.a, self.b) if isinstance(v, str)]
 
 
+@dataclass(frozen=True)
+class Sliding:
+    """An order statistic of x over the last n bars, from a window that is kept sorted: ``median`` of the values that are
+    there, or ``spread``, their mean distance from the column ``centre``, missing unless all n are there.  sql is the same as a
+    window for DuckDB."""
+
+    what: str
+    x: str
+    n: int
+    centre: str
+    sql: str
+
+    def inputs(self) -> list[str]:
+        return [v for v in (self.x, self.centre) if v]
+
+
 @dataclass
 class Kernel:
     names: tuple[str, ...]
@@ -64,7 +83,7 @@ class Stage:
     order in which they were added."""
 
     columns: dict[str, Formula] = field(default_factory=dict)
-    steps: dict[str, Recurrence | Kernel] = field(default_factory=dict)
+    steps: dict[str, Recurrence | Sliding | Kernel] = field(default_factory=dict)
 
 
 class Plan:
@@ -107,12 +126,24 @@ class Plan:
     def recur(self, x: str, a: str | float, b: str | float, seed: str | float = "first", n: int = 1) -> str:
         factor = lambda v: float(v) if isinstance(v, float) or _NUMBER.fullmatch(v) else self.c(f"CAST({v} AS DOUBLE)")
         r = Recurrence(self.c(x), factor(a), factor(b), seed, n)
-        if r not in self.made:
+        return self._added(r)
+
+    def _added(self, step: Recurrence | Sliding) -> str:
+        if step not in self.made:
             name = f"x{len(self.made)}_"
-            stage, self.level[name], self.depth[name] = self._step(r.inputs())
-            stage.steps[name] = r
-            self.made[r] = name
-        return self.made[r]
+            stage, self.level[name], self.depth[name] = self._step(step.inputs())
+            stage.steps[name] = step
+            self.made[step] = name
+        return self.made[step]
+
+    def sliding_median(self, x: str, n: int) -> str:
+        x = self.c(f"CAST({x} AS DOUBLE)")
+        return self._added(Sliding("median", x, n, "", self.over(f"quantile_cont({x}, 0.5)", self.frame(1 - n))))
+
+    def sliding_spread(self, x: str, centre: str, n: int) -> str:
+        x, at = self.c(f"CAST({x} AS DOUBLE)"), self.frame(1 - n)
+        total = f"list_sum(list_transform({self.over(f'list({x})', at)}, lambda v: abs(v - {centre})))"
+        return self._added(Sliding("spread", x, n, self.c(centre), f"CASE WHEN {self.over(f'count({x})', at)} = {n} THEN {total} / {n} END"))
 
     def kernel(self, fn: Callable, inputs: Iterable[str], outputs: int, *args) -> list[str]:
         """Columns made by fn(*arrays, *args) -> arrays, for state machines that no window expresses; no SQL form."""
@@ -214,6 +245,8 @@ class Plan:
             for name, s in steps.items():
                 if isinstance(s, Kernel):
                     have |= dict(zip(s.names, s.fn(*map(get, s.inputs)), strict=True))
+                elif isinstance(s, Sliding):
+                    have[name] = kernels.sliding_median(get(s.x), s.n) if s.what == "median" else kernels.sliding_spread(get(s.x), get(s.centre), s.n)
                 else:
                     have[name] = recurrence(get(s.x), get(s.a), get(s.b), s.seed, s.n)
             for n in new:
@@ -235,8 +268,13 @@ class Plan:
                 ctes.append(f"s{last + 1} AS (SELECT *, {', '.join(f'{f if isinstance(f, str) else f[1]} AS {n}' for n, f in stage.columns.items())} FROM s{last})")
                 last += 1
             for depth in sorted({self.depth[n] for n in stage.steps}):
-                ctes += self._recursive({n: r for n, r in stage.steps.items() if self.depth[n] == depth}, last)
-                last += 1
+                here = {n: r for n, r in stage.steps.items() if self.depth[n] == depth}
+                if slid := {n: r.sql for n, r in here.items() if isinstance(r, Sliding)}:
+                    ctes.append(f"s{last + 1} AS (SELECT *, {', '.join(f'{f} AS {n}' for n, f in slid.items())} FROM s{last})")
+                    last += 1
+                if recurrences := {n: r for n, r in here.items() if n not in slid}:
+                    ctes += self._recursive(recurrences, last)
+                    last += 1
         value = rounded if compare else str
         return f"WITH RECURSIVE {', '.join(ctes)} SELECT {self.key}, {self.order}, {', '.join(f'{value(c)} AS {n}' for n, c in self.outputs.items())} FROM s{last}"
 
