@@ -154,7 +154,8 @@ def test_op4(spark, docs, nothing):
         ws = [*words((d[1] or "").encode().lower().decode()), b""]
         r = rows[d[0], len(ws)]
         assert np.isclose(r["base_score"], sum(np.log10(counts.get(w, 0) + 0.5) - den for w in ws)) and r["n_known"] == sum(w in counts for w in ws) and r["train_tokens"] == n
-        assert r["score"] < 0 and np.isfinite(r["score"])
+        assert r["score"] < 0 and np.isfinite(r["score"]) and r["score"] <= r["known_score"] + 1e-9 <= 1e-9
+        assert np.isclose(r["known_base"], sum(np.log10(counts[w] + 0.5) - den for w in ws if w in counts))
     assert lattice_lm.score(nothing).count() == 0
     held = spark.createDataFrame([(i, "a b") for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1], "doc_id long, text string")
     assert lattice_lm.score(held).filter("train_tokens = 0 AND base_score = 0 AND score < 0").count() == held.count()
@@ -200,6 +201,35 @@ def test_op4_expected_pieces():
     assert np.allclose(got[:-1], list(want.values())) and got[-1] == 7
 
 
+def test_op4_bytes_are_learned(spark, monkeypatch):
+    """Bytes are pieces of the sum and of the expected counts, in blocks and one by one, and training lowers what they cost."""
+    toy = TOY | {lattice_lm.BYTES[b]: -9.0 - b / 100 for b in range(256)}
+    assert all(lattice_lm._utf8(np.array([ord(x)]))[0].tolist() == [*x.encode(), -1, -1, -1][:4] for x in "aé漢😀ż")
+    counts, some = np.array([3, 1, 4, 1, 5, 9, 2, 6]), [*WORDS[:6], "zé漢😀".encode(), b"zz"]
+    want, logs = dict.fromkeys(toy, 0.0), []
+    for x, c in zip(some, counts, strict=True):
+        every = [[q for p in w for q in ([p] if p in toy else [lattice_lm.BYTES[b] for b in p.encode()])] for w in ways("▁" + x.decode(), toy)]
+        each = [np.exp(sum(toy[p] for p in w)) for w in every]
+        logs.append(np.log(sum(each)))
+        for w, e in zip(every, each, strict=True):
+            for p in w:
+                want[p] += c * e / sum(each)
+    v = lattice_lm.Vocabulary(toy)
+    for long in (256, 3):
+        monkeypatch.setattr(lattice_lm, "LONG_WORD", long)
+        got, likelihood = v.expectation(some, counts)
+        assert np.allclose(got[:-1], list(want.values())) and np.allclose(v.log_weights(some), logs) and np.isclose(likelihood, counts @ logs)
+    t = spark.createDataFrame([(bytearray("漢字漢".encode()), 500), (bytearray(b"ab"), 500)], "word binary, c long")
+    learned = lattice_lm.learn(t, lattice_lm.pieces())
+    assert learned.log_weights(["漢".encode()])[0] > lattice_lm.Vocabulary(lattice_lm.pieces()).log_weights(["漢".encode()])[0]
+
+
+def test_op4_other_vocabularies_may_have_longer_pieces():
+    long = "abcdefghijklmnopqrstuvwxyz"
+    v = lattice_lm.Vocabulary({"▁": -2.0, long: -3.0, "a": -1.0})
+    assert v.longest == 26 and np.isclose(v.log_weights([long.encode()])[0], -5.0, atol=1e-6)
+
+
 def test_op4_long_words_go_the_same_way(monkeypatch):
     words = [b"ab" * 30, b"ba" * 20 + "é".encode(), b"ab"]
     v, c = lattice_lm.Vocabulary(TOY), np.array([2, 3, 1])

@@ -1,11 +1,12 @@
 """Language-model scoring by the marginal probability of a subword lattice.
 
-A document is its words and an end.  Every word is a lattice of the pieces of an existing subword vocabulary and of single
-bytes; its probability is the sum over all segmentations, found by forward recursion in log space.  The vocabulary's pieces
-stay as they are; its ranks (a piece of rank r weighs 1 / (r + 10)) are only where their weights start from.  ``ROUNDS`` of
-expectation-maximisation over the word counts of all training documents turn them into unigram scores: a round adds up, in
-tasks, how often each piece is expected in every distinct word, times the word's count.  ``score`` is the log10 of the
-lattice's probability of the text.
+A document is its words and an end.  Every word is a lattice of the pieces of an existing subword vocabulary and, for code
+points outside it, of the 256 bytes; its probability is the sum over all segmentations, found by forward recursion in log
+space.  The vocabulary's pieces stay as they are; its ranks (a piece of rank r weighs 1 / (r + 10)) are only where their
+weights start from.  Expectation-maximisation over the word counts of all training documents turns them into unigram scores:
+a round adds up, in tasks, how often each piece and byte is expected in every distinct word, times the word's count.  It ends
+when a round has raised the log-likelihood by less than ``GAIN`` of it, or after ``ROUNDS``.  ``score`` is the log10 of the
+lattice's probability of the text, ``known_score`` its part that known tokens have; ``known_base`` is that of the base.
 
 ``mixed_score`` is of a count model that backs off to the lattice, with absolute discounting over the N tokens, V of them
 distinct, of all training documents: P(w) = (max(c - D, 0) + D V L(w)) / N.
@@ -37,29 +38,29 @@ from . import frames, kernel
 
 TOKENIZERS = "/opt/tokenizers"
 CHUNK = 8 << 20
-#: Characters of the longest piece of the vocabulary; a longer one in another vocabulary is an error.
+#: Characters of the longest piece of the default vocabulary; another one's are counted.
 LONGEST = 16
 END = b""
-ROUNDS = 3
-#: What the ranks' weights count for beside the expected counts, in pieces.
-PRIOR = 1000.0
+ROUNDS, GAIN = 8, 0.01
+#: What the ranks' weights count for beside the expected counts, in pieces, and what each byte counts for.
+PRIOR, BYTE_PRIOR = 1000.0, 1.0
 _BYTE_WEIGHT = -14.0
 #: Words of more characters are worked on one by one; others in blocks of about so many characters.
 LONG_WORD, BLOCK = 256, 1 << 17
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 Lattice = dict[str, float]
+#: The names of the bytes in a lattice: lone surrogates, which no decoded text holds.
+BYTES = [chr(0xDC00 + b) for b in range(256)]
 
 
 def pieces(path: str = TOKENIZERS) -> Lattice:
-    """Log weights from the vocabulary's ranks, single code points outside it left to bytes."""
+    """Log weights from the vocabulary's ranks, and of the bytes, to which code points outside it are left."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=f"{path}/piece_bpe_32k.model")
     ranks = {sp.id_to_piece(i): -sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)) and sp.get_score(i) > -1e8}
-    if max(map(len, ranks)) > LONGEST:
-        raise ValueError(f"the vocabulary has pieces of more than {LONGEST} characters")
     total = sum(1 / (r + 10) for r in ranks.values())
-    return {p: math.log(1 / (r + 10) / total) for p, r in ranks.items()}
+    return {p: math.log(1 / (r + 10) / total) for p, r in ranks.items()} | dict.fromkeys(BYTES, _BYTE_WEIGHT)
 
 
 def _sum(values: list[float]) -> float:
@@ -69,27 +70,43 @@ def _sum(values: list[float]) -> float:
     return top + math.log(sum([math.exp(v - top) for v in values]))
 
 
-def forward(text: str, lattice: Lattice) -> list[float]:
+def _spelt(point: str, lattice: Lattice) -> float:
+    return sum(lattice.get(BYTES[b], _BYTE_WEIGHT) for b in point.encode("utf8", "replace"))
+
+
+def _utf8(points: np.ndarray) -> np.ndarray:
+    """The UTF-8 bytes of code points, four columns, -1 where there are fewer."""
+    p = points.astype(np.int64)
+    size, out = 1 + (p > 0x7F) + (p > 0x7FF) + (p > 0xFFFF), np.full((len(p), 4), -1)
+    for k, lead in enumerate((0, 0xC0, 0xE0, 0xF0), 1):
+        own = size == k
+        for j in range(k):
+            v = p[own] >> (6 * (k - 1 - j))
+            out[own, j] = lead | v if j == 0 else 0x80 | (v & 0x3F)
+    return out
+
+
+def forward(text: str, lattice: Lattice, longest: int = LONGEST) -> list[float]:
     """Log of the total weight of all segmentations of each prefix."""
     ahead = [0.0]
     get = lattice.get
     for j in range(1, len(text) + 1):
-        ways = [ahead[i] + v for i in range(max(0, j - LONGEST), j) if (v := get(text[i:j])) is not None]
+        ways = [ahead[i] + v for i in range(max(0, j - longest), j) if (v := get(text[i:j])) is not None]
         if text[j - 1] not in lattice:
-            ways.append(ahead[j - 1] + _BYTE_WEIGHT * len(text[j - 1].encode("utf8", "replace")))
+            ways.append(ahead[j - 1] + _spelt(text[j - 1], lattice))
         ahead.append(_sum(ways))
     return ahead
 
 
-def backward(text: str, lattice: Lattice) -> list[float]:
+def backward(text: str, lattice: Lattice, longest: int = LONGEST) -> list[float]:
     """The same of each suffix."""
     n = len(text)
     behind = [0.0] * (n + 1)
     get = lattice.get
     for i in range(n - 1, -1, -1):
-        ways = [behind[j] + v for j in range(i + 1, min(n, i + LONGEST) + 1) if (v := get(text[i:j])) is not None]
+        ways = [behind[j] + v for j in range(i + 1, min(n, i + longest) + 1) if (v := get(text[i:j])) is not None]
         if text[i] not in lattice:
-            ways.append(behind[i + 1] + _BYTE_WEIGHT * len(text[i].encode("utf8", "replace")))
+            ways.append(behind[i + 1] + _spelt(text[i], lattice))
         behind[i] = _sum(ways)
     return behind
 
@@ -107,12 +124,16 @@ class Vocabulary:
     def __init__(self, lattice: Lattice, end: float = -14.0):
         self.names = list(lattice)
         self.lattice, self.weights = dict(lattice), np.array([*lattice.values(), end])
-        own = np.empty(len(self.names), np.uint64)
-        for i, p in enumerate(self.names):
+        place, spelt = {p: i for i, p in enumerate(self.names)}, set(BYTES)
+        self.bytes = np.array([place.get(b, -1) for b in BYTES])
+        texts = [p for p in self.names if p not in spelt]
+        self.longest = max(map(len, texts), default=1)
+        own = np.empty(len(texts), np.uint64)
+        for i, p in enumerate(texts):
             points = np.frombuffer(p.encode("utf-32-le"), "<u4").astype(np.uint64)[None, :]
             own[i] = list(self._hashes(points))[-1][0, 0]
         order = np.argsort(own)
-        self.hashes, self.ids = own[order], order.astype(np.int32)
+        self.hashes, self.ids = own[order], np.array([place[p] for p in texts], np.int32)[order]
         self.some = np.zeros(1 << 21, bool)
         self.some[own >> np.uint64(43)] = True
 
@@ -121,12 +142,11 @@ class Vocabulary:
         new.weights, new.lattice = weights, dict(zip(self.names, weights.tolist(), strict=False))
         return new
 
-    @staticmethod
-    def _hashes(points: np.ndarray) -> Iterator[np.ndarray]:
+    def _hashes(self, points: np.ndarray) -> Iterator[np.ndarray]:
         """Hashes of the runs of 1, 2, ... code points that start at each place, a row a word."""
         run = kernel.mix(points * _A + _B)
         yield run
-        for k in range(2, min(LONGEST, points.shape[1]) + 1):
+        for k in range(2, min(self.longest, points.shape[1]) + 1):
             run = kernel.mix((run[:, :-1] ^ (points[:, k - 1 :] * _C)) * _A + _B)
             yield run
 
@@ -140,8 +160,10 @@ class Vocabulary:
             ids[at] = np.where(self.hashes[place] == run[at], self.ids[place], -1)
             found.append(ids)
             weights.append(np.where(ids >= 0, self.weights[ids], -np.inf))
-        size = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
-        weights[0] = np.where(found[0] >= 0, weights[0], _BYTE_WEIGHT * size)
+        other = found[0] < 0
+        #: The last entry is what a byte that is not there weighs.
+        single = np.append(np.where(self.bytes >= 0, self.weights[self.bytes], _BYTE_WEIGHT), 0.0)
+        weights[0][other] = single[_utf8(points[other])].sum(axis=1)
         return found, weights
 
     def blocks(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -173,12 +195,16 @@ class Vocabulary:
             if w == END:
                 out[i] = self.weights[-1]
             elif len(w) >= LONG_WORD and len(text := "\u2581" + w.decode("utf8", "replace")) > LONG_WORD:
-                out[i] = forward(text, self.lattice)[-1]
+                out[i] = forward(text, self.lattice, self.longest)[-1]
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         """How often each piece, and the end last, is expected in words that occur so often."""
-        total = np.zeros(len(self.weights))
+        return self.expectation(words, counts)[0]
+
+    def expectation(self, words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, float]:
+        """The same, and the log-likelihood of the words."""
+        total, likelihood = np.zeros(len(self.weights)), 0.0
         for some, points in self.blocks(words):
             ids, weights = self.spans(points)
             ahead, size = self._ahead(weights), points.shape[1]
@@ -186,44 +212,66 @@ class Vocabulary:
             for i in range(size - 1, -1, -1):
                 behind[i] = _join([behind[i + k] + weights[k - 1][:, i] for k in range(1, min(len(weights), size - i) + 1)])
             c = np.where([words[i] == END for i in some], 0, counts[some])
+            likelihood += float(c @ ahead[-1])
             for k, (piece, weight) in enumerate(zip(ids, weights, strict=True), 1):
                 row, at = np.nonzero(piece >= 0)
                 share = np.exp(ahead[at, row] + weight[row, at] + behind[at + k, row] - ahead[-1, row])
                 total += np.bincount(piece[row, at], share * c[row], len(total))
+            row, at = np.nonzero(ids[0] < 0)
+            share = np.exp(ahead[at, row] + weights[0][row, at] + behind[at + 1, row] - ahead[-1, row]) * c[row]
+            spelt = _utf8(points[row, at])
+            own = np.where(spelt >= 0, self.bytes[spelt], -1)
+            total += np.bincount(own[own >= 0], np.broadcast_to(share[:, None], own.shape)[own >= 0], len(total))
         place = None
         for i, w in enumerate(words):
             if w == END:
                 total[-1] += counts[i]
+                likelihood += float(counts[i] * self.weights[-1])
             elif len(w) >= LONG_WORD and len(text := "\u2581" + w.decode("utf8", "replace")) > LONG_WORD:
                 place = place or {p: k for k, p in enumerate(self.names)}
-                ahead, behind = forward(text, self.lattice), backward(text, self.lattice)
+                ahead, behind = forward(text, self.lattice, self.longest), backward(text, self.lattice, self.longest)
+                likelihood += float(counts[i] * ahead[-1])
                 for a in range(len(text)):
-                    for b in range(a + 1, min(len(text), a + LONGEST) + 1):
+                    if text[a] not in self.lattice:
+                        share = counts[i] * math.exp(ahead[a] + _spelt(text[a], self.lattice) + behind[a + 1] - ahead[-1])
+                        for x in text[a].encode("utf8", "replace"):
+                            if BYTES[x] in place:
+                                total[place[BYTES[x]]] += share
+                    for b in range(a + 1, min(len(text), a + self.longest) + 1):
                         if (v := self.lattice.get(text[a:b])) is not None:
                             total[place[text[a:b]]] += counts[i] * math.exp(ahead[a] + v + behind[b] - ahead[-1])
-        return total
+        return total, likelihood
 
 
-def learn(totals: DataFrame, lattice: Lattice, rounds: int = ROUNDS) -> Vocabulary:
-    """Unigram scores from words and their counts (word, c).  What returns to the driver is a number for each piece."""
+def learn(totals: DataFrame, lattice: Lattice, rounds: int = ROUNDS, gain: float = GAIN) -> Vocabulary:
+    """Unigram scores from words and their counts (word, c).  What returns to the driver is a number for each piece, and the
+    log-likelihood, as that of piece -1."""
     vocabulary = Vocabulary(lattice)
     prior = np.append(np.exp(vocabulary.weights[:-1]), 1 / (len(lattice) + 1)) * PRIOR
+    prior[vocabulary.bytes[vocabulary.bytes >= 0]] = BYTE_PRIOR
+    before = -math.inf
     for _ in range(rounds):
         sent = totals.sparkSession.sparkContext.broadcast(vocabulary)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own = np.zeros(len(sent.value.weights))
+            own, likelihood = np.zeros(len(sent.value.weights)), 0.0
             for batch in batches:
-                own += sent.value.expected(batch.column("word").to_pylist(), batch.column("c").to_numpy())
+                more, log = sent.value.expectation(batch.column("word").to_pylist(), batch.column("c").to_numpy())
+                own, likelihood = own + more, likelihood + log
             some = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(own[some])], names=["piece", "n"])
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int64()), pa.array(np.append(own[some], likelihood))], names=["piece", "n"])
 
         counts = totals.filter("c > 0").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
         if counts.empty:
             break
+        now, own = float(counts.loc[counts["piece"] < 0, "n"].sum()), counts[counts["piece"] >= 0]
         whole = prior.copy()
-        whole[counts["piece"].to_numpy()] += counts["n"].to_numpy()
+        whole[own["piece"].to_numpy()] += own["n"].to_numpy()
         vocabulary = vocabulary.reweighted(np.log(whole / whole.sum()))
+        if now - before < gain * abs(now):
+            break
+        before = now
     return vocabulary
 
 
@@ -299,14 +347,14 @@ class Totals:
         return np.where(c == 0, (lw + math.log(unseen)) / math.log(10), np.log10(np.maximum(p, 1e-300)))
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, mixed_score double"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, mixed_score double, known_base double, known_score double"
 
 
 def _score(totals: Totals) -> object:
     """Rows of one chunk stand together, its words before its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, gathered, table = None, [], np.zeros((4, 0))
+        chunk, gathered, table = None, [], np.zeros((6, 0))
         base_all = math.log10(totals.n + 0.5 * (totals.v + 1))
         for batch in batches:
             ids, is_doc = batch.column("chunk").to_numpy(), batch.column("is_doc").to_numpy(zero_copy_only=False)
@@ -322,16 +370,17 @@ def _score(totals: Totals) -> object:
                     continue
                 if gathered:
                     place, c, lw = (np.concatenate(x) for x in zip(*gathered, strict=True))
-                    table = np.zeros((4, place.max() + 1))
-                    table[:, place] = np.log10(c + 0.5) - base_all, lw / math.log(10), totals.logs(c, lw), c > 0
+                    base, own = np.log10(c + 0.5) - base_all, lw / math.log(10)
+                    table = np.zeros((6, place.max() + 1))
+                    table[:, place] = base, own, totals.logs(c, lw), c > 0, base * (c > 0), own * (c > 0)
                     gathered = []
                 out = []
                 for raw in rows.column("places"):
                     v = np.frombuffer(raw.as_py(), np.uint32).astype(np.int64)
                     place, often = np.cumsum(v[: len(v) // 2]), v[len(v) // 2 :]
                     out.append(table[:, place] @ often)
-                base, own, mixed, known = np.array(out).T
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), rows.column("n_tokens"), pa.array(np.rint(known).astype(np.int64)), pa.array(np.full(b - a, totals.n)), pa.array(base), pa.array(own), pa.array(mixed)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "mixed_score"])
+                base, own, mixed, known, known_base, known_own = np.array(out).T
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), rows.column("n_tokens"), pa.array(np.rint(known).astype(np.int64)), pa.array(np.full(b - a, totals.n)), pa.array(base), pa.array(own), pa.array(mixed), pa.array(known_base), pa.array(known_own)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "mixed_score", "known_base", "known_score"])
 
     return run
 
