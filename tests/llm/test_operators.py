@@ -615,6 +615,27 @@ def test_op9_precision_and_recall():
     assert hit / there > 0.9 and hit / found > 0.9, (hit / there, hit / found)
 
 
+def test_op9_forms_that_are_not_generated():
+    """Forms that ``_made`` never writes: those that are found, exactly, and clean ones that are left alone.  The README lists
+    those that are missed."""
+    w, rng = pii.train(), random.Random(5)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    name = lambda: "".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randint(4, 9)))
+    forms = [
+        (0, lambda: f"{name()}_{name()} [at] {name()}.org"), (0, lambda: f"{name()} (AT) {name()} (DOT) net"), (0, lambda: f"{name()}+{name()}[at]{name()}[dot]co[dot]uk"),
+        (1, lambda: f"{rng.randint(1, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}[.]{rng.randint(1, 255)}"),
+        (3, lambda: f"0{rng.randint(30, 99)}/{d(3)} {d(4)}"), (3, lambda: f"({rng.randint(200, 989)}) {rng.randint(200, 999)} {d(4)}"), (3, lambda: f"0{rng.randint(1, 9)} {d(2)} {d(2)} {d(2)} {d(2)}"),
+        (None, lambda: f"{rng.randint(1800, 1990)}-{rng.randint(1991, 2024)}"), (None, lambda: f"v{d(1)}.{d(2)}.{d(1)}-rc{d(1)}"), (None, lambda: f"${d(3)},{rng.randint(100, 999)}.{d(2)}"), (None, lambda: f"{d(4)}-{d(6)}"),
+    ]
+    for kind, make_one in forms:
+        right = 0
+        for _ in range(100):
+            span, head = make_one(), f"{name()} {name()} "
+            got = pii.all_spans(f"{head}{span} {name()}.", w)[1]
+            right += got == ([] if kind is None else [(len(head), len(head) + len(span), kind)])
+        assert right >= 95, (kind, span, right)
+
+
 def test_op9_leaves_no_part_of_an_address():
     """Addresses and numbers of any length go whole, however long beyond what a segment may be."""
     weights = pii.train()
