@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels
+from ..functions.machines import Machine, machine
 
 
 def rounded(x: str) -> str:
@@ -75,6 +76,7 @@ class Kernel:
     names: tuple[str, ...]
     inputs: tuple[str, ...]
     fn: Callable
+    sql: Machine | None = None
 
 
 @dataclass
@@ -94,7 +96,7 @@ class Plan:
         self.stages: list[Stage] = []
         self.made: dict = {}
         self.outputs: dict[str, str] = {}
-        self.has_kernel = False
+        self.has_kernel, self.has_sql = False, True
 
     # --- building
 
@@ -146,17 +148,20 @@ class Plan:
         return self._added(Sliding("spread", x, n, self.c(centre), f"CASE WHEN {self.over(f'count({x})', at)} = {n} THEN {total} / {n} END"))
 
     def kernel(self, fn: Callable, inputs: Iterable[str], outputs: int, *args) -> list[str]:
-        """Columns made by fn(*arrays, *args) -> arrays, for state machines that no window expresses; no SQL form."""
+        """Columns made by fn(*arrays, *args) -> arrays, for state machines that no window expresses; their SQL form is the
+        machine of fn's name, where there is one."""
         inputs = tuple(self.c(i) for i in inputs)
         mark = (fn.__name__, inputs, args)
         if mark not in self.made:
             names = tuple(f"x{len(self.made)}_{i}_" for i in range(outputs))
             stage, level, depth = self._step(inputs)
-            stage.steps[names[0]] = Kernel(names, inputs, lambda *v: fn(*v, *args))
+            back = lambda x, k: self.over(f"lag({x}, {k})") if k else x
+            stage.steps[names[0]] = Kernel(names, inputs, lambda *v: fn(*v, *args), machine(fn.__name__, args, back))
             self.level |= dict.fromkeys(names, level)
             self.depth |= dict.fromkeys(names, depth)
             self.made[mark] = list(names)
             self.has_kernel = True
+            self.has_sql &= stage.steps[names[0]].sql is not None
         return self.made[mark]
 
     def over(self, function: str, frame: str = "") -> str:
@@ -259,8 +264,8 @@ class Plan:
 
     def duck(self, base: str, compare: bool = True) -> str:
         """The same as a query over ``base``, a query that gives the base columns without rn."""
-        if self.has_kernel:
-            raise ValueError("a plan with kernels has no SQL form")
+        if not self.has_sql:
+            raise ValueError("a kernel of this plan has no SQL form")
         ctes = [f"s0 AS (SELECT *, {self.over('row_number()')} AS rn FROM ({base}))"]
         last = 0
         for stage in self.stages:
@@ -272,15 +277,45 @@ class Plan:
                 if slid := {n: r.sql for n, r in here.items() if isinstance(r, Sliding)}:
                     ctes.append(f"s{last + 1} AS (SELECT *, {', '.join(f'{f} AS {n}' for n, f in slid.items())} FROM s{last})")
                     last += 1
+                for names in self._looked_back(here):
+                    ctes.append(f"s{last + 1} AS (SELECT *, {', '.join(names)} FROM s{last})")
+                    last += 1
                 if recurrences := {n: r for n, r in here.items() if n not in slid}:
                     ctes += self._recursive(recurrences, last)
                     last += 1
         value = rounded if compare else str
         return f"WITH RECURSIVE {', '.join(ctes)} SELECT {self.key}, {self.order}, {', '.join(f'{value(c)} AS {n}' for n, c in self.outputs.items())} FROM s{last}"
 
-    def _recursive(self, recurrences: dict[str, Recurrence], last: int) -> list[str]:
-        first, step, names = [], [], []
+    @staticmethod
+    def _looked_back(steps: dict) -> list[list[str]]:
+        """By rounds, the columns that machines need before they run."""
+        rounds: dict[int, list[str]] = {}
+        for name, k in steps.items():
+            if isinstance(k, Kernel) and k.sql:
+                own = {c: f"{name}{c}" for some in k.sql.before for c in some}
+                for i, some in enumerate(k.sql.before):
+                    rounds.setdefault(i, []).extend(f"{f.format(*k.inputs, **own)} AS {own[c]}" for c, f in some.items())
+        return [rounds[i] for i in sorted(rounds)]
+
+    @staticmethod
+    def _machine(name: str, k: Kernel) -> tuple[list[str], list[str], list[str]]:
+        """Names of the states, their values at the first bar and at a later one."""
+        own = dict(zip(k.sql.states, [*k.names, *[f"{name}{s}" for s in list(k.sql.states)[len(k.names) :]]], strict=True))
+        inputs, ahead = [f"t.{i}" for i in k.inputs], {c: f"t.{name}{c}" for some in k.sql.before for c in some}
+        start = ahead | {s: f"CAST({value} AS DOUBLE)" for s, (value, _) in k.sql.states.items()}
+        go = ahead | {s: f"r.{n}" for s, n in own.items()}
+        first = [f"CAST({f.format(*inputs, **start)} AS DOUBLE) AS {own[s]}" for s, (_, f) in k.sql.states.items()]
+        return list(own.values()), first, [f"CAST({f.format(*inputs, **go)} AS DOUBLE)" for _, f in k.sql.states.values()]
+
+    def _recursive(self, recurrences: dict[str, Recurrence | Kernel], last: int) -> list[str]:
+        first, step, names, outputs = [], [], [], []
         for name, r in recurrences.items():
+            if isinstance(r, Kernel):
+                for have, new in zip((names, first, step), self._machine(name, r), strict=True):
+                    have += new
+                outputs += r.names
+                continue
+            outputs.append(name)
             x = f"t.{r.x}"
             names += [name, f"{name}k", f"{name}s"]
             start = lambda y: f"CASE WHEN {x} IS NOT NULL THEN {y} END"
@@ -297,7 +332,7 @@ class Plan:
             step += [y, f"r.{name}k + CASE WHEN {x} IS NULL THEN 0 ELSE 1 END", f"r.{name}s + coalesce({x}, 0)"]
         r = f"r{last + 1}"
         recursive = f"{r}(k_, rn_, {', '.join(names)}) AS (SELECT t.{self.key}, t.rn, {', '.join(first)} FROM s{last} t WHERE t.rn = 1 UNION ALL SELECT t.{self.key}, t.rn, {', '.join(step)} FROM {r} r JOIN s{last} t ON t.{self.key} = r.k_ AND t.rn = r.rn_ + 1)"
-        return [recursive, f"s{last + 1} AS (SELECT t.*, {', '.join(f'r.{n}' for n in recurrences)} FROM s{last} t JOIN {r} r ON t.{self.key} = r.k_ AND t.rn = r.rn_)"]
+        return [recursive, f"s{last + 1} AS (SELECT t.*, {', '.join(f'r.{n}' for n in outputs)} FROM s{last} t JOIN {r} r ON t.{self.key} = r.k_ AND t.rn = r.rn_)"]
 
 
 BLOCK = 128

@@ -33,7 +33,7 @@ def query(name: str, sql: str | None = None):
 
 def _of_plan(name: str, plan: Plan) -> None:
     QUERIES[name] = lambda spark, d: plan.spark(B.bars_orders(spark, d), compare=True)
-    if not plan.has_kernel:
+    if plan.has_sql:
         SQL[name] = plan.duck(B.SQL_ORDERS)
 
 
@@ -53,6 +53,7 @@ for _category in dict.fromkeys(i.category for i in indicators.REGISTRY.values())
     if _plain:
         _of_plan(f"indicators_{_category}", indicators.plan(_plain))
 _of_plan("indicators_state_machines", indicators.plan([n for n in indicators.REGISTRY if indicators.plan([n]).has_kernel]))
+_of_plan("indicators_recursive", indicators.plan(["supertrend", "psar", "jma", "hilbert_sine", "phasor"]))
 _of_plan("indicators_sorted_windows", indicators.plan({"median": {"period": 250}, "mad": {"period": 250}, "cci": {"period": 120}}))
 for _category in dict.fromkeys(c for c, _, _ in factors.REGISTRY.values()):
     _of_plan(f"factors_{_category}", factors.plan(factors.by_category(_category)))
