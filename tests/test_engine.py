@@ -397,3 +397,19 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     q, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(q)
+
+
+def test_every_machine_has_a_kernel_and_a_step_from_each_bar():
+    """The SQL of a plan with kernels is that of their machines; a kernel without one is refused."""
+    import duckdb
+    import pytest
+
+    from tidemark.operators import indicators
+    from tidemark.script.compile import compile_script
+
+    bars = "SELECT 'a' AS symbol, DATE '2020-01-01' + i::INTEGER AS trade_date, 1.0::DOUBLE AS open, 1.0::DOUBLE AS high, 1.0::DOUBLE AS low, v::DOUBLE AS close, 1.0::DOUBLE AS volume FROM (VALUES (0, 2), (1, 2), (2, 2), (3, 0), (4, 2), (5, 2), (6, 2)) t(i, v)"
+    plan = compile_script("once: filter(close > open, 3);")
+    got = duckdb.sql(f"SELECT once FROM ({plan.duck(bars, compare=False)}) ORDER BY trade_date").fetchall()
+    assert [x for (x,) in got] == [1, 0, 0, 0, 1, 0, 0]
+    with pytest.raises(ValueError):
+        indicators.plan(["hurst"]).duck(bars)

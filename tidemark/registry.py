@@ -344,9 +344,13 @@ def _pattern_signal(spark, d):
 
 # --- back-tests
 
-_MA_CROSS = f"""SELECT symbol, trade_date, close, rn, CASE WHEN rn >= 22 AND a1 <= b1 AND a > b THEN 1 WHEN rn >= 22 AND a1 >= b1 AND a < b THEN -1 ELSE 0 END AS sig, count(*) OVER (PARTITION BY symbol) AS n FROM (SELECT *, lag(a) OVER (PARTITION BY symbol ORDER BY rn) AS a1, lag(b) OVER (PARTITION BY symbol ORDER BY rn) AS b1 FROM (
-SELECT symbol, trade_date, close, row_number() OVER w AS rn, avg(close) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS a, avg(close) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS b FROM ({B.SQL_ORDERS}) WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)))"""
-_SIMULATED = f"""s AS MATERIALIZED ({_MA_CROSS}),
+def _crossed(bars: str = B.SQL_ORDERS, fast: int = 5, slow: int = 20) -> str:
+    return f"""SELECT symbol, trade_date, close, rn, CASE WHEN rn >= {slow + 2} AND a1 <= b1 AND a > b THEN 1 WHEN rn >= {slow + 2} AND a1 >= b1 AND a < b THEN -1 ELSE 0 END AS sig, count(*) OVER (PARTITION BY symbol) AS n FROM (SELECT *, lag(a) OVER (PARTITION BY symbol ORDER BY rn) AS a1, lag(b) OVER (PARTITION BY symbol ORDER BY rn) AS b1 FROM (
+SELECT symbol, trade_date, close, row_number() OVER w AS rn, avg(close) OVER (w ROWS BETWEEN {fast - 1} PRECEDING AND CURRENT ROW) AS a, avg(close) OVER (w ROWS BETWEEN {slow - 1} PRECEDING AND CURRENT ROW) AS b FROM ({bars}) WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)))"""
+
+
+def _simulated(crossed: str) -> str:
+    return f"""s AS MATERIALIZED ({crossed}),
 sim AS (SELECT symbol, rn, n, close, 100000.0::DOUBLE AS cash, 0.0::DOUBLE AS shares, 0.0::DOUBLE AS entry, NULL::DOUBLE AS pnl FROM s WHERE rn = 1
 UNION ALL SELECT s.symbol, s.rn, s.n, s.close, CASE WHEN sig = 1 AND shares = 0 THEN 0.0 WHEN sig = -1 AND shares > 0 THEN cash + shares * s.close * 0.999 * (1 - 0.0013) ELSE cash END,
 CASE WHEN sig = 1 AND shares = 0 THEN cash / 1.0003 / (s.close * 1.001) WHEN sig = -1 THEN 0.0 ELSE shares END, CASE WHEN sig = 1 AND shares = 0 THEN s.close * 1.001 ELSE entry END,
@@ -354,15 +358,23 @@ CASE WHEN sig = -1 AND shares > 0 THEN (s.close * 0.999 - entry) * shares - shar
 e AS (SELECT symbol, rn, n, CASE WHEN rn = n AND shares > 0 THEN cash + shares * close * 0.999 * (1 - 0.0013) ELSE cash + shares * close * 0.999 END AS equity, CASE WHEN rn = n AND shares > 0 THEN (close * 0.999 - entry) * shares - shares * close * 0.999 * 0.0013 ELSE pnl END AS pnl FROM sim)"""
 
 
-@query("backtest_metrics", f"""WITH RECURSIVE {_SIMULATED},
+def _measured(crossed: str, value=rounded) -> str:
+    """The metrics of each symbol; value: how doubles are shown."""
+    return f"""WITH RECURSIVE {_simulated(crossed)},
 r AS (SELECT *, equity / lag(equity) OVER w - 1 AS r, max(equity) OVER w AS peak, lag(max_before) OVER w AS before FROM (SELECT *, max(equity) OVER (PARTITION BY symbol ORDER BY rn) AS max_before FROM e) WINDOW w AS (PARTITION BY symbol ORDER BY rn)),
 i AS (SELECT *, count_if(before IS NOT NULL AND equity > before) OVER (PARTITION BY symbol ORDER BY rn) AS island, before IS NOT NULL AND equity > before AS risen FROM r),
 d AS (SELECT symbol, max(k) AS longest FROM (SELECT symbol, island, count_if(NOT risen) AS k FROM i GROUP BY symbol, island) GROUP BY symbol),
 g AS (SELECT symbol, max(n) AS n, arg_max(equity, rn) AS final_equity, min(equity / peak - 1) AS max_drawdown, avg(r) AS mean, stddev_pop(r) AS sd, sqrt(sum(r * r) FILTER (r < 0) / nullif(count_if(r < 0), 0)) AS down,
 count(pnl) AS n_trades, count_if(pnl > 0) AS wins, avg(pnl) FILTER (pnl > 0) AS avg_win, -avg(pnl) FILTER (pnl <= 0) AS avg_loss FROM r GROUP BY symbol),
 x AS (SELECT *, power(final_equity / 100000, 252.0 / n) - 1 AS annual_return FROM g)
-SELECT symbol, n_trades, longest AS max_drawdown_bars, {rounded('final_equity / 100000 - 1')} AS total_return, {rounded('annual_return')} AS annual_return, {rounded('sd * sqrt(252)')} AS annual_volatility, {rounded('max_drawdown')} AS max_drawdown, {rounded('CASE WHEN sd > 0 THEN mean / sd * sqrt(252) ELSE 0 END')} AS sharpe,
-{rounded('coalesce(mean / nullif(down, 0) * sqrt(252), 0)')} AS sortino, {rounded('coalesce(annual_return / nullif(-max_drawdown, 0), 0)')} AS calmar, {rounded('coalesce(wins / nullif(n_trades, 0), 0)')} AS win_rate, {rounded('coalesce(coalesce(avg_win, 0) / nullif(avg_loss, 0), 0)')} AS profit_loss_ratio, {rounded('final_equity')} AS final_equity FROM x JOIN d USING (symbol)""")
+SELECT symbol, n_trades, longest AS max_drawdown_bars, {value('final_equity / 100000 - 1')} AS total_return, {value('annual_return')} AS annual_return, {value('sd * sqrt(252)')} AS annual_volatility, {value('max_drawdown')} AS max_drawdown, {value('CASE WHEN sd > 0 THEN mean / sd * sqrt(252) ELSE 0 END')} AS sharpe,
+{value('coalesce(mean / nullif(down, 0) * sqrt(252), 0)')} AS sortino, {value('coalesce(annual_return / nullif(-max_drawdown, 0), 0)')} AS calmar, {value('coalesce(wins / nullif(n_trades, 0), 0)')} AS win_rate, {value('coalesce(coalesce(avg_win, 0) / nullif(avg_loss, 0), 0)')} AS profit_loss_ratio, {value('final_equity')} AS final_equity FROM x JOIN d USING (symbol)"""
+
+
+_SIMULATED = _simulated(_crossed())
+
+
+@query("backtest_metrics", _measured(_crossed()))
 def _backtest(spark, d):
     whole = ("n_trades", "max_drawdown_bars")
     return backtest.run(B.bars_orders(spark, d), "ma_cross").select("symbol", *whole, *_r(*[m for m in backtest.METRICS if m not in whole]))
@@ -373,9 +385,15 @@ def _equity(spark, d):
     return backtest.equity_curve(B.bars_orders(spark, d), "ma_cross").select("symbol", "trade_date", *_r("equity"))
 
 
-@query("backtest_trades")
+@query("backtest_trades", f"""WITH RECURSIVE s AS MATERIALIZED (SELECT symbol, trade_date, close, signal, row_number() OVER w AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM ({strategies.plan('turtle').duck(B.SQL_ORDERS, compare=False)}) WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)),
+sim AS (SELECT symbol, rn, n, trade_date, close, 100000.0::DOUBLE AS cash, 0.0::DOUBLE AS shares, 0.0::DOUBLE AS entry, NULL::DATE AS entry_date, 0.0::DOUBLE AS sold FROM s WHERE rn = 1
+UNION ALL SELECT s.symbol, s.rn, s.n, s.trade_date, s.close, CASE WHEN signal > 0 AND shares = 0 THEN 0.0 WHEN signal < 0 AND shares > 0 THEN cash + shares * s.close * 0.999 * (1 - 0.0013) ELSE cash END,
+CASE WHEN signal > 0 AND shares = 0 THEN cash / 1.0003 / (s.close * 1.001) WHEN signal < 0 THEN 0.0 ELSE shares END, CASE WHEN signal > 0 AND shares = 0 THEN s.close * 1.001 ELSE entry END,
+CASE WHEN signal > 0 AND shares = 0 THEN s.trade_date ELSE entry_date END, CASE WHEN signal < 0 THEN shares ELSE 0.0 END FROM sim JOIN s ON s.symbol = sim.symbol AND s.rn = sim.rn + 1),
+t AS (SELECT *, close * 0.999 AS got, sold AS k FROM sim WHERE sold > 0 UNION ALL SELECT *, close * 0.999, shares FROM sim WHERE rn = n AND shares > 0)
+SELECT symbol, entry_date, trade_date AS exit_date, CAST(greatest(1, trade_date - entry_date) AS INTEGER) AS holding_days, {rounded('entry')} AS entry_price, {rounded('got')} AS exit_price, {rounded('k')} AS shares, {rounded('(got - entry) * k - k * got * 0.0013')} AS pnl, {rounded('got / entry - 1')} AS pnl_pct FROM t""")
 def _trades(spark, d):
-    return backtest.trades(B.bars_orders(spark, d), "turtle")
+    return backtest.trades(B.bars_orders(spark, d), "turtle").select("symbol", "entry_date", "exit_date", "holding_days", *_r("entry_price", "exit_price", "shares", "pnl", "pnl_pct"))
 
 
 @query("backtest_monthly", f"WITH RECURSIVE {_SIMULATED}, m AS (SELECT e.symbol, trade_date, equity / lag(equity) OVER (PARTITION BY e.symbol ORDER BY e.rn) - 1 AS r FROM e JOIN s ON e.symbol = s.symbol AND e.rn = s.rn WHERE (e.rn - 1) % 21 = 0) SELECT symbol, trade_date, {rounded('r')} AS return FROM m WHERE r IS NOT NULL")
@@ -383,9 +401,17 @@ def _monthly(spark, d):
     return backtest.monthly_returns(B.bars_orders(spark, d), "ma_cross").select("symbol", "trade_date", *_r("return"))
 
 
-@query("grid_search")
+def _searched(bars: str, sets: list[tuple[int, int]]) -> str:
+    """Metrics of each symbol and parameter set, with fast, slow and the set's place."""
+    one = lambda i, fast, slow: f"SELECT *, {i} AS param_id, {fast}::DOUBLE AS fast, {slow}::DOUBLE AS slow FROM ({_measured(_crossed(bars, fast, slow), str)})"
+    return " UNION ALL ".join(one(i, *s) for i, s in enumerate(sets))
+
+
+@query("grid_search", f"""SELECT symbol, fast, slow, n_trades, max_drawdown_bars, {_rs(*[m for m in backtest.METRICS if m not in ('n_trades', 'max_drawdown_bars')])} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY sharpe DESC, param_id) AS place FROM ({_searched(B.SQL_ORDERS, [(5, 20), (5, 30), (10, 20), (10, 30)])})) WHERE place = 1""")
 def _grid(spark, d):
-    return backtest.grid_search(B.bars_orders(spark, d), "ma_cross", {"fast": [5, 10], "slow": [20, 30]})
+    best = backtest.grid_search(B.bars_orders(spark, d), "ma_cross", {"fast": [5, 10], "slow": [20, 30]})
+    whole = ("n_trades", "max_drawdown_bars")
+    return best.select("symbol", F.col("params.fast").alias("fast"), F.col("params.slow").alias("slow"), *whole, *_r(*[m for m in backtest.METRICS if m not in whole]))
 
 
 @query("genetic_search")
@@ -394,9 +420,19 @@ def _genetic(spark, d):
     return spark.createDataFrame([(k, v, float(fit)) for k, v in sorted(best.items())], "parameter string, value double, fitness double")
 
 
-@query("walk_forward")
+#: Every slice as a series of its own: the windows that a bar lies in are found by trying all of them.
+_SLICES = f"""SELECT b.symbol || '|' || win || '|' || CASE WHEN i < win * 63 + 252 THEN 'in' ELSE 'out' END AS symbol, trade_date, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM ({B.SQL_ORDERS})) b, range(1000) r(win) WHERE i BETWEEN win * 63 AND win * 63 + 314 AND win * 63 + 315 <= n"""
+_WALKED = ("in_return", "out_return", "in_sharpe", "out_sharpe", "correlation", "variation", "efficiency")
+
+
+@query("walk_forward", f"""WITH m AS MATERIALIZED (SELECT split_part(symbol, '|', 1) AS symbol, split_part(symbol, '|', 2) AS win, split_part(symbol, '|', 3) AS part, param_id, fast, annual_return, sharpe FROM ({_searched(_SLICES, [(5, 20), (10, 20)])})),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, win ORDER BY sharpe DESC, param_id) AS place FROM m WHERE part = 'in') WHERE place = 1),
+p AS (SELECT b.symbol, b.fast, b.annual_return AS x, b.sharpe AS xs, m.annual_return AS y, m.sharpe AS ys FROM b JOIN m ON m.symbol = b.symbol AND m.win = b.win AND m.param_id = b.param_id AND m.part = 'out'),
+g AS (SELECT symbol, count(*) AS windows, avg(x) AS in_return, avg(y) AS out_return, avg(xs) AS in_sharpe, avg(ys) AS out_sharpe, coalesce(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 0) AS correlation, (stddev_pop(fast) / avg(fast) + 0) / 2 AS variation FROM p GROUP BY symbol)
+SELECT symbol, windows, {_rs(*_WALKED)}, grade FROM (SELECT *, CASE WHEN abs(in_return) >= 0.0001 THEN out_return / in_return ELSE 0 END AS efficiency, CASE WHEN out_sharpe > 1 AND variation < 0.3 THEN 'excellent' WHEN out_sharpe > 0.5 AND variation < 0.5 THEN 'good' WHEN out_sharpe > 0 THEN 'fair' ELSE 'warning' END AS grade FROM g)""")
 def _walk(spark, d):
-    return backtest.walk_forward_summary(backtest.walk_forward(B.bars_orders(spark, d), "ma_cross", {"fast": [5, 10], "slow": [20]}))
+    found = backtest.walk_forward(B.bars_orders(spark, d), "ma_cross", {"fast": [5, 10], "slow": [20]})
+    return backtest.walk_forward_summary(found).select("symbol", "windows", *_r(*_WALKED), "grade")
 
 
 def _simulations(spark, d, method):
@@ -462,14 +498,27 @@ def _concentration(spark, d):
     return distribution.concentration(distribution.cost_distribution(B.bars_orders(spark, d))).select("symbol", *_r("cr5", "cr10", "cr20", "trend"), "description")
 
 
-@query("moving_cost")
+def _parts(ends: str) -> str:
+    """Chips of parts of the history: ``ends`` gives symbol and i of the last bars of the parts from ``b``."""
+    return f"""b AS MATERIALIZED (SELECT *, min(low) OVER w AS lo, max(high) OVER w AS hi, sum(close * volume * (1 - t)) OVER w AS paid, sum(volume * (1 - t)) OVER w AS weight, count(*) OVER (PARTITION BY symbol) AS n FROM (SELECT *, least(greatest(coalesce(turnover, 0.02), 0), 1)::DOUBLE AS t, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS i FROM ({B.SQL_ORDERS})) WINDOW w AS (PARTITION BY symbol ORDER BY i)),
+e AS MATERIALIZED (SELECT symbol, i AS e, n, trade_date, close AS last_price, lo, hi, CASE WHEN weight > 0 THEN paid / weight ELSE close END AS avg_cost FROM b JOIN ({ends}) USING (symbol, i)),
+kept AS (SELECT symbol, e, e AS i, 1.0::DOUBLE AS "left" FROM e UNION ALL SELECT kept.symbol, e, kept.i - 1, "left" * (1 - t) FROM kept JOIN b ON b.symbol = kept.symbol AND b.i = kept.i WHERE kept.i > 1),
+lev AS (SELECT symbol, e, CASE WHEN e.hi > e.lo THEN CAST(least(floor((close - e.lo) / ((e.hi - e.lo) / 100)), 99) AS INTEGER) ELSE 0 END AS level, sum(volume * "left") AS c FROM kept JOIN b USING (symbol, i) JOIN e USING (symbol, e) GROUP BY 1, 2, 3),
+chips AS (SELECT e.*, x.level, e.lo + (e.hi - e.lo) / 100 * (x.level + 0.5) AS price, coalesce(100 * c / sum(c) OVER (PARTITION BY e.symbol, e.e), 0) AS chips FROM e CROSS JOIN (SELECT unnest(range(100))::INTEGER AS level) x LEFT JOIN lev ON lev.symbol = e.symbol AND lev.e = e.e AND lev.level = x.level)"""
+
+
+@query("moving_cost", f"""WITH RECURSIVE {_parts('SELECT symbol, i FROM b WHERE i > n - 60')} SELECT symbol, trade_date, {rounded('any_value(avg_cost)')} AS avg_cost, {rounded('CASE WHEN sum(chips) > 0 THEN sum(price * chips) / sum(chips) ELSE any_value(avg_cost) END')} AS weighted_avg_cost FROM chips GROUP BY symbol, trade_date""")
 def _moving(spark, d):
-    return distribution.moving_distribution(B.bars_orders(spark, d))
+    return distribution.moving_distribution(B.bars_orders(spark, d)).select("symbol", "trade_date", *_r("avg_cost", "weighted_avg_cost"))
+
+
+_FRAME_ENDS = "SELECT DISTINCT symbol, least((frame + 1) * greatest(n // 30, 1), n) AS i FROM b, range(30) f(frame) WHERE n >= 20"
 
 
-@query("cost_frames")
+@query("cost_frames", f"""WITH RECURSIVE {_parts(_FRAME_ENDS)}, p AS (SELECT symbol, e, CASE WHEN sum(chips) > 0 THEN 100 * sum(CASE WHEN price < last_price THEN chips ELSE 0 END) / sum(chips) ELSE 50 END AS profit_pct FROM chips GROUP BY symbol, e)
+SELECT symbol, CAST(frame AS INTEGER) AS frame, trade_date, CAST(n - e AS INTEGER) AS ago, level, {_rs('avg_cost', 'profit_pct')}, {rounded('100 - profit_pct')} AS loss_pct, {_rs('price', 'chips')} FROM chips JOIN p USING (symbol, e) JOIN range(30) f(frame) ON e = least((frame + 1) * greatest(n // 30, 1), n)""")
 def _frames(spark, d):
-    return distribution.historical_frames(B.bars_orders(spark, d))
+    return distribution.historical_frames(B.bars_orders(spark, d)).select("symbol", "frame", "trade_date", "ago", "level", *_r("avg_cost", "profit_pct", "loss_pct", "price", "chips"))
 
 
 # --- risk
