@@ -32,6 +32,13 @@ def bars_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bars(e.select(F.col("event_type").alias("symbol"), F.date_trunc("hour", "ts").alias("trade_date"), F.col("value").alias("price"), F.struct("ts", "event_id").alias("place")))
 
 
+def bars_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One long series: every order is a bar of the prices of its lines, an hour after the order before it by key."""
+    line = table(spark, sf_dir, "lineitem")
+    hour = F.timestamp_seconds(F.col("l_orderkey") * 3600)
+    return _bars(line.select(F.lit("lines").alias("symbol"), hour.alias("trade_date"), F.col("l_extendedprice").alias("price"), F.col("l_linenumber").alias("place")))
+
+
 def _bars(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("symbol", "trade_date").agg(
         F.min_by("price", "place").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "place").alias("close"),
