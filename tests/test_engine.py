@@ -413,3 +413,14 @@ def test_every_machine_has_a_kernel_and_a_step_from_each_bar():
     assert [x for (x,) in got] == [1, 0, 0, 0, 1, 0, 0]
     with pytest.raises(ValueError):
         indicators.plan(["hurst"]).duck(bars)
+
+
+def test_kernels_are_sent_what_is_used_after_them(spark):
+    from tidemark.operators import indicators
+    from tidemark.sources import bars as B
+
+    bars = spark.createDataFrame([("a", None, 1.0, 1.0, 1.0, float(i), 5.0, 5.0, 0.1) for i in range(3)], B.SCHEMA)
+    plan = indicators.plan({"ema": {"period": 2}, "obv": {}})
+    assert all("high" not in used and "turnover" not in used for used in plan._used())
+    sent = plan.spark(bars)._jdf.queryExecution().optimizedPlan().toString()
+    assert "turnover" not in sent.split("FlatMapGroupsInArrow", 1)[1].split("Project", 1)[1].split("\n", 1)[0]

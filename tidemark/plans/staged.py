@@ -221,15 +221,28 @@ class Plan:
         df = bars
         if "rn" not in df.columns:
             df = df.withColumn("rn", F.expr(self.over("row_number()")))
-        for stage in self.stages:
+        always = {self.key, self.order, *(bars.columns if keep else ())}
+        for stage, used in zip(self.stages, self._used(), strict=True):
             if stage.columns:
                 df = df.withColumns({n: F.expr(f if isinstance(f, str) else f[0]) for n, f in stage.columns.items()})
             if stage.steps:
-                df = self._run(df, stage)
+                df = self._run(df.select(*[c for c in df.columns if c in used | always]), stage)
         value = (lambda c: F.expr(rounded(c))) if compare else F.col
         head = [c for c in bars.columns] if keep else [self.key, self.order]
         return df.select(*head, *[value(c).alias(n) for n, c in self.outputs.items()])
 
+    def _used(self) -> list[set[str]]:
+        """Of each stage, the names that its steps, the stages after it or the outputs use: what its kernel must be sent, as
+        columns are not pruned through one."""
+        used, found = set(self.outputs.values()), []
+        for stage in reversed(self.stages):
+            for s in stage.steps.values():
+                used |= set(s.inputs if isinstance(s, Kernel) else s.inputs())
+            found.append(set(used))
+            for f in stage.columns.values():
+                used |= set(_NAME.findall(f if isinstance(f, str) else f[0]))
+        return found[::-1]
+
     def _run(self, df: DataFrame, stage: Stage) -> DataFrame:
         """One Arrow pass a symbol; the columns that no step uses go through as they are."""
         order, steps = self.order, dict(stage.steps)
