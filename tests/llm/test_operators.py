@@ -268,6 +268,30 @@ def test_op4_keeps_long_pieces():
     assert whole >= lattice["▁International"] and whole > lattice_lm.Vocabulary({p: v for p, v in lattice.items() if len(p) <= 12}).log_weights([b"International"])[0]
 
 
+def test_op4_places_are_left_when_no_piece_goes_on(monkeypatch):
+    """No more than the beginnings of pieces are looked up, and the sums are those of the walk by code points."""
+    rng, hashed, mix = random.Random(9), [], kernel.mix
+    monkeypatch.setattr(kernel, "mix", lambda h: (hashed.append(h.size), mix(h))[1])
+    made = lambda letters, sizes: ["".join(rng.choices(letters, k=n)).encode() for n in sizes]
+    some = [*made("abcdeilnorstu", [rng.randint(1, 20) for _ in range(400)]), *made("xéż漢😀q", range(1, 9)), *made("qxzé", range(150, 250, 10)), *made("漢😀", range(20, 200, 20)), b"\xff\xfe", "▁a▁▁b".encode(), b""]
+    v, counts = lattice_lm.Vocabulary(lattice_lm.pieces()), np.arange(1, len(some) + 1)
+    logs, (total, likelihood) = v.log_weights(some), v.expectation(some, counts)
+    monkeypatch.setattr(lattice_lm, "LONG_WORD", 1)
+    walked, other = v.expectation(some, counts)
+    assert np.allclose(logs, v.log_weights(some), rtol=1e-12) and np.allclose(total, walked, rtol=1e-9, atol=1e-9) and np.isclose(likelihood, other, rtol=1e-12)
+    monkeypatch.setattr(lattice_lm, "LONG_WORD", 256)
+    long = lattice_lm.Vocabulary({"▁": -2.0, "abcdefghijklmnopqrstuvwxyz": -3.0, "c": -1.0})
+    hashed.clear()
+    assert np.allclose(long.log_weights([b"c" * 99] * 10), -101.0) and sum(hashed) <= 1010
+
+
+def test_op4_batches_of_words_are_joined_whole():
+    batches = [pa.RecordBatch.from_arrays([pa.array([b"w%d" % (10 * i + k) for k in range(10)]), pa.array(range(10))], names=["word", "c"]) for i in range(7)]
+    some = list(lattice_lm._gathered(iter(batches), rows=25))
+    assert [b.num_rows for b in some] == [30, 30, 10] and [w for b in some for w in b.column("word").to_pylist()] == [b"w%d" % k for k in range(70)]
+    assert [b.num_rows for b in lattice_lm._gathered(iter(batches), size=1)] == [10] * 7 and not list(lattice_lm._gathered(iter([])))
+
+
 def brute_repeats(rows, n):
     seqs = [words(t) for _, t in rows]
     seen = {}

@@ -119,83 +119,134 @@ def _join(stack: list[np.ndarray]) -> np.ndarray:
 
 
 class Vocabulary:
-    """The pieces, by a hash of their code points, and their log weights, the end token's last."""
+    """The pieces and their beginnings, by a hash of their code points, and the pieces' log weights, the end token's last."""
 
     def __init__(self, lattice: Lattice, end: float = -14.0):
         self.names = list(lattice)
-        self.lattice, self.weights = dict(lattice), np.array([*lattice.values(), end])
         place, spelt = {p: i for i, p in enumerate(self.names)}, set(BYTES)
         self.bytes = np.array([place.get(b, -1) for b in BYTES])
         texts = [p for p in self.names if p not in spelt]
         self.longest = max(map(len, texts), default=1)
-        own = np.empty(len(texts), np.uint64)
-        for i, p in enumerate(texts):
-            points = np.frombuffer(p.encode("utf-32-le"), "<u4").astype(np.uint64)[None, :]
-            own[i] = list(self._hashes(points))[-1][0, 0]
-        order = np.argsort(own)
-        self.hashes, self.ids = own[order], np.array([place[p] for p in texts], np.int32)[order]
-        self.some = np.zeros(1 << 21, bool)
-        self.some[own >> np.uint64(43)] = True
+        own: dict[int, int] = {}
+        more: set[int] = set()
+        sizes = np.array([len(p) for p in texts], np.int64)
+        for size in np.unique(sizes).tolist():
+            some = [p for p in texts if len(p) == size]
+            points = np.frombuffer("".join(some).encode("utf-32-le"), "<u4").astype(np.uint64).reshape(-1, size).T
+            run = np.zeros(len(some), np.uint64)
+            for k in range(size):
+                run = self._longer(run, points[k])
+                if k < size - 1:
+                    more.update(run.tolist())
+            own |= zip(run.tolist(), (place[p] for p in some), strict=True)
+        every = np.array(sorted(more | own.keys()), np.uint64)
+        #: The last entry, above all hashes, is nobody's.
+        self.hashes = np.append(every, np.uint64((1 << 64) - 1))
+        self.ids = np.array([own.get(h, -1) for h in every.tolist()] + [-1], np.int32)
+        self.more = np.array([h in more for h in every.tolist()] + [False])
+        #: Where the hashes with these highest bits begin.
+        self.first = np.searchsorted(every, np.arange(1 << 18, dtype=np.uint64) << np.uint64(46)).astype(np.int32)
+        self._weigh(np.array([*lattice.values(), end]))
+
+    def _weigh(self, weights: np.ndarray) -> None:
+        self.weights, self.lattice = weights, dict(zip(self.names, weights.tolist(), strict=False))
+        #: The last entry is what a byte that is not there weighs.
+        self.single = np.append(np.where(self.bytes >= 0, weights[self.bytes], _BYTE_WEIGHT), 0.0)
 
     def reweighted(self, weights: np.ndarray) -> Vocabulary:
         new = copy.copy(self)
-        new.weights, new.lattice = weights, dict(zip(self.names, weights.tolist(), strict=False))
+        new._weigh(weights)
         return new
 
-    def _hashes(self, points: np.ndarray) -> Iterator[np.ndarray]:
-        """Hashes of the runs of 1, 2, ... code points that start at each place, a row a word."""
-        run = kernel.mix(points * _A + _B)
-        yield run
-        for k in range(2, min(self.longest, points.shape[1]) + 1):
-            run = kernel.mix((run[:, :-1] ^ (points[:, k - 1 :] * _C)) * _A + _B)
-            yield run
-
-    def spans(self, points: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For each length from 1 on, the piece that each run is (-1 for none), and its weight."""
-        found, weights = [], []
-        for run in self._hashes(points):
-            ids = np.full(run.shape, -1, np.int32)
-            at = np.nonzero(self.some[run >> np.uint64(43)])
-            place = np.minimum(np.searchsorted(self.hashes, run[at]), len(self.hashes) - 1)
-            ids[at] = np.where(self.hashes[place] == run[at], self.ids[place], -1)
-            found.append(ids)
-            weights.append(np.where(ids >= 0, self.weights[ids], -np.inf))
-        other = found[0] < 0
-        #: The last entry is what a byte that is not there weighs.
-        single = np.append(np.where(self.bytes >= 0, self.weights[self.bytes], _BYTE_WEIGHT), 0.0)
-        weights[0][other] = single[_utf8(points[other])].sum(axis=1)
-        return found, weights
-
-    def blocks(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places of words of equal length, and their code points, the word mark first."""
-        texts = ["\u2581" + w.decode("utf8", "replace") for w in words]
-        sizes = np.array([len(t) for t in texts], np.int64)
-        whole = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
-        starts = np.cumsum(sizes) - sizes
+    @staticmethod
+    def _longer(run: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """Hashes of runs that are one code point longer."""
+        return kernel.mix((run ^ (points * _C)) * _A + _B)
+
+    def _place(self, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of these hashes are of pieces or their beginnings, and their places."""
+        place = self.first[run >> np.uint64(46)]
+        todo = np.flatnonzero(self.hashes[place] < run)
+        while len(todo):
+            place[todo] += 1
+            todo = todo[self.hashes[place[todo]] < run[todo]]
+        found = np.flatnonzero(self.hashes[place] == run)
+        return found, place[found]
+
+    def edges(self, points: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """For each length from 1 on, where the pieces of that length start, and which they are; and the code points that are no
+        piece.  Words of equal length are columns, and places count along the rows.  A place is left as soon as no piece goes on."""
+        size, n = points.shape
+        flat, out = points.ravel(), []
+        at, run = np.arange(size * n), np.zeros(size * n, np.uint64)
+        other = np.ones(size * n, bool)
+        for k in range(1, min(self.longest, size) + 1):
+            inside = np.searchsorted(at, (size - k + 1) * n)
+            at = at[:inside]
+            run = self._longer(run[:inside], flat[at + (k - 1) * n])
+            found, place = self._place(run)
+            ids, start = self.ids[place], at[found]
+            piece = np.flatnonzero(ids >= 0)
+            out.append((start[piece], ids[piece]))
+            if k == 1:
+                other[start[piece]] = False
+            goes_on = self.more[place]
+            at, run = start[goes_on], run[found[goes_on]]
+            if not len(at):
+                break
+        return out, np.flatnonzero(other)
+
+    def spans(self, points: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, list[np.ndarray]]:
+        """The same, and the log weights of the edges of each length, at the places where they start."""
+        edges, other = self.edges(points)
+        weights = [np.full(points.shape, -np.inf) for _ in edges]
+        for w, (at, ids) in zip(weights, edges, strict=True):
+            w.ravel()[at] = self.weights[ids]
+        weights[0].ravel()[other] = self.single[_utf8(points.ravel()[other])].sum(axis=1)
+        return edges, other, weights
+
+    @staticmethod
+    def _points(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The code points of all words, the word mark before each, and where each starts and how many it has.  A word holds no
+        line break, which stands for the mark until all are decoded at once."""
+        whole = np.frombuffer(b"\n".join([b"", *words]).decode("utf8", "replace").encode("utf-32-le"), "<u4").copy()
+        starts = np.flatnonzero(whole == 10)
+        whole[starts] = 0x2581
+        return whole, starts, np.diff(starts, append=len(whole))
+
+    @staticmethod
+    def blocks(whole: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of words of equal length, and their code points, a column a word."""
         for size in np.unique(sizes[sizes <= LONG_WORD]).tolist():
             own = np.flatnonzero(sizes == size)
             for a in range(0, len(own), max(1, BLOCK // size)):
                 some = own[a : a + max(1, BLOCK // size)]
-                yield some, whole[starts[some][:, None] + np.arange(size)].astype(np.uint64)
+                yield some, whole[np.arange(size)[:, None] + starts[some]].astype(np.uint64)
 
     @staticmethod
     def _ahead(weights: list[np.ndarray]) -> np.ndarray:
-        n, size = weights[0].shape
+        size, n = weights[0].shape
         ahead = np.zeros((size + 1, n))
         for j in range(1, size + 1):
-            ahead[j] = _join([ahead[j - k] + weights[k - 1][:, j - k] for k in range(1, min(len(weights), j) + 1)])
+            ahead[j] = _join([ahead[j - k] + weights[k - 1][j - k] for k in range(1, min(len(weights), j) + 1)])
         return ahead
 
+    @staticmethod
+    def _behind(weights: list[np.ndarray]) -> np.ndarray:
+        size, n = weights[0].shape
+        behind = np.zeros((size + 1, n))
+        for i in range(size - 1, -1, -1):
+            behind[i] = _join([behind[i + k] + weights[k - 1][i] for k in range(1, min(len(weights), size - i) + 1)])
+        return behind
+
     def log_weights(self, words: list[bytes]) -> np.ndarray:
         """Log of the total weight of all segmentations of each word; the end token has its own."""
-        out = np.empty(len(words))
-        for some, points in self.blocks(words):
-            out[some] = self._ahead(self.spans(points)[1])[-1]
-        for i, w in enumerate(words):
-            if w == END:
-                out[i] = self.weights[-1]
-            elif len(w) >= LONG_WORD and len(text := "\u2581" + w.decode("utf8", "replace")) > LONG_WORD:
-                out[i] = forward(text, self.lattice, self.longest)[-1]
+        out, (whole, starts, sizes) = np.empty(len(words)), self._points(words)
+        for some, points in self.blocks(whole, starts, sizes):
+            out[some] = self._ahead(self.spans(points)[2])[-1]
+        for i in np.flatnonzero(sizes > LONG_WORD):
+            out[i] = forward("\u2581" + words[i].decode("utf8", "replace"), self.lattice, self.longest)[-1]
+        out[sizes == 1] = self.weights[-1]
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
@@ -204,45 +255,55 @@ class Vocabulary:
 
     def expectation(self, words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, float]:
         """The same, and the log-likelihood of the words."""
-        total, likelihood = np.zeros(len(self.weights)), 0.0
-        for some, points in self.blocks(words):
-            ids, weights = self.spans(points)
-            ahead, size = self._ahead(weights), points.shape[1]
-            behind = np.zeros_like(ahead)
-            for i in range(size - 1, -1, -1):
-                behind[i] = _join([behind[i + k] + weights[k - 1][:, i] for k in range(1, min(len(weights), size - i) + 1)])
-            c = np.where([words[i] == END for i in some], 0, counts[some])
+        whole, starts, sizes = self._points(words)
+        #: The end token has the word mark alone.
+        total, ends = np.zeros(len(self.weights)), int(counts[sizes == 1].sum())
+        total[-1], likelihood = ends, float(ends * self.weights[-1])
+        for some, points in self.blocks(whole, starts, np.where(sizes > 1, sizes, LONG_WORD + 1)):
+            edges, other, weights = self.spans(points)
+            ahead, behind = self._ahead(weights), self._behind(weights)
+            c, n = counts[some], len(some)
             likelihood += float(c @ ahead[-1])
-            for k, (piece, weight) in enumerate(zip(ids, weights, strict=True), 1):
-                row, at = np.nonzero(piece >= 0)
-                share = np.exp(ahead[at, row] + weight[row, at] + behind[at + k, row] - ahead[-1, row])
-                total += np.bincount(piece[row, at], share * c[row], len(total))
-            row, at = np.nonzero(ids[0] < 0)
-            share = np.exp(ahead[at, row] + weights[0][row, at] + behind[at + 1, row] - ahead[-1, row]) * c[row]
-            spelt = _utf8(points[row, at])
+
+            def times(at: np.ndarray, k: int, ahead=ahead, behind=behind, weights=weights, c=c, n=n) -> np.ndarray:
+                row = at % n
+                return np.exp(ahead.ravel()[at] + weights[k - 1].ravel()[at] + behind.ravel()[at + k * n] - ahead[-1, row]) * c[row]
+
+            for k, (at, ids) in enumerate(edges, 1):
+                total += np.bincount(ids, times(at, k), len(total))
+            spelt = _utf8(points.ravel()[other])
             own = np.where(spelt >= 0, self.bytes[spelt], -1)
-            total += np.bincount(own[own >= 0], np.broadcast_to(share[:, None], own.shape)[own >= 0], len(total))
+            total += np.bincount(own[own >= 0], np.broadcast_to(times(other, 1)[:, None], own.shape)[own >= 0], len(total))
         place = None
-        for i, w in enumerate(words):
-            if w == END:
-                total[-1] += counts[i]
-                likelihood += float(counts[i] * self.weights[-1])
-            elif len(w) >= LONG_WORD and len(text := "\u2581" + w.decode("utf8", "replace")) > LONG_WORD:
-                place = place or {p: k for k, p in enumerate(self.names)}
-                ahead, behind = forward(text, self.lattice, self.longest), backward(text, self.lattice, self.longest)
-                likelihood += float(counts[i] * ahead[-1])
-                for a in range(len(text)):
-                    if text[a] not in self.lattice:
-                        share = counts[i] * math.exp(ahead[a] + _spelt(text[a], self.lattice) + behind[a + 1] - ahead[-1])
-                        for x in text[a].encode("utf8", "replace"):
-                            if BYTES[x] in place:
-                                total[place[BYTES[x]]] += share
-                    for b in range(a + 1, min(len(text), a + self.longest) + 1):
-                        if (v := self.lattice.get(text[a:b])) is not None:
-                            total[place[text[a:b]]] += counts[i] * math.exp(ahead[a] + v + behind[b] - ahead[-1])
+        for i in np.flatnonzero(sizes > LONG_WORD):
+            text = "\u2581" + words[i].decode("utf8", "replace")
+            place = place or {p: k for k, p in enumerate(self.names)}
+            ahead, behind = forward(text, self.lattice, self.longest), backward(text, self.lattice, self.longest)
+            likelihood += float(counts[i] * ahead[-1])
+            for a in range(len(text)):
+                if text[a] not in self.lattice:
+                    share = counts[i] * math.exp(ahead[a] + _spelt(text[a], self.lattice) + behind[a + 1] - ahead[-1])
+                    for x in text[a].encode("utf8", "replace"):
+                        if BYTES[x] in place:
+                            total[place[BYTES[x]]] += share
+                for b in range(a + 1, min(len(text), a + self.longest) + 1):
+                    if (v := self.lattice.get(text[a:b])) is not None:
+                        total[place[text[a:b]]] += counts[i] * math.exp(ahead[a] + v + behind[b] - ahead[-1])
         return total, likelihood
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of words joined until there are so many rows or bytes, so that blocks of equal length fill."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def learn(totals: DataFrame, lattice: Lattice, rounds: int = ROUNDS, gain: float = GAIN) -> Vocabulary:
     """Unigram scores from words and their counts (word, c).  What returns to the driver is a number for each piece, and the
     log-likelihood, as that of piece -1."""
@@ -255,7 +316,7 @@ def learn(totals: DataFrame, lattice: Lattice, rounds: int = ROUNDS, gain: float
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own, likelihood = np.zeros(len(sent.value.weights)), 0.0
-            for batch in batches:
+            for batch in _gathered(batches):
                 more, log = sent.value.expectation(batch.column("word").to_pylist(), batch.column("c").to_numpy())
                 own, likelihood = own + more, likelihood + log
             some = np.flatnonzero(own)
@@ -401,7 +462,7 @@ def score(docs: DataFrame, path: str = TOKENIZERS) -> DataFrame:
     sent = spark.sparkContext.broadcast(learn(totals, pieces(path)))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.log_weights(batch.column("word").to_pylist()))], names=["word", "c", "lw"])
 
     weighed = totals.select("word", "c").mapInArrow(weigh, "word binary, c long, lw double")
